@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, ppm_language
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,12 +17,17 @@ def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(_documents(spark, sf_dir))
 
 
+def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm_language.identify(_documents(spark, sf_dir))
+
+
 def op9_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": op1_pareto_mixing,
+    "op3_ppm_language": op3_ppm_language,
     "op9_golomb_exact_dedup": op9_golomb_exact_dedup,
 }
 
