@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, ppm_language
+from . import exact_dedup, mixing, ppm_language, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +18,10 @@ def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.pareto_mix(_documents(spark, sf_dir))
 
 
+def op2_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_language.identify(_documents(spark, sf_dir))
 
@@ -27,6 +32,7 @@ def op9_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": op1_pareto_mixing,
+    "op2_repair_tokens": op2_repair_tokens,
     "op3_ppm_language": op3_ppm_language,
     "op9_golomb_exact_dedup": op9_golomb_exact_dedup,
 }

@@ -27,12 +27,18 @@ def root(spark: SparkSession) -> str:
     return _default
 
 
+def place(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{root(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def keep(df: DataFrame, tag: str) -> DataFrame:
     """Writes df and reads it again; the files go when the driver ends, or with drop()."""
     spark = df.sparkSession
-    path = f"{root(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
+    path = place(spark, tag)
     df.write.parquet(path)
-    _made.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
