@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pieces, ppm_language, token_files
+from . import exact_dedup, mixing, page_text, pieces, ppm_language, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_language.identify(_documents(spark, sf_dir))
 
 
+def op5_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op7_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op2_repair_tokens": op2_repair_tokens,
     "op3_ppm_language": op3_ppm_language,
+    "op5_host_suffix_array": op5_host_suffix_array,
     "op7_suffix_pieces": op7_suffix_pieces,
     "op9_golomb_exact_dedup": op9_golomb_exact_dedup,
 }
