@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, page_text, pieces, ppm_language, token_files
+from . import exact_dedup, max_score, mixing, page_text, pieces, ppm_language, sentence_spans, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,10 +30,18 @@ def op5_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
+def op6_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return max_score.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op7_suffix_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(_documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_spans.dedup(_documents(spark, sf_dir))
+
+
 def op9_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
@@ -43,7 +51,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_repair_tokens": op2_repair_tokens,
     "op3_ppm_language": op3_ppm_language,
     "op5_host_suffix_array": op5_host_suffix_array,
+    "op6_max_score": op6_max_score,
     "op7_suffix_pieces": op7_suffix_pieces,
+    "op8_sentence_spans": op8_sentence_spans,
     "op9_golomb_exact_dedup": op9_golomb_exact_dedup,
 }
 
@@ -92,4 +102,19 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM n
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_pareto_mixing": OP1_SQL, "op9_golomb_exact_dedup": OP9_SQL}
+OP6_SQL = """
+WITH v AS (
+  SELECT vec_id AS id, min(list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+  GROUP BY vec_id
+), e AS (
+  SELECT id, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM v
+), s AS (
+  SELECT q.id AS query_id, c.id AS vec_id, sum(q.x * c.x)::BIGINT AS score FROM e q JOIN e c ON q.d = c.d AND q.id <> c.id WHERE q.id % 20 = 0 GROUP BY ALL
+)
+SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_max_score": OP6_SQL, "op1_pareto_mixing": OP1_SQL, "op9_golomb_exact_dedup": OP9_SQL}
