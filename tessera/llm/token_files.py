@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import functools
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -16,7 +19,12 @@ from pyspark.sql import functions as F
 from . import arrow, repair, scratch
 
 #: Ids of a shard, and words of the cache a worker keeps.
-SHARD_IDS, CACHE_WORDS = 1 << 21, 700_000
+SHARD_IDS, CACHE_WORDS = 1 << 21, 900_000
+#: Bytes of text encoded at once.
+ENCODE_BYTES = 8 << 20
+#: Cores given to the tokenizer as one text; what is plain: letters of Latin-1, which keep their kind in lower case, and a stop.
+JOINED, STOPS = 64, ".,;:!?"
+PLAIN = re.compile(f"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([{STOPS}])?".encode("latin-1"))
 
 SHARDS_DDL = "part int, shard int, at long, n_tokens long, doc_ids array<long>, payload binary"
 SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
@@ -46,16 +54,76 @@ class Encoder:
     def __init__(self, path: str, whole: bool = False):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer, self.whole = Tokenizer.from_file(path), whole
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        mark = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.closing = np.zeros(self.size, bool)  # ids that end a piece
+        if mark:
+            self.closing[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(mark)]] = True
+        self.stops = [np.array(x, np.uint32) for x in self._ids([bytes([b]) if chr(b) in STOPS else b"" for b in range(128)])]
         self._clear()
 
     def _clear(self) -> None:
         self.words, self.start, self.flat = _Words(), np.zeros(1, np.int64), np.empty(0, np.uint32)
+        self.cores, self.core_start, self.core_flat = _Words(), np.zeros(1, np.int64), np.empty(0, np.uint32)
 
     def _ids(self, texts: list[bytes]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
 
+    def _learn(self, cores: list[bytes]) -> None:
+        """Ids of new cores (letters only, so one piece each), JOINED in a text: the vocabulary marks the
+        last id of a piece, so the pieces give the borders. Where there are not as many pieces as cores, one by one."""
+        groups = [cores[i : i + JOINED] for i in range(0, len(cores), JOINED)]
+        sizes, flat = [], []
+        for group, ids in zip(groups, self._ids([b" ".join(g) for g in groups]), strict=True):
+            x = np.array(ids, np.uint32)
+            last = np.flatnonzero(self.closing[x]) + 1
+            if len(last) == len(group) and last[-1] == len(x):
+                sizes.append(np.diff(last, prepend=0))
+                flat.append(x)
+            else:
+                for one in self._ids(group):
+                    sizes.append(np.array([len(one)]))
+                    flat.append(np.array(one, np.uint32))
+        self.core_start = np.concatenate([self.core_start, self.core_start[-1] + np.cumsum(np.concatenate(sizes))])
+        self.core_flat = np.concatenate([self.core_flat, *flat])
+
+    def _word_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words one after another, and how many each has.
+
+        A plain word is letters and perhaps one stop: the tokenizer splits between the two, and takes
+        A-Z as a-z, so its ids are those of its core and of the stop. Other words are asked for as they are.
+        """
+        n = len(words)
+        core, stop, hard = np.full(n, -1, np.int64), np.full(n, -1, np.int64), []
+        if self.closing.any():
+            number = self.cores.__getitem__
+            for i, m in enumerate(map(PLAIN.fullmatch, words)):
+                if m:
+                    core[i] = number(m[1].lower())
+                    if m[2]:
+                        stop[i] = m[2][0]
+                else:
+                    hard.append(i)
+            if self.cores.new:
+                self._learn(self.cores.new)
+                self.cores.new = []
+        else:
+            hard = list(range(n))
+        own = self._ids([words[i] for i in hard])
+        core[hard] = len(self.core_start) - 1 + np.arange(len(hard))  # behind the cores, for now
+        start = np.concatenate([self.core_start, self.core_start[-1] + np.cumsum([len(x) for x in own], dtype=np.int64)])
+        flat = np.concatenate([self.core_flat, np.array([i for x in own for i in x], np.uint32)])
+        tail_start = np.concatenate([[0], np.cumsum([len(x) for x in self.stops])])
+        size, tail = start[core + 1] - start[core], np.where(stop >= 0, tail_start[stop + 1] - tail_start[stop], 0)
+        begin = np.cumsum(size + tail) - size - tail
+        out = np.empty(int((size + tail).sum()), np.uint32)
+        for at, first, count, ids in ((begin, start[core], size, flat), (begin + size, tail_start[stop], tail, np.concatenate(self.stops))):
+            inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            out[np.repeat(at, count) + inner] = ids[np.repeat(first, count) + inner]
+        return out, size + tail
+
     def encode(self, texts: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts, each followed by ``end``, and the number of each text's ids."""
         if self.whole:
@@ -64,14 +132,22 @@ class Encoder:
             return np.concatenate([np.array([*x, end], np.uint32) for x in ids]), sizes
         if len(self.words) > CACHE_WORDS:
             self._clear()
-        split = [t.split() for t in texts]
-        counts = np.array([len(x) for x in split], np.int64)
-        number = np.fromiter(map(self.words.__getitem__, (w for x in split for w in x)), np.int64, int(counts.sum()))
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
+        found = split.flatten().dictionary_encode()
+        distinct = found.dictionary.cast(pa.large_binary()).to_pylist()
+        index = found.indices.to_numpy()
+        counts = split.value_lengths().to_numpy().astype(np.int64)
+        if b"" in distinct:  # at the ends of a text, or all of it
+            real = index != distinct.index(b"")
+            counts = np.diff(np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(counts)])])
+            index = index[real]
+            distinct[distinct.index(b"")] = b"."
+        number = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))[index]
         if self.words.new:
-            ids = self._ids(self.words.new)
+            ids, sizes = self._word_ids(self.words.new)
             self.words.new = []
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum([len(x) for x in ids], dtype=np.int64)])
-            self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), np.uint32, int(self.start[-1]) - len(self.flat))])
+            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
+            self.flat = np.concatenate([self.flat, ids])
         n = self.start[number + 1] - self.start[number]
         upto = np.cumsum(n)
         ids = self.flat[np.repeat(self.start[number] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
@@ -85,6 +161,20 @@ def encoder(path: str, whole: bool = False) -> Encoder:
     return Encoder(path, whole)
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[bytes]]]:
+    names, texts, held = [], [], 0
+    for b in arrow.full(batches):
+        names += b.column(0).to_pylist()
+        new = b.column(1).to_pylist()
+        texts += new
+        held += sum(map(len, new))
+        if held >= ENCODE_BYTES:
+            yield names, texts
+            names, texts, held = [], [], 0
+    if names:
+        yield names, texts
+
+
 def _write(path: str, end: int, whole: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, part = encoder(path, whole), TaskContext.get().partitionId()
@@ -96,10 +186,9 @@ def _write(path: str, end: int, whole: bool):
             payload = repair.dump(grammar, np.concatenate([[0], np.cumsum(n)]))
             return arrow.batch(SHARDS, part=[part], shard=[shard], at=[at], n_tokens=[held], doc_ids=[docs], payload=[payload])
 
-        for b in arrow.full(batches):
-            texts = b.column(1).to_pylist()
+        for names, texts in _gathered(batches):
             got, n = coder.encode(texts, end)
-            docs += b.column(0).to_pylist()
+            docs += names
             ids.append(got), sizes.append(n)
             held += len(got)
             if held >= SHARD_IDS:
