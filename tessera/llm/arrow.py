@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,3 +36,21 @@ def batch(schema: pa.Schema, **columns: object) -> pa.RecordBatch:
 
 def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in batches if b.num_rows)
+
+
+def words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Words between ASCII white space of UTF-8 texts, A-Z lower-cased: the distinct ones, the place of
+    each word among them, and how many words each text has."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_binary()).view(pa.large_string())))
+    found = split.flatten().dictionary_encode()
+    distinct = found.dictionary.cast(pa.large_binary()).to_pylist()
+    index = found.indices.to_numpy()
+    counts = split.value_lengths().to_numpy().astype(np.int64)
+    if b"" in distinct:  # at the ends of a text, or all of it
+        empty = distinct.index(b"")
+        real = index != empty
+        counts = np.diff(np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(counts)])])
+        index = index[real]
+        index = index - (index > empty)
+        del distinct[empty]
+    return distinct, index, counts

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, max_score, mixing, page_text, pieces, ppm_language, sentence_spans, token_files
+from . import exact_dedup, log_bilinear, max_score, mixing, page_text, pieces, ppm_language, sentence_spans, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_ppm_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm_language.identify(_documents(spark, sf_dir))
 
 
+def op4_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log_bilinear.score(_documents(spark, sf_dir))
+
+
 def op5_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op2_repair_tokens": op2_repair_tokens,
     "op3_ppm_language": op3_ppm_language,
+    "op4_log_bilinear": op4_log_bilinear,
     "op5_host_suffix_array": op5_host_suffix_array,
     "op6_max_score": op6_max_score,
     "op7_suffix_pieces": op7_suffix_pieces,
