@@ -12,12 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import arrow, golomb, scratch
+from . import arrow, bloom, golomb, scratch
 
 #: Fingerprints of a chunk, the unit in which tasks send them; of an owner, on average.
 CHUNK_ROWS, OWNER_ROWS = 1 << 20, 250_000
-#: Bits of the filter over suspects that every task gets (4 MB at most), and its hashes.
-FILTER_BITS, FILTER_HASHES = 1 << 25, 4
+#: Bytes of a fingerprint that choose its owner; the filter over suspects takes those behind them.
+LEAD = 8
 
 SENT = pa.schema([
     ("chunk", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.binary()), ("here", pa.bool_()),
@@ -87,20 +87,13 @@ def _own(sent: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"chunk": sent["chunk"], "owner": sent["owner"], "bits": maps})
 
 
-def _places(shas: list[bytes], size: int) -> np.ndarray:
-    """Filter bits of each fingerprint, from bytes of it that choose no owner."""
-    words = np.frombuffer(b"".join(x[8 : 8 + 4 * FILTER_HASHES] for x in shas), "<u4").reshape(-1, FILTER_HASHES)
-    return words & np.uint32(size - 1)
-
-
-def _suspects(filled, size: int):
+def _suspects(filled):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = filled.value
         for b in arrow.full(batches):
             norms = [normalise(x) for x in b.column(0).to_pylist()]
             shas = [hashlib.sha256(x).digest() for x in norms]
-            at = _places(shas, size)
-            maybe = np.flatnonzero(((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1))
+            maybe = np.flatnonzero(bloom.holds(bits, shas, LEAD))
             if len(maybe):
                 yield arrow.batch(TEXTS, sha=[shas[i] for i in maybe], norm=[norms[i] for i in maybe])
 
@@ -114,7 +107,7 @@ def exact_dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
        occurs there, and sends each owner its range of them Golomb-coded. So an owner gets a
        fingerprint at most once from each chunk, even if a third of all rows share it.
     2. The owners answer with a bitmap a chunk: which of its fingerprints came from elsewhere too.
-    3. Suspects pass a filter of at most FILTER_BITS bits (where it is full it lets more through,
+    3. Suspects pass a filter of at most bloom.BITS bits (where it is full it lets more through,
        never fewer), their texts are shuffled and compared byte by byte, pre-aggregated before the
        shuffle. Texts with the same SHA-256 that differ would end the job with an error.
 
@@ -136,11 +129,8 @@ def exact_dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     suspects = rows.filter("suspect")
     groups = suspects.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "chunk", "row")).alias("first"), F.count("*").alias("n"))
     groups = scratch.keep(groups, "groups")
-    size = 1 << 10
-    while size < min(FILTER_BITS, 16 * groups.count()):
-        size *= 2
-    filled = _filter(groups, size)
-    maybe = arrow.narrowed(documents, text=arrow.raw(F.col(text_col))).mapInArrow(_suspects(spark.sparkContext.broadcast(filled), size), "sha binary, norm binary")
+    filled = bloom.build(groups.select("sha"), bloom.size_for(groups.count()), LEAD)
+    maybe = arrow.narrowed(documents, text=arrow.raw(F.col(text_col))).mapInArrow(_suspects(spark.sparkContext.broadcast(filled)), "sha binary, norm binary")
     texts = maybe.groupBy("sha", "norm").agg(F.count("*").alias("m")).groupBy("sha").agg(F.count("*").alias("texts"), F.sum("m").alias("m"))
     proved = groups.join(texts, "sha", "left").withColumn(
         "same", F.when((F.col("texts") == 1) & (F.col("m") == F.col("n")), True).otherwise(F.raise_error(F.lit("texts with the same SHA-256 differ")).cast("boolean"))
@@ -153,17 +143,3 @@ def exact_dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
         kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
     )
 
-
-def _filter(groups: DataFrame, size: int) -> np.ndarray:
-    """The filter over the groups' fingerprints: partial bitmaps by word, or-ed in the cluster, size / 64 words here."""
-
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in arrow.full(batches):
-            at = np.unique(_places(b.column(0).to_pylist(), size).ravel())
-            mask = np.left_shift(np.uint64(1), (at & np.uint32(63)).astype(np.uint64)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint32(6)).astype(np.int64)), pa.array(mask)], ["word", "mask"])
-
-    got = groups.select("sha").mapInArrow(words, "word long, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
-    bits = np.zeros(max(1, size // 64), "<i8")
-    bits[got["word"].to_numpy()] = got["mask"].to_numpy()
-    return bits.view(np.uint8)
