@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, log_bilinear, max_score, mixing, page_text, pieces, ppm_language, sentence_spans, token_files
+from . import exact_dedup, log_bilinear, max_score, metric_join, mixing, page_text, pieces, ppm_language, sentence_spans, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op9_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op10_metric_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metric_join.near_duplicates(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op2_repair_tokens": op2_repair_tokens,
@@ -60,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_suffix_pieces": op7_suffix_pieces,
     "op8_sentence_spans": op8_sentence_spans,
     "op9_golomb_exact_dedup": op9_golomb_exact_dedup,
+    "op10_metric_jaccard_join": op10_metric_jaccard_join,
 }
 
 #: The same ranking and the same prefix, without the histogram.
