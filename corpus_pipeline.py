@@ -1,12 +1,61 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before kept. Rows are told
+apart by doc_id and a hash of their text; rows that agree in both count as one document repeated.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from tessera.llm import arrow, exact_dedup, metric_join, mixing, pieces, ppm_language, scratch
+
+DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _matched(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs that have a row in ``decided`` (doc_id, text_hash, and more), with what that has more."""
+    d = docs.select(*DOCUMENTS).withColumn("_hash", arrow.text_hash(F.col("text")))
+    own = decided.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_of")
+    return d.join(own, d["doc_id"].eqNullSafe(own["_id"]) & (d["_hash"] == own["_of"]))
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a letter, or of no language that stands out, go."""
+    train = F.coalesce(ppm_language.crc_remainder(F.col("doc_id"), 5) != 0, F.lit(False))
+    model = ppm_language.fit(docs, text_col="text", lang_col="lang", id_col="doc_id", train=train)
+    return ppm_language.keep_identified(docs.select(*DOCUMENTS), model)
+
+
+def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest doc_id stays."""
+    kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id", "text_hash").distinct()
+    once = F.row_number().over(W.partitionBy("_id", "_of").orderBy("source", "lang", "n_chars"))  # rows that agree in all that counts
+    return _matched(docs, kept).withColumn("_once", once).filter("_once = 1").select(*DOCUMENTS)
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group that links of 5-word shingles join, the document with the smallest doc_id stays."""
+    groups = metric_join.near_duplicates(docs)
+    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    return _matched(docs, first).select(*DOCUMENTS)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    taken = mixing.pareto_mix(docs).filter("copies > 0").groupBy("doc_id", "text_hash").agg(F.max("copies").alias("_copies"))
+    return _matched(docs, taken).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*DOCUMENTS)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of the pieces of each text, and whether they decode to it."""
+    return pieces.encode_decode(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
-from tessera.llm import scratch
 
-STAGES: list = []
+STAGES = [("language", language), ("exact-dedup", exact_copies), ("near-dedup", near_copies), ("mixing", mix), ("pieces", tokens)]
 
 #: Model fitting, hashing and tokenizers are beyond SQL; tests/llm checks the stages by brute force.
 ORACLE_SQL: str | None = None

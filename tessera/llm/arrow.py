@@ -24,6 +24,11 @@ def raw(text: Column) -> Column:
     return F.coalesce(text.cast("string").cast("binary"), F.lit(b""))
 
 
+def text_hash(text: Column) -> Column:
+    """With the id it tells a row from others: 64 bits of the text as it is, null being empty."""
+    return F.xxhash64(raw(text))
+
+
 def narrowed(df: DataFrame, **columns: Column) -> DataFrame:
     """Only what an operator reads, by its own names, so that no other column can clash."""
     bound_batches(df.sparkSession)

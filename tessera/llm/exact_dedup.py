@@ -20,10 +20,10 @@ CHUNK_ROWS, OWNER_ROWS = 1 << 20, 250_000
 LEAD = 8
 
 SENT = pa.schema([
-    ("chunk", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("sha", pa.binary()), ("here", pa.bool_()),
+    ("chunk", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("sha", pa.binary()), ("here", pa.bool_()),
     ("owner", pa.int32()), ("slot", pa.int32()), ("coded", pa.binary()),
 ])
-SENT_DDL = "chunk long, row long, doc_id long, sha binary, here boolean, owner int, slot int, coded binary"
+SENT_DDL = "chunk long, row long, doc_id long, text_hash long, sha binary, here boolean, owner int, slot int, coded binary"
 TEXTS = pa.schema([("sha", pa.binary()), ("norm", pa.binary())])
 
 
@@ -41,7 +41,7 @@ def normalise(text: bytes) -> bytes:
 def _send(owners: int):
     span = (1 << 64) // owners + 1
 
-    def chunk(ids: list, shas: list[bytes]) -> Iterator[pa.RecordBatch]:
+    def chunk(ids: list, hashes: list[int], shas: list[bytes]) -> Iterator[pa.RecordBatch]:
         fp = np.frombuffer(b"".join(x[:8] for x in shas), ">u8").astype(np.uint64)
         own, first, back, times = np.unique(fp, return_index=True, return_inverse=True, return_counts=True)
         owner = (own // np.uint64(span)).astype(np.int32)
@@ -51,23 +51,24 @@ def _send(owners: int):
         for i in range(0, n, 4096):
             b = back[i : i + 4096]
             yield arrow.batch(
-                SENT, chunk=np.full(len(b), key), row=np.arange(i, i + len(b)), doc_id=ids[i : i + 4096], sha=shas[i : i + 4096], here=times[b] > 1,
+                SENT, chunk=np.full(len(b), key), row=np.arange(i, i + len(b)), doc_id=ids[i : i + 4096], text_hash=hashes[i : i + 4096], sha=shas[i : i + 4096], here=times[b] > 1,
                 owner=owner[b], slot=(b - starts[owner[b]]).astype(np.int32), coded=none(len(b), pa.binary()),
             )
         for o in np.unique(owner):
             coded = golomb.encode(own[starts[o] : starts[o + 1]] - np.uint64(int(o) * span))
-            yield arrow.batch(SENT, chunk=[key], row=none(1, pa.int64()), doc_id=none(1, pa.int64()), sha=none(1, pa.binary()), here=none(1, pa.bool_()), owner=[o], slot=none(1, pa.int32()), coded=[coded])
+            yield arrow.batch(SENT, chunk=[key], row=none(1, pa.int64()), doc_id=none(1, pa.int64()), text_hash=none(1, pa.int64()), sha=none(1, pa.binary()), here=none(1, pa.bool_()), owner=[o], slot=none(1, pa.int32()), coded=[coded])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, shas = [], []
+        ids, hashes, shas = [], [], []
         for b in arrow.full(batches):
             ids += b.column(0).to_pylist()
+            hashes += b.column(2).to_pylist()
             shas += [hashlib.sha256(normalise(x)).digest() for x in b.column(1).to_pylist()]
             if len(shas) >= CHUNK_ROWS:
-                yield from chunk(ids, shas)
-                ids, shas = [], []
+                yield from chunk(ids, hashes, shas)
+                ids, hashes, shas = [], [], []
         if shas:
-            yield from chunk(ids, shas)
+            yield from chunk(ids, hashes, shas)
 
     return run
 
@@ -114,16 +115,16 @@ def exact_dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     Null text is empty, and empty texts are equal. Of rows with the group's smallest id (null ids come
     last) exactly one is kept. An empty table gives none. Only the two columns are read; the id is a long.
 
-    Columns: doc_id, keep_id, group_size, kept, text_sha256.
+    Columns: doc_id, keep_id, group_size, kept, text_sha256, text_hash (see arrow.text_hash).
     """
     spark = documents.sparkSession
     owners = owners or max(32, -(-documents.count() // OWNER_ROWS))
-    docs = arrow.narrowed(documents, doc_id=F.col(id_col).cast("long"), text=arrow.raw(F.col(text_col)))
+    docs = arrow.narrowed(documents, doc_id=F.col(id_col).cast("long"), text=arrow.raw(F.col(text_col)), text_hash=arrow.text_hash(F.col(text_col)))
     sent = scratch.keep(docs.mapInArrow(_send(owners), SENT_DDL), "fingerprints")
     bitmaps = sent.filter("coded IS NOT NULL").select("chunk", "owner", "coded").groupBy("owner").applyInPandas(_own, "chunk long, owner int, bits array<long>")
     rows = sent.filter("coded IS NULL").drop("coded")
     bit = F.getbit(F.get("bits", F.shiftright("slot", 6)), F.col("slot").bitwiseAND(F.lit(63)))
-    rows = rows.join(bitmaps, ["chunk", "owner"]).select("chunk", "row", "doc_id", "sha", (F.col("here") | (bit == 1)).alias("suspect"))
+    rows = rows.join(bitmaps, ["chunk", "owner"]).select("chunk", "row", "doc_id", "text_hash", "sha", (F.col("here") | (bit == 1)).alias("suspect"))
     rows = scratch.keep(rows, "suspects")
 
     suspects = rows.filter("suspect")
@@ -140,6 +141,6 @@ def exact_dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kept = alone | ((F.col("first.chunk") == F.col("chunk")) & (F.col("first.row") == F.col("row")))
     return rows.join(proved, "sha", "left").select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
-        kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"),
+        kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "text_hash",
     )
 

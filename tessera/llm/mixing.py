@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from . import scratch
+from . import arrow, scratch
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Sources up to this many are broadcast; beyond it they are joined by a shuffle that AQE may split.
@@ -72,13 +72,13 @@ def pareto_mix(
     without words draw no copy beyond the certain ones. Rows with the same id draw the same u and may be
     taken together. An empty table gives none. Only the named columns are read. Null importance is 0.
 
-    Columns: doc_id, size, source_size, target, taken (words), copies, p.
+    Columns: doc_id, size, source_size, target, taken (words), copies, p, text_hash (see arrow.text_hash).
     """
     importance = F.coalesce(F.col(importance_col).cast("double"), F.lit(0.0)) if importance_col else F.lit(1.0)
     base = scratch.keep(
         documents.select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
-            importance.alias("importance"), uniform(F.col(id_col), seed).alias("u"),
+            importance.alias("importance"), arrow.text_hash(F.col(text_col)).alias("text_hash"), uniform(F.col(id_col), seed).alias("u"),
         ),
         "mix",
     )
@@ -110,4 +110,4 @@ def pareto_mix(
     rest = d.filter(~F.coalesce(F.col("cell") == F.col("cut"), F.lit(False)))
     rest = rest.withColumn("extra", F.coalesce((F.col("cell") < F.col("cut")).cast("long"), F.lit(0)))
     out = rest.unionByName(inside).withColumn("copies", F.col("sure") + F.col("extra"))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "p")
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "p", "text_hash")

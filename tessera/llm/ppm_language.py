@@ -172,6 +172,23 @@ def predict(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_
     return docs.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, bits_per_byte double")
 
 
+def keep_identified(documents: DataFrame, model: Model, *, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows, as they are, whose text has a predicted language with a score of at least ``least``."""
+    arrow.bound_batches(documents.sparkSession)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in arrow.full(batches):
+            text = b.column(at).cast(pa.binary()).fill_null(b"")
+            letters = pa.array([any(map(str.isalpha, x.decode())) for x in text.to_pylist()], pa.bool_())
+            ids = pa.array(range(b.num_rows), pa.int64())
+            for out in _predict(shared)(iter([pa.RecordBatch.from_arrays([ids, text, letters], ["doc_id", "text", "letters"])])):
+                yield b.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True)], pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def identify(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", folds: int = 5, held_out: int = 0) -> DataFrame:
     """Fits on the documents whose crc32 of the id, modulo ``folds``, isn't ``held_out`` and predicts all.
 

@@ -15,7 +15,7 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_pareto_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.pareto_mix(_documents(spark, sf_dir))
+    return mixing.pareto_mix(_documents(spark, sf_dir)).drop("text_hash")
 
 
 def op2_repair_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +47,11 @@ def op8_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(_documents(spark, sf_dir))
+    return exact_dedup.exact_dedup(_documents(spark, sf_dir)).drop("text_hash")
 
 
 def op10_metric_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metric_join.near_duplicates(_documents(spark, sf_dir))
+    return metric_join.near_duplicates(_documents(spark, sf_dir)).drop("text_hash")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
