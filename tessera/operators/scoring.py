@@ -165,22 +165,28 @@ def kde(values: np.ndarray, at: np.ndarray, bandwidth: float, low: float, high:
     return out / out.sum() if out.sum() else out
 
 
-def density(scores: DataFrame, memb: DataFrame, name: str, *, rows: bool) -> DataFrame:
+def density(scores: DataFrame, memb: DataFrame, name: str, *, rows: bool, other: DataFrame | None = None) -> DataFrame:
     """Density of each cluster's column of scores under its members' scores, as (name, cluster, score).
 
-    Bandwidth max(range / 100, 0.001), for rows times 10 * exp(-members / 10); uniform for clusters without members.
-    One group is one cluster's column.
+    Bandwidth max(range of all scores / 100, 0.001), for rows times 10 * exp(-members / 10). Uniform for clusters without
+    members (columns: with one) or, if the other axis' memberships are given, without any of those. One group
+    is one cluster's column.
     """
     own = scores.join(members(memb, name).withColumn("member", F.lit(True)), [name, "cluster"], "left")
+    own = with_row(own, scores.agg(F.greatest((F.max("score") - F.min("score")) / 100, F.lit(0.001)).alias("width")))
+    if other is not None:
+        own = own.join(other.filter("cluster > 0").select("cluster").distinct().withColumn("full", F.lit(True)), "cluster", "left")
+    else:
+        own = own.withColumn("full", F.lit(True))
 
     def of_cluster(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values(name)
         all_, mine = p["score"].to_numpy(float), p.loc[p["member"].notna(), "score"].to_numpy(float)
         mine = mine[np.isfinite(mine)]
-        if len(mine) <= (0 if rows else 1):
+        if len(mine) <= (0 if rows else 1) or p["full"].isna().any():
             out = np.full(len(all_), 1 / len(all_))
         else:
-            bandwidth = max(np.ptp(mine) / 100, 0.001) * (10 * np.exp(-len(mine) / 10) if rows else 1)
+            bandwidth = float(p["width"].iloc[0]) * (10 * np.exp(-len(mine) / 10) if rows else 1)
             out = kde(mine, all_, bandwidth, np.nanmin(all_) - 1, np.nanmax(all_) + 1)
         return pd.DataFrame({name: p[name].to_numpy(), "cluster": p["cluster"].to_numpy(), "score": out})
 
