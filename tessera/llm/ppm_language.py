@@ -34,6 +34,8 @@ class Model:
 
     def __init__(self, samples: dict[str, list[bytes]], order: int = ORDER):
         self.langs, self.order = sorted(samples), order
+        if not samples:  # predicts nothing
+            return
         seen = np.zeros(256, bool)
         for texts in samples.values():
             for t in texts:
