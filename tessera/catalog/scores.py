@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..bindings import CLUSTERS
 from ..operators import enrichment as E
 from ..operators import membership as B
+from ..operators import motifs as M
 from ..operators import scoring as S
 from .base import query, r6
 
@@ -273,3 +274,48 @@ def _(v):
 @query("set_genes", "SELECT DISTINCT set_type, gene FROM sets")
 def _(v):
     return v.sets.select("set_type", "gene").distinct()
+
+
+@query("resume_members", "SELECT upper(name) AS name, row_number() OVER (PARTITION BY upper(name) ORDER BY cluster) - 1 AS slot, cluster FROM (SELECT DISTINCT name, cluster FROM row_members JOIN row_names USING (order_num) WHERE iteration = (SELECT max(iteration) FROM row_members)) q")
+def _(v):
+    return B.resumed(v.row_members, v.row_names, v.row_names.select(F.upper("name").alias("name")), "name")
+
+
+PVALUES = "SELECT cond, cluster, (cond * 7 + cluster * 3) % 50 / 100.0 AS p FROM conds, (SELECT DISTINCT cluster FROM row_memb) k"
+
+
+@query("resplit", "SELECT cond, row_number() OVER (PARTITION BY cond ORDER BY cluster) - 1 AS slot, cluster FROM p WHERE p <= 0.05", p=PVALUES)
+def _(v):
+    p = v.conds.crossJoin(v.row_memb.select("cluster").distinct())
+    return B.resplit(p.withColumn("pvalue", (F.col("cond") * 7 + F.col("cluster") * 3) % 50 / 100.0))
+
+
+HITS = "SELECT motif_info_id % 20 AS cluster, gene_num AS gene, position, pvalue AS hit_pvalue, (CASE WHEN reverse THEN -1 ELSE 1 END) * (motif_info_id % 2 + 1) AS motif_num FROM motif_annotations"
+
+
+@query("motif_scores", "SELECT gene, cluster, round(CASE WHEN p <> 0 THEN ln(p) ELSE 0.0 END, 6) + 0.0 AS score FROM (SELECT gene, cluster, min(hit_pvalue) AS p FROM h GROUP BY 1, 2) q", h=HITS)
+def _(v):
+    h = hits(v).groupBy("gene", "cluster").agg(F.min("hit_pvalue").alias("pvalue"))
+    return M.motif_scores(h).withColumn("score", r6("score"))
+
+
+def hits(v):
+    num = F.when(F.col("reverse"), -1).otherwise(1) * (F.col("motif_info_id") % 2 + 1)
+    return v.motif_annotations.select((F.col("motif_info_id") % 20).alias("cluster"), F.col("gene_num").alias("gene"), "position", F.col("pvalue").alias("hit_pvalue"), num.alias("motif_num"))
+
+
+@query("motif_annotation_groups", "SELECT cluster, abs(motif_num) AS motif_num, count(*) AS n, sum(CASE WHEN motif_num < 0 THEN 1 ELSE 0 END)::BIGINT AS reversed FROM h GROUP BY 1, 2", h=HITS)
+def _(v):
+    d = M.annotations(hits(v))
+    return d.select("cluster", "motif_num", F.size("annotations").cast("long").alias("n"), F.size(F.filter("annotations", lambda a: a["reverse"])).cast("long").alias("reversed"))
+
+
+@query("motif_mean_score", "SELECT round(avg(ln(p)), 6) AS mean FROM (SELECT gene, cluster + 1 AS cluster, min(hit_pvalue) AS p FROM h WHERE hit_pvalue > 0 GROUP BY 1, 2) q JOIN (SELECT DISTINCT gene, cluster FROM row_memb) m USING (gene, cluster)", h=HITS)
+def _(v):
+    h = hits(v).filter("hit_pvalue > 0").groupBy("gene", (F.col("cluster") + 1).alias("cluster")).agg(F.min("hit_pvalue").alias("pvalue"))
+    return M.mean_score(M.motif_scores(h), v.row_memb).select(F.round("mean", 6).alias("mean"))
+
+
+@query("cluster_sequences", "SELECT cluster, id, seq FROM u WHERE cluster IN (SELECT cluster FROM u GROUP BY 1 HAVING count(*) BETWEEN 3 AND 70)", u="SELECT cluster, seq, min(id) AS id FROM (SELECT m.cluster, s.id, s.seq FROM (SELECT DISTINCT gene, cluster FROM row_memb) m JOIN seqs s ON s.id = m.gene) q GROUP BY 1, 2")
+def _(v):
+    return M.cluster_sequences(v.row_memb, v.seqs.select(F.col("id").alias("gene"), "id", "seq")).select("cluster", "id", "seq")

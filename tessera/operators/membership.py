@@ -149,3 +149,24 @@ def seed_kmeans(m: DataFrame, clusters: int, conds: list, seed: int = 1, iterati
     v = w.select("gene", array_to_vector(F.array(*[F.coalesce(F.col(f"`{c}`"), F.lit(0.0)) for c in conds])).alias("features"))
     model = KMeans(k=clusters, seed=seed, maxIter=iterations).fit(v)
     return model.transform(v).select("gene", F.lit(0).cast("long").alias("slot"), (F.col("prediction") + 1).cast("long").alias("cluster"))
+
+
+def resumed(members_: DataFrame, names: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """Slots from a result table (iteration, cluster, order_num) at its last iteration, for the names of the matrix.
+
+    A stored name stands for the wanted one that is equal, else for its upper, else for its lower case form.
+    Slots are in order of the clusters, as many as a name needs.
+    """
+    last = members_.join(members_.agg(F.max("iteration").alias("iteration")), "iteration", "left_semi")
+    d = last.join(names, "order_num").select(F.col("name").alias("_stored"), "cluster").distinct()
+    w = wanted.select(F.col(name).alias("_w")).distinct()
+    for i, form in enumerate((F.col("_stored"), F.upper("_stored"), F.lower("_stored"))):
+        d = d.withColumn(f"_f{i}", form).join(w.select(F.col("_w").alias(f"_f{i}"), F.col("_w").alias(f"_m{i}")), f"_f{i}", "left")
+    d = d.withColumn(name, F.coalesce("_m0", "_m1", "_m2")).filter(F.col(name).isNotNull()).select(name, "cluster").distinct()
+    return d.select(name, (F.row_number().over(W.partitionBy(name).orderBy("cluster")) - 1).cast("long").alias("slot"), "cluster")
+
+
+def resplit(pvalues: DataFrame, level: float = 0.05) -> DataFrame:
+    """Columns' memberships by p-value alone: (cond, slot, cluster) of those up to a level."""
+    d = pvalues.filter(F.col("pvalue") <= level).select("cond", "cluster").distinct()
+    return d.select("cond", (F.row_number().over(W.partitionBy("cond").orderBy("cluster")) - 1).cast("long").alias("slot"), "cluster")
