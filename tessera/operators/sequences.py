@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -105,3 +106,27 @@ def iupac_letter(a: Column, c: Column, g: Column, t: Column, two: float = 0.6, t
 def log_odds(p: Column, freq: Column) -> Column:
     """round(log2(p / freq)), p = 0 as 0.01."""
     return F.round(F.log2(F.when(p == 0, 0.01).otherwise(p) / freq))
+
+
+def low_complexity_masked(seqs: DataFrame, window: int = 64, level: float = 2.0) -> DataFrame:
+    """Sequences with stretches of few different triplets as N: windows in which the pairs of equal triplets,
+    over the number of triplets less one, are more than ``level``."""
+
+    def mask(seq: str) -> str:
+        out = list(seq)
+        for start in range(0, max(1, len(seq) - window // 2), window // 2):
+            part = seq[start : start + window].upper()
+            n = len(part) - 2
+            if n < 2:
+                continue
+            counts: dict[str, int] = {}
+            for i in range(n):
+                counts[part[i : i + 3]] = counts.get(part[i : i + 3], 0) + 1
+            if sum(c * (c - 1) / 2 for c in counts.values()) / (n - 1) > level:
+                out[start : start + window] = "N" * len(part)
+        return "".join(out)
+
+    def masked_(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: mask(x) if isinstance(x, str) else None)
+
+    return seqs.withColumn("seq", F.pandas_udf(masked_, "string", F.PandasUDFType.SCALAR)("seq"))
