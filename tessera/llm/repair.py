@@ -48,7 +48,10 @@ class Grammar:
         flat, start = self._cached
         n = self.lengths(symbols)
         ends = np.cumsum(n)
-        return flat[np.repeat(start[symbols] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        kind = np.int32 if len(ends) and ends[-1] + len(flat) < 1 << 31 else np.int64
+        place = np.repeat((start[symbols] - (ends - n)).astype(kind), n)
+        place += np.arange(len(place), dtype=kind)
+        return flat[place]
 
     def slice(self, lo: int, hi: int) -> np.ndarray:
         """Ids lo to hi of the sequence, expanding only the symbols that cover them."""

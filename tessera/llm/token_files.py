@@ -148,9 +148,12 @@ class Encoder:
             self.words.new = []
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
             self.flat = np.concatenate([self.flat, ids])
-        n = self.start[number + 1] - self.start[number]
-        upto = np.cumsum(n)
-        ids = self.flat[np.repeat(self.start[number] - (upto - n), n) + np.arange(upto[-1] if len(upto) else 0)]
+        first = self.start[number].astype(np.int32)  # a cache and a batch are far below 2**31 ids
+        n = self.start[number + 1].astype(np.int32) - first
+        upto = np.cumsum(n, dtype=np.int32)
+        place = np.repeat(first - (upto - n), n)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = self.flat[place]
         ends = np.concatenate([[0], upto])[np.cumsum(counts)]
         return np.insert(ids, ends, np.uint32(end)), np.diff(ends, prepend=0) + 1
 
