@@ -33,6 +33,10 @@ VIEWS: dict[str, str] = {
         FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey WHERE a.l_linenumber = 1 AND b.l_linenumber = 2 GROUP BY 2, 3
         UNION ALL SELECT 'second', a.l_suppkey, b.l_suppkey, CAST(count(*) AS DOUBLE), min(a.l_orderkey)
         FROM {lineitem} a JOIN {lineitem} b ON a.l_orderkey = b.l_orderkey WHERE a.l_linenumber = 2 AND b.l_linenumber = 3 GROUP BY 2, 3""",
+    # neighbours on one strand
+    "predictions": """SELECT a.s_suppkey AS src, b.s_suppkey AS dst FROM {supplier} a JOIN {supplier} b ON b.s_suppkey = a.s_suppkey + 1
+        WHERE a.s_nationkey % 2 = b.s_nationkey % 2""",
+    "known": "SELECT s_suppkey AS gene FROM {supplier} WHERE s_acctbal >= 2000",
     "sets": """SELECT 'nation' AS set_type, concat('N', CAST(s_nationkey AS STRING)) AS set_name, s_suppkey AS gene FROM {supplier}
         UNION ALL SELECT 'balance', concat('B', CAST(CAST(floor(s_acctbal / 1000) AS BIGINT) AS STRING)), s_suppkey FROM {supplier}""",
     "thesaurus": """SELECT s_name AS alias, concat('S', CAST(s_suppkey AS STRING)) AS original, s_suppkey AS line FROM {supplier}
@@ -49,15 +53,15 @@ VIEWS: dict[str, str] = {
     "iteration_stats": "SELECT user_id % 6 + 1 AS statstype, event_id % 100 + 1 AS iteration, round(value, 4) AS score, event_id AS rowid FROM {events}",
     "row_names": "SELECT s_suppkey AS order_num, s_name AS name FROM {supplier}",
     "column_names": "SELECT CAST(n_nationkey AS BIGINT) AS order_num, n_name AS name FROM {nation}",
-    "row_members": "SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS iteration, l_orderkey % 20 + 1 AS cluster, l_suppkey AS order_num FROM {lineitem} WHERE l_orderkey % 7 = 0",
+    "row_members": "SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS iteration, l_orderkey % 20 + 1 AS cluster, l_suppkey AS order_num FROM {lineitem}",
     "column_members": """SELECT DISTINCT CAST(l_linenumber AS BIGINT) AS iteration, l_orderkey % 20 + 1 AS cluster, CAST(s_nationkey AS BIGINT) AS order_num
-        FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey WHERE l_orderkey % 11 = 0""",
+        FROM {lineitem} JOIN {supplier} ON l_suppkey = s_suppkey""",
     "motif_infos": """SELECT p_partkey AS rowid, CAST(p_size % 7 + 1 AS BIGINT) AS iteration, p_partkey % 20 + 1 AS cluster,
         CASE WHEN p_partkey % 3 = 0 THEN 'p3utr' ELSE 'upstream' END AS seqtype, p_partkey % 2 + 1 AS motif_num, round(p_retailprice / 100000, 8) AS evalue FROM {part}""",
     "motif_pssm_rows": """SELECT DISTINCT l_partkey AS motif_info_id, CAST(l_linenumber AS BIGINT) AS pos, (l_partkey * 3 + l_linenumber) % 7 / 10.0 AS a, (l_partkey + l_linenumber * 5) % 11 / 20.0 AS c,
         (l_partkey * 2 + l_linenumber) % 5 / 10.0 AS g, (l_partkey + l_linenumber) % 3 / 10.0 AS t FROM {lineitem}""",
     "motif_annotations": """SELECT l_orderkey * 8 + l_linenumber AS rowid, l_partkey AS motif_info_id, l_suppkey AS gene_num, CAST(l_quantity AS BIGINT) AS position,
-        l_returnflag = 'R' AS reverse, round(l_discount, 4) AS pvalue FROM {lineitem} WHERE l_orderkey % 5 = 0""",
+        l_returnflag = 'R' AS reverse, round(l_discount, 4) AS pvalue FROM {lineitem}""",
     "tomtom_results": "SELECT l_partkey AS motif_info_id1, l_suppkey AS motif_info_id2, min(round(l_tax, 4)) AS pvalue FROM {lineitem} WHERE l_partkey <> l_suppkey GROUP BY 1, 2",
 }
 

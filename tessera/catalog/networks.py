@@ -13,7 +13,7 @@ SCORES = {
     "ed": DEDUPED, "sy": BOTH, "rm": "SELECT DISTINCT gene, cluster FROM row_memb", "sz": "SELECT cluster, count(*) AS n FROM rm GROUP BY 1",
     "ns": "SELECT network, rm.cluster, sy.dst AS gene, -ln(1 + sum(weight) / max(n)) AS score FROM sy JOIN rm ON sy.src = rm.gene JOIN sz ON sz.cluster = rm.cluster GROUP BY 1, 2, 3",
 }
-CHAIN = "SELECT src, dst FROM ({}) q WHERE dst - src = 1 AND src % 7 <> 0".format(DEDUPED)
+CHAIN = "SELECT src, dst FROM predictions"
 
 
 @query("network_dedupe", DEDUPED)
@@ -48,32 +48,29 @@ def _(v):
     return N.network_score_means(N.undirected(v.edges), v.row_memb, v.genes).select("network", r6("mean").alias("mean"))
 
 
-@query("network_validate", "SELECT network, count(*) AS nodes, sum(CASE WHEN gene % 3 <> 0 THEN 1 ELSE 0 END)::BIGINT AS found, sum(CASE WHEN gene % 3 <> 0 THEN 1 ELSE 0 END) * 2 >= count(*) AS valid FROM (SELECT network, src AS gene FROM edges UNION SELECT network, dst FROM edges) q GROUP BY 1")
+@query("network_validate", "SELECT network, count(*) AS nodes, count(k.gene) AS found, count(k.gene) * 2 >= count(*) AS valid FROM (SELECT network, src AS node FROM edges UNION SELECT network, dst FROM edges) q LEFT JOIN known k ON k.gene = node GROUP BY 1")
 def _(v):
-    own = v.genes.filter("gene % 3 <> 0")
+    own = v.known
     return N.validate(v.edges, own.select(F.col("gene").alias("alias"), F.col("gene").alias("original")), own)
 
 
-@query("network_rename", "SELECT network, least(src, dst) + 1000 AS src, greatest(src, dst) + 1000 AS dst, arg_min(weight, (line, weight)) AS weight FROM edges WHERE src <> dst AND src % 4 <> 0 AND dst % 4 <> 0 GROUP BY 1, 2, 3")
+@query("network_rename", "SELECT network, least(src, dst) + 1000 AS src, greatest(src, dst) + 1000 AS dst, arg_min(weight, (line, weight)) AS weight FROM edges WHERE src <> dst AND src IN (SELECT gene FROM known) AND dst IN (SELECT gene FROM known) GROUP BY 1, 2, 3")
 def _(v):
     t = v.genes.select(F.col("gene").alias("alias"), (F.col("gene") + 1000).alias("original"))
-    known = v.genes.filter("gene % 4 <> 0").select((F.col("gene") + 1000).alias("gene"))
+    known = v.known.select((F.col("gene") + 1000).alias("gene"))
     return N.renamed(v.edges, t, known, check_size=False)
 
 
-REACH = "WITH RECURSIVE c AS ({}), b AS (SELECT src AS u, dst AS v FROM c UNION SELECT dst, src FROM c), r AS (SELECT u, u AS w FROM b UNION SELECT r.u, b.v FROM r JOIN b ON b.u = r.w) SELECT u AS gene, min(w) AS operon FROM r GROUP BY 1"
-
-
 def _reach(sql: str) -> str:
     from .. import bindings
 
     parts = bindings.oracle(CHAIN)
-    at = parts.index(" SELECT src, dst FROM (")
+    at = parts.rindex(" SELECT src, dst FROM predictions")
     return f"WITH RECURSIVE {parts[5:at]}, c AS ({parts[at + 1:]}), b AS (SELECT src AS u, dst AS v FROM c UNION SELECT dst, src FROM c), r AS (SELECT u, u AS w FROM b UNION SELECT r.u, b.v FROM r JOIN b ON b.u = r.w), op AS (SELECT u AS gene, min(w) AS operon FROM r GROUP BY 1) {sql}"
 
 
 def operons(v):
-    return N.groups(N.undirected(v.edges).filter("dst - src = 1 AND src % 7 <> 0").select("src", "dst"))
+    return N.groups(v.predictions)
 
 
 def features(v):
