@@ -115,9 +115,9 @@ def _(v):
     return v.expr_sparse.groupBy(F.lit("row").alias("axis"), F.col("gene").alias("name")).agg(mean).unionByName(v.expr_sparse.groupBy(F.lit("col").alias("axis"), F.col("cond").alias("name")).agg(mean))
 
 
-@query("quantiles", "SELECT cond, round(quantile_cont(value, 0.1), 6) AS q10, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95 FROM expr_sparse GROUP BY cond")
+@query("quantiles", "SELECT cond, round(quantile_cont(value, 0.1), 9) AS q10, round(quantile_cont(value, 0.5), 9) AS q50, round(quantile_cont(value, 0.95), 9) AS q95 FROM expr_sparse GROUP BY cond")
 def _(v):
-    return v.expr_sparse.groupBy("cond").agg(*[F.round(S.quantile("value", p), 6).alias(n) for p, n in ((0.1, "q10"), (0.5, "q50"), (0.95, "q95"))])
+    return v.expr_sparse.groupBy("cond").agg(*[F.round(S.quantile("value", p), 9).alias(n) for p, n in ((0.1, "q10"), (0.5, "q50"), (0.95, "q95"))])
 
 
 @query("min_max", "SELECT cond, min(value) AS least, max(value) AS most, round(stddev_samp(value), 8) AS sd FROM expr_sparse GROUP BY cond")
