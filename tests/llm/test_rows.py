@@ -125,6 +125,7 @@ def test_near_duplicates(docs, rows):
 
 
 def test_near_duplicates_recurses(docs, rows, monkeypatch):
+    monkeypatch.setattr(metric_join, "FEW", 0)
     monkeypatch.setattr(metric_join, "REGION", 3)
     monkeypatch.setattr(metric_join, "PIVOTS", 2)
     got = metric_join.near_duplicates(docs).collect()
