@@ -12,7 +12,17 @@ from pyspark.sql import functions as F
 
 MOTIFS_DDL = "path string, motif_num int, width int, num_sites int, llr double, evalue double, pssm array<array<double>>, sites array<struct<name string, reverse boolean, start int, pvalue double, left string, seq string, right string>>"
 _HEAD = re.compile(r"^MOTIF\s+(?:\S+\s+MEME-(\d+)|(\d+))\s+width =\s*(\d+)\s+sites =\s*(\d+)\s+llr =\s*(\S+)\s+E-value =\s*(\S+)", re.M)
-_SITE = re.compile(r"^(\S+)\s+(?:([+-])\s+)?(\d+)\s+(\S+)\s+(\S+)\s+([ACGTNX]+)(?:\s+(\S+))?\s*$")
+_SITE = re.compile(r"^(\S+)\s+(?:([+-])\s+)?(\d+)\s+(\d\S*)\s+([A-Z.]+(?:\s+[A-Z.]+){0,2})\s*$")
+
+
+def _flanked(parts: list[str], start: int, width: int) -> list[str]:
+    """Left flank, site and right flank; a site at an end of its sequence has but one."""
+    if len(parts) == 3:
+        return parts
+    if len(parts) == 1:
+        return ["", parts[0], ""]
+    left_gone = start == 1 or (len(parts[0]) == width and len(parts[1]) != width)
+    return ["", *parts] if left_gone else [*parts, ""]
 
 
 def meme(text: str) -> list[dict]:
@@ -26,7 +36,7 @@ def meme(text: str) -> list[dict]:
         for line in block[1].split("\n") if block else []:
             s = _SITE.match(line)
             if s and not line.startswith(("Sequence name", "---")):
-                left, seq, right = s[5], s[6], s[7] or ""
+                left, seq, right = _flanked(s[5].split(), int(s[3]), int(m[3]))
                 sites.append({"name": s[1], "reverse": s[2] == "-", "start": int(s[3]), "pvalue": float(s[4]), "left": left.replace(".", ""), "seq": seq, "right": right.replace(".", "")})
         matrix = re.search(r"^letter-probability matrix:[^\n]*w=\s*(\d+)[^\n]*\n((?:\s*[\d.]+\s+[\d.]+\s+[\d.]+\s+[\d.]+\s*\n)+)", part, re.M)
         rows = [[float(x) for x in r.split()] for r in matrix[2].strip().split("\n")] if matrix else []

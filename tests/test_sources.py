@@ -62,25 +62,107 @@ def test_string_and_taxonomy(spark, tmp_path):
     assert text.taxonomy(spark, put(tmp_path, "t.tsv", "# x\nT1\teco\t511145\tE. coli\n"), ["tid", "code", "ncbi", "species"]).first()["code"] == "eco"
 
 
-def test_feature_and_operon_files(spark, fixtures):
-    f = text.features(spark, f"{fixtures}/Halobacterium_sp_features")
-    assert f.filter("id = 'NP_045946.1'").first()["reverse"] is True and f.filter("type = 'CDS'").count() > 2000
-    assert text.operon_predictions(spark, f"{fixtures}/gnc64091_ref.named").count() == 502
+def test_feature_and_operon_files(spark, tmp_path):
+    head = "-- dump\n" + "".join(f"-- field {i}\t{n}\n" for i, n in enumerate(["id", "type", "strand", "name", "contig", "end_pos", "start_pos"], 1)) + "-- header\n"
+    p = put(tmp_path, "features", head + "f1\tCDS\tR\tgene1\tc1\t>812\t<363\nf2\ttRNA\tD\tgene2\tc1\t90\t10\n")
+    got = {r["id"]: r for r in text.features(spark, p).collect()}
+    assert (got["f1"]["start"], got["f1"]["end"], got["f1"]["reverse"], got["f2"]["reverse"], got["f2"]["name"]) == (363, 812, True, False, "gene2")
+    with pytest.raises(ValueError):
+        text.features(spark, put(tmp_path, "bare", "f1\tCDS\n"))
+    p = put(tmp_path, "operons", "Gene1\tGene2\tSysName1\tSysName2\tbOp\n1\t2\ta\tb\tTRUE\n2\t3\tb\tc\tFALSE\n")
+    assert [tuple(r) for r in text.operon_predictions(spark, p).collect()] == [("a", "b")]
+
+
+RULE = "-" * 80
+MEME = """
+{rule}
+MOTIF {first}\twidth =    4  sites =   3  llr = 35  E-value = 2.3e-002
+{rule}
+{rule}
+\tMotif {name} sites sorted by position p-value
+{rule}
+Sequence name            Strand  Start   P-value             Site
+--------------           ------  ----- ---------            ----
+s1                           +     14  8.55e-05 TGACGATGGA ATTA GGCTACCGCG
+s2                           -      1  1.00e-04            ATTT CCTCGGGCTT
+s3                           +     47  1.71e-04 AGTCGGGCTG TTTA
+{rule}
+
+{rule}
+\tMotif {name} position-specific probability matrix
+{rule}
+letter-probability matrix: alength= 4 w= 4 nsites= 3 E= 2.3e-002
+ 0.666667  0.000000  0.000000  0.333333
+ 0.000000  0.000000  0.000000  1.000000
+ 0.000000  0.000000  0.000000  1.000000
+ 0.666667  0.000000  0.000000  0.333333
+{rule}
+"""
+
+
+@pytest.mark.parametrize("first, name", [("  1", "1"), ("ATTW MEME-1", "ATTW MEME-1")])
+def test_meme(spark, tmp_path, first, name):
+    p = put(tmp_path, "meme.txt", MEME.format(rule=RULE, first=first, name=name) + MEME.format(rule=RULE, first=first.replace("1", "2"), name=name))
+    got = motifs.read(spark, p, motifs.meme, motifs.MOTIFS_DDL).orderBy("motif_num").collect()
+    assert [(r["motif_num"], r["width"], r["num_sites"], r["llr"], r["evalue"]) for r in got] == [(1, 4, 3, 35, 0.023), (2, 4, 3, 35, 0.023)]
+    assert [(s["name"], s["reverse"], s["start"], s["left"], s["seq"], s["right"]) for s in got[0]["sites"]] == [
+        ("s1", False, 14, "TGACGATGGA", "ATTA", "GGCTACCGCG"), ("s2", True, 1, "", "ATTT", "CCTCGGGCTT"), ("s3", False, 47, "AGTCGGGCTG", "TTTA", ""),
+    ]
+    assert got[0]["pssm"][1] == [0, 0, 0, 1] and len(got[0]["pssm"]) == 4
+
+
+WEEDER = """Your sequences:
+
+Sequence 1 : >p0
+Sequence 2 : >p1
+
+ *** Interesting motifs (highest-ranking) seem to be :
+
+GGGGGC
+
+2 redundant motifs found:
+CCGGGG - CAGGGG -
+
+Best occurrences:
+Seq  St  oligo  pos  match
+  1 + [GGTGGC]  122  (89.33)
+  2 -  GGGGGC   453  (100.00)
+
+                   Frequency Matrix
+      All Occurrences            Best Occurrences
+    A     C     G     T            A     C     G     T
+1    1     1     8     0            0     0    57     0
+2    0     0     5     5            0     0    42    15
+
+==========================================
+
+ *** Interesting motifs (not highest-ranking) can also be :
+
+ACGTAC
+
+1 redundant motifs found:
+CCGGGG -
+
+Best occurrences:
+Seq  St  oligo  pos  match
+  1 +  ACGTAC   3  (90.00)
 
+                   Frequency Matrix
+      All Occurrences            Best Occurrences
+    A     C     G     T            A     C     G     T
+1    1     0     0     0            1     0     0     0
 
-@pytest.mark.parametrize("name, motifs_, first_sites", [("meme430.out", 2, 5), ("meme4.11.4.out", 1, 4), ("meme4.12.0.out", 1, 5)])
-def test_meme(spark, fixtures, name, motifs_, first_sites):
-    got = motifs.read(spark, f"{fixtures}/{name}", motifs.meme, motifs.MOTIFS_DDL).orderBy("motif_num").collect()
-    assert len(got) == motifs_ and got[0]["num_sites"] == first_sites == len(got[0]["sites"]) and len(got[0]["pssm"]) == got[0]["width"]
-    assert all(abs(sum(r) - 1) < 1e-3 for r in got[0]["pssm"])
+==========================================
+"""
 
 
-def test_weeder_and_pssm(spark, fixtures):
-    got = motifs.read(spark, f"{fixtures}/perm_miR1_0_1.fasta.wee", motifs.weeder, motifs.WEEDER_DDL).filter("highest").orderBy("motif_num").collect()
-    assert [(r["name"], len(r["sites"])) for r in got] == [("GGGGGC", 137), (got[1]["name"], 25)]
-    assert len(got[1]["pssm"]) == 8 and sum(got[0]["pssm"][0]) == pytest.approx(1)
-    p = motifs.read(spark, f"{fixtures}/three_miRNAs.fasta", motifs.pssm, motifs.PSSM_DDL).collect()
-    assert len(p) == 3 and all(len(r) == 4 for r in p[0]["pssm"])
+def test_weeder_and_pssm(spark, tmp_path):
+    got = motifs.read(spark, put(tmp_path, "a.wee", WEEDER), motifs.weeder, motifs.WEEDER_DDL).orderBy("motif_num").collect()
+    assert [(r["name"], r["highest"], len(r["sites"])) for r in got] == [("GGGGGC", True, 2), ("ACGTAC", False, 1)]
+    assert got[0]["pssm"] == [[0.1, 0.1, 0.8, 0], [0, 0, 0.5, 0.5]]
+    assert [(s["name"], s["reverse"], s["seq"], s["start"], s["match"]) for s in got[0]["sites"]] == [("p0", False, "GGTGGC", 122, 89.33), ("p1", True, "GGGGGC", 453, 100)]
+    p = put(tmp_path, "a.pssm", ">m1\n0.8 0.1\n0.1 0.1\n0.1 0.1\n0 0.7\n>m2\n1\n0\n0\n0\n")
+    assert [(r["name"], r["pssm"]) for r in motifs.read(spark, p, motifs.pssm, motifs.PSSM_DDL).collect()] == [("m1", [[0.8, 0.1, 0.1, 0], [0.1, 0.1, 0.1, 0.7]]), ("m2", [[1, 0, 0, 0]])]
 
 
 def test_mast_xml():
@@ -112,22 +194,16 @@ def test_config(tmp_path):
     assert Config.read(str(tmp_path / "b.ini")).num_iterations == 7
 
 
-def test_column_score_golden(spark, fixtures):
-    m = text.matrix(spark, f"{fixtures}/row_scores_testratios.tsv").select(F.col("row").alias("gene"), F.col("col").alias("cond"), "value")
-    rows = text.memberships(spark, f"{fixtures}/row_membership.tsv", "\t")
-    got = {(r["cond"], r["cluster"]): r["score"] for r in scoring.column_scores(m, rows).collect()}
-    want = text.matrix(spark, f"{fixtures}/column_scores_refresult.tsv").collect()
-    near = [abs(got[r["row"], int(r["col"][1:])] - r["value"]) for r in want if (r["row"], int(r["col"][1:])) in got]
-    assert len(near) > 150 and max(near) < 1e-3
+#: Scores of one cluster's column, its members, the bandwidth of all scores, and their density scores.
+SCORES = [0.389499250196493, 0.284819551440473, 0.601320719052627, 0.00618865129293001, 0.213883951343353]
+MEMBERS, BANDWIDTH = [1, 2, 3], 0.786828704721797
+DENSITY = [0.18467792824393023, 0.20242802043706126, 0.14903394703069142, 0.24940650529450745, 0.21445359899380953]
 
 
-def test_density_golden(spark, fixtures):
-    s = text.matrix(spark, f"{fixtures}/colscores_fixed.tsv").select(F.col("row").alias("cond"), F.regexp_replace("col", "V", "").cast("long").alias("cluster"), F.col("value").alias("score"))
-    cols = text.memberships(spark, f"{fixtures}/col_memb-49.tsv", " ", "cond")
-    got = {(r["cond"], r["cluster"]): r["score"] for r in scoring.density(s, cols, "cond", rows=False).collect()}
-    lines = [x.split("\t") for x in open(f"{fixtures}/density_colscores.tsv").read().replace('"', "").strip().split("\n")]
-    want = {(r[0], k + 1): float(v) for r in lines[1:] for k, v in enumerate(r[1:])}
-    assert len(want) == 215 and max(abs(got[k] - v) for k, v in want.items()) < 1e-11
+def test_density_is_that_of_r():
+    x = np.array(SCORES)
+    got = scoring.kde(x[MEMBERS], x, BANDWIDTH, x.min() - 1, x.max() + 1)
+    assert abs(got - np.array(DENSITY)).max() < 1e-11
 
 
 def test_run(spark, tmp_path):
