@@ -125,6 +125,7 @@ def test_near_duplicates(docs, rows):
 
 
 def test_near_duplicates_recurses(docs, rows, monkeypatch):
+    monkeypatch.setattr(metric_join, "FAMILY_SETS", 1)
     monkeypatch.setattr(metric_join, "FEW", 0)
     monkeypatch.setattr(metric_join, "REGION", 3)
     monkeypatch.setattr(metric_join, "PIVOTS", 2)
@@ -144,6 +145,29 @@ def test_sketches_of_linked_sets_meet():
         assert len(np.intersect1d(x, y)) >= max(least, other) or len(np.intersect1d(x, y)) >= least
 
 
+def test_components_within():
+    rng = np.random.default_rng(9)
+    base = np.unique(rng.integers(0, 1 << 62, 50).astype(np.uint64))
+    sets = []
+    for _ in range(60):
+        keep = base[rng.random(len(base)) > rng.random() * 0.3]
+        sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, int(rng.integers(0, 6))).astype(np.uint64)])))
+    got = metric_join.components_within(sets)
+    parent = list(range(60))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(60):
+        for j in range(i):
+            if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])):
+                x, y = find(i), find(j)
+                parent[max(x, y)] = min(x, y)
+    assert got == [find(i) for i in range(60)] and 1 < len(set(got)) < 60
+
+
 def test_components(spark):
     rng = np.random.default_rng(5)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1060)]
