@@ -7,7 +7,7 @@ apart by doc_id and a hash of their text; rows that agree in both count as one d
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -16,11 +16,15 @@ from tessera.llm import arrow, exact_dedup, metric_join, mixing, pieces, ppm_lan
 DOCUMENTS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _matched(docs: DataFrame, decided: DataFrame) -> DataFrame:
+def _keyed(df: DataFrame, doc_id: str, text_hash: Column) -> DataFrame:
+    """Adds _a and _b, never null, that tell rows apart: joins and windows over them need one shuffle."""
+    own = F.col(doc_id)
+    return df.withColumn("_a", F.coalesce(own.cast("long"), F.lit(0))).withColumn("_b", F.xxhash64(text_hash, own.isNull()))
+
+
+def _matched(docs: DataFrame, decided: DataFrame, how: str = "inner") -> DataFrame:
     """The rows of docs that have a row in ``decided`` (doc_id, text_hash, and more), with what that has more."""
-    d = docs.select(*DOCUMENTS).withColumn("_hash", arrow.text_hash(F.col("text")))
-    own = decided.withColumnRenamed("doc_id", "_id").withColumnRenamed("text_hash", "_of")
-    return d.join(own, d["doc_id"].eqNullSafe(own["_id"]) & (d["_hash"] == own["_of"]))
+    return _keyed(docs.select(*DOCUMENTS), "doc_id", arrow.text_hash(F.col("text"))).join(_keyed(decided, "doc_id", F.col("text_hash")).drop("doc_id", "text_hash"), ["_a", "_b"], how)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,15 +37,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the one with the smallest doc_id stays."""
     kept = exact_dedup.exact_dedup(docs).filter("kept").select("doc_id", "text_hash").distinct()
-    once = F.row_number().over(W.partitionBy("_id", "_of").orderBy("source", "lang", "n_chars"))  # rows that agree in all that counts
-    return _matched(docs, kept).withColumn("_once", once).filter("_once = 1").select(*DOCUMENTS)
+    once = F.row_number().over(W.partitionBy("_a", "_b").orderBy("source", "lang", "n_chars"))  # rows that agree in all that counts
+    return _matched(docs, kept, "left_semi").withColumn("_once", once).filter("_once = 1").select(*DOCUMENTS)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group that links of 5-word shingles join, the document with the smallest doc_id stays."""
     groups = metric_join.near_duplicates(docs)
     first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
-    return _matched(docs, first).select(*DOCUMENTS)
+    return _matched(docs, first, "left_semi").select(*DOCUMENTS)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
