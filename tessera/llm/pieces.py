@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from . import arrow
 
 SPACE = "▁"
-#: Chunks a worker remembers, code points of text whose new chunks are matched at once, the longest remembered chunk.
-CACHE_CHUNKS, MATCH_CHARS, CACHE_CHARS = 500_000, 6_000_000, 64
+#: Chunks a worker remembers, bytes of text encoded at once, the longest remembered chunk, code points in a suffix array.
+CACHE_CHUNKS, MATCH_CHARS, CACHE_CHARS, INDEX_CHARS = 400_000, 4_000_000, 64, 500_000
 PAIRS = 4_000_000
 
 
@@ -260,6 +260,13 @@ class Encoder:
     def _clear(self) -> None:
         self.number, self.start, self.flat = _Numbers(), np.zeros(1, np.int64), np.empty(0, np.int32)
 
+    @staticmethod
+    def _parts(chunks: list[str]) -> Iterator[list[str]]:
+        """Chunks of about INDEX_CHARS in all: some edges start at each character, and they are held together."""
+        at = np.cumsum([len(x) + 1 for x in chunks]) // INDEX_CHARS
+        bounds = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(chunks)]
+        return (chunks[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True))
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.number) > CACHE_CHUNKS:
             self._clear()
@@ -267,9 +274,10 @@ class Encoder:
         counts = np.array([len(x) for x in split], np.int64)
         number = np.fromiter(map(self.number.__getitem__, (w for x in split for w in x)), np.int64, int(counts.sum()))
         if self.number.new:
-            ids, n = self.pieces.chunks([self.pieces.full_chunk(x) for x in self.number.new])
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
-            self.flat = np.concatenate([self.flat, ids])
+            for part in self._parts([self.pieces.full_chunk(x) for x in self.number.new]):
+                ids, n = self.pieces.chunks(part)
+                self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(n)])
+                self.flat = np.concatenate([self.flat, ids])
             long = [x for x in self.number.new if len(x) > CACHE_CHARS]
             self.number.new = []
         else:
