@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,13 +17,13 @@ from pyspark.sql import functions as F
 
 from . import arrow, repair, scratch
 
-#: Ids of a shard, and words of the cache a worker keeps.
-SHARD_IDS, CACHE_WORDS = 1 << 21, 900_000
+#: Ids of a shard, and words and cores of the cache a worker keeps.
+SHARD_IDS, CACHE_WORDS, CACHE_CORES = 1 << 21, 500_000, 900_000
 #: Bytes of text encoded at once.
 ENCODE_BYTES = 8 << 20
 #: Cores given to the tokenizer as one text; what is plain: letters of Latin-1, which keep their kind in lower case, and a stop.
 JOINED, STOPS = 64, ".,;:!?"
-PLAIN = re.compile(f"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([{STOPS}])?".encode("latin-1"))
+PLAIN = f"^(?P<core>[A-Za-zÀ-ÖØ-öø-ÿ]+)(?P<stop>[{STOPS}]?)$"
 
 SHARDS_DDL = "part int, shard int, at long, n_tokens long, doc_ids array<long>, payload binary"
 SHARDS = pa.schema([("part", pa.int32()), ("shard", pa.int32()), ("at", pa.int64()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("payload", pa.binary())])
@@ -61,11 +60,17 @@ class Encoder:
         self.closing = np.zeros(self.size, bool)  # ids that end a piece
         if mark:
             self.closing[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(mark)]] = True
-        self.stops = [np.array(x, np.uint32) for x in self._ids([bytes([b]) if chr(b) in STOPS else b"" for b in range(128)])]
+        self.stops = [np.array(x, np.uint32) for x in self._ids([b.encode() for b in STOPS])]
+        self._clear_cores()
         self._clear()
 
     def _clear(self) -> None:
+        """Words go before their cores: to ask for those again would cost more."""
         self.words, self.start, self.flat = _Words(), np.zeros(1, np.int64), np.empty(0, np.uint32)
+        if len(self.cores) > CACHE_CORES:
+            self._clear_cores()
+
+    def _clear_cores(self) -> None:
         self.cores, self.core_start, self.core_flat = _Words(), np.zeros(1, np.int64), np.empty(0, np.uint32)
 
     def _ids(self, texts: list[bytes]) -> list[list[int]]:
@@ -96,21 +101,19 @@ class Encoder:
         A-Z as a-z, so its ids are those of its core and of the stop. Other words are asked for as they are.
         """
         n = len(words)
-        core, stop, hard = np.full(n, -1, np.int64), np.full(n, -1, np.int64), []
+        core, stop = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
         if self.closing.any():
-            number = self.cores.__getitem__
-            for i, m in enumerate(map(PLAIN.fullmatch, words)):
-                if m:
-                    core[i] = number(m[1].lower())
-                    if m[2]:
-                        stop[i] = m[2][0]
-                else:
-                    hard.append(i)
+            found = pc.extract_regex(pa.array(words, pa.large_binary()).view(pa.large_string()), PLAIN)
+            plain = found.is_valid().to_numpy(zero_copy_only=False)
+            cores = pc.ascii_lower(pc.struct_field(found, "core").filter(found.is_valid())).dictionary_encode()
+            names = cores.dictionary.cast(pa.large_binary()).to_pylist()
+            core[plain] = np.fromiter(map(self.cores.__getitem__, names), np.int64, len(names))[cores.indices.to_numpy()]
+            stops = pc.index_in(pc.struct_field(found, "stop"), pa.array(list(STOPS), pa.large_string())).fill_null(-1).to_numpy()
+            stop[plain] = stops[plain]
             if self.cores.new:
                 self._learn(self.cores.new)
                 self.cores.new = []
-        else:
-            hard = list(range(n))
+        hard = np.flatnonzero(core < 0).tolist()
         own = self._ids([words[i] for i in hard])
         core[hard] = len(self.core_start) - 1 + np.arange(len(hard))  # behind the cores, for now
         start = np.concatenate([self.core_start, self.core_start[-1] + np.cumsum([len(x) for x in own], dtype=np.int64)])
