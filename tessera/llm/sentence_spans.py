@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import arrow
 
-#: A span starts at any sentence and goes on until it has so many sentences and words.
+#: A run has so many sentences and words at least.
 SENTENCES, WORDS = 2, 16
 END = re.compile(r"(?:(?<=[.!?])|(?<=[.!?][\"')\]]))[ \t\x0b\x0c\r]+|[ \t\x0b\x0c\r]*\n[ \t\x0b\x0c\r\n]*")
 LAST = (1 << 63) - 1
@@ -29,7 +29,7 @@ def sentences(text: str) -> list[str]:
 
 
 def spans(parts: list[str]) -> list[tuple[int, int]]:
-    """First sentence and the one after the last of each span; the tail that never fills one has none."""
+    """First sentence and the one after the last of each span: the shortest run from each sentence, then the shortest to each that is not among those."""
     words = [p.count(" ") + 1 if "  " not in p and p[-1:] != " " else len(p.split()) for p in (x.rstrip() for x in parts)]
     out, j, held = [], 0, 0
     for i in range(len(parts)):
@@ -40,7 +40,15 @@ def spans(parts: list[str]) -> list[tuple[int, int]]:
             break
         out.append((i, j))
         held -= words[i]
-    return out
+    ending, i, held = [], 0, 0
+    for j, n in enumerate(words, 1):
+        held += n
+        while j - i > SENTENCES and held - words[i] >= WORDS:
+            held -= words[i]
+            i += 1
+        if j - i >= SENTENCES and held >= WORDS and out[i][1] != j:
+            ending.append((i, j))
+    return out + ending
 
 
 def _key(text: bytes) -> int:
@@ -58,7 +66,7 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes += [xxhash.xxh3_128_digest(b"".join(own[i:j])) for i, j in found]
             docs += [doc] * len(found)
             key = _key(raw) << 32
-            places += [key | i for i, _ in found]
+            places += range(key, key + len(found))
         two = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
         for i in range(0, len(docs), 8192):
             yield arrow.batch(SPANS, h1=two[i : i + 8192, 0].copy(), h2=two[i : i + 8192, 1].copy(), doc_id=docs[i : i + 8192], place=places[i : i + 8192])
@@ -67,14 +75,14 @@ def _hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in arrow.full(batches):
         counts, gone, texts = [], [], []
-        for raw, starts in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+        for raw, again in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
             text = raw.decode()
             parts = sentences(text)
             out = np.zeros(len(parts), bool)
-            if starts:
-                ends = dict(spans(parts))
-                for i in starts:
-                    out[i : ends[i]] = True
+            if again:
+                own = spans(parts)
+                for k in again:
+                    out[slice(*own[k])] = True
                 text = "".join(p for p, o in zip(parts, out, strict=True) if not o)
             counts.append(len(parts))
             gone.append(np.flatnonzero(out).tolist())
@@ -83,13 +91,18 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Removes each sentence covered by a span that occurred before.
+    """Removes each sentence covered by a run that occurred before.
 
-    A span is a run of at least SENTENCES consecutive sentences with at least WORDS words. Spans are equal
-    if their texts are, but for the amount of white space (128-bit hashes). Of equal spans the first
+    A run is of at least SENTENCES consecutive sentences with at least WORDS words. Runs are equal
+    if their texts are, but for the amount of white space (128-bit hashes). Of equal runs the first
     by document id (null last) and place stays; the sentences of all others go, whatever else covers
     them. What a document is left with is as it was, byte by byte.
 
+    Only the spans of a text are hashed: the shortest run from each sentence and the shortest to each. They
+    cover what all runs cover: in a repeated run a sentence is in the shortest run from itself, or that
+    would go beyond the end, and then the shortest run to the end begins before it. Whether a run is
+    the shortest depends on nothing but itself, so equal spans are numbered in the order of their places.
+
     The hashes are pre-aggregated before they are shuffled, and only those that occur twice are joined
     back, so a passage that a third of all documents share is one row on one side of that join.
 
@@ -105,10 +118,10 @@ def dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     at = F.struct("doc_id", "place")
     first = found.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.max(at).alias("last")).filter("first <> last").select("h1", "h2", "first")
     again = found.join(first, ["h1", "h2"]).filter((F.col("doc_id") != F.col("first.doc_id")) | (F.col("place") != F.col("first.place")))
-    starts = again.groupBy("doc_id", F.shiftright("place", 32).alias("key")).agg(F.collect_set(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("starts"))
+    numbers = again.groupBy("doc_id", F.shiftright("place", 32).alias("key")).agg(F.collect_set(F.col("place").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")).alias("again"))
     keyed = arrow.narrowed(documents, doc_id=order, own=F.col(id_col).cast("long"), text=arrow.raw(F.col(text_col)))
     keyed = keyed.mapInArrow(_keyed, "doc_id long, own long, key long, text binary")
-    out = keyed.join(starts, ["doc_id", "key"], "left").select("own", "text", "starts")
+    out = keyed.join(numbers, ["doc_id", "key"], "left").select("own", "text", "again")
     return out.mapInArrow(_rebuild, "doc_id long, n_sentences long, n_removed long, removed array<int>, text string")
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import random
 import re
 
 import numpy as np
@@ -215,6 +216,32 @@ def test_sentence_spans(docs, rows):
     assert by[151]["n_removed"] > 0 and sum(by[i]["n_removed"] > 3 for i in range(190, 200)) == 10
 
 
+def every_run(texts):
+    """Sentences that any run of 2 sentences and 16 words that occurred before covers; a list of sentences each text."""
+    seen, gone = set(), [set() for _ in texts]
+    for d, parts in enumerate(texts):
+        for i in range(len(parts)):
+            for j in range(i + 2, len(parts) + 1):
+                run = tuple(parts[i:j])
+                if sum(len(p.split()) for p in run) >= 16:
+                    if run in seen:
+                        gone[d] |= set(range(i, j))
+                    seen.add(run)
+    return gone
+
+
+def test_sentence_spans_cover_every_repeated_run(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join([f"w{rng.randrange(10**9)}" for _ in range(n - 1)] + ["end."])
+    passage = [say(20), say(6), say(6)]
+    few = [say(n) for n in (1, 1, 2, 3, 5, 6, 9, 14, 20)]
+    texts = [[say(9), *passage, say(9)], [say(5), *passage, say(12)]] + [[rng.choice(few) for _ in range(rng.randint(0, 14))] for _ in range(80)]
+    want = every_run(texts)
+    assert want[1] == {1, 2, 3}
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert {r["doc_id"]: set(r["removed"]) for r in sentence_spans.dedup(d).collect()} == dict(enumerate(want))
+
+
 def test_sentences_join_to_the_text():
     for t in ["", "A b. C d! E", "One.\nTwo\n\nThree?  ", ' "Hm." she said.', "no end"]:
         assert "".join(sentence_spans.sentences(t)) == t
