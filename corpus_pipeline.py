@@ -42,9 +42,11 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group that links of 5-word shingles join, the document with the smallest doc_id stays."""
+    """Of each group that links of 5-word shingles join, the document with the smallest doc_id (null last) and text hash stays."""
     groups = metric_join.near_duplicates(docs)
-    first = groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    alone = F.when(F.col("group_key").isNull(), own)  # without shingles: linked to nothing
+    first = groups.groupBy("group_key", alone.alias("alone")).agg(F.min(own).alias("first")).select("first.doc_id", "first.text_hash")
     return _matched(docs, first, "left_semi").select(*DOCUMENTS)
 
 

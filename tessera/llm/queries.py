@@ -51,7 +51,7 @@ def op9_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_metric_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metric_join.near_duplicates(_documents(spark, sf_dir)).drop("text_hash")
+    return metric_join.near_duplicates(_documents(spark, sf_dir)).drop("text_hash", "group_key")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -251,3 +251,15 @@ def test_pipeline(spark, docs, rows):
     assert len(near) < len(once)
     assert not [1 for i, a in enumerate(near) for b in near[:i] if a and b and 100 * len(a & b) >= 80 * len(a | b)]
     assert out["pieces"].count() == out["mixing"].count() and out["pieces"].filter("NOT round_trip").count() == 0
+
+
+def test_near_copies_keep_what_links_to_nothing(spark):
+    rng = random.Random(12)
+    say = lambda: " ".join(f"w{rng.randrange(10**9)}" for _ in range(40))
+    x, y = say(), say()
+    alone = [(None, say()), (None, say()), (None, "..."), (None, ""), (None, " "), (7, say()), (7, say()), (8, "")]
+    rows = [*alone, (None, x + " more"), (3, x), (None, y), (None, y + " more")]
+    d = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_copies(spark, d, "").collect())
+    left = got - collections.Counter([*alone, (3, x)])
+    assert sum(got.values()) == len(alone) + 2 and left in ({(None, y): 1}, {(None, y + " more"): 1})
