@@ -167,7 +167,7 @@ def _(v):
 
 @query("bscm_pvalues")
 def _(v):
-    return S.bootstrap_pvalues(v.expr, v.row_memb, samples=200)
+    return S.bootstrap_pvalues(v.expr, v.row_memb)
 
 
 @query(

@@ -194,11 +194,33 @@ def density(scores: DataFrame, memb: DataFrame, name: str, *, rows: bool, other:
     return own.groupBy("cluster").applyInPandas(of_cluster, f"{name} {kinds[name]}, cluster {kinds['cluster']}, score double")
 
 
-def bootstrap_pvalues(m: DataFrame, row_memb: DataFrame, *, samples: int = 1000, seed: int = 11) -> DataFrame:
+def background(x: np.ndarray, n: int, rng: np.random.Generator, *, samples: int | None = None, chunk: int = 200, tolerance: float = 0.001, limit: int = 1_000_000) -> np.ndarray:
+    """Sorted variances of n of the values, chunk by chunk until one changes neither their mean nor their variance
+    by ``tolerance`` of what it was; ``limit`` of them stands for a time limit. Or ``samples`` of them."""
+    draw = lambda k: np.array([x[rng.choice(len(x), n, replace=False)].var() for _ in range(k)])
+    if samples is not None:
+        return np.sort(draw(samples))
+    parts, size, before = [], 0, None
+    while size < limit:
+        parts.append(draw(chunk))
+        size += chunk
+        # from the chunks' sums, about the first chunk's mean
+        if before is None:
+            at = parts[0].mean()
+            first = second = 0.0
+        first, second = first + (parts[-1] - at).sum(), second + ((parts[-1] - at) ** 2).sum()
+        now = at + first / size, max(0.0, second / size - (first / size) ** 2)
+        if before is not None and all(a == b or abs(a - b) < tolerance * abs(b) for a, b in zip(now, before, strict=True)):
+            break
+        before = now
+    return np.sort(np.concatenate(parts))
+
+
+def bootstrap_pvalues(m: DataFrame, row_memb: DataFrame, *, samples: int | None = None, seed: int = 11) -> DataFrame:
     """Share of variances of n random values of a condition that are below a cluster's own; 1 for n <= 1.
 
-    The samples of a condition and size are drawn once, by (seed, condition, size), a fixed number of them
-    instead of as many as a time limit allows.
+    The samples of a condition and size are drawn once, by (seed, condition, size), until they converge
+    (see ``background``), or ``samples`` of them.
     """
     own = m.filter("value IS NOT NULL").join(members(row_memb, "gene"), "gene").groupBy("cluster", "cond").agg(F.count("*").alias("n"), F.var_pop("value").alias("v"))
     wanted = own.groupBy("cond").agg(F.collect_list(F.struct("cluster", "n", "v")).alias("own"))  # a row for each cluster
@@ -211,9 +233,8 @@ def bootstrap_pvalues(m: DataFrame, row_memb: DataFrame, *, samples: int = 1000,
                 for r in rows:
                     n = int(r["n"])
                     if n > 1 and n not in by_n:
-                        rng = np.random.default_rng([seed, int(cond) & 0x7FFFFFFF, n])
-                        by_n[n] = np.sort(np.array([x[rng.choice(len(x), n, replace=False)].var() for _ in range(samples)]))
-                    out.append(np.searchsorted(by_n[n], r["v"], "left") / samples if n > 1 else 1.0)
+                        by_n[n] = background(x, n, np.random.default_rng([seed, int(cond) & 0x7FFFFFFF, n]), samples=samples)
+                    out.append(np.searchsorted(by_n[n], r["v"], "left") / len(by_n[n]) if n > 1 else 1.0)
                 yield pd.DataFrame({"cond": cond, "cluster": [r["cluster"] for r in rows], "pvalue": out})
 
     return wanted.join(values, "cond").mapInPandas(test, f"cond {dict(m.dtypes)['cond']}, cluster {dict(row_memb.dtypes)['cluster']}, pvalue double")

@@ -158,6 +158,23 @@ def test_bootstrap_is_seeded(small):
     assert a == b and all(0 <= p <= 1 for _, _, p in a)
 
 
+def test_bootstrap_converges(spark):
+    x = np.random.default_rng(4).normal(0, 1, 60)
+    got = scoring.background(x, 9, np.random.default_rng(1))
+    rng, want = np.random.default_rng(1), []
+    while True:
+        old = np.array(want)
+        want += [np.var(x[rng.choice(60, 9, replace=False)]) for _ in range(200)]
+        if len(old) and all(abs(f(want) - f(old)) < 0.001 * f(old) for f in (np.mean, np.var)):
+            break
+    assert len(got) >= 400 and (got == np.sort(want)).all()
+    assert len(scoring.background(np.ones(5), 3, rng)) == 400  # no spread: converged
+    m = spark.createDataFrame([(i, 1, float(v)) for i, v in enumerate(x)], "gene long, cond long, value double")
+    rows = spark.createDataFrame([(i, 0, 1) for i in range(9)], "gene long, slot long, cluster long")
+    drawn = scoring.background(np.sort(x), 9, np.random.default_rng([11, 1, 9]))
+    assert scoring.bootstrap_pvalues(m, rows).first()["pvalue"] == pytest.approx(np.mean(drawn < np.var(x[:9])))
+
+
 def test_networks(spark):
     e = spark.createDataFrame([("n", 1, 2, 5.0, 0), ("n", 2, 1, 9.0, 1), ("n", 3, 3, 1.0, 2), ("n", 2, 3, 1.0, 3)], "network string, src long, dst long, weight double, line long")
     u = networks.undirected(e)
