@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 from . import arrow, scratch
 from .ppm_language import crc_remainder
 
-#: Symbols of the model (the end, rare words as one, frequent words), dimensions, noise words of a step, positions of a step.
-SYMBOLS, DIMENSIONS, NOISE, STEP = 1024, 24, 128, 1024
-#: Of all training positions, the share that trains; passes over them; Adagrad's rate.
-SHARE, ROUNDS, RATE = 1 / 16, 2, 0.1
+#: Symbols of the model (the end, rare words as one, frequent words): so many at least, more for words seen so often, but
+#: so many at most, because the normalisers are a square of them (64 MB).
+SYMBOLS, OFTEN, MOST = 1024, 100, 4096
+#: Dimensions, noise words of a step, positions of a step.
+DIMENSIONS, NOISE, STEP = 24, 128, 1024
+#: Rounds that share all training texts, each of which trains once; Adagrad's rate.
+ROUNDS, RATE = 2, 0.1
 #: Words whose counts every task knows; the others' counts are joined. Words a task counts before it passes them on.
 FREQUENT, HELD = 150_000, 400_000
 END, RARE = 0, 1
@@ -96,14 +99,16 @@ class Model:
     def normalise(self) -> Model:
         """Log of the sum over all symbols for every two words before, by matrix products."""
         near, far = self.context @ self.near, self.context @ self.far
-        k = len(self.bias)
-        norm = np.empty((k, k), np.float32)  # by v, u
         by_near = near @ self.target.T + self.bias  # u, w
         by_far = far @ self.target.T  # v, w
-        for v in range(k):
-            x = by_near + by_far[v]
-            top = x.max(axis=1)
-            norm[v] = top + np.log(np.exp(x - top[:, None]).sum(axis=1))
+        top_near, top_far = by_near.max(axis=1), by_far.max(axis=1)
+        norm = np.exp(by_far - top_far[:, None]) @ np.exp(by_near - top_near[:, None]).T  # by v, u
+        low = np.argwhere(norm < 1e-25)  # where the product may have lost what counts
+        with np.errstate(divide="ignore"):
+            norm = np.log(norm) + top_far[:, None] + top_near
+        for v, u in low:
+            x = by_near[u] + by_far[v]
+            norm[v, u] = x.max() + np.log(np.exp(x - x.max()).sum())
         self.norm, self.by_near, self.by_far = norm, near, far
         return self
 
@@ -146,20 +151,37 @@ def _sequence(distinct: list[bytes], index: np.ndarray, counts: np.ndarray, symb
     return v, u, w, first
 
 
-def _triples(shared: Broadcast):
+def _vocabulary(counts_of: dict[bytes, int]) -> dict[bytes, int]:
+    """Symbols of the end and of the frequent words, whose counts come in falling order."""
+    symbol = {b"": END}
+    for word, n in counts_of.items():
+        if word and len(symbol) < (MOST if n >= OFTEN else SYMBOLS) - 1:
+            symbol[word] = len(symbol) + 1
+    return symbol
+
+
+def _symbols(shared: Broadcast):
+    """All texts as symbols, each closed by the end, dealt to the rounds by their hash."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol = shared.value
         for b in arrow.full(batches):
-            v, u, w, first = _sequence(*arrow.words(b.column(0)), symbol)
-            seeds = [xxhash.xxh3_64_intdigest(x) for x in b.column(0).to_pylist()]
-            pick = np.concatenate([np.random.default_rng(s).random(n) < SHARE for s, n in zip(seeds, np.diff(first).tolist(), strict=True)])
-            got = np.stack([v[pick], u[pick], w[pick]], axis=1).astype("<u2")
-            if len(got):
-                yield pa.RecordBatch.from_arrays([pa.array([len(got)], pa.int64()), pa.array([got.tobytes()], pa.binary())], ["n", "triples"])
+            _, _, w, first = _sequence(*arrow.words(b.column(0)), symbol)
+            turns = np.array([xxhash.xxh3_64_intdigest(x) % ROUNDS for x in b.column(0).to_pylist()])
+            of = np.repeat(turns, np.diff(first))
+            for turn in np.unique(turns).tolist():
+                yield pa.RecordBatch.from_arrays([pa.array([turn], pa.int32()), pa.array([w[of == turn].astype("<u2").tobytes()], pa.binary())], ["turn", "symbols"])
 
     return run
 
 
+def _triples(w: np.ndarray) -> np.ndarray:
+    """Rows of (v, u, w) of texts in a row, each closed by the end."""
+    end = np.array([END], w.dtype)
+    u, v = np.concatenate([end, w[:-1]]), np.concatenate([end, end, w[:-2]])[: len(w)]
+    return np.stack([np.where(u == END, end, v), u, w], axis=1)
+
+
 def _train(shared: Broadcast, turn: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start, share = shared.value
@@ -167,12 +189,12 @@ def _train(shared: Broadcast, turn: int):
         seen, held, size = 0, [], 0
 
         def step() -> None:
-            model.train(np.concatenate(held), share, turn * 1_000_003 + seen)
+            model.train(_triples(np.concatenate(held)), share, turn * 1_000_003 + seen)
             held.clear()
 
         for b in arrow.full(batches):
             for x in b.column(0).to_pylist():
-                t = np.frombuffer(x, "<u2").reshape(-1, 3)
+                t = np.frombuffer(x, "<u2")
                 held.append(t)
                 size, seen = size + len(t), seen + len(t)
                 if size >= 1 << 21:
@@ -231,11 +253,11 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Tokens are words between ASCII white space, A-Z lower-cased, and one end a text. Counts cover all
     training documents (those whose crc32 of the id modulo ``folds`` isn't ``held_out``). The model predicts
-    one of SYMBOLS symbols (the end, the most frequent words, any rarer word) from the two before;
+    one of SYMBOLS to MOST symbols (the end, the most frequent words, any rarer word) from the two before;
     a rarer word's probability given that it is one is by its count plus one, with one more for all unseen
     words, so the probabilities of all tokens sum to one. Training is spread: each task descends over its
-    share of the positions (a fixed share of every training text), and tasks' parameters are averaged
-    in the cluster, round by round. The normaliser of each two preceding symbols is computed once.
+    share of the texts of a round, and tasks' parameters are averaged in the cluster, round by round. Every
+    position of every training text trains once. The normaliser of each two preceding symbols is computed once.
 
     Null text is empty: just the end. A null id is in no fold: neither learned from nor held out. Repeated
     rows count as often as they occur. Without training documents every count is 0. An empty table gives none.
@@ -250,10 +272,7 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT).toArrow()
     counts_of = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
-    symbol = {b"": END}
-    for word in counts_of:
-        if word and len(symbol) < SYMBOLS - 1:
-            symbol[word] = len(symbol) + 1
+    symbol = _vocabulary(counts_of)
     of_symbols = np.ones(len(symbol) + 1)
     for word, s in symbol.items():
         of_symbols[s] += counts_of.get(word, 0)
@@ -262,17 +281,17 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     model = Model.start(of_symbols / of_symbols.sum())
 
     sc = spark.sparkContext
-    triples = scratch.keep(learn.mapInArrow(_triples(sc.broadcast(symbol)), "n long, triples binary"), "positions")
+    texts = scratch.keep(learn.mapInArrow(_symbols(sc.broadcast(symbol)), "turn int, symbols binary"), "positions")
     for turn in range(ROUNDS):
         shared = sc.broadcast((model, of_symbols / of_symbols.sum()))
-        got = triples.select("triples").mapInArrow(_train(shared, turn), "part long, n long, x array<float>")
+        got = texts.filter(F.col("turn") == turn).select("symbols").mapInArrow(_train(shared, turn), "part long, n long, x array<float>")
         mean = [(F.sum(F.col("x")[j] * F.col("n")) / F.sum("n")).alias(f"x{j}") for j in range(PART)]
         rows = got.groupBy("part").agg(*mean).orderBy("part").toArrow()
         if rows.num_rows:
             flat = np.stack([rows[f"x{j}"].to_numpy() for j in range(PART)], axis=1).ravel()
             model = model.filled(flat)
         shared.unpersist()
-    scratch.drop(triples)
+    scratch.drop(texts)
     model.normalise()
 
     docs = arrow.narrowed(documents, doc_id=F.col(id_col).cast("long"), text=arrow.raw(F.col(text_col)))

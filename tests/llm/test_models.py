@@ -4,10 +4,12 @@ import collections
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -166,6 +168,30 @@ def test_log_bilinear_learns_and_is_normalised():
     assert m.log_probability(*triples.T.astype(np.int64)).mean() > np.log(share[w[2:]]).mean() + 0.3
 
 
+def test_log_bilinear_trains_on_every_position(rows):
+    texts = [(t or "").encode() for _, t, _, _ in rows]
+    tok = [re.findall(rb"[^\x20\x09-\x0D]+", t.lower()) for t in texts]
+    counts = dict(collections.Counter(w for t in tok for w in t).most_common())
+    symbol = log_bilinear._vocabulary(counts)
+    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 50], pa.binary())], ["text"]) for i in range(0, len(texts), 50)]
+    got, turns = collections.Counter(), collections.Counter()
+    for b in log_bilinear._symbols(types.SimpleNamespace(value=symbol))(batches):
+        for turn, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            t = log_bilinear._triples(np.frombuffer(x, "<u2"))
+            got.update(map(tuple, t.tolist()))
+            turns[turn] += len(t)
+    want = collections.Counter()
+    for t in tok:
+        s = [0, 0, *(symbol.get(w, 1) for w in t), 0]
+        want.update(zip(s, s[1:], s[2:], strict=False))
+    assert got == want and sorted(turns) == list(range(log_bilinear.ROUNDS))
+
+
+def test_log_bilinear_vocabulary_grows():
+    sizes = [len(log_bilinear._vocabulary({b"%d" % i: n for i in range(k)})) for k, n in ((500, 1), (3000, 1), (3000, 100), (9000, 100))]
+    assert sizes == [501, 1023, 3001, 4095]
+
+
 def brute_top(rows, k, mod):
     v = {}
     for i, e in rows:
