@@ -234,6 +234,18 @@ def test_pages(spark):
     assert page_text.extract(d.filter("false")).count() == 0
 
 
+def test_names_around_an_article_do_not_drop_it():
+    def text(page):
+        b = pa.RecordBatch.from_arrays([pa.array([1]), pa.array(["http://h/"]), pa.array([page.encode()])], ["page_id", "url", "html"])
+        return next(page_text._parse([b])).column("text")[0].as_py()
+
+    body = "<article><div class='entry-header'><h1>Title</h1></div><p>Body</p><div class='comment-list'>no</div><div class='sidebar'>no</div></article>"
+    for around in ('class="has-sidebar"', 'id="page" class="no-sidebar"', 'class="search-results"', 'class="social"', 'class="no-comments"'):
+        assert text(f"<div {around}>{body}</div><div class='ad'>no</div>") == "Title Body"
+    assert text("<main><article class='post social'>Body</article></main>") == "Body"
+    assert text(f"<div class='related'><article>no</article></div>{body}") == "Title Body"
+
+
 def test_suffix_array_of_a_host(spark):
     rng = random.Random(6)
     menu = prose(rng, 14)
