@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from . import arrow
 
-#: Bits at most (4 MB): a fuller filter lets more through, never less. Hashes of a digest.
-BITS, HASHES = 1 << 25, 4
+#: Bits at most (32 MB, for 16 million digests): beyond that a fuller filter lets more rows through to the exact join
+#: behind it, at most all of them once, never less. Hashes of a digest.
+BITS, HASHES = 1 << 28, 4
 
 
 def size_for(count: int) -> int:
@@ -22,26 +23,28 @@ def size_for(count: int) -> int:
     return size
 
 
-def places(digests: list[bytes], size: int, skip: int) -> np.ndarray:
-    words = np.frombuffer(b"".join(x[skip : skip + 4 * HASHES] for x in digests), "<u4").reshape(-1, HASHES)
-    return words & np.uint32(size - 1)
+def words_of(digests: list[bytes], skip: int = 0) -> np.ndarray:
+    """Four 32-bit words of each digest, from byte ``skip`` on."""
+    return np.frombuffer(b"".join(x[skip : skip + 4 * HASHES] for x in digests), "<u4").reshape(-1, HASHES)
 
 
-def holds(bits: np.ndarray, digests: list[bytes], skip: int) -> np.ndarray:
-    at = places(digests, 8 * len(bits), skip)
+def holds(bits: np.ndarray, words: np.ndarray) -> np.ndarray:
+    at = words & np.uint32(8 * len(bits) - 1)
     return ((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1).all(axis=1)
 
 
-def build(digests: DataFrame, size: int, skip: int) -> np.ndarray:
-    """Of one binary column: partial bitmaps by word, or-ed in the cluster; size / 64 words come here."""
+def build(digests: DataFrame, count: int, skip: int = 0) -> np.ndarray:
+    """Of ``count`` digests, one binary column or two longs: partial bitmaps by word, or-ed in the cluster; size / 64 words come here."""
+    size = size_for(count)
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow.full(batches):
-            at = np.unique(places(b.column(0).to_pylist(), size, skip).ravel())
+            own = words_of(b.column(0).to_pylist(), skip) if b.num_columns == 1 else np.stack([c.to_numpy() for c in b.columns], axis=1).view("<u4")
+            at = np.unique(own & np.uint32(size - 1))
             mask = np.left_shift(np.uint64(1), (at & np.uint32(63)).astype(np.uint64)).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((at >> np.uint32(6)).astype(np.int64)), pa.array(mask)], ["word", "mask"])
 
-    got = digests.mapInArrow(words, "word long, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
+    got = digests.mapInArrow(masks, "word long, mask long").groupBy("word").agg(F.expr("bit_or(mask)").alias("mask")).toArrow()
     bits = np.zeros(size // 64, "<i8")
     bits[got["word"].to_numpy()] = got["mask"].to_numpy()
     return bits.view(np.uint8)

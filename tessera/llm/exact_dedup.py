@@ -94,7 +94,7 @@ def _suspects(filled):
         for b in arrow.full(batches):
             norms = [normalise(x) for x in b.column(0).to_pylist()]
             shas = [hashlib.sha256(x).digest() for x in norms]
-            maybe = np.flatnonzero(bloom.holds(bits, shas, LEAD))
+            maybe = np.flatnonzero(bloom.holds(bits, bloom.words_of(shas, LEAD)))
             if len(maybe):
                 yield arrow.batch(TEXTS, sha=[shas[i] for i in maybe], norm=[norms[i] for i in maybe])
 
@@ -130,7 +130,7 @@ def exact_dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     suspects = rows.filter("suspect")
     groups = suspects.groupBy("sha").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "chunk", "row")).alias("first"), F.count("*").alias("n"))
     groups = scratch.keep(groups, "groups")
-    filled = bloom.build(groups.select("sha"), bloom.size_for(groups.count()), LEAD)
+    filled = bloom.build(groups.select("sha"), groups.count(), LEAD)
     maybe = arrow.narrowed(documents, text=arrow.raw(F.col(text_col))).mapInArrow(_suspects(spark.sparkContext.broadcast(filled)), "sha binary, norm binary")
     texts = maybe.groupBy("sha", "norm").agg(F.count("*").alias("m")).groupBy("sha").agg(F.count("*").alias("texts"), F.sum("m").alias("m"))
     proved = groups.join(texts, "sha", "left").withColumn(

@@ -1,68 +1,5 @@
-"""Tables that cut lineage, in the shared folder the cluster names in spark.checkpoint.dir.
+"""Tables that cut lineage: see ``tessera.tables``."""
 
-Unlike localCheckpoint these survive the loss of an executor, and unlike cache() they are
-never recomputed, so what a task numbered at random or by its position stays as it was.
-"""
+from ..tables import drop, keep, place, root
 
-from __future__ import annotations
-
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_default: str | None = None
-_made: list[tuple[SparkSession, str]] = []
-
-
-def root(spark: SparkSession) -> str:
-    """The cluster's shared folder; one of this process where none is set, as in tests."""
-    global _default
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if _default is None:
-        _default = tempfile.mkdtemp(prefix="tessera-")
-    return _default
-
-
-def place(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder, deleted when the driver ends."""
-    path = f"{root(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df and reads it again; the files go when the driver ends, or with drop()."""
-    spark = df.sparkSession
-    path = place(spark, tag)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._tessera_path = path
-    return out
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def drop(*frames: DataFrame) -> None:
-    """Deletes tables of keep() that nothing reads any more."""
-    for df in frames:
-        path = df._tessera_path
-        for x in [x for x in _made if x[1] == path]:
-            _made.remove(x)
-            _delete(*x)
-
-
-@atexit.register
-def _sweep() -> None:
-    for spark, path in _made:
-        try:
-            _delete(spark, path)
-        except Exception:  # the JVM may be gone already; the folder is the cluster's to clean
-            return
+__all__ = ["drop", "keep", "place", "root"]

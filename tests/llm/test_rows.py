@@ -125,13 +125,18 @@ def test_near_duplicates(docs, rows):
     assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == brute_groups(rows)
 
 
-def test_near_duplicates_recurses(docs, rows, monkeypatch):
-    monkeypatch.setattr(metric_join, "FAMILY_SETS", 1)
-    monkeypatch.setattr(metric_join, "FEW", 0)
-    monkeypatch.setattr(metric_join, "REGION", 3)
+@pytest.mark.parametrize("block", [2, 5])
+def test_near_duplicates_recurses(docs, rows, monkeypatch, block):
+    """Regions of a few sets are larger than a block, so rounds deal them to Voronoi regions."""
+    rounds = []
+    dealt_on = metric_join._dealt_on
+    monkeypatch.setattr(metric_join, "_dealt_on", lambda *a: rounds.append(1) or dealt_on(*a))
+    monkeypatch.setattr(metric_join, "BLOCK_SETS", block)
     monkeypatch.setattr(metric_join, "PIVOTS", 2)
+    monkeypatch.setattr(metric_join, "CLOSING", 3)
     got = metric_join.near_duplicates(docs).collect()
     assert sorted(str((r["doc_id"], r["n_shingles"], r["component_id"])) for r in got) == brute_groups(rows)
+    assert len(rounds) >= (2 if block == 2 else 1)
 
 
 def test_sketches_of_linked_sets_meet():
@@ -146,30 +151,63 @@ def test_sketches_of_linked_sets_meet():
         assert len(np.intersect1d(x, y)) >= max(least, other) or len(np.intersect1d(x, y)) >= least
 
 
-def test_components_within():
-    rng = np.random.default_rng(9)
-    base = np.unique(rng.integers(0, 1 << 62, 50).astype(np.uint64))
-    sets = []
-    for _ in range(60):
-        keep = base[rng.random(len(base)) > rng.random() * 0.3]
-        sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 62, int(rng.integers(0, 6))).astype(np.uint64)])))
-    got = metric_join.components_within(sets)
-    parent = list(range(60))
+def drawn_sets(rng, n, bases, lose, words=50):
+    """Sets near some bases, nearer and farther, and at the bases' edges."""
+    every = [np.unique(rng.integers(0, 1 << 62, words).astype(np.uint64)) for _ in range(bases)]
+    out = []
+    for _ in range(n):
+        base = every[int(rng.integers(bases))]
+        keep = base[rng.random(len(base)) > rng.random() * lose]
+        out.append(np.unique(np.concatenate([keep[:1], keep, rng.integers(0, 1 << 62, int(rng.integers(0, 6))).astype(np.uint64), every[0][: int(rng.integers(0, 9))]])))
+    return out
+
+
+def least_linked(sets):
+    parent = list(range(len(sets)))
 
     def find(i):
         while parent[i] != i:
             i = parent[i]
         return i
 
-    for i in range(60):
+    for i, x in enumerate(sets):
+        for j in range(i):
+            both = len(np.intersect1d(x, sets[j], assume_unique=True))
+            if 100 * both >= 80 * (len(x) + len(sets[j]) - both):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return [find(i) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("n, bases, lose, first", [(1, 1, 0.3, 0), (12, 2, 0.4, None), (200, 1, 0.3, 0), (300, 20, 0.5, 7), (250, 250, 0.1, None), (300, 3, 0.9, 299)])
+def test_join_region(n, bases, lose, first):
+    sets = drawn_sets(np.random.default_rng(n + bases), n, bases, lose)
+    want = least_linked(sets)
+    got, looked = metric_join.join_region(np.arange(n), sets, first)
+    assert got.tolist() == want
+    assert looked == (n > 1) or n > metric_join.LEAF and looked > 1
+
+
+def test_voronoi_regions_lose_no_linked_pair():
+    """Of random points of the space any two within the threshold meet in a pivot's region and window, or are far both."""
+    rng = np.random.default_rng(4)
+    sets = drawn_sets(rng, 150, 12, 0.6)
+    s = metric_join.Sets(np.arange(150), sets)
+    pivots = [0, 11, 45, 99]
+    away, _ = s.measured([s.own(i) for i in pivots], s.size[pivots], np.arange(150))
+    for k, p in enumerate(pivots):
+        assert away[k].tolist() == [1 - len(np.intersect1d(sets[p], x)) / len(np.union1d(sets[p], x)) for x in sets]
+    inside, far = metric_join.voronoi(away)
+    assert 0 < inside.sum() < 4 * 150 and far.any()
+    for i in range(150):
         for j in range(i):
             if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j])):
-                x, y = find(i), find(j)
-                parent[max(x, y)] = min(x, y)
-    assert got == [find(i) for i in range(60)] and 1 < len(set(got)) < 60
+                assert (inside[:, i] & inside[:, j]).any() or far[i] and far[j]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 1 << 20])
+def test_components(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     rng = np.random.default_rng(5)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (200, 2))] + [(i, i + 1) for i in range(1000, 1060)]
     parent = {x: x for p in pairs for x in p}
