@@ -112,7 +112,9 @@ def exact_dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
        never fewer), their texts are shuffled and compared byte by byte, pre-aggregated before the
        shuffle. Texts with the same SHA-256 that differ would end the job with an error.
 
-    Null text is empty, and empty texts are equal. Of rows with the group's smallest id (null ids come
+    Only suspects are joined with their groups; a group of any size is one row there.
+
+    Null text is empty, and empty texts are equal; a text of any length is hashed and compared whole. Of rows with the group's smallest id (null ids come
     last) exactly one is kept. An empty table gives none. Only the two columns are read; the id is a long.
 
     Columns: doc_id, keep_id, group_size, kept, text_sha256, text_hash (see arrow.text_hash).
@@ -136,11 +138,12 @@ def exact_dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     proved = groups.join(texts, "sha", "left").withColumn(
         "same", F.when((F.col("texts") == 1) & (F.col("m") == F.col("n")), True).otherwise(F.raise_error(F.lit("texts with the same SHA-256 differ")).cast("boolean"))
     )
-    proved = proved.filter("same AND n > 1").select("sha", "first", "n")
+    proved = scratch.keep(proved.filter("same AND n > 1").select("sha", "first", "n"), "proved")  # a table, so that a join can split a hot group
     alone = F.col("n").isNull()
     kept = alone | ((F.col("first.chunk") == F.col("chunk")) & (F.col("first.row") == F.col("row")))
-    return rows.join(proved, "sha", "left").select(
+    scratch.drop(sent, groups)
+    known = suspects.join(proved, "sha", "left").unionByName(rows.filter("NOT suspect"), allowMissingColumns=True)
+    return known.select(
         "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("keep_id"), F.coalesce("n", F.lit(1)).cast("long").alias("group_size"),
         kept.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"), "text_hash",
     )
-
