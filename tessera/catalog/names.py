@@ -79,9 +79,18 @@ def _(v):
     return S.consensus(v.motif_pssm_rows, ["motif_info_id"], how=S.largest_letter)
 
 
-@query("consensus_iupac")
+IUPAC = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{x}'" for k, x in S.IUPAC.items()) + " END"
+FIRST = lambda n: f"array_to_string(list_sort([x.l FOR x IN s[1:{n}]]), '')"
+
+
+@query(
+    "consensus_iupac",
+    f"SELECT motif_info_id, string_agg(CASE WHEN w1 >= 0.6 THEN s[1].l WHEN w1 + w2 >= 0.6 THEN {IUPAC.format(FIRST(2))} WHEN w1 + w2 + w3 >= 0.8 THEN {IUPAC.format(FIRST(3))} ELSE 'N' END, '' ORDER BY pos) AS consensus, count(*) AS length FROM l GROUP BY 1",
+    l="SELECT motif_info_id, pos, s, -s[1].w AS w1, -s[2].w AS w2, -s[3].w AS w3 FROM (SELECT motif_info_id, pos, list_sort([{'w': -a::DOUBLE, 'l': 'A'}, {'w': -c::DOUBLE, 'l': 'C'}, {'w': -g::DOUBLE, 'l': 'G'}, {'w': -t::DOUBLE, 'l': 'T'}]) AS s FROM motif_pssm_rows) q",
+)
 def _(v):
-    return S.consensus(v.motif_pssm_rows, ["motif_info_id"], how=S.iupac_letter)
+    d = v.motif_pssm_rows.select("motif_info_id", "pos", *[F.col(x).cast("double") for x in "acgt"])
+    return S.consensus(d, ["motif_info_id"], how=S.iupac_letter)
 
 
 @query("log_odds", "SELECT motif_info_id, pos, CAST(round(log2(CASE WHEN a = 0 THEN 0.01 ELSE a END / 0.3)) AS BIGINT) AS a, CAST(round(log2(CASE WHEN c = 0 THEN 0.01 ELSE c END / 0.2)) AS BIGINT) AS c FROM motif_pssm_rows")

@@ -178,7 +178,14 @@ def _(v):
     return v.tomtom_results.join(a, "motif_info_id1").join(b, "motif_info_id2").filter("cluster1 <> cluster2").select("motif_info_id1", "motif_info_id2", "cluster1", "cluster2", "pvalue")
 
 
-@query("motif_strings")
+LETTER = "CASE WHEN greatest(a, c, g, t) < 0.4 THEN 'n' WHEN greatest(a, c, g, t) < 0.7 THEN lower(x) ELSE x END"
+
+
+@query(
+    "motif_strings",
+    "SELECT iteration, cluster, string_agg(t, '' ORDER BY seqtype) AS motifs FROM (SELECT iteration, cluster, seqtype, concat('(', seqtype, ' -> [', string_agg(concat(coalesce(consensus, ''), ' (', CASE WHEN evalue <= 0.001 THEN printf('%.2e', evalue) ELSE printf('%.2f', round(CAST(evalue AS DECIMAL(18, 8)), 2)::DOUBLE) END, ')'), ', ' ORDER BY motif_num, rowid), '])') AS t FROM motif_infos LEFT JOIN co ON motif_info_id = rowid GROUP BY 1, 2, 3) q GROUP BY 1, 2",
+    co=f"SELECT motif_info_id, string_agg({LETTER}, '' ORDER BY pos) AS consensus FROM (SELECT *, CASE WHEN a = greatest(a, c, g, t) THEN 'A' WHEN c = greatest(a, c, g, t) THEN 'C' WHEN g = greatest(a, c, g, t) THEN 'G' ELSE 'T' END AS x FROM motif_pssm_rows) q GROUP BY 1",
+)
 def _(v):
     return R.motif_strings(v.motif_infos, Q.consensus(v.motif_pssm_rows, ["motif_info_id"]).drop("length"))
 

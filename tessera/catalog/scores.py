@@ -150,19 +150,44 @@ def _(v):
     return rows(v).join(S.members(v.row_memb, "gene"), ["gene", "cluster"], "left_semi").agg(F.round(0.75 * F.stddev_samp("score"), 6).alias("sd"))
 
 
-@query("fuzzify")
+UNIFORM = "(('0x' || substr(md5(concat_ws(':', '1', '{0}', CAST(gene AS VARCHAR), CAST(cluster AS VARCHAR))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0"
+
+
+@query(
+    "fuzzify",
+    f"SELECT gene, cluster, round(score + sd * sqrt(-2 * ln({UNIFORM.format(1)})) * cos(2 * pi() * {UNIFORM.format(2)}), 6) + 0.0 AS score FROM rs, (SELECT 0.75 * stddev_samp(score) AS sd FROM rs JOIN rm USING (gene, cluster)) z",
+    **ROWS,
+)
 def _(v):
-    return S.fuzz(rows(v), v.row_memb, "gene", 0.75, 1)
+    return S.fuzz(rows(v), v.row_memb, "gene", 0.75, 1).withColumn("score", r6("score"))
+
 
+def kernel_density(name: str, scores: str, memb: str, least: int, factor: str) -> dict[str, str]:
+    """The density by direct sums over the grid."""
+    return {
+        "ends": f"SELECT cluster, min(score) - 1 AS low, max(score) + 1 AS high FROM {scores} GROUP BY 1",
+        "par": f"SELECT cluster, low, high, size, wide, low - 4 * wide AS lo, high + 4 * wide AS up FROM (SELECT cluster, low, high, size, width * 2 * {factor} AS wide FROM ends JOIN (SELECT cluster, count(*) AS size FROM {scores} JOIN {memb} USING ({name}, cluster) GROUP BY 1 HAVING count(*) > {least}) k USING (cluster), (SELECT greatest((max(score) - min(score)) / 100, 0.001) AS width FROM {scores}) z) q",
+        "pos": f"SELECT cluster, size, (score - lo) / ((up - lo) / 511) AS pos FROM {scores} JOIN {memb} USING ({name}, cluster) JOIN par USING (cluster)",
+        "bins": "SELECT cluster, cell, sum(w) AS w FROM (SELECT cluster, floor(pos)::BIGINT AS cell, (1 - (pos - floor(pos))) / size AS w FROM pos UNION ALL SELECT cluster, floor(pos)::BIGINT + 1, (pos - floor(pos)) / size FROM pos) q GROUP BY 1, 2",
+        "dens": "SELECT cluster, i, greatest(0, sum(w * exp(-0.5 * pow(abs(i - cell) * (2 * (up - lo) / 1023) / wide, 2)) / (wide * sqrt(2 * pi())))) AS y FROM bins JOIN par USING (cluster), (SELECT unnest(range(512)) AS i) g GROUP BY 1, 2",
+        "ppt": "SELECT cluster, j, least(floor(x), 510)::BIGINT AS i, x FROM (SELECT cluster, j, (low + (high - low) * j / 255 - lo) / (up - lo) * 511 AS x FROM par, (SELECT unnest(range(256)) AS j) g) q",
+        "curve": "SELECT cluster, j, sum(y) OVER (PARTITION BY cluster ORDER BY j DESC) AS y FROM (SELECT ppt.cluster, j, a.y + (b.y - a.y) * (x - ppt.i) AS y FROM ppt JOIN dens a ON a.cluster = ppt.cluster AND a.i = ppt.i JOIN dens b ON b.cluster = ppt.cluster AND b.i = ppt.i + 1) q",
+        "rd": f"SELECT {name}, cluster, least(floor(t), 254)::BIGINT AS j, t FROM (SELECT {name}, cluster, (score - low) / (high - low) * 255 AS t FROM {scores} JOIN par USING (cluster)) q",
+        "den": f"SELECT rd.{name}, rd.cluster, a.y + (b.y - a.y) * (t - rd.j) AS y FROM rd JOIN curve a ON a.cluster = rd.cluster AND a.j = rd.j JOIN curve b ON b.cluster = rd.cluster AND b.j = rd.j + 1",
+    }
 
-@query("density_scores")
+
+DENSE = "SELECT {0}, cluster, round(coalesce(y / sum(y) OVER (PARTITION BY cluster), 1.0 / count(*) OVER (PARTITION BY cluster)), 8) AS score FROM {1} LEFT JOIN den USING ({0}, cluster)"
+
+
+@query("density_scores", DENSE.format("gene", "rs"), **ROWS, **kernel_density("gene", "rs", "rm", 0, "10 * exp(-size / 10.0)"))
 def _(v):
-    return S.density(rows(v), v.row_memb, "gene", rows=True)
+    return S.density(rows(v), v.row_memb, "gene", rows=True).withColumn("score", F.round("score", 8))
 
 
-@query("density_column_scores")
+@query("density_column_scores", DENSE.format("cond", "cs"), **COLS, cm=ROWS["cm"], **kernel_density("cond", "cs", "cm", 1, "1.0"))
 def _(v):
-    return S.density(cols(v), v.col_memb, "cond", rows=False)
+    return S.density(cols(v), v.col_memb, "cond", rows=False).withColumn("score", F.round("score", 8))
 
 
 @query("bscm_pvalues")
@@ -170,28 +195,52 @@ def _(v):
     return S.bootstrap_pvalues(v.expr, v.row_memb)
 
 
-@query(
-    "postadjust_candidates",
-    "SELECT gene, cluster, score FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, gene) AS i FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM c) q) w WHERE n <= 100 AND i <= 50",
+CANDIDATES = {
     **ROWS,
-    k="SELECT cluster, quantile_cont(score, 0.33) AS cut FROM rs JOIN rm USING (gene, cluster) GROUP BY 1",
-    c="SELECT rs.gene, rs.cluster, score FROM rs JOIN k ON k.cluster = rs.cluster WHERE score < cut AND NOT EXISTS (SELECT 1 FROM rm WHERE rm.gene = rs.gene AND rm.cluster = rs.cluster)",
-)
+    "k": "SELECT cluster, quantile_cont(score, 0.33) AS cut FROM rs JOIN rm USING (gene, cluster) GROUP BY 1",
+    "c": "SELECT rs.gene, rs.cluster, score FROM rs JOIN k ON k.cluster = rs.cluster WHERE score < cut AND NOT EXISTS (SELECT 1 FROM rm WHERE rm.gene = rs.gene AND rm.cluster = rs.cluster)",
+    "cc": "SELECT gene, cluster, score FROM (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY score DESC, gene) AS i FROM (SELECT *, count(*) OVER (PARTITION BY cluster) AS n FROM c) q) w WHERE n <= 100 AND i <= 50",
+}
+
+
+@query("postadjust_candidates", "SELECT * FROM cc", **CANDIDATES)
 def _(v):
     return B.candidates(v.row_memb, rows(v), "gene").select("gene", "cluster", "score")
 
 
-@query("postadjust")
+@query(
+    "postadjust",
+    "SELECT gene, slot, cluster FROM row_memb UNION ALL SELECT cc.gene, top + row_number() OVER (PARTITION BY cc.gene ORDER BY cluster), cluster FROM cc JOIN (SELECT gene, max(slot) AS top FROM row_memb GROUP BY 1) t ON t.gene = cc.gene",
+    **CANDIDATES,
+)
 def _(v):
     return B.postadjust(v.row_memb, rows(v), "gene")
 
 
-@query("update_rows")
+def moved(name: str, memb: str, names: str, scores: str, slots: int, *, by_id: bool) -> dict[str, str]:
+    """One change a name: a free slot, (columns: a cluster held twice,) or the slot of largest gain takes the best cluster of its place."""
+    at = "b[least({0}, len(b))]"
+    gains = ", ".join(f"CASE WHEN list_contains(b, s[{i}]) THEN 0 ELSE coalesce((SELECT score FROM {scores} x WHERE x.{name} = o.{name} AND x.cluster = o.b[least({i}, len(o.b))]) - (SELECT score FROM {scores} x WHERE x.{name} = o.{name} AND x.cluster = o.s[{i}]), 0) END" for i in range(1, slots + 1))
+    twice = "CASE " + " ".join(f"WHEN len(list_filter(s, lambda c: c = s[{i}])) > 1 THEN {i}" for i in range(1, slots + 1)) + " ELSE 0 END"
+    return {
+        "held": f"SELECT {name}, list(cluster ORDER BY slot) AS s FROM (SELECT g.{name}, i AS slot, coalesce(m.cluster, 0) AS cluster FROM {names} g CROSS JOIN (SELECT unnest(range({slots})) AS i) z LEFT JOIN {memb} m ON m.{name} = g.{name} AND m.slot = i) q GROUP BY 1",
+        "best": f"SELECT {name}, list(cluster ORDER BY {'cluster' if by_id else 'place'}) AS b FROM (SELECT {name}, cluster, row_number() OVER (PARTITION BY {name} ORDER BY score DESC, cluster) AS place FROM {scores}) q WHERE place <= {slots} GROUP BY 1",
+        "o": f"SELECT {name}, s, b FROM held JOIN best USING ({name})",
+        "gs": f"SELECT {name}, s, b, [{gains}] AS gain, coalesce(list_position(s, 0), 0) AS free, {'0' if by_id else twice} AS twice FROM o",
+        "pick": f"SELECT {name}, s, b, CASE WHEN free > 0 THEN free WHEN twice > 0 THEN twice ELSE list_position(gain, list_max(gain)) END AS i, {'false' if by_id else 'free > 0 OR twice > 0'} AS always FROM gs",
+        "new": f"SELECT {name}, s, i, {at.format('i')} AS c, always OR NOT list_contains(s, {at.format('i')}) AS moves FROM pick",
+    }
+
+
+MOVED = "SELECT {0}, k - 1 AS slot, CASE WHEN moves AND k = i THEN c ELSE s[k] END AS cluster FROM (SELECT *, unnest(range(1, len(s) + 1)) AS k FROM new) q"
+
+
+@query("update_rows", MOVED.format("gene"), **ROWS, **moved("gene", "row_memb", "genes", "rs", 2, by_id=True))
 def _(v):
     return B.update(B.padded(v.row_memb, v.genes, "gene", 2), rows(v), "gene", 2, rows=True)
 
 
-@query("update_cols")
+@query("update_cols", MOVED.format("cond"), **COLS, **moved("cond", "col_memb", "conds", "cs", 3, by_id=False))
 def _(v):
     return B.update(B.padded(v.col_memb, v.conds, "cond", 3), cols(v), "cond", 3, rows=False)
 
@@ -246,8 +295,7 @@ SETS = {
 
 
 def pvalues(v):
-    largest = v.sets.select("set_type", "gene").distinct().groupBy("set_type").count().agg(F.max("count")).first()[0]
-    return E.pvalues(v.row_memb, v.sets, largest).withColumn("pvalue", F.round("pvalue", 9))
+    return E.pvalues(v.row_memb, v.sets).withColumn("pvalue", F.round("pvalue", 9))
 
 
 @query("set_overlap", "SELECT * FROM ov", **SETS)
@@ -265,10 +313,14 @@ def _(v):
     return pvalues(v).groupBy("set_type", "cluster").agg(F.min("pvalue").alias("pvalue"), F.min_by("set_name", F.struct("pvalue", "set_name")).alias("set_name"))
 
 
-@query("enrichment_scores")
+@query(
+    "enrichment_scores",
+    "SELECT gene, cluster, round(sum(score), 6) + 0.0 AS score FROM (SELECT s.gene, bs.cluster, -3.0 * CASE WHEN rm.gene IS NULL THEN 0.5 ELSE 1.0 END / damp AS score FROM bs JOIN (SELECT DISTINCT * FROM sets) s ON s.set_type = bs.set_type AND s.set_name = bs.set_name LEFT JOIN rm ON rm.gene = s.gene AND rm.cluster = bs.cluster) q GROUP BY 1, 2",
+    **SETS,
+    bs=f"SELECT *, CASE WHEN p <= 0.05 / {CLUSTERS} THEN 1.0 ELSE log10(p) / log10(0.05 / {CLUSTERS}) END AS damp FROM (SELECT set_type, cluster, min(p) AS p, arg_min(set_name, (p, set_name)) AS set_name FROM (SELECT ov.set_type, ov.cluster, ov.set_name, coalesce(p, 0) AS p FROM ov LEFT JOIN te USING (set_type, cluster, set_name)) x GROUP BY 1, 2) y",
+)
 def _(v):
-    largest = v.sets.select("set_type", "gene").distinct().groupBy("set_type").count().agg(F.max("count")).first()[0]
-    return E.scores(v.row_memb, v.sets, CLUSTERS, -3.0, largest)
+    return E.scores(v.row_memb, v.sets, CLUSTERS, -3.0).withColumn("score", r6("score"))
 
 
 @query("set_genes", "SELECT DISTINCT set_type, gene FROM sets")

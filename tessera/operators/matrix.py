@@ -53,14 +53,27 @@ def subtract_quantile(m: DataFrame, q: float, value: str = "value") -> DataFrame
     return with_row(m, m.agg(F.expr(f"percentile({value}, {q})").alias("_q"))).withColumn(value, F.col(value) - F.col("_q")).drop("_q")
 
 
+def _finite(value: str) -> Column:
+    return F.when(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value))
+
+
+def extremes(least: float, value: str) -> list[Column]:
+    """Aggregates: the largest finite value, and the smallest finite one that is not below ``least``."""
+    finite = _finite(value)
+    return [F.max(finite).alias("_top"), F.min(F.when(finite >= least, finite)).alias("_low")]
+
+
+def without_extremes(value: str, least: float, top: Column, low: Column) -> Column:
+    finite = _finite(value)
+    return F.when(finite.isNull(), top).when(finite < least, low).otherwise(finite)
+
+
 def fix_extreme(m: DataFrame, least: float = -20.0, value: str = "value", by: list[str] | None = None) -> DataFrame:
     """Infinities of either sign and missing cells become the largest finite value, values below
     ``least`` the smallest finite one that is not; both of the matrix, or of each group of ``by``."""
-    finite = F.when(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) != float("inf")), F.col(value))
-    bounds = [F.max(finite).alias("_top"), F.min(F.when(finite >= least, finite)).alias("_low")]
+    bounds = extremes(least, value)
     m2 = m.join(m.groupBy(*by).agg(*bounds), by) if by else with_row(m, m.agg(*bounds))
-    fixed = F.when(finite.isNull(), F.col("_top")).when(finite < least, F.col("_low")).otherwise(finite)
-    return m2.withColumn(value, fixed).drop("_top", "_low")
+    return m2.withColumn(value, without_extremes(value, least, F.col("_top"), F.col("_low"))).drop("_top", "_low")
 
 
 def submatrix(m: DataFrame, rows: DataFrame | None = None, cols: DataFrame | None = None, row: str = "row", col: str = "col") -> DataFrame:

@@ -114,8 +114,9 @@ def candidates(memb: DataFrame, scores: DataFrame, name: str) -> DataFrame:
     own = members(memb, name)
     cut = scores.join(own, [name, "cluster"], "left_semi").groupBy("cluster").agg(quantile("score", CUTOFF).alias("_cut"))
     d = scores.join(own, [name, "cluster"], "left_anti").join(cut, "cluster").filter(F.col("score") < F.col("_cut")).drop("_cut")
-    d = d.withColumn("_n", F.count("*").over(W.partitionBy("cluster"))).filter(F.col("_n") <= MOST_CANDIDATES)
-    return d.withColumn("_i", F.row_number().over(W.partitionBy("cluster").orderBy(F.col("score").desc(), name))).filter(F.col("_i") <= TAKES).drop("_n", "_i")
+    few = d.groupBy("cluster").agg(F.count("*").alias("_n")).filter(F.col("_n") <= MOST_CANDIDATES).select("cluster")
+    d = d.join(few, "cluster", "left_semi")  # from here on MOST_CANDIDATES a cluster at most
+    return d.withColumn("_i", F.row_number().over(W.partitionBy("cluster").orderBy(F.col("score").desc(), name))).filter(F.col("_i") <= TAKES).drop("_i")
 
 
 def postadjust(memb: DataFrame, scores: DataFrame, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .scoring import members
@@ -68,6 +69,66 @@ def run_tool(sequences: DataFrame, command: list[str], parse: Callable[[str], li
     return sequences.groupBy("cluster").applyInPandas(search, f"cluster long, {ddl}")
 
 
+#: The tools' own options.
+MEME_OPTIONS = "-time 600 -dna -revcomp -maxsize 9999999 -evt 1e9 -minw 6 -mod zoops -nostatus -text".split()
+MAST_430 = "-nostatus -stdout -text -brief -ev 999999 -mev 9999999 -mt 0.99 -seqp -remcorr".split()
+MAST_481 = "-nostatus -ev 1500 -mev 99999 -mt 0.99 -nohtml -notext -seqp -remcorr".split()
+#: Word length and mutations of each run of an analysis.
+WEEDER_RUNS = {"small": [(6, 1), (8, 2)], "medium": [(6, 1), (8, 2), (10, 3)], "large": [(6, 1), (8, 2), (10, 3), (12, 4)], "extra": [(6, 1), (8, 3), (10, 4), (12, 4)]}
+SEED_EVALUE = 0.1
+
+
+def meme_command(fasta: str, background: str, motifs: int, *, widest: int = 24, seed: str | None = None) -> list[str]:
+    """``seed``: the consensus from which version 4.3.0 starts (see ``seed_consensus``); later versions have none."""
+    return ["meme", fasta, "-bfile", background, "-nmotifs", str(motifs), "-maxw", str(widest), *MEME_OPTIONS, *(["-cons", seed] if seed else [])]
+
+
+def seed_consensus(motifs: DataFrame) -> DataFrame:
+    """(cluster, consensus) of the motif of least e-value, if that is below SEED_EVALUE, from (cluster, motif_num, evalue, consensus)."""
+    best = motifs.groupBy("cluster").agg(F.min_by(F.struct("evalue", "consensus"), F.struct("evalue", "motif_num")).alias("b"))
+    return best.filter(F.col("b.evalue") < SEED_EVALUE).select("cluster", F.upper("b.consensus").alias("consensus"))
+
+
+def mast_command(version: str, motifs: str, fasta: str, background: str, folder: str) -> list[str]:
+    if version == "4.3.0":
+        return ["mast", motifs, "-d", fasta, "-bfile", background, *MAST_430]
+    return ["mast", motifs, fasta, "-bfile", background, *MAST_481, "-oc", folder]
+
+
+def tomtom_command(version: str, motifs: str, *, threshold: float = 0.5, distance: str = "ed", overlap: int = 4, pseudo: float = 0.0) -> list[str]:
+    """Compares the motifs of a file with each other; options changed their names with 4.11, the files' with 4.3.0."""
+    new = version.startswith("4.11")
+    pseudos = ["-motif-pseudo", f"{pseudo:.3f}"] if new else ["-query-pseudo", f"{pseudo:.3f}", "-target-pseudo", f"{pseudo:.3f}"]
+    files = ["-target", motifs, "-query", motifs] if version == "4.3.0" else [motifs, motifs]
+    return ["tomtom", "-verbosity", "1", "-thresh" if new else "-q-thresh", f"{threshold:.3f}", "-dist", distance, "-min-overlap", str(overlap), "-text", *pseudos, *files]
+
+
+def weeder_commands(fasta: str, organism: str, *, analysis: str = "small", results: int = 50, both_strands: bool = True, multiple: bool = False, all_sequences: bool = False, frequencies: str | None = None) -> list[list[str]]:
+    """A run for each word length, then the adviser, which writes the result beside the input."""
+    common = ["-f", fasta, "-R", "100" if all_sequences else "50", "-O", organism]
+    ends = ["-M" if multiple else "-N", "-S" if both_strands else "-N", "-T", str(results), *(["-F", frequencies] if frequencies else [])]
+    return [*[["weederTFBS", *common, "-W", str(w), "-e", str(e), *ends] for w, e in WEEDER_RUNS[analysis]], ["adviser", fasta]]
+
+
+def matches(lines: DataFrame, text: str = "value") -> DataFrame:
+    """(motif_info_id1, motif_info_id2, pvalue) of a comparison's output, motifs with themselves left out."""
+    f = F.split(F.trim(text), "\t")
+    d = lines.filter(F.length(F.trim(text)) > 0).select(f.alias("f"))
+    d = d.select(*[F.expr(f"try_cast(get(f, {i}) AS {kind})").alias(n) for i, kind, n in ((0, "BIGINT", "motif_info_id1"), (1, "BIGINT", "motif_info_id2"), (3, "DOUBLE", "pvalue"))])
+    return d.filter("motif_info_id1 <> motif_info_id2 AND pvalue IS NOT NULL")
+
+
+def words_of(pssms: DataFrame, length: int = 8) -> DataFrame:
+    """Of (cluster, motif_num, pssm, ...) those of ``length`` positions, numbered anew from 1."""
+    d = pssms.filter(F.size("pssm") == length)
+    return d.withColumn("motif_num", F.row_number().over(W.partitionBy("cluster").orderBy("motif_num")))
+
+
+def least_pvalues(hits: DataFrame, names: DataFrame) -> DataFrame:
+    """(cluster, gene, pvalue) from hits (cluster, id, pvalue), ids by their row names (id, name): a gene's least."""
+    return hits.join(names.select("id", F.col("name").alias("gene")), "id").groupBy("cluster", "gene").agg(F.min("pvalue").alias("pvalue"))
+
+
 def motif_scores(pvalues: DataFrame) -> DataFrame:
     """Natural logs of (cluster, gene, pvalue), 0 staying 0; without a p-value a cell is absent and counts as 0."""
     return pvalues.select("gene", "cluster", F.when(F.col("pvalue") != 0, F.ln("pvalue")).otherwise(0.0).alias("score"))

@@ -32,13 +32,57 @@ def known_share(names: DataFrame, thesaurus_: DataFrame, name: str = "name") ->
     return d.agg(F.avg(F.col("_k").isNotNull().cast("double")).alias("share")).withColumn("ok", F.col("share") > 0.5)
 
 
+#: Species whose names differ between databases, and a taxonomy number that stands for another.
+SPECIES_EXCEPTIONS = {"Pseudomonas aeruginosa PAO1": "Pseudomonas aeruginosa", "Campylobacter jejuni NCTC11168": "Campylobacter jejuni"}
+TAXONOMY_EXCEPTIONS = {"83333": "511145"}
+
+
 def patched(organism: str, name: Column) -> Column:
-    """Spellings of an organism's gene names as the networks have them."""
+    """Spellings of an organism's gene names as the networks have them.
+
+    Names are known by how they begin: bth has plasmid genes (p...) and BT with a number, son SO with a number, cac CA_.
+    """
     if organism == "bth":
-        return F.regexp_replace(F.regexp_replace(name, r"^p5482_(\d\d)$", "BT_p5482$1"), r"^BT(\d+)$", "BT_$1")
+        numbered = F.when(F.regexp_like(name, F.lit(r"^BT\d")), F.replace(name, F.lit("BT"), F.lit("BT_"))).otherwise(name)
+        return F.when(name.startswith("p"), F.concat(F.lit("BT_"), F.replace(name, F.lit("_"), F.lit("")))).otherwise(numbered)
     if organism == "son":
-        return F.regexp_replace(name, r"^SO(\d+)$", "SO_$1")
-    return F.regexp_replace(name, "^CA_", "CA") if organism == "cac" else name
+        return F.when(F.regexp_like(name, F.lit(r"^SO\d")), F.replace(name, F.lit("SO"), F.lit("SO_"))).otherwise(name)
+    return F.when(name.startswith("CA_"), F.replace(name, F.lit("CA_"), F.lit("CA"))).otherwise(name) if organism == "cac" else name
+
+
+def patched_species(name: Column) -> Column:
+    out = name
+    for old, new in SPECIES_EXCEPTIONS.items():
+        out = F.when(name == old, new).otherwise(out)
+    return out
+
+
+def patched_taxonomy(number: Column) -> Column:
+    out = number
+    for old, new in TAXONOMY_EXCEPTIONS.items():
+        out = F.when(number == old, new).otherwise(out)
+    return out
+
+
+def by_feature(names: DataFrame, thesaurus_: DataFrame, name: str = "name") -> DataFrame:
+    """(id, name): the row name that a feature stands for, the last one by name if there are several."""
+    return mapped(names.select(name).distinct(), thesaurus_, name).groupBy(F.col("original").alias("id")).agg(F.max(name).alias(name))
+
+
+def by_oligo(cells: DataFrame, oligos: DataFrame) -> DataFrame:
+    """Cells (oligo, col, value) under the genes of a map (oligo, gene, line); of an oligo's lines the last counts."""
+    return cells.join(map_from(oligos, "oligo", "gene"), "oligo").select("gene", "col", "value")
+
+
+def combinations(items: DataFrame, by: list[str], item: str, k: int) -> DataFrame:
+    """All ways to take k items of a group (lists of a few), as sorted arrays; none for k below 1."""
+    if k < 1:
+        return items.select(*by, F.array(item).alias("items")).limit(0)
+    own = items.select(*by, item).distinct()
+    out = own.select(*by, F.array(item).alias("items"))
+    for _ in range(k - 1):
+        out = out.join(own, by).filter(F.col(item) > F.element_at("items", -1)).select(*by, F.concat("items", F.array(item)).alias("items"))
+    return out
 
 
 def without_vng_modification(name: Column) -> Column:

@@ -161,3 +161,52 @@ def renamed(d: DataFrame, changes: DataFrame, name: str) -> DataFrame:
 def upserted(table: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
     """The table and those new rows whose key it doesn't have."""
     return table.unionByName(new.dropDuplicates(key).join(table, key, "left_anti"))
+
+
+def motif_tables(motifs: DataFrame, iteration: int, seqtype: str, names: DataFrame) -> dict[str, DataFrame]:
+    """The result tables of motifs (cluster, motif_num, evalue, pssm as rows of four, annotations of gene, position, reverse and
+    pvalue, sites of name, reverse, start, pvalue, left, seq and right). Their key is a hash of what makes a motif one."""
+    d = motifs.withColumn("rowid", F.xxhash64(F.lit(iteration), F.lit(seqtype), "cluster", "motif_num"))
+    rows = d.select(F.col("rowid").alias("motif_info_id"), F.posexplode("pssm").alias("pos", "r"))
+    found = d.select(F.col("rowid").alias("motif_info_id"), F.explode("annotations").alias("x")).select("motif_info_id", F.col("x.gene").alias("name"), "x.position", "x.reverse", "x.pvalue")
+    return {
+        "motif_infos": d.select("rowid", "cluster", F.lit(seqtype).alias("seqtype"), "motif_num", "evalue"),
+        "motif_pssm_rows": rows.select("motif_info_id", "pos", *[F.col("r")[i].alias(x) for i, x in enumerate("acgt")]),
+        "motif_annotations": found.join(names, "name").select("motif_info_id", F.col("order_num").alias("gene_num"), "position", "reverse", "pvalue"),
+        "meme_motif_sites": d.select(F.col("rowid").alias("motif_info_id"), F.explode("sites").alias("x")).select("motif_info_id", F.col("x.name").alias("seq_name"), "x.reverse", "x.start", "x.pvalue", F.col("x.left").alias("flank_left"), "x.seq", F.col("x.right").alias("flank_right")),
+    }
+
+
+def graph_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """A graph (see graph_nodes and graph_edges) as lines of GraphML in order: place, value."""
+    quoted = lambda c: F.replace(F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit('"'), F.lit("&quot;"))
+    ends = {"member": ("cluster", "gene"), "motif": ("cluster", "motif"), "similar": ("motif", "motif")}
+    kind = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in ends.items() for x in (k, v[i])]), F.col("kind"))
+    own = lambda k, c: F.concat(k, F.lit(":"), quoted(F.col(c)))
+    n = nodes.select(F.lit(1).alias("part"), F.format_string('  <node id="%s"><data key="kind">%s</data></node>', own(F.col("kind"), "id"), F.col("kind")).alias("value"))
+    e = edges.select(F.lit(2).alias("part"), F.format_string('  <edge source="%s" target="%s"><data key="kind">%s</data></edge>', own(kind(0), "a"), own(kind(1), "b"), F.col("kind")).alias("value"))
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n<key id="kind" for="all" attr.name="kind" attr.type="string"/>\n<graph edgedefault="undirected">'
+    both = [(0, head), (3, "</graph>\n</graphml>")]
+    return n.unionByName(e).unionByName(nodes.sparkSession.createDataFrame(both, "part int, value string")).orderBy("part", "value")
+
+
+def linked_species(species: DataFrame, networks: DataFrame, biclusters: DataFrame, genes: DataFrame, names: DataFrame) -> DataFrame:
+    """species (species_id) with its networks (network_id, species_id), their biclusters (bicluster_id, network_id) and genes
+    (bicluster_id, gene_id), by name."""
+    d = species.join(networks, "species_id").join(biclusters, "network_id").join(genes, "bicluster_id").join(names, "gene_id")
+    return d.select("species", "network", "bicluster_id", "gene")
+
+
+def in_either(d: DataFrame, key: str, *lists: DataFrame) -> DataFrame:
+    """Rows whose key is in one of the lists."""
+    wanted = lists[0].select(key)
+    for x in lists[1:]:
+        wanted = wanted.unionByName(x.select(key))
+    return d.join(wanted.distinct(), key, "left_semi")
+
+
+def cluster_stack(rows: DataFrame, cols: DataFrame, stats: DataFrame) -> DataFrame:
+    """One row a cluster for other programs: its genes and conditions as lists, their numbers, its residual."""
+    lists = lambda d, n, out: d.groupBy("cluster").agg(F.sort_array(F.collect_set(n)).alias(out))
+    d = lists(rows, "gene", "rows").join(lists(cols, "cond", "cols"), "cluster", "left").join(stats.select("cluster", "residual"), "cluster", "left")
+    return d.select("cluster", F.size("rows").cast("long").alias("nrows"), F.coalesce(F.size("cols"), F.lit(0)).cast("long").alias("ncols"), "rows", "cols", "residual")

@@ -13,8 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .matrix import fix_extreme, subtract_quantile, with_row
-from .stats import MAD_SCALE, quantile
+from .. import tables
+from .matrix import extremes, fix_extreme, with_row, without_extremes
+from .stats import MAD_SCALE, counted, quantile, quantiles
+
+#: Points of a density's grid and of its curve (fixed values), and places of a run that are opened at once.
+GRID, POINTS, STEP = 512, 256, 1 << 16
 
 
 def members(memb: DataFrame, name: str) -> DataFrame:
@@ -48,24 +52,18 @@ def column_scores(m: DataFrame, row_memb: DataFrame) -> DataFrame:
 
 def filled_column_scores(scores: DataFrame, conds: DataFrame, clusters: DataFrame, col_memb: DataFrame) -> DataFrame:
     """All (cond, cluster) cells, missing ones as the 95 % quantile of the members' scores, then without extremes."""
-    own = scores.join(members(col_memb, "cond"), ["cond", "cluster"], "left_semi")
+    scores = tables.keep(scores, "scores")
+    (top,) = quantiles(scores.join(members(col_memb, "cond"), ["cond", "cluster"], "left_semi"), "score", [0.95])
     grid = conds.select("cond").crossJoin(clusters.select("cluster"))  # the matrix of the result
-    d = with_row(grid.join(scores, ["cond", "cluster"], "left"), own.agg(quantile("score", 0.95).alias("_q")))
-    return fix_extreme(d.withColumn("score", F.coalesce("score", "_q")).drop("_q"), value="score")
+    d = tables.keep(grid.join(scores, ["cond", "cluster"], "left").withColumn("score", F.coalesce("score", F.lit(top).cast("double"))), "cells")
+    return fix_extreme(d, value="score")
 
 
 def min_rank(scores: DataFrame, value: str = "score") -> DataFrame:
-    """Ranks over all cells from 0, ties the lowest, NULL none.
-
-    A global rank without a global sort in one task: cells are counted by value, the distinct values
-    are dealt by range, and each range starts behind the counts of those before it.
-    """
-    counts = scores.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    dealt = counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id())
-    dealt = dealt.withColumn("_in", F.sum("_n").over(W.partitionBy("_p").orderBy(value)) - F.col("_n"))
-    before = dealt.groupBy("_p").agg(F.sum("_n").alias("_t")).withColumn("_b", F.sum("_t").over(W.orderBy("_p")) - F.col("_t")).select("_p", "_b")
-    ranks = dealt.join(before, "_p").select(F.col(value).alias("_v"), (F.col("_in") + F.col("_b")).alias("rank"))
-    return scores.join(ranks, scores[value] == ranks["_v"], "left").drop("_v")
+    """Ranks over all cells from 0, ties the lowest, NULL none; see ``stats.counted``."""
+    cells = tables.keep(scores, "cells")
+    ranks = counted(cells, value).select(F.col(value).alias("_v"), F.col("low").alias("rank"))
+    return cells.join(ranks, cells[value] == ranks["_v"], "left").drop("_v")
 
 
 def top_clusters(scores: DataFrame, name: str, n: int) -> DataFrame:
@@ -85,17 +83,36 @@ def quantile_normalise(scores: DataFrame, weights: DataFrame | None = None) -> D
 
     At each place of the sorted cells the weighted mean over the matrices, divided by the sum of weights once
     more; a cell gets the value at its lowest place among equals. Functions without a weight have none.
+
+    Cells are counted by value (``stats.counted``) instead of sorted; a value that many cells have stands for
+    a run of places, which is opened in steps of STEP.
     """
-    w = W.partitionBy("function")
-    d = scores.filter(F.col("score").isNotNull())
-    sorted_ = d.withColumn("place", F.row_number().over(w.orderBy("score"))).withColumn("low", F.rank().over(w.orderBy("score")))
-    if weights is None:
-        means = sorted_.groupBy("place").agg(F.avg("score").alias("mean"))
-    else:
-        sum_ = weights.agg(F.sum("weight").alias("_w"))
-        means = with_row(sorted_.join(weights, "function").groupBy("place").agg(F.avg(F.col("score") * F.col("weight")).alias("mean")), sum_)
-        means = means.withColumn("mean", F.col("mean") / F.col("_w")).drop("_w")
-    return sorted_.join(means.withColumnRenamed("place", "low"), "low").select("function", "gene", "cluster", F.col("mean").alias("score"))
+    cells = tables.keep(scores.select("function", "gene", "cluster", "score").filter(F.col("score").isNotNull()), "cells")
+    if weights is not None:
+        cells = cells.join(weights.select("function"), "function", "left_semi")
+    values = tables.keep(counted(cells, "score", ["function"]), "ranks")
+    weight = F.lit(1.0) if weights is None else F.col("weight")
+    weighted = values.withColumn("weight", F.lit(1.0)) if weights is None else values.join(weights.select("function", "weight"), "function")
+    steps = weighted.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / STEP))))
+    first = F.col("low") + F.col("_s") * STEP
+    places = steps.withColumn("low", F.explode(F.sequence(first, F.least(first + STEP, F.col("low") + F.col("n")) - 1)))
+    means = places.groupBy("low").agg(F.avg(F.col("score") * weight).alias("mean"))
+    if weights is not None:
+        means = with_row(means, weights.agg(F.sum("weight").alias("_w"))).withColumn("mean", F.col("mean") / F.col("_w")).drop("_w")
+    brought = values.join(means, "low").select("function", "score", "mean")
+    return cells.join(brought, ["function", "score"]).select("function", "gene", "cluster", F.col("mean").alias("score"))
+
+
+def _settled(d: DataFrame) -> DataFrame:
+    """A matrix, read from a table, without extremes and less its 99 % quantile."""
+    d = _clamped(tables.keep(d.select("gene", "cluster", F.col("score").cast("double").alias("score")), "scores"))
+    (top,) = quantiles(d, "score", [0.99])
+    return d.withColumn("score", F.col("score") - F.lit(top))
+
+
+def _clamped(d: DataFrame, least: float = -20.0) -> DataFrame:
+    top, low = d.agg(*extremes(least, "score")).first()
+    return d.withColumn("score", without_extremes("score", least, F.lit(top).cast("double"), F.lit(low).cast("double")))
 
 
 def combine(row: DataFrame, others: list[tuple[DataFrame, float]], row_memb: DataFrame, row_scaling: float = 1.0) -> DataFrame:
@@ -104,24 +121,27 @@ def combine(row: DataFrame, others: list[tuple[DataFrame, float]], row_memb: Dat
     Each loses its extremes and its 99 % quantile. The rows' are centred on the median of the members' scores
     and divided by their median absolute deviation (their sd if that is 0, nothing if that is 0 too); the others are brought
     to the rows' scale by the 1 % quantiles (in a sparse matrix the tenth smallest score, or the least one).
+
+    Each matrix is written once; its few statistics are numbers on the driver, so that the rest is one pass.
     """
-    shifted = lambda d: subtract_quantile(fix_extreme(d, value="score"), 0.99, value="score")
-    first = shifted(row)
+    first = _settled(row)
     own = first.join(members(row_memb, "gene"), ["gene", "cluster"], "left_semi")
-    mid = own.agg(quantile("score", 0.5).alias("_mid"))
-    spread = with_row(own, mid).agg((F.expr("percentile(abs(score - _mid), 0.5)") * MAD_SCALE).alias("_mad"), F.stddev_samp("score").alias("_sd"), F.max("_mid").alias("_mid"))
-    scale = F.when(F.col("_mad") != 0, F.col("_mad")).when(F.col("_sd") != 0, F.col("_sd"))
-    first = with_row(first, spread).withColumn("score", F.when(scale.isNull(), F.col("score")).otherwise((F.col("score") - F.col("_mid")) / scale))
-    first = fix_extreme(first.drop("_mad", "_sd", "_mid"), value="score")
-    at_rows = first.agg(F.abs(quantile("score", 0.01)).alias("_rows"))
+    (mid,) = quantiles(own, "score", [0.5])
+    if mid is not None:
+        (mad,) = quantiles(own.withColumn("score", F.abs(F.col("score") - F.lit(mid))), "score", [0.5])
+        scale = mad * MAD_SCALE or own.agg(F.stddev_samp("score")).first()[0]
+        if scale:
+            first = first.withColumn("score", (F.col("score") - F.lit(mid)) / F.lit(scale))
+    first = _clamped(first)
     total = first.select("gene", "cluster", (F.col("score") * row_scaling).alias("score"))
+    (at_rows,) = quantiles(first, "score", [0.01]) if others else (None,)
     for d, scaling in others:
-        d = shifted(d)
-        tenth = d.select("score").orderBy("score").limit(10).agg(F.max("score").alias("_tenth"))
-        stats = d.agg(F.abs(quantile("score", 0.01)).alias("_q"), F.abs(F.min("score")).alias("_least")).crossJoin(tenth).crossJoin(at_rows)
-        unit = F.when(F.col("_q") != 0, F.col("_q")).when(F.col("_tenth") != 0, F.abs("_tenth")).when(F.col("_least") != 0, F.col("_least"))
-        scaled = F.when(unit.isNull(), F.col("score")).otherwise(F.col("score") / unit * F.col("_rows"))
-        total = total.unionByName(with_row(d, stats).select("gene", "cluster", (scaled * scaling).alias("score")))
+        d = _settled(d)
+        (at,) = quantiles(d, "score", [0.01])
+        tenth = [r[0] for r in d.select("score").orderBy("score").limit(10).collect()]
+        unit = abs(at or 0.0) or abs(tenth[-1] if tenth else 0.0) or abs(tenth[0] if tenth else 0.0)
+        scaled = F.col("score") / F.lit(unit) * F.lit(abs(at_rows or 0.0)) if unit else F.col("score")
+        total = total.unionByName(d.select("gene", "cluster", (scaled * scaling).alias("score")))
     return total.groupBy("gene", "cluster").agg(F.sum("score").alias("score"))
 
 
@@ -135,63 +155,68 @@ def size_factor(scores: DataFrame, sizes: DataFrame, dim: float, slots: int, clu
 def fuzz(scores: DataFrame, memb: DataFrame, name: str, coefficient: float, seed: int) -> DataFrame:
     """Adds normal noise of coefficient * sd of the members' scores, drawn by (seed, row, cluster), so not by partition."""
     sd = scores.join(members(memb, name), [name, "cluster"], "left_semi").agg((F.stddev_samp("score") * coefficient).alias("_sd"))
-    u = lambda salt: (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.col(name), F.col("cluster")), F.lit((1 << 52) - 1)).cast("double") + 0.5) / float(1 << 52)
+    text = lambda salt: F.concat_ws(":", F.lit(str(seed)), F.lit(str(salt)), F.col(name).cast("string"), F.col("cluster").cast("string"))
+    u = lambda salt: (F.conv(F.substring(F.md5(text(salt)), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     normal = F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * F.pi() * u(2))
     return with_row(scores, sd).withColumn("score", F.col("score") + F.coalesce("_sd", F.lit(0.0)) * normal).drop("_sd")
 
 
-def kde(values: np.ndarray, at: np.ndarray, bandwidth: float, low: float, high: float, points: int = 256, grid: int = 512) -> np.ndarray:
-    """Gaussian kernel density on ``points`` points, binned linearly on twice the grid and convolved by FFT,
-    accumulated from the right and read off at ``at``."""
-    wide = bandwidth * 2
-    lo, up = low - 4 * wide, high + 4 * wide
-    n = grid
-    y = np.zeros(2 * n)
-    step = (up - lo) / (n - 1)
-    pos = (values - lo) / step
-    left = np.floor(pos).astype(int)
-    part = pos - left
-    inside = (left >= 0) & (left < n - 1)
-    np.add.at(y, left[inside], (1 - part[inside]) / len(values))
-    np.add.at(y, left[inside] + 1, part[inside] / len(values))
+def reverse_sums(bins: np.ndarray, wide: float, lo: float, up: float, low: float, high: float) -> np.ndarray:
+    """Of weights on a grid from lo to up: the Gaussian density (by FFT, on twice the grid) at POINTS points from low to high, summed from the right."""
+    n = len(bins)
     k = np.arange(2 * n) * (2 * (up - lo) / (2 * n - 1))
     k[n + 1 :] = -k[n - 1 : 0 : -1]
     kernel = np.exp(-0.5 * (k / wide) ** 2) / (wide * np.sqrt(2 * np.pi))
-    dens = np.maximum(0, np.real(np.fft.ifft(np.fft.fft(y) * np.conj(np.fft.fft(kernel))))[:n])
-    x = np.linspace(low, high, points)
-    d = np.interp(x, np.linspace(lo, up, n), dens)
-    total = np.cumsum(d[::-1])[::-1]
-    out = np.interp(at, x, total)
-    return out / out.sum() if out.sum() else out
+    dens = np.maximum(0, np.real(np.fft.ifft(np.fft.fft(bins, 2 * n) * np.conj(np.fft.fft(kernel))))[:n])
+    return np.cumsum(np.interp(np.linspace(low, high, POINTS), np.linspace(lo, up, n), dens)[::-1])[::-1]
 
 
 def density(scores: DataFrame, memb: DataFrame, name: str, *, rows: bool, other: DataFrame | None = None) -> DataFrame:
     """Density of each cluster's column of scores under its members' scores, as (name, cluster, score).
 
     Bandwidth max(range of all scores / 100, 0.001), for rows times 10 * exp(-members / 10). Uniform for clusters without
-    members (columns: with one) or, if the other axis' memberships are given, without any of those. One group
-    is one cluster's column.
+    members (columns: with one) or, if the other axis' memberships are given, without any of those.
+
+    Members' scores are binned linearly on a grid of GRID, so that Python gets a grid a cluster, whatever its size, and
+    answers with a curve of POINTS points, at which all scores are read off.
     """
-    own = scores.join(members(memb, name).withColumn("member", F.lit(True)), [name, "cluster"], "left")
-    own = with_row(own, scores.agg(F.greatest((F.max("score") - F.min("score")) / 100, F.lit(0.001)).alias("width")))
+    cells = tables.keep(scores.select(name, "cluster", F.col("score").cast("double").alias("score")), "cells")
+    ends = cells.groupBy("cluster").agg(F.count("*").alias("all"), F.min("score").alias("least"), F.max("score").alias("most"))
+    width = ends.agg(F.greatest((F.max("most") - F.min("least")) / 100, F.lit(0.001)).alias("width"))  # of one row a cluster
+    own = cells.join(members(memb, name), [name, "cluster"], "left_semi").filter(F.col("score").isNotNull() & ~F.isnan("score") & (F.abs("score") != float("inf")))
+    size = own.groupBy("cluster").agg(F.count("*").alias("size"))
     if other is not None:
-        own = own.join(other.filter("cluster > 0").select("cluster").distinct().withColumn("full", F.lit(True)), "cluster", "left")
-    else:
-        own = own.withColumn("full", F.lit(True))
-
-    def of_cluster(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(name)
-        all_, mine = p["score"].to_numpy(float), p.loc[p["member"].notna(), "score"].to_numpy(float)
-        mine = mine[np.isfinite(mine)]
-        if len(mine) <= (0 if rows else 1) or p["full"].isna().any():
-            out = np.full(len(all_), 1 / len(all_))
-        else:
-            bandwidth = float(p["width"].iloc[0]) * (10 * np.exp(-len(mine) / 10) if rows else 1)
-            out = kde(mine, all_, bandwidth, np.nanmin(all_) - 1, np.nanmax(all_) + 1)
-        return pd.DataFrame({name: p[name].to_numpy(), "cluster": p["cluster"].to_numpy(), "score": out})
-
-    kinds = dict(scores.dtypes)
-    return own.groupBy("cluster").applyInPandas(of_cluster, f"{name} {kinds[name]}, cluster {kinds['cluster']}, score double")
+        size = size.join(other.filter("cluster > 0").select("cluster").distinct(), "cluster", "left_semi")
+    size = size.filter(F.col("size") > (0 if rows else 1))
+    wide = F.col("width") * 2 * (10 * F.exp(-F.col("size") / 10) if rows else F.lit(1.0))
+    d = with_row(ends.join(size, "cluster"), width).withColumn("wide", wide)
+    d = d.withColumn("low", F.col("least") - 1).withColumn("high", F.col("most") + 1).withColumn("lo", F.col("low") - 4 * F.col("wide")).withColumn("up", F.col("high") + 4 * F.col("wide"))
+    d = tables.keep(d.select("cluster", "size", "wide", "low", "high", "lo", "up"), "ends")  # a row for each cluster
+    pos = own.join(d, "cluster").select("cluster", "size", ((F.col("score") - F.col("lo")) / ((F.col("up") - F.col("lo")) / (GRID - 1))).alias("pos"))
+    left, part = F.floor("pos"), F.col("pos") - F.floor("pos")
+    sides = F.explode(F.array(F.struct(left.alias("cell"), ((1 - part) / F.col("size")).alias("w")), F.struct((left + 1).alias("cell"), (part / F.col("size")).alias("w"))))
+    bins = pos.select("cluster", sides.alias("b")).groupBy("cluster", "b.cell").agg(F.sum("b.w").alias("w"))
+    grids = bins.groupBy("cluster").agg(F.collect_list(F.struct("cell", "w")).alias("bins"))  # at most GRID
+
+    def curves(batches):
+        for p in batches:
+            out = []
+            for r in p.itertuples():
+                y = np.zeros(GRID)
+                for b in r.bins:
+                    y[int(b["cell"])] += b["w"]
+                out.append(reverse_sums(y, r.wide, r.lo, r.up, r.low, r.high))
+            yield pd.DataFrame({"cluster": p["cluster"], "low": p["low"], "high": p["high"], "curve": out})
+
+    kind = dict(scores.dtypes)["cluster"]
+    curve = grids.join(d, "cluster").mapInPandas(curves, f"cluster {kind}, low double, high double, curve array<double>")
+    at = (F.col("score") - F.col("low")) / (F.col("high") - F.col("low")) * (POINTS - 1)
+    i = F.least(F.floor(at), F.lit(POINTS - 2)).cast("int")
+    read = F.get("curve", i) + (F.get("curve", i + 1) - F.get("curve", i)) * (at - i)
+    found = tables.keep(cells.join(curve, "cluster", "left").select(name, "cluster", F.when(F.col("curve").isNotNull(), read).alias("score"), F.col("curve").isNull().alias("none")), "density")
+    total = found.groupBy("cluster").agg(F.sum("score").alias("total"), F.count("*").alias("all"))
+    share = F.when(F.col("none"), 1 / F.col("all")).when(F.col("total") != 0, F.col("score") / F.col("total")).otherwise(F.col("score"))
+    return found.join(total, "cluster").select(name, "cluster", share.alias("score"))
 
 
 def background(x: np.ndarray, n: int, rng: np.random.Generator, *, samples: int | None = None, chunk: int = 200, tolerance: float = 0.001, limit: int = 1_000_000) -> np.ndarray:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -54,6 +54,13 @@ def concrete(seq: Column) -> Column:
     return F.translate(F.trim(F.upper(seq)), "".join(DEGENERATE), "".join(DEGENERATE.values()))
 
 
+def all_kmers(spark: SparkSession, k: int) -> DataFrame:
+    """All words of k letters (place from 0, kmer), in alphabetical order: a place's digits to base four."""
+    d = spark.range(4**k).withColumnRenamed("id", "place")
+    digit = lambda i: F.substring(F.lit("ACGT"), (F.shiftright("place", 2 * i).bitwiseAND(F.lit(3)) + 1).cast("int"), F.lit(1))
+    return d.select("place", F.concat(*[digit(i) for i in range(k - 1, -1, -1)]).alias("kmer"))
+
+
 def kmers(seqs: DataFrame, k: int) -> DataFrame:
     """Counts of all windows of k letters: k, kmer, times."""
     d = seqs.filter(F.length("seq") >= k).select(F.explode(F.transform(F.sequence(F.lit(1), F.length("seq") - k + 1), lambda i: F.substring(F.col("seq"), i, F.lit(k)))).alias("kmer"))

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import tables
+
 #: Makes the median absolute deviation an estimate of a normal distribution's sd.
 MAD_SCALE = 1.4826
 
@@ -21,6 +27,38 @@ def quantile(value: str, p: float) -> Column:
     return F.expr(f"percentile({value}, {p})")
 
 
+def counted(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
+    """A table of the distinct values (of each group), NULL left out: by, value, n (times), low (cells of smaller values).
+
+    Nothing sorts all cells in one task: cells are counted by value, the distinct values are dealt by
+    range, and each range starts behind the counts of those before it.
+    """
+    by = by or []
+    n = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
+    dealt = tables.keep(n.repartitionByRange(*by, value).withColumn("_p", F.spark_partition_id()), "values")
+    sums = dealt.groupBy(*by, "_p").agg(F.sum("n").alias("_t"))
+    before = sums.withColumn("_b", F.sum("_t").over(W.partitionBy(*by).orderBy("_p")) - F.col("_t")).drop("_t")  # a row for each range
+    inside = F.sum("n").over(W.partitionBy(*by, "_p").orderBy(value)) - F.col("n")
+    return dealt.withColumn("_i", inside).join(before, [*by, "_p"]).select(*by, value, "n", (F.col("_i") + F.col("_b")).alias("low"))
+
+
+def quantiles(df: DataFrame, value: str, at: list[float]) -> list[float | None]:
+    """Quantiles of all cells as numbers, linear between the two nearest ranks; None without cells.
+
+    Of the counted values (see ``counted``) at most two for each quantile come to the driver.
+    """
+    d = counted(df, value)
+    total = d.agg(F.max(F.col("low") + F.col("n"))).first()[0]
+    if not total:
+        return [None] * len(at)
+    ranks = [p * (total - 1) for p in at]
+    wanted = sorted({f(r) for r in ranks for f in (math.floor, math.ceil)})
+    holds = functools.reduce(operator.or_, [(F.col("low") <= r) & (F.col("low") + F.col("n") > r) for r in wanted])
+    rows = d.filter(holds).select(value, "n", "low").collect()
+    value_at = {r: next(x[0] for x in rows if x["low"] <= r < x["low"] + x["n"]) for r in wanted}
+    return [value_at[math.floor(r)] if r == math.floor(r) else (math.ceil(r) - r) * value_at[math.floor(r)] + (r - math.floor(r)) * value_at[math.ceil(r)] for r in ranks]
+
+
 def trim_mean(df: DataFrame, by: list[str], value: str, trim: float, name: str = "trim_mean") -> DataFrame:
     """Mean of each group without its floor(trim * n) lowest and highest values; 0.5 is the median, none 0."""
     if trim >= 0.5:
@@ -60,24 +98,25 @@ def residual(m: DataFrame, by: list[str], row: str = "row", col: str = "col", va
     return d.groupBy(*by).agg(F.when(F.least(F.max("n_rows"), F.max("n_cols")) <= 1, 1.0).otherwise(away).alias("residual"))
 
 
-def log_factorials(spark, upto: int) -> list[float]:
-    return [math.lgamma(i + 1) for i in range(upto + 1)]
+def hypergeometric_tail(df: DataFrame, q: str, m: str, n: str, k: str, name: str = "pvalue") -> DataFrame:
+    """P(X > q) for X white among k drawn of m white and n black ones, strictly more, in logarithms from term to term."""
 
+    def choose(a: float, b: float) -> float:
+        return math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
 
-def hypergeometric_tail(df: DataFrame, q: str, m: str, n: str, k: str, largest: int, name: str = "pvalue") -> DataFrame:
-    """P(X > q) for X white among k drawn of m white and n black ones, strictly more; ``largest`` bounds m + n.
+    def one(q: int, m: int, n: int, k: int) -> float:
+        low, high = max(q + 1, k - n, 0), min(m, k)
+        if high < low:
+            return 0.0
+        x = np.arange(low, high, dtype=float)
+        steps = np.log((m - x) * (k - x)) - np.log((x + 1) * (n - k + x + 1))
+        return float(np.exp(choose(m, low) + choose(n, k - low) - choose(m + n, k) + np.concatenate([[0.0], np.cumsum(steps)])).sum())
 
-    The log factorials are a literal array of that bound, so the sum over q + 1 .. min(m, k) stays one expression.
-    """
-    logs = F.array(*[F.lit(x) for x in log_factorials(df.sparkSession, largest)])
-    d = df.withColumn("_f", logs)
-    f = lambda x: F.get("_f", x.cast("int"))
-    c = lambda a, b: f(a) - f(b) - f(a - b)
-    M, N, K, Q = (F.col(x).cast("long") for x in (m, n, k, q))
-    low, high = F.greatest(Q + 1, K - N), F.least(M, K)
-    term = lambda x: F.exp(c(M, x) + c(N, K - x) - c(M + N, K))
-    total = F.aggregate(F.sequence(low, high), F.lit(0.0), lambda s, x: s + term(x))
-    return d.withColumn(name, F.when(high >= low, total).otherwise(0.0)).drop("_f")
+    @F.pandas_udf("double")
+    def tail(q: pd.Series, m: pd.Series, n: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([one(*map(int, x)) for x in zip(q, m, n, k, strict=True)], dtype=float)
+
+    return df.withColumn(name, tail(*(F.coalesce(F.col(x).cast("long"), F.lit(0)) for x in (q, m, n, k))))
 
 
 def repeated(df: DataFrame, by: list[str], value: str) -> DataFrame:

@@ -134,21 +134,31 @@ class Config:
     prob_row_change: float = 0.5
     prob_col_change: float = 1.0
     result_frequency: int = 10
+    stats_frequency: int = 10
+    postadjust: bool = True
     seed: int = 1
     quantile: bool = False
     add_fuzz: str = "rows"
-    schedules: dict[str, str] = field(default_factory=lambda: {"Rows": "1,2", "Columns": "1,5", "Networks": "1,7", "SetEnrichment": "1,7"})
-    scalings: dict[str, str] = field(default_factory=lambda: {"Rows": "6", "Networks": "seq(1e-5, 0.5, length=num_iterations*3/4)", "SetEnrichment": "seq(1e-5, 1.0, length=num_iterations*3/4)"})
+    #: The schedules and scalings that a configuration starts from.
+    schedules: dict[str, str] = field(default_factory=lambda: {"Rows": "1,2", "Columns": "1,5", "Networks": "1,7", "Motifs": "2,10", "MEME": "1,100", "SetEnrichment": "1,7"})
+    scalings: dict[str, str] = field(
+        default_factory=lambda: {
+            "Rows": "0.3",
+            "Networks": "seq(1e-5, 0.5, length=num_iterations*3/4)",
+            "Motifs": "c(rep(1e-5, 100), seq(1e-5, 1, length=num_iterations*3/4))",
+            "SetEnrichment": "seq(1e-5, 1.0, length=num_iterations*3/4)",
+        }
+    )
 
     @classmethod
     def read(cls, *paths: str, **given: object) -> Config:
-        """INI files, later ones over earlier ones, and keywords over all; a section [Rows] has schedule and scaling."""
+        """INI files, later ones over earlier ones, and keywords over all; a section [Rows] has schedule and scaling (or scaling_const, scaling_rvec)."""
         ini = configparser.ConfigParser()
         ini.read(paths)
         own = cls()
         for section in ini.sections():
             for key, value in ini[section].items():
-                if key in ("schedule", "scaling"):
+                if key in ("schedule", "scaling", "scaling_const", "scaling_rvec"):
                     (own.schedules if key == "schedule" else own.scalings)[section] = value
                 elif hasattr(own, key) and not isinstance(getattr(own, key), dict):
                     kind = type(getattr(own, key))

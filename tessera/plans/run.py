@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import tables
+from ..operators import enrichment
 from ..operators import membership as B
+from ..operators import motifs as M
 from ..operators import scoring as S
 from ..operators import stats
-from ..operators.networks import network_scores
+from ..operators.networks import network_score_means, network_scores
+from ..operators.results import motif_tables
 from .config import Config, Schedule, default_clusters, fuzzy_coefficient, scaling
 
 #: A scoring function: (run, iteration) -> (gene, cluster, score), or None if it has none.
 Scorer = Callable[["Run", int], DataFrame | None]
 SCORERS: dict[str, Scorer] = {}
+#: A column scoring function: run -> (cond, cluster, score).
+COLUMN_SCORERS: dict[str, Callable[["Run"], DataFrame]] = {}
+#: How a function's scores are summed up for the statistics, where it isn't by the mean of all cells.
+MEANS: dict[str, Callable[["Run", DataFrame], float | None]] = {}
 
 
 def scorer(name: str) -> Callable[[Scorer], Scorer]:
-    """Registers a scoring function under the name that schedules and scalings know it by."""
+    """Registers a scoring function under the name that schedules, scalings and pipelines know it by."""
 
     def register(f: Scorer) -> Scorer:
         SCORERS[name] = f
@@ -36,59 +46,169 @@ def _rows(run: Run, iteration: int) -> DataFrame:
 
 @scorer("Networks")
 def _networks(run: Run, iteration: int) -> DataFrame | None:
-    return None if run.edges is None else network_scores(run.edges, run.rows, run.genes)
+    """Networks count alike: each has the weight 1 / networks, unless the run has weights."""
+    if run.edges is None:
+        return None
+    weights = run.network_weights
+    if weights is None:
+        names = run.edges.select("network").distinct()
+        weights = names.crossJoin(F.broadcast(names.agg((1 / F.count("*")).alias("weight"))))  # one row
+    return network_scores(run.edges, run.rows, run.genes, weights)
+
+
+@scorer("Motifs")
+def _motifs(run: Run, iteration: int) -> DataFrame | None:
+    """Of the last search, which has a schedule of its own (MEME)."""
+    return None if run.pvalues is None else M.motif_scores(run.pvalues)
+
+
+@scorer("SetEnrichment")
+def _sets(run: Run, iteration: int) -> DataFrame | None:
+    """On the scale of the first function's scores; the best set of each cluster goes to the table ``best_sets``."""
+    if run.sets is None or run.functions[0] not in run.cached:
+        return None
+    (reference,) = stats.quantiles(run.cached[run.functions[0]], "score", [0.1])
+    best = run.kept(enrichment.best_sets(run.rows, run.sets), f"sets-{iteration}")
+    run.store("best_sets", best, iteration)
+    run.forget(f"sets-{run.last_sets}")
+    run.last_sets = iteration
+    return enrichment.scores(run.rows, run.sets, run.config.clusters, reference or 0.0, run.set_weights, best=best)
+
+
+def _columns(run: Run) -> DataFrame:
+    clusters = run.spark.range(1, run.config.clusters + 1).select(F.col("id").alias("cluster"))
+    return S.filled_column_scores(S.column_scores(run.matrix, run.rows), run.conds, clusters, run.cols)
+
+
+COLUMN_SCORERS["Columns"] = _columns
+MEANS["Motifs"] = lambda run, scores: M.mean_score(scores, run.rows).first()[0]
+
+
+def functions_of(pipeline: dict) -> tuple[tuple[str, ...], str]:
+    """Names of the row scoring functions and of the column scoring function that a pipeline's JSON text lists."""
+    top = pipeline["row-scoring"]
+    if not top["function"]["class"].endswith("Combiner"):
+        raise ValueError("the top of row scoring must be a combiner")
+    rows, cols = tuple(f["id"] for f in top["args"]["functions"]), pipeline["column-scoring"]["id"]
+    if unknown := [*(set(rows) - set(SCORERS)), *({cols} - set(COLUMN_SCORERS))]:
+        raise ValueError(f"no scoring function is registered as {', '.join(sorted(unknown))}")
+    return rows, cols
+
+
+def default_functions(*, networks: bool = True, motifs: bool = True) -> tuple[str, ...]:
+    return ("Rows", *(["Networks"] if networks else []), *(["Motifs"] if motifs else []))
 
 
 @dataclass
 class Run:
-    """matrix (gene, cond, value) and memberships; ``folder`` is shared by all executors and holds what each iteration made."""
+    """matrix (gene, cond, value) and what functions need besides; ``folder`` is shared by all executors and has what iterations made.
+
+    edges (network, src, dst, weight); sets (set_type, set_name, gene) with set_weights (set_type, weight); find_motifs gives for a run
+    and an iteration the p-values (cluster, gene, pvalue) of a motif search, and its motifs (see ``motif_tables``) or None.
+    The result tables: row_names, column_names, row_members, column_members, cluster_stats, statstypes, iteration_stats,
+    run_logs, run_infos, best_sets, motif_infos and what belongs to it.
+    """
 
     spark: SparkSession
     matrix: DataFrame
     folder: str
     config: Config
     edges: DataFrame | None = None
+    network_weights: DataFrame | None = None
+    sets: DataFrame | None = None
+    set_weights: DataFrame | None = None
+    find_motifs: Callable[[Run, int], tuple[DataFrame, DataFrame | None]] | None = None
+    seqtype: str = "upstream"
     functions: tuple[str, ...] = ("Rows", "Networks")
+    column_function: str = "Columns"
     log: list[tuple[str, int, int, float]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
-        self.matrix = self._kept(self.matrix.select("gene", "cond", "value"), "matrix")
-        self.genes, self.conds = self.matrix.select("gene").distinct().cache(), self.matrix.select("cond").distinct().cache()
-        k, per_col = default_clusters(self.genes.count(), self.conds.count(), self.config.per_row)
+        self.matrix = self.kept(self.matrix.select("gene", "cond", "value"), "matrix")
+        self.genes, self.conds = (self.kept(self.matrix.select(x).distinct(), f"{x}s") for x in ("gene", "cond"))
+        self.n_genes, self.n_conds = self.genes.count(), self.conds.count()
+        k, per_col = default_clusters(self.n_genes, self.n_conds, self.config.per_row)
         self.config.clusters = self.config.clusters or max(1, k)
         self.config.per_col = self.config.per_col or max(1, min(self.config.clusters, per_col))
+        for table, d, name in (("row_names", self.genes, "gene"), ("column_names", self.conds, "cond")):
+            self.kept(stats.counted(d, name).select(F.col("low").alias("order_num"), F.col(name).alias("name")), table)
         self.cached: dict[str, DataFrame] = {}
+        self.cached_at: dict[str, int] = {}
+        self.means: dict[str, float | None] = {}
+        self.pvalues: DataFrame | None = None
+        self.motifs: DataFrame | None = None
+        self.last_sets, self.last_search, self.logged, self.saved = 0, 0, 0, {0}
+        self.started = datetime.now()
+
+    @classmethod
+    def of_pipeline(cls, pipeline: dict | str, *args: object, **more: object) -> Run:
+        """A run of the functions in a pipeline's JSON (text, or as read)."""
+        rows, cols = functions_of(json.loads(pipeline) if isinstance(pipeline, str) else pipeline)
+        return cls(*args, functions=rows, column_function=cols, **more)
 
-    def _kept(self, df: DataFrame, name: str) -> DataFrame:
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path)
 
+    def forget(self, name: str) -> None:
+        tables.remove(self.spark, f"{self.folder}/{name}")
+
+    def store(self, table: str, df: DataFrame, iteration: int) -> None:
+        """Rows of an iteration in a folder of its own: written again, they replace what was there."""
+        df.write.mode("overwrite").parquet(f"{self.folder}/{table}/iteration={iteration}")
+
     def seed(self) -> None:
         """Rows by k-means, columns where the clusters' columns score best."""
         conds = [r[0] for r in self.conds.orderBy("cond").collect()]
         rows = B.seed_kmeans(self.matrix, self.config.clusters, conds, self.config.seed)
-        self.rows = self._kept(B.padded(rows, self.genes, "gene", self.config.per_row), "rows-0")
-        cols = S.seed_columns(self.matrix, self.rows, self.config.per_col).withColumn("slot", F.col("slot").cast("long"))
-        self.cols = self._kept(B.padded(cols, self.conds, "cond", self.config.per_col), "cols-0")
+        rows = self.kept(rows, "rows-seed")
+        cols = S.seed_columns(self.matrix, rows, self.config.per_col).withColumn("slot", F.col("slot").cast("long"))
+        self.start(rows, cols)
+
+    def start(self, rows: DataFrame, cols: DataFrame) -> None:
+        """From given memberships (gene or cond, slot, cluster)."""
+        self.rows = self.kept(B.padded(rows, self.genes, "gene", self.config.per_row), "rows-start")
+        self.cols = self.kept(B.padded(cols, self.conds, "cond", self.config.per_col), "cols-start")
 
     def resume(self, iteration: int) -> None:
         self.rows, self.cols = (self.spark.read.parquet(f"{self.folder}/{x}-{iteration}") for x in ("rows", "cols"))
+        self.saved.add(iteration)
 
     def _active(self, name: str, iteration: int) -> bool:
         return Schedule(self.config.schedules.get(name, "1,1"))(iteration)
 
-    def scores(self, iteration: int) -> DataFrame | None:
+    def _search(self, iteration: int, force: bool) -> None:
+        if self.find_motifs is None or "Motifs" not in self.functions or not (force or self._active("MEME", iteration)):
+            return
+        pvalues, motifs = self.find_motifs(self, iteration)
+        self.pvalues = self.kept(pvalues.select("cluster", "gene", "pvalue"), f"pvalues-{iteration}")
+        self.motifs = None if motifs is None else self.kept(motifs, f"motifs-{iteration}")
+        for x in ("pvalues", "motifs"):
+            if self.last_search != iteration:
+                self.forget(f"{x}-{self.last_search}")
+        self.last_search = iteration
+
+    def scores(self, iteration: int, force: bool = False) -> DataFrame | None:
         """Combined scores; a function out of schedule stands with its last scores, which are never changed."""
         got = []
+        self._search(iteration, force)
         for name in self.functions:
-            active = self._active(name, iteration)
+            active = force or self._active(name, iteration)
             if active and (s := SCORERS[name](self, iteration)) is not None:
-                self.cached[name] = self._kept(s, f"{name}-{iteration}")
+                before = self.cached_at.get(name)
+                self.cached[name], self.cached_at[name] = self.kept(s, f"{name}-{iteration}"), iteration
+                if before is not None and before != iteration:
+                    self.forget(f"{name}-{before}")
+                mean = MEANS.get(name, lambda run, d: (d.agg(F.sum("score")).first()[0] or 0.0) / max(1, run.n_genes * run.config.clusters))
+                self.means[name] = mean(self, self.cached[name])
             factor = scaling(self.config.scalings.get(name, "1"), self.config.num_iterations)(iteration)
             self.log.append((name, iteration, int(active), factor))
             if name in self.cached:
                 got.append((name, self.cached[name], factor))
+        return self._combined(got)
+
+    def _combined(self, got: list[tuple[str, DataFrame, float]]) -> DataFrame | None:
         if not got:
             return None
         if self.config.quantile:
@@ -101,27 +221,32 @@ class Run:
         (_, first, factor), *others = got
         return S.combine(first, [(s, f) for _, s, f in others], self.rows, factor)
 
-    def step(self, iteration: int) -> None:
-        combined = self.scores(iteration)
-        if self._active("Columns", iteration) or "Columns" not in self.cached:
-            clusters = self.spark.range(1, self.config.clusters + 1).select(F.col("id").alias("cluster"))
-            self.cached["Columns"] = self._kept(S.filled_column_scores(S.column_scores(self.matrix, self.rows), self.conds, clusters, self.cols), f"Columns-{iteration}")
+    def step(self, iteration: int, force: bool = False) -> None:
+        combined = self.scores(iteration, force)
+        if force or self._active("Columns", iteration) or "Columns" not in self.cached:
+            before = self.cached_at.get("Columns")
+            self.cached["Columns"], self.cached_at["Columns"] = self.kept(COLUMN_SCORERS[self.column_function](self), f"Columns-{iteration}"), iteration
+            if before is not None and before != iteration:
+                self.forget(f"Columns-{before}")
+            self.means["Columns"] = self.cached["Columns"].agg(F.avg("score")).first()[0]
         cols, seed = self.cached["Columns"], self.config.seed * 1_000_003 + iteration
         coefficient = fuzzy_coefficient(iteration, self.config.num_iterations)
         if combined is not None:
             if self.config.add_fuzz in ("rows", "both"):
                 combined = S.fuzz(combined, self.rows, "gene", coefficient, seed)
             dense = S.density(combined, self.rows, "gene", rows=True, other=self.cols)
-            sized = S.size_factor(dense, B.counts(self.rows, "gene"), self.genes.count(), self.config.per_row, self.config.clusters, self.config.min_rows)
+            sized = S.size_factor(dense, B.counts(self.rows, "gene"), self.n_genes, self.config.per_row, self.config.clusters, self.config.min_rows)
             rows = B.update(self.rows, sized, "gene", self.config.per_row, rows=True, probability=self.config.prob_row_change, changes=self.config.max_changes_row, seed=seed)
         else:
             rows = self.rows
         if self.config.add_fuzz in ("columns", "both"):
             cols = S.fuzz(cols, self.cols, "cond", coefficient, seed)
-        n = self.conds.count()
+        n = self.n_conds
         sized = S.size_factor(S.density(cols, self.cols, "cond", rows=False, other=self.rows), B.counts(self.cols, "cond"), n, self.config.per_col, self.config.clusters, n / 10)
         new = B.update(self.cols, sized, "cond", self.config.per_col, rows=False, probability=self.config.prob_col_change, changes=self.config.max_changes_col, seed=seed)
-        self.rows, self.cols = self._kept(rows, f"rows-{iteration}"), self._kept(new, f"cols-{iteration}")
+        self.rows, self.cols = self.kept(rows, f"rows-{iteration}"), self.kept(new, f"cols-{iteration}")
+        if iteration - 1 not in self.saved:  # the last iteration's is enough to resume
+            self.forget(f"rows-{iteration - 1}"), self.forget(f"cols-{iteration - 1}")
 
     def stats(self, iteration: int) -> DataFrame:
         """Of each cluster: its size and residual."""
@@ -131,14 +256,54 @@ class Run:
         d = d.join(stats.residual(m, ["cluster"], "gene", "cond"), "cluster", "left")
         return d.select(F.lit(iteration).alias("iteration"), "cluster", "num_rows", F.coalesce("num_cols", F.lit(0)).alias("num_cols"), F.coalesce("residual", F.lit(1.0)).alias("residual"))
 
+    def save_stats(self, iteration: int) -> None:
+        """cluster_stats, and iteration_stats by category and name: fuzzy coefficient, median residual, mean scores of functions, networks and motifs."""
+        clusters = self.kept(self.stats(iteration).drop("iteration"), "stats-now")
+        self.store("cluster_stats", clusters, iteration)
+        main = {"fuzzy_coeff": fuzzy_coefficient(iteration, self.config.num_iterations), "median_residual": stats.quantiles(clusters, "residual", [0.5])[0] or 1.0}
+        rows = [("main", k, v) for k, v in main.items()] + [("scoring", k, v) for k, v in self.means.items()]
+        if self.edges is not None and "Networks" in self.functions:
+            rows += [("network", r["network"], r["mean"]) for r in network_score_means(self.edges, self.rows, self.genes).collect()]  # a row for each network
+        if self.means.get("Motifs") is not None:
+            rows.append(("seqtype", self.seqtype, self.means["Motifs"]))
+        self.store("iteration_stats", self.spark.createDataFrame([(c, n, None if s is None else float(s)) for c, n, s in rows], "category string, name string, score double").coalesce(1), iteration)
+        new, self.logged = self.log[self.logged :], len(self.log)
+        if new:
+            self.store("run_logs", self.spark.createDataFrame([(n, i, a, float(f)) for n, i, a, f in new], "logtype string, at int, active int, scaling double").coalesce(1), iteration)
+        self._info(iteration)
+
+    def save(self, iteration: int) -> None:
+        """Members by their numbers, and the last search's motifs."""
+        self.saved.add(iteration)
+        for table, memb, name, names in (("row_members", self.rows, "gene", "row_names"), ("column_members", self.cols, "cond", "column_names")):
+            numbers = self.spark.read.parquet(f"{self.folder}/{names}").withColumnRenamed("name", name)
+            self.store(table, S.members(memb, name).join(numbers, name).select("cluster", "order_num"), iteration)
+        if self.motifs is not None:
+            numbers = self.spark.read.parquet(f"{self.folder}/row_names")
+            for table, d in motif_tables(self.motifs, iteration, self.seqtype, numbers).items():
+                self.store(table, d, iteration)
+
+    def _info(self, last: int, finished: bool = False) -> None:
+        row = (self.started, datetime.now() if finished else None, self.config.num_iterations, last, self.n_genes, self.n_conds, self.config.clusters)
+        ddl = "start_time timestamp, finish_time timestamp, num_iterations int, last_iteration int, num_rows long, num_columns long, num_clusters int"
+        self.spark.createDataFrame([row], ddl).coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/run_infos")
+
     def run(self, first: int = 1) -> None:
         for i in range(first, self.config.num_iterations + 1):
-            self.step(i)
-            if i == 1 or i % self.config.result_frequency == 0:
-                self.stats(i).write.mode("append").partitionBy("iteration").parquet(f"{self.folder}/cluster_stats")
+            self.step(i, force=first > 1 and i == first)  # what was cached is gone
+            if i == 1 or i % self.config.result_frequency == 0 or i == self.config.num_iterations:
+                self.save(i)
+            if i == 1 or i % self.config.stats_frequency == 0 or i == self.config.num_iterations:
+                self.save_stats(i)
 
     def finish(self) -> None:
-        """Adds each cluster's nearest genes, as iteration num_iterations + 1."""
-        combined = self.scores(self.config.num_iterations)
-        if combined is not None:
-            self.rows = self._kept(B.postadjust(self.rows, S.density(combined, self.rows, "gene", rows=True, other=self.cols), "gene"), f"rows-{self.config.num_iterations + 1}")
+        """Adds each cluster's nearest genes and scores once more, as iteration num_iterations + 1."""
+        last = self.config.num_iterations + 1
+        got = [(n, self.cached[n], scaling(self.config.scalings.get(n, "1"), self.config.num_iterations)(last - 1)) for n in self.functions if n in self.cached]
+        combined = self._combined(got)
+        if combined is not None and self.config.postadjust:
+            self.rows = self.kept(B.postadjust(self.rows, S.density(combined, self.rows, "gene", rows=True, other=self.cols), "gene"), f"rows-{last}")
+            self.scores(last, force=True)
+            self.save(last)
+            self.save_stats(last)
+        self._info(last, finished=True)

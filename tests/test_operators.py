@@ -78,7 +78,7 @@ def test_residual(spark):
 def test_hypergeometric_tail_is_strict(spark):
     d = spark.createDataFrame([(1, 4, 6, 3), (3, 4, 6, 3), (0, 4, 0, 2)], "q int, m int, n int, k int")
     exact = lambda q, m, n, k: sum(math.comb(m, x) * math.comb(n, k - x) / math.comb(m + n, k) for x in range(q + 1, min(m, k) + 1) if k - x <= n)
-    got = stats.hypergeometric_tail(d, "q", "m", "n", "k", 10).collect()
+    got = stats.hypergeometric_tail(d, "q", "m", "n", "k").collect()
     assert [r["pvalue"] for r in got] == [pytest.approx(exact(r["q"], r["m"], r["n"], r["k"])) for r in got]
 
 
@@ -202,11 +202,11 @@ def test_operons(spark):
 def test_enrichment(spark):
     rows = spark.createDataFrame([(i, 0, 1) for i in (1, 2, 3)], "gene long, slot long, cluster long")
     sets = spark.createDataFrame([("t", "b", 1), ("t", "b", 2), ("t", "b", 9), ("t", "a", 3), ("t", "a", 8), ("t", "c", 7)], "set_type string, set_name string, gene long")
-    best = enrichment.best_sets(rows, sets, 10).first()
+    best = enrichment.best_sets(rows, sets).first()
     p = math.comb(3, 3) / math.comb(6, 3)
     assert (best["set_name"], best["pvalue"]) == ("b", pytest.approx(p))
     damp = math.log10(p) / math.log10(0.05 / 4)
-    got = {r["gene"]: r["score"] for r in enrichment.scores(rows, sets, 4, -2.0, 10).collect()}
+    got = {r["gene"]: r["score"] for r in enrichment.scores(rows, sets, 4, -2.0).collect()}
     assert got == {1: pytest.approx(-2 / damp), 2: pytest.approx(-2 / damp), 9: pytest.approx(-1 / damp)}
 
 

@@ -1,14 +1,15 @@
 """Readers, writers, configuration and the loop; files of the fixtures are read where they exist."""
 
 import gzip
+import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import scoring
+from tessera.operators import enrichment, scoring
 from tessera.plans.config import Config, Schedule, default_clusters, fuzzy_coefficient, scaling, vector
-from tessera.plans.run import Run
+from tessera.plans.run import Run, functions_of
 from tessera.sources import motifs, text, writers
 from tessera.streaming import monitor
 
@@ -200,10 +201,13 @@ MEMBERS, BANDWIDTH = [1, 2, 3], 0.786828704721797
 DENSITY = [0.18467792824393023, 0.20242802043706126, 0.14903394703069142, 0.24940650529450745, 0.21445359899380953]
 
 
-def test_density_is_that_of_r():
-    x = np.array(SCORES)
-    got = scoring.kde(x[MEMBERS], x, BANDWIDTH, x.min() - 1, x.max() + 1)
-    assert abs(got - np.array(DENSITY)).max() < 1e-11
+def test_density_is_that_of_r(spark):
+    cells = [(i, 1, x) for i, x in enumerate(SCORES)] + [(0, 2, min(SCORES)), (1, 2, min(SCORES) + 100 * BANDWIDTH)]
+    d = spark.createDataFrame(cells, "cond long, cluster long, score double")
+    memb = spark.createDataFrame([(i, 0, 1) for i in MEMBERS], "cond long, slot long, cluster long")
+    got = {(r["cluster"], r["cond"]): r["score"] for r in scoring.density(d, memb, "cond", rows=False).collect()}
+    assert [got[1, i] for i in range(5)] == [pytest.approx(x, abs=1e-11) for x in DENSITY]
+    assert got[2, 0] == got[2, 1] == 0.5  # without members
 
 
 def test_run(spark, tmp_path):
@@ -218,11 +222,59 @@ def test_run(spark, tmp_path):
     run.finish()
     assert run.rows.filter("slot < 2").groupBy("gene").count().filter("count <> 2").count() == 0
     got = spark.read.parquet(str(tmp_path / "run/cluster_stats"))
-    assert got.select("iteration").distinct().count() == 2 and got.filter("residual < 0").count() == 0
+    assert got.select("iteration").distinct().count() == 3 and got.filter("residual < 0").count() == 0
     q = monitor.residuals(spark, str(tmp_path / "run/cluster_stats")).writeStream.format("memory").queryName("live").outputMode("complete").start()
     q.processAllAvailable()
     q.stop()
-    assert spark.table("live").count() == 2
+    assert spark.table("live").count() == 3
+
+
+PIPELINE = {
+    "row-scoring": {"id": "combiner", "function": {"module": "x", "class": "ScoringFunctionCombiner"}, "args": {"functions": [{"id": x, "function": {}} for x in ("Rows", "Networks", "Motifs", "SetEnrichment")]}},
+    "column-scoring": {"id": "Columns", "function": {}},
+}
+
+
+def test_run_of_a_pipeline_stores_its_results(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x = np.repeat([[2, 2, 2, -2, -2, -2], [-2, -2, -2, 2, 2, 2]], 8, axis=0) + rng.normal(0, 0.3, (16, 6))
+    m = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(16) for j in range(6)], "gene long, cond long, value double")
+    edges = spark.createDataFrame([(n, i, i + 1, 1.0) for n in ("a", "b") for i in range(15)], "network string, src long, dst long, weight double")
+    sets = spark.createDataFrame([("t", f"s{i % 2}", i) for i in range(12)], "set_type string, set_name string, gene long")
+    searched = []
+
+    def find(run, iteration):
+        searched.append(iteration)
+        motif = "cluster long, motif_num int, evalue double, pssm array<array<double>>, annotations array<struct<gene:long,position:int,reverse:boolean,pvalue:double>>, sites array<struct<name:string,reverse:boolean,start:int,pvalue:double,left:string,seq:string,right:string>>"
+        found = [(1, 1, 0.5, [[1.0, 0.0, 0.0, 0.0], [0.25] * 4], [(3, 7, True, 0.01), (99, 1, False, 0.5)], [("g3", False, 4, 0.02, "AC", "GT", "")])]
+        return spark.createDataFrame([(1, 3, 0.001), (2, 4, 0.0)], "cluster long, gene long, pvalue double"), spark.createDataFrame(found, motif)
+
+    c = Config(num_iterations=3, clusters=3, per_col=2, result_frequency=2, stats_frequency=1, schedules={"Rows": "1,1", "MEME": "1,2", "Networks": "2,2"})
+    folder = str(tmp_path / "run")
+    run = Run.of_pipeline(json.dumps(PIPELINE), spark, m, folder, c, edges=edges, sets=sets, find_motifs=find)
+    assert run.functions == ("Rows", "Networks", "Motifs", "SetEnrichment")
+    run.start(m.select("gene").distinct().select("gene", F.lit(0).cast("long").alias("slot"), (F.col("gene") % 3 + 1).alias("cluster")), m.select("cond").distinct().select("cond", F.lit(0).cast("long").alias("slot"), (F.col("cond") % 3 + 1).alias("cluster")))
+    run.run()
+    run.finish()
+    table = lambda t: spark.read.parquet(f"{folder}/{t}")
+    assert searched == [1, 3, 4]
+    assert {r[0] for r in table("row_members").select("iteration").distinct().collect()} == {1, 2, 3, 4}
+    stats = {(r["iteration"], r["category"], r["name"]): r["score"] for r in table("iteration_stats").collect()}
+    assert stats[1, "main", "fuzzy_coeff"] == pytest.approx(fuzzy_coefficient(1, 3)) and {(2, "network", "a"), (2, "scoring", "SetEnrichment"), (3, "main", "median_residual"), (2, "seqtype", "upstream")} <= set(stats)
+    logs = {(r["logtype"], r["at"]): r["active"] for r in table("run_logs").collect()}
+    assert (logs["Networks", 1], logs["Networks", 2], logs["Networks", 3]) == (0, 1, 0) and ("Rows", 4) in logs
+    info = table("run_infos").first()
+    assert (info["last_iteration"], info["num_rows"], info["num_clusters"]) == (4, 16, 3) and info["finish_time"] is not None
+    assert table("motif_pssm_rows").filter("iteration = 4").count() == 2 and table("meme_motif_sites").filter("iteration = 4").first()["seq"] == "GT"
+    assert [(r["gene_num"], r["position"]) for r in table("motif_annotations").filter("iteration = 4").collect()] == [(3, 7)]
+    best = table("best_sets")
+    assert best.filter("iteration = 2").count() == best.filter("iteration = 2").select("cluster").distinct().count() > 0
+    line = enrichment.best_set_lines(best, 3, "set_name").filter("iteration = 2").first()["line"]
+    assert line.startswith("2,") and line.count(",") == 3
+    left = {f.name for f in (tmp_path / "run").iterdir()}
+    assert {"rows-1", "rows-2", "rows-3", "rows-4", "Rows-4", "Motifs-4"} <= left and not {"Rows-1", "Rows-2", "pvalues-1"} & left
+    with pytest.raises(ValueError, match="Other"):
+        functions_of({**PIPELINE, "column-scoring": {"id": "Other"}})
 
 
 def test_writers(spark, tmp_path):
