@@ -83,6 +83,15 @@ def submatrix(m: DataFrame, rows: DataFrame | None = None, cols: DataFrame | Non
     return m if cols is None else m.join(cols.select(col).distinct(), col, "left_semi")
 
 
+def row_values(m: DataFrame, name: object, row: str = "row", col: str = "col", value: str = "value") -> DataFrame:
+    """One row's cells; the filter is on a stored column, so it reaches the scan."""
+    return m.filter(F.col(row) == F.lit(name)).select(col, value)
+
+
+def column_values(m: DataFrame, name: object, row: str = "row", col: str = "col", value: str = "value") -> DataFrame:
+    return m.filter(F.col(col) == F.lit(name)).select(row, value)
+
+
 def index_of(names: DataFrame, wanted: DataFrame, name: str = "name", index: str = "index") -> DataFrame:
     """Positions of wanted names, -1 for unknown ones."""
     return wanted.join(names.select(name, index), name, "left").withColumn(index, F.coalesce(index, F.lit(-1)))

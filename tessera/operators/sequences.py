@@ -51,7 +51,7 @@ def unique_sequences(seqs: DataFrame, by: str = "cluster") -> DataFrame:
 
 def concrete(seq: Column) -> Column:
     """Degenerate letters as the first base they stand for; white space gone at the ends."""
-    return F.translate(F.trim(F.upper(seq)), "".join(DEGENERATE), "".join(DEGENERATE.values()))
+    return F.translate(F.regexp_replace(F.upper(seq), r"^\s+|\s+$", ""), "".join(DEGENERATE), "".join(DEGENERATE.values()))
 
 
 def all_kmers(spark: SparkSession, k: int) -> DataFrame:

@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 import json
+import os
+import shutil
+import urllib.request
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.matrix import no_nan
+from ..operators.matrix import center_scale, no_nan, nochange_filter
+from ..operators.names import patched
+from ..operators.networks import exponential, renamed
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
@@ -39,16 +44,28 @@ def _literal(sep: str) -> str:
 
 
 def matrix(spark: SparkSession, path: str, sep: str = "\t", *, quote: str = '"', case_sensitive: bool = True, missing: str = "NA") -> DataFrame:
-    """(row, col, value) of a table whose first column names the rows, whatever its header says."""
+    """(row, col, value) of a table whose first column names the rows, whatever its header calls it, or if it has no name there."""
     if path.startswith(("http://", "https://")):
         raise ValueError("stage the file first")
-    w = spark.read.csv(path, sep=sep, quote=quote, header=True, nullValue=missing)
-    name, *cols = w.columns
+    head = [r["value"].split(sep) for r in spark.read.text(path).limit(2).collect()]
+    cols = [x.strip(quote) for x in head[0]] if head else []
+    cols = cols if len(head) < 2 or len(head[1]) > len(cols) else cols[1:]
+    name = "_row" if "_row" not in cols else "__row"
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in (name, *cols))
+    w = spark.read.csv(path, sep=sep, quote=quote, header=True, nullValue=missing, schema=schema, enforceSchema=True)
     row = F.col(f"`{name}`") if case_sensitive else F.upper(f"`{name}`")
     w = w.select(row.alias("row"), *[F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c) for c in cols])
     return no_nan(w.unpivot("row", cols, "col", "value"))
 
 
+def ratios(spark: SparkSession, path: str, sep: str = "\t", *, normalise: bool = True, resumed: bool = False, **options: object) -> DataFrame:
+    """A run's matrix: without rows and columns in which nothing changes, its rows centred and scaled; one that is resumed was filtered before."""
+    m = matrix(spark, path, sep, **options)
+    if not normalise:
+        return m
+    return center_scale(m if resumed else nochange_filter(m)).select("row", "col", "value")
+
+
 def memberships(spark: SparkSession, path: str, sep: str = " ", name: str = "gene") -> DataFrame:
     """(name, slot, cluster) of lines with a quoted name and its clusters, apart by ``sep`` or colons."""
     d = delimited(spark, path, sep, quote='"').withColumn("all", F.flatten(F.transform(F.slice("fields", 2, 1 << 20), lambda x: F.split(x, ":"))))
@@ -83,6 +100,33 @@ def features(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(field("id").alias("id"), field("type").alias("type"), field("name").alias("name"), field("contig").alias("contig"), pos("start_pos").alias("start"), pos("end_pos").alias("end"), (field("strand") == "R").alias("reverse"))
 
 
+def contig(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """(contig, seq) of a file of sequence lines without a header."""
+    whole = spark.read.text(path, wholetext=True)
+    return whole.select(F.lit(name).alias("contig"), F.upper(F.regexp_replace("value", r"\s", "")).alias("seq"))
+
+
+def rsat(spark: SparkSession, folder: str, feature: str = "feature") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An organism's staged files: its features (CDS), synonyms (alias, original), and the contigs that its features are on."""
+    own = features(spark, f"{folder}/{feature}.tab")
+    names = delimited(spark, f"{folder}/{feature}_names.tab", comment="--").select(F.trim(F.get("fields", F.lit(1))).alias("alias"), F.trim(F.get("fields", F.lit(0))).alias("original"), "line")
+    names = names.groupBy("alias").agg(F.max_by("original", F.struct("line", "original")).alias("original"))
+    contigs = None
+    for r in own.select("contig").distinct().collect():  # an organism has a few
+        c = contig(spark, f"{folder}/{r['contig']}.tab", r["contig"])
+        contigs = c if contigs is None else contigs.unionByName(c)
+    return own, names, contigs if contigs is not None else spark.createDataFrame([], "contig string, seq string")
+
+
+def fetched(url: str, path: str) -> str:
+    """A local copy of what a URL names, fetched by the driver unless it is there already (a small file of names or predictions)."""
+    if not os.path.exists(path):
+        with urllib.request.urlopen(url) as source, open(f"{path}.part", "wb") as out:
+            shutil.copyfileobj(source, out)
+        os.replace(f"{path}.part", path)
+    return path
+
+
 def operon_predictions(spark: SparkSession, path: str) -> DataFrame:
     """(src, dst) that are predicted to be in one operon."""
     return spark.read.csv(path, sep="\t", header=True).filter("bOp = 'TRUE'").select(F.col("SysName1").alias("src"), F.col("SysName2").alias("dst"))
@@ -96,6 +140,16 @@ def string_network(spark: SparkSession, path: str, sep: str = "\t", prefix: str
     return d.select(F.lit("string").alias("network"), "src", "dst", "weight", F.monotonically_increasing_id().alias("line"))
 
 
+def string_edges(spark: SparkSession, path: str, organism: str, thesaurus: DataFrame, genes: DataFrame, *, sep: str = "\t", prefix: str | None = None, scale: bool = True) -> DataFrame:
+    """An organism's network of a file, ready to score: its spellings put right, edges between genes of the matrix under their row names.
+
+    Weights are scaled by the largest one of the whole file, whether its edge is kept or not.
+    """
+    d = string_network(spark, path, sep, prefix)
+    d = d.withColumn("src", patched(organism, F.col("src"))).withColumn("dst", patched(organism, F.col("dst")))
+    return renamed(exponential(d) if scale else d, thesaurus, genes, check_size=False)
+
+
 def taxonomy(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
     return spark.read.csv(path, sep="\t", comment="#", schema=", ".join(f"{n} string" for n in names))
 

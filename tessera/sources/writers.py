@@ -25,7 +25,8 @@ def write_matrix(m: DataFrame, path: str, cols: list, *, row: str = "row", col:
     fields = [F.coalesce(F.format_string("%.17f", F.col("c")[str(c)]), F.lit("NA")) for c in cols]
     body = cells.select(F.col(row).cast("string").alias("_k"), F.concat_ws("\t", F.col(row).cast("string"), *fields).alias("value"))
     head = m.sparkSession.range(1).select(F.lit("").alias("_k"), F.lit("\t".join(map(str, cols))).alias("value"))
-    body.unionByName(head).orderBy("_k").select("value").write.text(path, compression="gzip" if gzip else "none")
+    lines = body.unionByName(head).orderBy(F.col("_k") != "", "_k").select("value")
+    lines.coalesce(1).write.text(path, compression="gzip" if gzip else "none")  # one file, as its readers expect
 
 
 def write_fasta(seqs: DataFrame, path: str) -> None:
@@ -33,7 +34,7 @@ def write_fasta(seqs: DataFrame, path: str) -> None:
 
 
 def write_memberships(memb: DataFrame, path: str, name: str) -> None:
-    packed(memb, name).orderBy(name).select(F.concat_ws("\t", F.col(name).cast("string"), "clusters")).write.text(path)
+    packed(memb, name).orderBy(name).select(F.concat_ws("\t", F.col(name).cast("string"), "clusters")).coalesce(1).write.text(path)
 
 
 def background_lines(freqs: DataFrame, order: int) -> DataFrame:
@@ -74,3 +75,26 @@ def matrix_parts(m: DataFrame, parts: int, least: int, most: int, *, col: str =
 
     picks = cols.crossJoin(F.broadcast(draws)).withColumn("_r", F.row_number().over(W.partitionBy("part").orderBy(F.xxhash64("part", col, F.lit(seed + 1)), col)))
     return m.join(picks.filter("_r <= _k").select("part", col), col)
+
+
+def weeder_tables(pssms: DataFrame) -> DataFrame:
+    """The two texts of each motif (cluster, motif_num, evalue, pssm, sites): its matrix behind a line of its length, e-value and genes with a
+    site, and its sites, numbered."""
+    rows = F.array_join(F.transform("pssm", lambda r: F.format_string("%f,%f,%f,%f", r[0], r[1], r[2], r[3])), "\n")
+    genes = F.size(F.array_distinct(F.transform("sites", lambda x: x["name"])))
+    first = F.concat(F.format_string("%d,NA,%f,%d\n", F.size("pssm"), F.col("evalue"), genes), rows)
+    site = lambda x, i: F.format_string("%d,%s,%s,%d,%f,%s", i + 1, x["name"], F.when(x["reverse"], "-").otherwise("+"), x["start"], x["pvalue"], x["seq"])
+    second = F.concat(F.lit(",gene,strand,start,p.value,site\n"), F.array_join(F.transform("sites", site), "\n"))
+    return pssms.select("cluster", "motif_num", first.alias("f1"), second.alias("f2"))
+
+
+def sequence_lines(seqs: DataFrame, sep: str = ",") -> DataFrame:
+    """Lines of ids and sequences for a table."""
+    return seqs.select(F.concat_ws(sep, F.col("id").cast("string"), F.col("seq")).alias("value"))
+
+
+def pssm_lines(rows: DataFrame) -> DataFrame:
+    """One text a motif, a line for each position, for comparison by eye."""
+    line = F.format_string("%.3f %.3f %.3f %.3f", *[F.col(x).cast("double") for x in "acgt"])
+    d = rows.groupBy("motif_info_id").agg(F.sort_array(F.collect_list(F.struct("pos", line.alias("t")))).alias("l"))
+    return d.select("motif_info_id", F.array_join(F.transform("l", lambda x: x["t"]), "\n").alias("value"))
