@@ -43,19 +43,34 @@ def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in batches if b.num_rows)
 
 
-def words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words between ASCII white space of UTF-8 texts, A-Z lower-cased: the distinct ones, the place of
+def valid(texts: pa.Array) -> pa.Array:
+    """The binary texts with what is no UTF-8 in them as U+FFFD."""
+    try:
+        texts.cast(pa.large_binary()).cast(pa.large_string())
+        return texts
+    except pa.ArrowInvalid:
+        return pa.array([x.decode("utf-8", "replace").encode() for x in texts.to_pylist()], texts.type)
+
+
+def split_words(texts: pa.Array, *, lower: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Words between ASCII white space of UTF-8 texts, A-Z lower-cased if asked: the distinct ones, the place of
     each word among them, and how many words each text has."""
-    split = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_binary()).view(pa.large_string())))
+    texts = texts.cast(pa.large_binary()).view(pa.large_string())
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts) if lower else texts)
     found = split.flatten().dictionary_encode()
-    distinct = found.dictionary.cast(pa.large_binary()).to_pylist()
+    distinct = found.dictionary.view(pa.large_binary())
     index = found.indices.to_numpy()
     counts = split.value_lengths().to_numpy().astype(np.int64)
-    if b"" in distinct:  # at the ends of a text, or all of it
-        empty = distinct.index(b"")
+    empty = pc.index(distinct, pa.scalar(b"", pa.large_binary())).as_py()
+    if empty >= 0:  # at the ends of a text, or all of it
         real = index != empty
         counts = np.diff(np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(counts)])])
         index = index[real]
         index = index - (index > empty)
-        del distinct[empty]
+        distinct = pa.concat_arrays([distinct[:empty], distinct[empty + 1 :]])
     return distinct, index, counts
+
+
+def words(texts: pa.Array) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    distinct, index, counts = split_words(texts)
+    return distinct.to_pylist(), index, counts

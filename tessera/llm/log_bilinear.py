@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,13 +22,17 @@ from .ppm_language import crc_remainder
 SYMBOLS, OFTEN, MOST = 1024, 100, 4096
 #: Dimensions, noise words of a step, positions of a step.
 DIMENSIONS, NOISE, STEP = 24, 128, 1024
+#: Positions of a shard, about, over which one task descends.
+SHARD = 1 << 20
 #: Rounds that share all training texts, each of which trains once; Adagrad's rate.
 ROUNDS, RATE = 2, 0.1
 #: Words whose counts every task knows; the others' counts are joined. Words a task counts before it passes them on.
 FREQUENT, HELD = 150_000, 400_000
 END, RARE = 0, 1
+NO_ID = 2
 CHUNK = 1 << 16
-PART = 64  # parameters in a row of an average
+PART, FAN = 4096, 64  # parameters in a row of an average, and shards that one task averages
+PARAMETERS_DDL = "part int, shard int, n long, x binary"
 
 
 @dataclass
@@ -61,7 +66,7 @@ class Model:
             at += x.size
         return Model(*out)
 
-    def train(self, triples: np.ndarray, share: np.ndarray, seed: int) -> None:
+    def train(self, triples: np.ndarray, share: np.ndarray, seed: int | list[int]) -> None:
         """One pass over rows of (v, u, w), telling each w from NOISE words drawn by ``share``."""
         rng = np.random.default_rng(seed)
         triples = triples[rng.permutation(len(triples))]
@@ -70,12 +75,12 @@ class Model:
         sums = [np.full(x.shape, 1e-6, np.float32) for x in self.parts()]
         k = len(share)
 
-        def gather(at: np.ndarray, rows: np.ndarray) -> np.ndarray:
-            out = np.zeros((k, rows.shape[1]), np.float32)
+        def gather(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Places that occur, and the sums of their rows."""
             order = np.argsort(at, kind="stable")
-            own, first = np.unique(at[order], return_index=True)
-            out[own] = np.add.reduceat(rows[order], first, axis=0)
-            return out
+            sorted_ = at[order]
+            first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
+            return sorted_[first], np.add.reduceat(rows[order], first, axis=0)
 
         for i in range(0, len(triples), STEP):
             v, u, w = triples[i : i + STEP].T.astype(np.int64)
@@ -86,15 +91,21 @@ class Model:
             real = np.einsum("ij,ij->i", q, tw) + self.bias[w] - log_noise[w]
             fake = q @ tn.T + self.bias[noise] - log_noise[noise]
             a = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # raises the score of what is there
-            b = -1 / (1 + np.exp(np.clip(-fake, -30, 30)))
+            np.clip(fake, -30, 30, out=fake)
+            np.negative(fake, out=fake)
+            np.exp(fake, out=fake)
+            fake += 1
+            b = np.divide(-1, fake, out=fake)
             dq = a[:, None] * tw + b @ tn
-            dt = gather(np.concatenate([w, noise]), np.concatenate([a[:, None] * q, b.T @ q]))
+            dt = gather(np.concatenate([w, noise]), np.concatenate([np.column_stack([a[:, None] * q, a]), np.column_stack([b.T @ q, b.sum(axis=0)])]))
             dc = gather(np.concatenate([u, v]), np.concatenate([dq @ self.near.T, dq @ self.far.T]))
-            db = np.bincount(np.concatenate([w, noise]), np.concatenate([a, b.sum(axis=0)]), k).astype(np.float32)
-            for x, g, s in zip(self.parts(), (dc, dt, cu.T @ dq, cv.T @ dq, db), sums, strict=True):
+            everything = slice(None)
+            steps = ((self.context, dc[0], dc[1]), (self.target, dt[0], dt[1][:, :-1]), (self.near, everything, cu.T @ dq), (self.far, everything, cv.T @ dq), (self.bias, dt[0], dt[1][:, -1]))
+            for (x, at, g), s in zip(steps, sums, strict=True):  # rows that don't occur have no gradient and stay
                 g = g / np.float32(len(w))
-                s += g * g
-                x += np.float32(RATE) * g / np.sqrt(s)
+                now = s[at] + g * g
+                s[at] = now
+                x[at] += np.float32(RATE) * g / np.sqrt(now)
 
     def normalise(self) -> Model:
         """Log of the sum over all symbols for every two words before, by matrix products."""
@@ -121,29 +132,82 @@ class Model:
         return out
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words and their counts, the end as the empty word; summed here as far as memory is bounded."""
-    held: dict[bytes, int] = {}
+WORDS_DDL = "ids binary, keys binary, learn binary, counts binary, index binary, lengths binary, words binary"
+WORDS = pa.schema([(n, pa.binary()) for n in ("ids", "keys", "learn", "counts", "index", "lengths", "words")])
+
+
+def _narrow(distinct: int) -> str:
+    return "<u2" if distinct <= 1 << 16 else "<u4"
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        keys, counts = list(held), list(held.values())
-        for i in range(0, len(keys), 16384):
-            yield pa.RecordBatch.from_arrays([pa.array(keys[i : i + 16384], pa.binary()), pa.array(counts[i : i + 16384], pa.int64())], ["word", "n"])
-        held.clear()
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row a batch of texts, packed: ids, keys, whether to learn from it (NO_ID without an id), how many words each text has, each
+    word's place among the distinct ones, and those."""
     for b in arrow.full(batches):
-        distinct, index, _ = arrow.words(b.column(0))
-        for word, n in zip(distinct, np.bincount(index, minlength=len(distinct)).tolist(), strict=True):
-            held[word] = held.get(word, 0) + n
-        held[b""] = held.get(b"", 0) + b.num_rows
-        if len(held) > HELD:
-            yield from flush()
-    yield from flush()
+        distinct, index, counts = arrow.split_words(b.column(3))
+        lengths = pc.binary_length(distinct).to_numpy().astype("<u4")
+        learn = b.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
+        learn[b.column(0).is_null().to_numpy(zero_copy_only=False)] = NO_ID
+        packed = (b.column(0).fill_null(0).to_numpy(), b.column(1).to_numpy(), learn, counts.astype("<u4"), index.astype(_narrow(len(distinct))), lengths)
+        yield arrow.batch(WORDS, **{n: [x.tobytes()] for n, x in zip(WORDS.names, packed, strict=False)}, words=[b"".join(distinct.to_pylist())])
 
 
-def _sequence(distinct: list[bytes], index: np.ndarray, counts: np.ndarray, symbol: dict[bytes, int]) -> tuple[np.ndarray, ...]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
+    """Ids, keys, whether learned from, distinct words, places of the words, and how many each text has."""
+    for b in arrow.full(batches):
+        for i in range(b.num_rows):
+            kinds = ("<i8", "<i8", "u1", "<u4", _narrow(len(b.column(5)[i].as_buffer()) // 4), "<u4")
+            ids, keys, learn, counts, index, lengths = (np.frombuffer(c[i].as_buffer(), kind) for c, kind in zip(b.columns, kinds, strict=False))
+            ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+            distinct = pa.Array.from_buffers(pa.large_binary(), len(lengths), [None, pa.py_buffer(ends), b.column(6)[i].as_buffer()])
+            yield pa.array(ids, mask=learn == NO_ID), keys, learn == 1, distinct, index, counts.astype(np.int64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of training texts and their counts, the end as the empty word; summed here as far as memory is bounded."""
+    words, counts_, size, ends = [], [], 0, 0
+
+    def summed() -> Iterator[pa.RecordBatch]:
+        t = pa.table({"word": pa.chunked_array(words, pa.large_binary()), "n": pa.chunked_array(counts_, pa.int64())}).group_by("word").aggregate([("n", "sum")])
+        for x in t.to_batches(max_chunksize=16384):
+            yield pa.RecordBatch.from_arrays([x.column("word").cast(pa.binary()), x.column("n_sum")], ["word", "n"])
+        words.clear(), counts_.clear()
+
+    for _, _, learn, distinct, index, counts in _rows(batches):
+        n = np.bincount(index[np.repeat(learn, counts)], minlength=len(distinct))
+        own = np.flatnonzero(n)
+        words.append(distinct.take(pa.array(own))), counts_.append(pa.array(n[own], pa.int64()))
+        ends += int(learn.sum())
+        size += len(own)
+        if size > HELD:
+            yield from summed()
+            size = 0
+    if ends:
+        words.append(pa.array([b""], pa.large_binary())), counts_.append(pa.array([ends], pa.int64()))
+    if words:
+        yield from summed()
+
+
+class Lexicon:
+    """Frequent words in falling order of their counts, the first ``inner`` of which are symbols of their own, from 2 on."""
+
+    def __init__(self, words: pa.Array, counts: np.ndarray):
+        own = pc.not_equal(words, pa.scalar(b"", words.type))
+        self.words, self.counts = words.filter(own), counts[own.to_numpy(zero_copy_only=False)]
+        self.end = int(counts.sum() - self.counts.sum())  # counts of the end, the empty word
+        often = int((self.counts >= OFTEN).sum())
+        self.inner = min(len(self.words), max(SYMBOLS - 2, min(MOST - 2, often)))
+
+    def places(self, distinct: pa.Array) -> np.ndarray:
+        """Of each word its place, -1 if it isn't frequent."""
+        return pc.index_in(distinct, value_set=self.words).fill_null(-1).to_numpy()
+
+    def symbols(self, places: np.ndarray) -> np.ndarray:
+        return np.where((places >= 0) & (places < self.inner), places + 2, RARE)
+
+
+def _sequence(number: np.ndarray, index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Symbols of all texts, each closed by the end, with the two before each and where each text starts."""
-    number = np.fromiter((symbol.get(w, RARE) for w in distinct), np.int64, len(distinct))
     w = np.insert(number[index], np.cumsum(counts), END)
     u, v = np.concatenate([[END], w[:-1]]), np.concatenate([[END, END], w[:-2]])[: len(w)]
     first = np.concatenate([[0], np.cumsum(counts + 1)])
@@ -151,26 +215,17 @@ def _sequence(distinct: list[bytes], index: np.ndarray, counts: np.ndarray, symb
     return v, u, w, first
 
 
-def _vocabulary(counts_of: dict[bytes, int]) -> dict[bytes, int]:
-    """Symbols of the end and of the frequent words, whose counts come in falling order."""
-    symbol = {b"": END}
-    for word, n in counts_of.items():
-        if word and len(symbol) < (MOST if n >= OFTEN else SYMBOLS) - 1:
-            symbol[word] = len(symbol) + 1
-    return symbol
-
-
 def _symbols(shared: Broadcast):
-    """All texts as symbols, each closed by the end, dealt to the rounds by their hash."""
+    """Each training text as symbols, closed by the end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        symbol = shared.value
-        for b in arrow.full(batches):
-            _, _, w, first = _sequence(*arrow.words(b.column(0)), symbol)
-            turns = np.array([xxhash.xxh3_64_intdigest(x) % ROUNDS for x in b.column(0).to_pylist()])
-            of = np.repeat(turns, np.diff(first))
-            for turn in np.unique(turns).tolist():
-                yield pa.RecordBatch.from_arrays([pa.array([turn], pa.int32()), pa.array([w[of == turn].astype("<u2").tobytes()], pa.binary())], ["turn", "symbols"])
+        lexicon = shared.value
+        for _, keys, learn, distinct, index, counts in _rows(batches):
+            _, _, w, first = _sequence(lexicon.symbols(lexicon.places(distinct)), index, counts)
+            w = w.astype("<u2")
+            own = np.flatnonzero(learn)
+            symbols = [w[first[i] : first[i + 1]].tobytes() for i in own.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[own]), pa.array(symbols, pa.binary())], ["key", "symbols"])
 
     return run
 
@@ -183,34 +238,58 @@ def _triples(w: np.ndarray) -> np.ndarray:
 
 
 def _train(shared: Broadcast, turn: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each shard, whose texts come in the order of their keys, the parameters after a descent over them."""
+
+    def descent(shard: int, texts: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
         start, share = shared.value
-        model = start.filled(start.flat())
-        seen, held, size = 0, [], 0
+        model, seen, held, size = start.filled(start.flat()), 0, [], 0
 
         def step() -> None:
-            model.train(_triples(np.concatenate(held)), share, turn * 1_000_003 + seen)
+            model.train(_triples(np.concatenate(held)), share, [turn, shard, seen])
             held.clear()
 
-        for b in arrow.full(batches):
-            for x in b.column(0).to_pylist():
-                t = np.frombuffer(x, "<u2")
-                held.append(t)
-                size, seen = size + len(t), seen + len(t)
-                if size >= 1 << 21:
-                    step()
-                    size = 0
+        for x in texts:
+            t = np.frombuffer(x, "<u2")
+            held.append(t)
+            size, seen = size + len(t), seen + len(t)
+            if size >= 1 << 21:
+                step()
+                size = 0
         if held:
             step()
-        if seen:
-            flat = model.flat()
-            flat = np.pad(flat, (0, -len(flat) % PART)).reshape(-1, PART)
-            rows = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, PART, dtype=np.int32)), pa.array(flat.ravel(), pa.float32()))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(np.full(len(flat), seen, np.int64)), rows], ["part", "n", "x"])
+        flat = model.flat().astype("<f8")
+        parts = [flat[i : i + PART].tobytes() for i in range(0, len(flat), PART)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(parts), dtype=np.int32)), pa.array(np.full(len(parts), shard, np.int32)), pa.array(np.full(len(parts), seen, np.int64)), pa.array(parts, pa.binary())], ["part", "shard", "n", "x"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (x for b in arrow.full(batches) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        for shard, own in itertools.groupby(rows, key=lambda x: x[0]):
+            yield from descent(shard, (x for _, x in own))
 
     return run
 
 
+def _mean(rows: pa.Table) -> pa.Table:
+    """One part's mean over a group of shards in the order of their numbers, weighted by positions."""
+    rows = rows.sort_by("shard")
+    n = rows["n"].to_numpy()
+    total = np.zeros(len(rows["x"][0].as_py()) // 8)
+    for k, x in zip(n.tolist(), rows["x"].to_pylist(), strict=True):
+        total += k * np.frombuffer(x, "<f8")
+    return pa.table({"part": rows["part"][:1], "shard": pa.array([rows["shard"][0].as_py() // FAN], pa.int32()), "n": pa.array([int(n.sum())]), "x": pa.array([(total / n.sum()).astype("<f8").tobytes()], pa.binary())})
+
+
+def _averaged(got: DataFrame, shards: int) -> np.ndarray | None:
+    """Mean of the shards' parameters, FAN shards at a time, so that no task has more of them; in the order of the shards, so the same each time."""
+    while True:
+        got = got.withColumn("_g", F.floor(F.col("shard") / FAN)).groupBy("part", "_g").applyInArrow(lambda _, rows: _mean(rows), PARAMETERS_DDL)
+        shards = -(-shards // FAN)
+        if shards == 1:
+            break
+    rows = got.toArrow().sort_by("part")
+    return np.concatenate([np.frombuffer(x, "<f8") for x in rows["x"].to_pylist()]) if rows.num_rows else None
+
+
 SCORED = pa.schema([
     ("chunk", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()),
     ("n_rare", pa.int64()), ("rare_logs", pa.float64()), ("model", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())),
@@ -220,27 +299,28 @@ SCORED_DDL = "chunk long, row long, doc_id long, n_tokens long, n_known long, lo
 
 def _score(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, symbol, counts_of = shared.value
+        model, lexicon = shared.value
         chunk, row = uuid.uuid4().int >> 65, 0
-        for b in arrow.full(batches):
-            distinct, index, counts = arrow.words(b.column(1))
-            v, u, w, first = _sequence(distinct, index, counts, symbol)
+        for ids, _, _, distinct, index, counts in _rows(batches):
+            places = lexicon.places(distinct)
+            number = lexicon.symbols(places)
+            v, u, w, first = _sequence(number, index, counts)
             own = np.add.reduceat(model.log_probability(v, u, w), first[:-1]) / np.log(10)
             # counts of the frequent words; the others go along for a join
-            c = np.fromiter((counts_of.get(x, 0) for x in distinct), np.int64, len(distinct))
-            logs = np.where(c > 0, np.log10(c + 1.0), 0.0)
+            known = places >= 0
+            logs = np.zeros(len(places))
+            logs[known] = np.log10(lexicon.counts[places[known]] + 1.0)
             doc = np.repeat(np.arange(len(counts)), counts)
             sum_of = lambda x: np.bincount(doc, x, len(counts))
-            rare = np.fromiter((x not in symbol for x in distinct), bool, len(distinct))
-            end = counts_of.get(b"", 0)
-            far = (c == 0)[index]
+            rare = number == RARE
+            far = ~known[index]
             key, times = np.unique(doc[far] * len(distinct) + index[far], return_counts=True)
             at = np.searchsorted(key, np.arange(len(counts) + 1) * len(distinct))
             offsets = pa.array(at.astype(np.int32))
-            words = pa.ListArray.from_arrays(offsets, pa.array(distinct, pa.binary()).take(pa.array(key % max(1, len(distinct)))))
+            words = pa.ListArray.from_arrays(offsets, distinct.take(pa.array(key % max(1, len(distinct)))).cast(pa.binary()))
             yield arrow.batch(
-                SCORED, chunk=np.full(len(counts), chunk), row=np.arange(row, row + len(counts)), doc_id=b.column(0), n_tokens=counts + 1,
-                n_known=sum_of((c > 0)[index]).astype(np.int64) + (end > 0), logs=sum_of(logs[index]) + np.log10(end + 1.0), n_rare=sum_of(rare[index]).astype(np.int64),
+                SCORED, chunk=np.full(len(counts), chunk), row=np.arange(row, row + len(counts)), doc_id=ids, n_tokens=counts + 1,
+                n_known=sum_of(known[index]).astype(np.int64) + (lexicon.end > 0), logs=sum_of(logs[index]) + np.log10(lexicon.end + 1.0), n_rare=sum_of(rare[index]).astype(np.int64),
                 rare_logs=sum_of(np.where(rare, logs, 0.0)[index]), model=own, words=words, times=pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
             )
             row += len(counts)
@@ -255,11 +335,15 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     training documents (those whose crc32 of the id modulo ``folds`` isn't ``held_out``). The model predicts
     one of SYMBOLS to MOST symbols (the end, the most frequent words, any rarer word) from the two before;
     a rarer word's probability given that it is one is by its count plus one, with one more for all unseen
-    words, so the probabilities of all tokens sum to one. Training is spread: each task descends over its
-    share of the texts of a round, and tasks' parameters are averaged in the cluster, round by round. Every
-    position of every training text trains once. The normaliser of each two preceding symbols is computed once.
+    words, so the probabilities of all tokens sum to one. Training is spread: texts are dealt by their hash to rounds
+    and to shards of about SHARD positions, a task descends over a shard, and shards' parameters are averaged in the
+    cluster, round by round. Every position of every training text trains once, and the model doesn't depend on
+    how rows were dealt to tasks. The normaliser of each two preceding symbols is computed once.
+
+    Texts are split into words once, into a table by which they are counted, learned from and scored.
 
-    Null text is empty: just the end. A null id is in no fold: neither learned from nor held out. Repeated
+    Null and empty texts are just the end; a text of any length is read whole, a batch of its own if it is long. Words of equal
+    count are in order of their bytes. A null id is in no fold: neither learned from nor held out. Repeated
     rows count as often as they occur. Without training documents every count is 0. An empty table gives none.
     Only the two columns are read; the id is a long.
 
@@ -267,40 +351,40 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     """
     spark = documents.sparkSession
     inside = F.coalesce(crc_remainder(F.col(id_col), folds) != held_out, F.lit(False))
-    learn = arrow.narrowed(documents.filter(inside), text=arrow.raw(F.col(text_col)))
-    counts = scratch.keep(learn.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    text = arrow.raw(F.col(text_col))
+    docs = arrow.narrowed(documents, doc_id=F.col(id_col).cast("long"), key=F.xxhash64(F.col(id_col).cast("long"), text), learn=inside, text=text)
+    words = scratch.keep(docs.mapInArrow(_split, WORDS_DDL), "words")
+    counts = scratch.keep(words.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT).toArrow()
-    counts_of = dict(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
-    symbol = _vocabulary(counts_of)
-    of_symbols = np.ones(len(symbol) + 1)
-    for word, s in symbol.items():
-        of_symbols[s] += counts_of.get(word, 0)
-    inner = int(of_symbols.sum()) - len(of_symbols)
+    top = counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT).toArrow().combine_chunks()
+    found = pa.chunked_array(top["word"]).combine_chunks() if top.num_rows else pa.array([], pa.binary())
+    lexicon = Lexicon(found.cast(pa.large_binary()), top["n"].to_numpy())
+    of_symbols = np.concatenate([[lexicon.end + 1.0, 1.0], lexicon.counts[: lexicon.inner] + 1.0])
+    inner = int(of_symbols.sum()) - len(of_symbols)  # counts of the symbols but the rare one
     of_symbols[RARE] += total - inner
     model = Model.start(of_symbols / of_symbols.sum())
 
     sc = spark.sparkContext
-    texts = scratch.keep(learn.mapInArrow(_symbols(sc.broadcast(symbol)), "turn int, symbols binary"), "positions")
+    texts = scratch.keep(words.mapInArrow(_symbols(sc.broadcast(lexicon)), "key long, symbols binary"), "positions")
+    shards = max(1, round(total / ROUNDS / SHARD))
     for turn in range(ROUNDS):
         shared = sc.broadcast((model, of_symbols / of_symbols.sum()))
-        got = texts.filter(F.col("turn") == turn).select("symbols").mapInArrow(_train(shared, turn), "part long, n long, x array<float>")
-        mean = [(F.sum(F.col("x")[j] * F.col("n")) / F.sum("n")).alias(f"x{j}") for j in range(PART)]
-        rows = got.groupBy("part").agg(*mean).orderBy("part").toArrow()
-        if rows.num_rows:
-            flat = np.stack([rows[f"x{j}"].to_numpy() for j in range(PART)], axis=1).ravel()
+        mine = texts.filter(F.pmod("key", F.lit(ROUNDS)) == turn).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+        dealt = mine.repartitionById(shards, "shard").sortWithinPartitions("shard", "key", "symbols").select("shard", "symbols")
+        flat = _averaged(dealt.mapInArrow(_train(shared, turn), PARAMETERS_DDL), shards)
+        if flat is not None:
             model = model.filled(flat)
         shared.unpersist()
     scratch.drop(texts)
     model.normalise()
 
-    docs = arrow.narrowed(documents, doc_id=F.col(id_col).cast("long"), text=arrow.raw(F.col(text_col)))
-    own = scratch.keep(docs.mapInArrow(_score(sc.broadcast((model, symbol, counts_of))), SCORED_DDL), "scores")
+    own = scratch.keep(words.mapInArrow(_score(sc.broadcast((model, lexicon))), SCORED_DDL), "scores")
+    scratch.drop(words)
     far = own.select("chunk", "row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("chunk", "row", F.col("t.words").alias("word"), F.col("t.times").alias("times"))
     far = far.join(counts, "word").groupBy("chunk", "row").agg(F.sum("times").alias("far_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("far_logs"))
     out = own.drop("words", "times").join(far, ["chunk", "row"], "left")
     known, logs = F.coalesce("far_known", F.lit(0)), F.coalesce("far_logs", F.lit(0.0))
-    rarer = float((total - inner) + (kinds - sum(w in counts_of for w in symbol)) + 1)
+    rarer = float((total - inner) + (kinds - lexicon.inner - (lexicon.end > 0)) + 1)
     return out.select(
         "doc_id", F.coalesce(crc_remainder(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "n_tokens", (F.col("n_known") + known).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("logs") + logs - F.col("n_tokens") * float(np.log10(total + kinds + 1.0))).alias("base_score"),
