@@ -8,8 +8,10 @@ from dataclasses import dataclass
 import numpy as np
 
 MAGIC = b"RPG1"
-#: Rounds, rules a round, the least count of a pair that gets a rule, and hash bits for counting pairs.
-ROUNDS, RULES, LEAST, BITS = 8, 2048, 24, 18
+#: The least count of a pair that gets a rule, and symbols in all (two bytes each).
+LEAST, LIMIT = 24, 1 << 16
+#: Hash bits for counting pairs.
+BITS = 18
 
 
 @dataclass
@@ -62,66 +64,86 @@ class Grammar:
         return self.expand(self.symbols[a:b])[lo - before : hi - before]
 
 
-def build(ids: np.ndarray, base: int, limit: int = 1 << 16) -> Grammar:
-    """Gives frequent pairs nonterminals, many a round, until none is frequent or ``limit`` symbols exist.
+def _hash(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return ((a * np.uint32(0x9E3779B1)) ^ (b * np.uint32(0x85EBCA6B) + np.uint32(0x27D4EB2F))) * np.uint32(0xC2B2AE35) >> np.uint32(32 - BITS)
 
-    Pairs are counted by hash; of each frequent hash one pair is taken and counted exactly, another
-    pair of the same hash has its turn in a round with another hash. Where chosen pairs overlap, the
-    more frequent one is replaced; in a run of one id, those at even places.
+
+def apart(s: np.ndarray) -> np.ndarray:
+    """Of each pair whether it counts: in a run of one id every other pair does, so that none overlaps another of its kind."""
+    out = np.ones(len(s) - 1, bool)
+    twin = np.flatnonzero(s[1:] == s[:-1])
+    if len(twin):
+        start = np.concatenate([[0], np.flatnonzero(np.diff(twin) > 1) + 1])
+        out[twin[(np.arange(len(twin)) - np.repeat(start, np.diff(np.append(start, len(twin))))) % 2 == 1]] = False
+    return out
+
+
+def build(ids: np.ndarray, base: int, limit: int = LIMIT, least: int = LEAST) -> Grammar:
+    """Gives frequent pairs nonterminals, many a round, until no pair occurs ``least`` times or ``limit`` symbols exist.
+
+    A hash's count bounds those of its pairs, so pairs of rare hashes are left out; the others are counted
+    exactly. Where chosen pairs overlap, the more frequent one is replaced, and the other has its turn later. After the
+    first round only pairs with a symbol that was put in and those that were left over can be frequent.
     """
     s = np.ascontiguousarray(ids, np.uint32)
     left, right, length = [], [], []
     next_id = base
     sizes = np.ones(base, np.int64)
-    for turn in range(ROUNDS):
-        room = min(RULES, limit - next_id)
-        if len(s) < 2 or room <= 0:
-            break
+    fresh = first = None  # symbols that the last round put in, and those too that begin a pair it left over
+    known, numbers = np.empty(0, np.uint64), np.empty(0, np.int64)  # pairs with a rule, sorted, and their nonterminals
+    while len(s) > 1:
         a, b = s[:-1], s[1:]
-        h = ((a * np.uint32(0x9E3779B1 + 2 * turn)) ^ (b * np.uint32(0x85EBCA6B + 4 * turn))) >> np.uint32(32 - BITS)
-        counts = np.bincount(h, minlength=1 << BITS)
-        top = np.argpartition(counts, -room)[-room:]
-        top = top[counts[top] >= LEAST]
-        if not len(top):
-            break
-        place = np.full(1 << BITS, -1, np.int32)
-        place[top] = np.arange(len(top))
-        which = place[h]
-        at = np.flatnonzero(which >= 0)
-        which = which[at]
+        counted = apart(s)
+        if fresh is not None:
+            counted &= first[a] | fresh[b]
+        at = np.flatnonzero(counted)
+        h = _hash(a[at], b[at])
+        likely = np.bincount(h, minlength=1 << BITS)[h] >= least
+        at, h = at[likely], h[likely]
         pair = (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
-        chosen = np.zeros(len(top), np.uint64)
-        chosen[which] = pair
-        same = chosen[which] == pair
-        at, which = at[same], which[same]
-        exact = np.bincount(which, minlength=len(top))
-        good = np.flatnonzero(exact >= LEAST)
-        if not len(good):
-            continue
-        good = good[np.argsort(-exact[good], kind="stable")]
-        rank = np.full(len(top), -1, np.int64)
-        rank[good] = np.arange(len(good))
-        r = rank[which]
-        at, r = at[r >= 0], r[r >= 0]
-        key = np.full(len(s) + 1, 1 << 30, np.int32)  # of pair i at i + 1
-        key[at + 1] = 2 * r + (at & 1)
-        keep = (key[at + 1] < key[at]) & (key[at + 1] < key[at + 2])
+        sorted_ = np.sort(pair)
+        heads = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.empty(0, np.int64)
+        count = np.diff(np.append(heads, len(sorted_)))
+        frequent = np.flatnonzero(count >= least)
+        if not len(frequent):
+            break
+        frequent = frequent[np.argsort(-count[frequent], kind="stable")]
+        kinds, count = sorted_[heads[frequent]], count[frequent]
+        l, m = (kinds >> np.uint64(32)).astype(np.uint32), kinds.astype(np.uint32)
+        which = np.full(1 << BITS, -1, np.int32)
+        which[_hash(l, m)[::-1]] = np.arange(len(kinds))[::-1]  # of pairs with one hash the most frequent
+        r = which[h]
+        fits = np.flatnonzero(r >= 0)
+        fits = fits[kinds[r[fits]] == pair[fits]]
+        at, r = at[fits], r[fits]
+        rank = np.full(len(s) + 1, 1 << 30, np.int32)  # of pair i at i + 1
+        rank[at + 1] = r
+        keep = (r < rank[at]) & (r < rank[at + 2])
         at, r = at[keep], r[keep]
+        often = np.bincount(r, minlength=len(kinds))
+        place = np.minimum(np.searchsorted(known, kinds), max(0, len(known) - 1))
+        number = np.where(known[place] == kinds, numbers[place], -1) if len(known) else np.full(len(kinds), -1, np.int64)
+        used = np.flatnonzero((number < 0) & (often >= max(1, least // 2)))[: limit - next_id]  # the first has no rival
+        number[used] = next_id + np.arange(len(used))
+        fits = number[r] >= 0
+        at, r = at[fits], r[fits]
         if not len(at):
-            continue
-        used, r = np.unique(r, return_inverse=True)
-        pairs = chosen[good[used]]
-        l, m = (pairs >> np.uint64(32)).astype(np.int64), (pairs & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        sizes = np.concatenate([sizes, sizes[l] + sizes[m]])
-        left.append(l), right.append(m), length.append(sizes[-len(l) :])
+            break
+        sizes = np.concatenate([sizes, sizes[l[used]] + sizes[m[used]]])
+        left.append(l[used]), right.append(m[used]), length.append(sizes[len(sizes) - len(used) :])
+        known, numbers = np.concatenate([known, kinds[used]]), np.concatenate([numbers, number[used]])
+        order = np.argsort(known)
+        known, numbers = known[order], numbers[order]
         s = s.copy()
-        s[at] = (next_id + r).astype(np.uint32)
+        s[at] = number[r].astype(np.uint32)
         stay = np.ones(len(s), bool)
         stay[at + 1] = False
         s = s[stay]
         next_id += len(used)
-        if len(at) < len(s) // 100:
-            break
+        fresh = np.zeros(max(limit, base) + 1, bool)
+        fresh[number[np.unique(r)]] = True
+        first = fresh.copy()
+        first[l[np.bincount(r, minlength=len(kinds)) < count]] = True
     join = lambda x: np.concatenate(x).astype(np.uint32) if x else np.empty(0, np.uint32)
     return Grammar(base, join(left), join(right), join(length), s)
 

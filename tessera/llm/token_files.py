@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 from . import arrow, repair, scratch
 
-#: Ids of a shard, and words and cores of the cache a worker keeps.
-SHARD_IDS, CACHE_WORDS, CACHE_CORES = 1 << 21, 500_000, 900_000
+#: Ids of a shard, and cores of words that a worker remembers.
+SHARD_IDS, CACHE_CORES = 1 << 21, 900_000
 #: Bytes of text encoded at once.
 ENCODE_BYTES = 8 << 20
 #: Cores given to the tokenizer as one text; what is plain: letters of Latin-1, which keep their kind in lower case, and a stop.
@@ -44,7 +44,7 @@ class _Words(dict):
 
 
 class Encoder:
-    """The tokenizers library, asked once for each word between ASCII white space.
+    """The tokenizers library, asked once a batch for each word between ASCII white space, or its core.
 
     That gives the ids of the whole text if the tokenizer takes white space as a border: it splits
     there, drops it, and no normal form joins a character to one before it. ``whole`` is for others.
@@ -61,16 +61,9 @@ class Encoder:
         if mark:
             self.closing[[i for t, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if t.endswith(mark)]] = True
         self.stops = [np.array(x, np.uint32) for x in self._ids([b.encode() for b in STOPS])]
-        self._clear_cores()
         self._clear()
 
     def _clear(self) -> None:
-        """Words go before their cores: to ask for those again would cost more."""
-        self.words, self.start, self.flat = _Words(), np.zeros(1, np.int64), np.empty(0, np.uint32)
-        if len(self.cores) > CACHE_CORES:
-            self._clear_cores()
-
-    def _clear_cores(self) -> None:
         self.cores, self.core_start, self.core_flat = _Words(), np.zeros(1, np.int64), np.empty(0, np.uint32)
 
     def _ids(self, texts: list[bytes]) -> list[list[int]]:
@@ -94,7 +87,7 @@ class Encoder:
         self.core_start = np.concatenate([self.core_start, self.core_start[-1] + np.cumsum(np.concatenate(sizes))])
         self.core_flat = np.concatenate([self.core_flat, *flat])
 
-    def _word_ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _word_ids(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of words one after another, and how many each has.
 
         A plain word is letters and perhaps one stop: the tokenizer splits between the two, and takes
@@ -103,7 +96,7 @@ class Encoder:
         n = len(words)
         core, stop = np.full(n, -1, np.int64), np.full(n, -1, np.int64)
         if self.closing.any():
-            found = pc.extract_regex(pa.array(words, pa.large_binary()).view(pa.large_string()), PLAIN)
+            found = pc.extract_regex(words.view(pa.large_string()), PLAIN)
             plain = found.is_valid().to_numpy(zero_copy_only=False)
             cores = pc.ascii_lower(pc.struct_field(found, "core").filter(found.is_valid())).dictionary_encode()
             names = cores.dictionary.cast(pa.large_binary()).to_pylist()
@@ -113,8 +106,8 @@ class Encoder:
             if self.cores.new:
                 self._learn(self.cores.new)
                 self.cores.new = []
-        hard = np.flatnonzero(core < 0).tolist()
-        own = self._ids([words[i] for i in hard])
+        hard = np.flatnonzero(core < 0)
+        own = self._ids(words.take(pa.array(hard)).to_pylist())
         core[hard] = len(self.core_start) - 1 + np.arange(len(hard))  # behind the cores, for now
         start = np.concatenate([self.core_start, self.core_start[-1] + np.cumsum([len(x) for x in own], dtype=np.int64)])
         flat = np.concatenate([self.core_flat, np.array([i for x in own for i in x], np.uint32)])
@@ -133,32 +126,20 @@ class Encoder:
             ids = self._ids(texts)
             sizes = np.array([len(x) + 1 for x in ids], np.int64)
             return np.concatenate([np.array([*x, end], np.uint32) for x in ids]), sizes
-        if len(self.words) > CACHE_WORDS:
+        if len(self.cores) > CACHE_CORES:
             self._clear()
-        split = pc.ascii_split_whitespace(pa.array(texts, pa.large_binary()).view(pa.large_string()))
-        found = split.flatten().dictionary_encode()
-        distinct = found.dictionary.cast(pa.large_binary()).to_pylist()
-        index = found.indices.to_numpy()
-        counts = split.value_lengths().to_numpy().astype(np.int64)
-        if b"" in distinct:  # at the ends of a text, or all of it
-            real = index != distinct.index(b"")
-            counts = np.diff(np.concatenate([[0], np.cumsum(real)])[np.concatenate([[0], np.cumsum(counts)])])
-            index = index[real]
-            distinct[distinct.index(b"")] = b"."
-        number = np.fromiter(map(self.words.__getitem__, distinct), np.int64, len(distinct))[index]
-        if self.words.new:
-            ids, sizes = self._word_ids(self.words.new)
-            self.words.new = []
-            self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(sizes)])
-            self.flat = np.concatenate([self.flat, ids])
-        first = self.start[number].astype(np.int32)  # a cache and a batch are far below 2**31 ids
-        n = self.start[number + 1].astype(np.int32) - first
+        distinct, index, counts = arrow.split_words(pa.array(texts, pa.large_binary()), lower=False)
+        flat, sizes = self._word_ids(distinct)
+        flat, sizes = np.append(flat, np.uint32(end)), np.append(sizes, 1).astype(np.int32)  # the end is one more word
+        texts_end = np.cumsum(counts) + np.arange(len(counts))
+        words = np.full(len(index) + len(counts), len(distinct), np.int32)
+        words[np.delete(np.arange(len(words), dtype=np.int32), texts_end)] = index
+        start = (np.cumsum(sizes) - sizes).astype(np.int32)  # a batch is far below 2**31 ids
+        n = sizes[words]
         upto = np.cumsum(n, dtype=np.int32)
-        place = np.repeat(first - (upto - n), n)
+        place = np.repeat(start[words] - (upto - n), n)
         place += np.arange(len(place), dtype=np.int32)
-        ids = self.flat[place]
-        ends = np.concatenate([[0], upto])[np.cumsum(counts)]
-        return np.insert(ids, ends, np.uint32(end)), np.diff(ends, prepend=0) + 1
+        return flat[place], np.diff(upto[texts_end], prepend=0).astype(np.int64)
 
 
 @functools.lru_cache(maxsize=2)
@@ -171,7 +152,7 @@ def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[by
     names, texts, held = [], [], 0
     for b in arrow.full(batches):
         names += b.column(0).to_pylist()
-        new = b.column(1).to_pylist()
+        new = arrow.valid(b.column(1)).to_pylist()
         texts += new
         held += sum(map(len, new))
         if held >= ENCODE_BYTES:
@@ -230,7 +211,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
     """Of every document in the files: doc_id, start (ids before it in all), n_tokens, ids_crc32."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    arrow.bound_batches(spark)
     files = spark.read.parquet(path)
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, W.currentRow)  # a row for each part
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", (F.sum("n").over(before) - F.col("n")).alias("before"))
