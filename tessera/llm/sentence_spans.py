@@ -16,7 +16,7 @@ from . import arrow, bloom, scratch
 
 #: A run has so many sentences and words at least.
 SENTENCES, WORDS = 2, 16
-END = re.compile(rb"(?:(?<=[.!?])|(?<=[.!?][\"')\]]))[ \t\x0b\x0c\r]+|[ \t\x0b\x0c\r]*\n[ \t\x0b\x0c\r\n]*")
+END = re.compile(rb"(?:(?<=[.!?])|(?<=[.!?][\"')\]]))[ \t\x0b\x0c\r\n]+|[ \t\x0b\x0c\r]*\n[ \t\x0b\x0c\r\n]*")
 LAST = (1 << 63) - 1
 
 SPANS = pa.schema([("h1", pa.int64()), ("h2", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
