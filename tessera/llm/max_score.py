@@ -28,9 +28,9 @@ def quantised(vector: Column, scale: int = 64) -> Column:
 class Shard:
     """Postings by dimension: the rows with a component other than 0, and its values."""
 
-    def __init__(self, ids: np.ndarray, vectors: list[list[int]]):
-        order = np.argsort(ids, kind="stable")
-        self.ids = ids[order]
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, vectors: list[np.ndarray]):
+        order = np.lexsort((keys, ids))
+        self.ids, self.keys = ids[order], keys[order]
         width = max((len(v) for v in vectors), default=0)
         dense = np.zeros((width, len(ids)), np.int64)
         for j, i in enumerate(order.tolist()):
@@ -61,13 +61,13 @@ class Shard:
         return out
 
     def search(self, own: int, query: list[int], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k best rows but the query's own, ties to the smaller id."""
+        """The k best rows but the query's own (by its key), ties to the smaller id."""
         n = len(self.ids)
         terms = [(d, q) for d, q in enumerate(query[: len(self.values)]) if q and (self.high[d] or self.low[d])]
         kind = np.int64 if sum(abs(q) for _, q in terms) * self.most < 1 << 62 else object  # beyond 64 bits by whole numbers of any size
         bound = {d: max(q * self.high[d], q * self.low[d]) for d, q in terms}
         terms.sort(key=lambda t: -bound[t[0]])
-        mine = self.ids == own
+        mine = self.keys == own
         # a first threshold: exact scores of the rows that are best in the strongest dimensions
         least = None
         seeds = []
@@ -116,7 +116,12 @@ class Shard:
         return self.ids[at[order]], np.array([max(-LARGEST - 1, min(LARGEST, int(x))) for x in got[order]], np.int64)
 
 
-FOUND = pa.schema([("query_id", pa.int64()), ("shard", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+FOUND = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("shard", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+
+
+def _vectors(lists: pa.Array) -> list[np.ndarray]:
+    flat, at = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+    return [flat[i:j] for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def _search(k: int):
@@ -124,16 +129,17 @@ def _search(k: int):
         last, shard = None, None
         for b in arrow.full(batches):
             for row in range(b.num_rows):
-                number = b.column(0)[row].as_py()
+                number, *lists = b.column(0)[row].as_py(), *[c[row].values for c in b.columns[1:]]
+                ids, keys, vectors, asked_ids, asked_keys, asked = lists
                 if number != last:
-                    last, shard = number, Shard(np.array(b.column(1)[row].as_py(), np.int64), b.column(2)[row].as_py())
-                queries, ids, scores = [], [], []
-                for own, vector in zip(b.column(3)[row].as_py(), b.column(4)[row].as_py(), strict=True):
-                    v, s = shard.search(own, vector, k)
-                    queries.append(np.full(len(v), own)), ids.append(v), scores.append(s)
-                got = np.concatenate(queries) if queries else np.empty(0, np.int64)
-                if len(got):
-                    yield arrow.batch(FOUND, query_id=got, shard=np.full(len(got), number), vec_id=np.concatenate(ids), score=np.concatenate(scores))
+                    last, shard = number, Shard(ids.to_numpy(), keys.to_numpy(), _vectors(vectors))
+                queries, names, found, scores = [], [], [], []
+                for own, name, vector in zip(asked_keys.to_pylist(), asked_ids.to_pylist(), _vectors(asked), strict=True):
+                    v, s = shard.search(own, vector.tolist(), k)
+                    queries.append(np.full(len(v), own)), names.append(np.full(len(v), name)), found.append(v), scores.append(s)
+                if queries and sum(map(len, found)):
+                    got = np.concatenate(queries)
+                    yield arrow.batch(FOUND, query=got, query_id=np.concatenate(names), shard=np.full(len(got), number), vec_id=np.concatenate(found), score=np.concatenate(scores))
 
     return run
 
@@ -148,29 +154,29 @@ def top_k(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     probed while a row's score with all that may still come reaches the threshold. Shards' answers merge in steps.
 
     Vectors that are null or hold a null or a non-finite component, and rows without an id, take no part.
-    Vectors may differ in length: what is missing counts as 0, and an empty one scores 0. An id stands for
-    one vector: of rows that repeat it the smallest vector. Scores beyond a long are cut to its range.
+    Vectors may differ in length, be empty or very long: what is missing counts as 0, and an empty one scores 0. Rows that
+    share an id are rows of their own, as queries (each has its k) and as candidates, also of each other. Ties go to the
+    smaller id. Scores beyond a long are cut to its range. An empty table gives none.
 
     Columns: query_id, rank (from 1), vec_id, score.
     """
-    spark = vectors.sparkSession
-    arrow.bound_batches(spark)
+    arrow.bound_batches(vectors.sparkSession)
     v = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector_col), scale).alias("v")).filter("id IS NOT NULL AND v IS NOT NULL")
-    v = scratch.keep(v.groupBy("id").agg(F.min("v").alias("v")), "vectors")
+    v = scratch.keep(v.withColumn("key", F.monotonically_increasing_id()), "vectors")
+    queries = v.filter(F.col("id") % query_mod == 0)
     shards = max(1, -(-v.count() // SHARD_ROWS))
-    blocks = max(1, -(-v.filter(F.col("id") % query_mod == 0).count() // BLOCK_QUERIES))
-    part = F.struct("id", "v")
-    data = v.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).groupBy("shard").agg(F.collect_list(part).alias("rows"))
-    asked = v.filter(F.col("id") % query_mod == 0).withColumn("block", F.pmod(F.xxhash64("id", F.lit(7)), F.lit(blocks))).groupBy("block").agg(F.collect_list(part).alias("asked"))
+    blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
+    part = F.struct("id", "key", "v")
+    data = v.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards))).groupBy("shard").agg(F.collect_list(part).alias("rows"))
+    asked = queries.withColumn("block", F.pmod(F.xxhash64("key", F.lit(7)), F.lit(blocks))).groupBy("block").agg(F.collect_list(part).alias("asked"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     pairs = data.join(asked, "shard").repartition(shards * blocks, "shard", "block")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
-    found = pairs.select("shard", "rows.id", "rows.v", F.col("asked.id").alias("q"), F.col("asked.v").alias("qv"))
-    found = found.mapInArrow(_search(k), "query_id long, shard long, vec_id long, score long")
+    columns = [F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in ("rows", "asked") for c in ("id", "key", "v")]
+    found = pairs.select("shard", *columns).mapInArrow(_search(k), "query long, query_id long, shard long, vec_id long, score long")
     best = [F.col("score").desc(), "vec_id"]
     while shards > MERGE:
         found = found.withColumn("shard", F.floor(F.col("shard") / MERGE))
-        found = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id", "shard").orderBy(*best))).filter(F.col("rank") <= k).drop("rank")
+        found = found.withColumn("rank", F.row_number().over(W.partitionBy("query", "shard").orderBy(*best))).filter(F.col("rank") <= k).drop("rank")
         shards = -(-shards // MERGE)
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(*best))).filter(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(*best))).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

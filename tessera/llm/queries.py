@@ -114,17 +114,34 @@ FROM n
 
 OP6_SQL = """
 WITH v AS (
-  SELECT vec_id AS id, min(list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT)) AS v FROM embeddings
+  SELECT row_number() OVER () AS key, vec_id AS id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
-  GROUP BY vec_id
 ), e AS (
-  SELECT id, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM v
+  SELECT key, id, generate_subscripts(v, 1) AS d, unnest(v) AS x FROM v
 ), s AS (
-  SELECT q.id AS query_id, c.id AS vec_id, sum(q.x * c.x)::BIGINT AS score FROM e q JOIN e c ON q.d = c.d AND q.id <> c.id WHERE q.id % 20 = 0 GROUP BY ALL
+  SELECT q.key, q.id AS query_id, c.key AS other, c.id AS vec_id, sum(q.x * c.x)::BIGINT AS score FROM e q JOIN e c ON q.d = c.d AND q.key <> c.key WHERE q.id % 20 = 0 GROUP BY ALL
 )
 SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
-WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
+WINDOW w AS (PARTITION BY key ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op6_max_score": OP6_SQL, "op1_pareto_mixing": OP1_SQL, "op9_golomb_exact_dedup": OP9_SQL}
+#: Sets of shingles, links between all that share one, and what links reach.
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS x FROM d
+), e AS (
+  SELECT doc_id, len(x) AS n, unnest(x) AS h FROM s
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.h = b.h AND a.doc_id <> b.doc_id
+  GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+), r AS (
+  SELECT a AS doc_id, b AS other FROM l UNION SELECT r.doc_id, l.b FROM r JOIN l ON l.a = r.other
+)
+SELECT s.doc_id, len(x)::BIGINT AS n_shingles, least(s.doc_id, coalesce(m, s.doc_id)) AS component_id
+FROM s LEFT JOIN (SELECT doc_id, min(other) AS m FROM r GROUP BY 1) c USING (doc_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op6_max_score": OP6_SQL, "op1_pareto_mixing": OP1_SQL, "op9_golomb_exact_dedup": OP9_SQL, "op10_metric_jaccard_join": OP10_SQL}
