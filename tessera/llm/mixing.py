@@ -25,24 +25,35 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 52))
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """Sums over all rows up to each, in an order without ties: rows are dealt by range, and a range starts behind those before it."""
+    dealt = scratch.keep(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ordered")
+    parts = dealt.groupBy("_p").agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    ahead = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # a row for each range
+    before = parts.select("_p", *[F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"_{n}") for n in sums])
+    inside = W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    own = dealt.select("*", *[F.sum(c).over(inside).alias(n) for n, c in sums.items()]).join(before, "_p")
+    return own.select(*df.columns, *[(F.col(n) + F.col(f"_{n}")).alias(n) for n in sums])
+
+
 def source_targets(base: DataFrame, weights: tuple[int, ...], repeat: int) -> DataFrame:
     """One row a source: its size and its target, in words.
 
     Sources in code-point order, null last, take the weights in turn and share all words by them.
     A target stops at ``repeat`` times its source; what is over goes to the others by weight. With
     the sources ordered by cap / weight that is a water level: the highest share of one unit of
-    weight that is not above the cap of the source at which it is computed.
+    weight that is not above the cap of the source at which it is computed. Both orders are in
+    ranges, so sources may be as many as hosts.
     """
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("importance")).alias("mass"))
-    turn = F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn % len(weights) + 1).cast("int"))
-    s = sizes.withColumn("turn", turn).withColumn("weight", weight).withColumn("cap", (repeat * F.col("source_size")).cast("double"))
-    up_to = W.orderBy(F.col("cap") / F.col("weight"), "turn").rowsBetween(W.unboundedPreceding, W.currentRow)
-    whole = W.orderBy("turn").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    left = F.sum("source_size").over(whole).cast("double") - (F.sum("cap").over(up_to) - F.col("cap"))
-    weights_left = F.sum("weight").over(whole) - (F.sum("weight").over(up_to) - F.col("weight"))
-    s = s.withColumn("level", left / weights_left)
-    s = s.withColumn("level", F.max(F.when(F.col("level") <= F.col("cap") / F.col("weight"), F.col("level"))).over(whole))
+    s = running_sums(sizes, [F.col("source").asc_nulls_last()], {"turn": F.lit(1)}).withColumn("turn", F.col("turn") - 1)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("turn") % len(weights) + 1).cast("int"))
+    s = s.withColumn("weight", weight).withColumn("cap", (repeat * F.col("source_size")).cast("double")).withColumn("ratio", F.col("cap") / F.col("weight"))
+    s = scratch.keep(running_sums(s, [F.col("ratio"), F.col("turn")], {"caps": F.col("cap"), "taken": F.col("weight")}), "levels")
+    whole = s.agg(F.sum("source_size").cast("double").alias("words"), F.sum("weight").alias("weights"))  # one row
+    level = (F.col("words") - (F.col("caps") - F.col("cap"))) / (F.col("weights") - (F.col("taken") - F.col("weight")))
+    top = s.crossJoin(F.broadcast(whole)).select(F.when(level <= F.col("ratio"), level).alias("level")).agg(F.max("level").alias("level"))
+    s = s.crossJoin(F.broadcast(top))
     return s.select("source", "source_size", "mass", F.least("cap", F.col("level") * F.col("weight")).alias("target"))
 
 
@@ -68,7 +79,7 @@ def pareto_mix(
     A source may hold any share of all rows: the prefix is found from a histogram of CELLS cells a
     source, and only the cell in which the need is met is sorted.
 
-    Null text counts as empty, a null source is a source of its own, a null id draws as "". Documents
+    Null and empty texts have no words, one of any length is counted whole, a null source is a source of its own, a null id draws as "". Documents
     without words draw no copy beyond the certain ones. Rows with the same id draw the same u and may be
     taken together. An empty table gives none. Only the named columns are read. Null importance is 0.
 
