@@ -304,7 +304,7 @@ def _encode(path: str):
         coder = encoder(path)
 
         def flush(docs: list, raw: list[bytes]) -> Iterator[pa.RecordBatch]:
-            ids, sizes = coder.encode([x.decode() for x in raw])
+            ids, sizes = coder.encode([x.decode("utf-8", "replace") for x in raw])
             back = coder.pieces.decode(ids, sizes)
             bounds = np.concatenate([[0], np.cumsum(sizes)])
             for i in range(0, len(docs), 256):
@@ -329,9 +329,13 @@ def _encode(path: str):
 def encode_decode(documents: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The ids of every whole text, and what decoding them gives.
 
-    Null text is empty and has no ids. Characters in no piece become byte pieces. A text that has
-    U+2581 itself does not come back: SentencePiece takes it for a space. Rows stay as they are,
-    repeated ones too. Only the two columns are read.
+    The texts of a batch are cut into chunks, and those that the worker has not met before are concatenated and
+    indexed (see ``Pieces``); the others' ids are known.
+
+    Null and empty texts have no ids; one of any length is encoded whole. Characters in no piece become byte pieces. A text that has
+    U+2581 itself does not come back: SentencePiece takes it for a space; nor does what is no UTF-8, which counts as U+FFFD.
+    Rows stay as they are, repeated ones too; ties between pieces go by the model's ranks. An empty table gives none. Only the
+    two columns are read.
 
     Columns: doc_id, ids, n_ids, decoded_crc32 (of the decoded bytes), round_trip (they equal the text's).
     """

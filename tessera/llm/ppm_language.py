@@ -183,7 +183,7 @@ def keep_identified(documents: DataFrame, model: Model, *, text_col: str = "text
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in arrow.full(batches):
             text = b.column(at).cast(pa.binary()).fill_null(b"")
-            letters = pa.array([any(map(str.isalpha, x.decode())) for x in text.to_pylist()], pa.bool_())
+            letters = pa.array([any(map(str.isalpha, x.decode("utf-8", "ignore"))) for x in text.to_pylist()], pa.bool_())
             ids = pa.array(range(b.num_rows), pa.int64())
             for out in _predict(shared)(iter([pa.RecordBatch.from_arrays([ids, text, letters], ["doc_id", "text", "letters"])])):
                 yield b.filter(pa.array([p != UNKNOWN and s >= least for p, s in zip(out.column(1).to_pylist(), out.column(2).to_pylist(), strict=True)], pa.bool_()))

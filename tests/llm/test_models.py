@@ -36,6 +36,24 @@ def test_repair_round_trip(n, kinds):
         assert len(g.symbols) < n
 
 
+@pytest.mark.parametrize("n, kinds, least, limit", [(3000, 3, 2, 1 << 16), (20_000, 30, 5, 1 << 16), (20_000, 1, 2, 1 << 16), (50_000, 400, 24, 1 << 16), (20_000, 30, 5, 130)])
+def test_repair_leaves_no_frequent_pair(n, kinds, least, limit):
+    rng = np.random.default_rng(n + kinds)
+    ids = np.minimum(rng.geometric(0.2, n), kinds).astype(np.uint32)
+    ids[n // 2 :] = np.resize(ids[:31], n - n // 2)
+    g = repair.build(ids, 100 if kinds < 100 else 500, limit, least)
+    assert (g.expand(g.symbols) == ids).all()
+    s, seen, i = g.symbols.tolist(), collections.Counter(), 0
+    while i < len(s) - 1:  # pairs as they could be replaced: those of a run don't overlap
+        seen[s[i], s[i + 1]] += 1
+        i += 2 if s[i] == s[i + 1] and i + 2 < len(s) and s[i + 2] == s[i] else 1
+    if limit == 130:
+        assert len(g.left) == 30
+    else:
+        assert max(seen.values()) < least
+    assert min(collections.Counter(s).values()) >= 1 and len(set(zip(g.left.tolist(), g.right.tolist(), strict=True))) == len(g.left)
+
+
 def test_token_files(spark, docs, rows):
     got = {}
     path = scratch.place(spark, "test")
@@ -172,37 +190,41 @@ def test_log_bilinear_trains_on_every_position(rows):
     texts = [(t or "").encode() for _, t, _, _ in rows]
     tok = [re.findall(rb"[^\x20\x09-\x0D]+", t.lower()) for t in texts]
     counts = dict(collections.Counter(w for t in tok for w in t).most_common())
-    symbol = log_bilinear._vocabulary(counts)
-    batches = [pa.RecordBatch.from_arrays([pa.array(texts[i : i + 50], pa.binary())], ["text"]) for i in range(0, len(texts), 50)]
-    got, turns = collections.Counter(), collections.Counter()
-    for b in log_bilinear._symbols(types.SimpleNamespace(value=symbol))(batches):
-        for turn, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            t = log_bilinear._triples(np.frombuffer(x, "<u2"))
-            got.update(map(tuple, t.tolist()))
-            turns[turn] += len(t)
+    lexicon = log_bilinear.Lexicon(pa.array(counts, pa.large_binary()), np.array(list(counts.values())))
+    symbol = {w: i + 2 for i, w in enumerate(counts)}
+    part = lambda i: [range(i, i + len(texts[i : i + 50]))] * 2 + [[True] * len(texts[i : i + 50])]
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in part(i)] + [pa.array(texts[i : i + 50], pa.binary())], ["doc_id", "key", "learn", "text"]) for i in range(0, len(texts), 50)]
+    got = collections.Counter()
+    for b in log_bilinear._symbols(types.SimpleNamespace(value=lexicon))(log_bilinear._split(batches)):
+        for x in b.column(1).to_pylist():
+            got.update(map(tuple, log_bilinear._triples(np.frombuffer(x, "<u2")).tolist()))
     want = collections.Counter()
     for t in tok:
         s = [0, 0, *(symbol.get(w, 1) for w in t), 0]
         want.update(zip(s, s[1:], s[2:], strict=False))
-    assert got == want and sorted(turns) == list(range(log_bilinear.ROUNDS))
+    assert got == want
+
+
+def test_log_bilinear_scores_do_not_depend_on_the_dealing(docs, monkeypatch):
+    monkeypatch.setattr(log_bilinear, "SHARD", 500)
+    key = lambda d: sorted((str(r["doc_id"]), r["n_tokens"], round(r["score"], 4)) for r in log_bilinear.score(d).collect())
+    assert key(docs) == key(docs.repartition(2))
 
 
 def test_log_bilinear_vocabulary_grows():
-    sizes = [len(log_bilinear._vocabulary({b"%d" % i: n for i in range(k)})) for k, n in ((500, 1), (3000, 1), (3000, 100), (9000, 100))]
-    assert sizes == [501, 1023, 3001, 4095]
+    def inner(k, n):
+        return log_bilinear.Lexicon(pa.array([b"%d" % i for i in range(k)], pa.large_binary()), np.full(k, n)).inner
+
+    assert [inner(k, n) for k, n in ((0, 1), (500, 1), (3000, 1), (3000, 100), (9000, 100))] == [0, 500, 1022, 3000, 4094]
 
 
 def brute_top(rows, k, mod):
-    v = {}
-    for i, e in rows:
-        if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e):
-            q = [math.floor(64 * x) for x in e]
-            v[i] = min(v.get(i, q), q)
+    v = [(i, [math.floor(64 * x) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and math.isfinite(x) for x in e)]
     out = []
-    for q in v:
-        if q % mod == 0:
-            s = sorted((-sum(a * b for a, b in zip(v[q], v[c], strict=False)), c) for c in v if c != q)[:k]
-            out += [(q, i + 1, c, -x) for i, (x, c) in enumerate(s)]
+    for a, (i, q) in enumerate(v):
+        if i % mod == 0:
+            s = sorted((-sum(x * y for x, y in zip(q, c, strict=False)), j) for b, (j, c) in enumerate(v) if a != b)[:k]
+            out += [(i, r + 1, j, -x) for r, (x, j) in enumerate(s)]
     return sorted(out)
 
 
@@ -215,7 +237,7 @@ def test_max_score(spark, sparse, monkeypatch):
     x = rng.normal(0, 0.3, (400, 10)) * ((rng.random((400, 10)) < 0.2) if sparse else 1)
     x[100:140] = x[100]
     rows = [(i, [float(np.float32(a)) for a in r]) for i, r in enumerate(x)]
-    rows += [(1000, None), (1020, [1.0, None]), (1040, [float("nan")]), (1060, [float("inf")]), (1080, []), (1100, [0.5] * 14), (None, [1.0]), (20, rows[20][1]), (1120, [1e9] * 3)]
+    rows += [(1000, None), (1020, [1.0, None]), (1040, [float("nan")]), (1060, [float("inf")]), (1080, []), (1100, [0.5] * 14), (None, [1.0]), (20, rows[20][1]), (20, [0.25] * 10), (33, rows[33][1]), (1120, [1e9] * 3)]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("shard", F.lit("x"))
     got = sorted(tuple(r) for r in max_score.top_k(d, k=5).collect())
     assert got == brute_top(rows, 5, 20)
