@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import files, matrix, names, networks, results, scores
+from . import files, matrix, names, networks, results, runs, scores
 from .base import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "files", "matrix", "names", "networks", "results", "scores"]
+__all__ = ["ORACLE_SQL", "QUERIES", "files", "matrix", "names", "networks", "results", "runs", "scores"]

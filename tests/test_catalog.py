@@ -3,10 +3,11 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__
-from tessera import catalog
+from tessera import bindings, catalog
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,9 +36,54 @@ def test_agrees(spark, duck, name):
     assert rows == sorted(str([same(r[i]) for i in at]) for r in want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLE_SQL)))
-def test_runs(spark, duck, name):
-    assert catalog.QUERIES[name](spark, SF).count() >= 0
+def test_bootstrap_query(spark, duck):
+    """Each cell of a condition and a cluster has a p-value; a variance above all that were drawn has 1."""
+    got = {(r["cond"], r["cluster"]): r["pvalue"] for r in catalog.QUERIES["bscm_pvalues"](spark, SF).collect()}
+    x = {}
+    for g, c, v in duck.sql(bindings.oracle("SELECT gene, cond, value FROM expr")).fetchall():
+        x.setdefault(c, {})[g] = v
+    members = {}
+    for g, k in duck.sql(bindings.oracle("SELECT DISTINCT gene, cluster FROM row_memb")).fetchall():
+        members.setdefault(k, set()).add(g)
+    rng = np.random.default_rng(0)
+    assert set(got) == {(c, k) for c in x for k in members if members[k] & set(x[c])}
+    for (c, k), p in got.items():
+        own = [x[c][g] for g in members[k] if g in x[c]]
+        if len(own) == 1:
+            assert p == 1
+        else:
+            every = np.array(list(x[c].values()))
+            drawn = [np.var(rng.choice(every, len(own), replace=False)) for _ in range(800)]
+            assert abs(p - np.mean(np.array(drawn) < np.var(own) - 1e-12)) < 0.12
+
+
+def test_kmeans_query(spark, duck):
+    """Every gene has one of four clusters, and no gene is nearer to another cluster's mean by much."""
+    got = {r["gene"]: r["cluster"] for r in catalog.QUERIES["kmeans_seed"](spark, SF).collect()}
+    rows = duck.sql(bindings.oracle("SELECT gene, cond, value FROM expr")).fetchall()
+    conds = sorted({c for _, c, _ in rows})
+    x = {g: np.zeros(len(conds)) for g in got}
+    for g, c, v in rows:
+        x[g][conds.index(c)] = v
+    assert set(x) == {g for g, _, _ in rows} and set(got.values()) <= {1, 2, 3, 4}
+    means = {k: np.mean([x[g] for g in x if got[g] == k], axis=0) for k in set(got.values())}
+    assert all(min(means, key=lambda k: ((x[g] - means[k]) ** 2).sum()) == got[g] for g in x)
+
+
+def test_run_query(spark, duck):
+    """Sizes within the slots, twice the same; the first columns' numbers follow from the memberships that were given."""
+    got = [tuple(r) for r in catalog.QUERIES["run_iterations"](spark, SF).orderBy("iteration", "cluster").collect()]
+    again = [tuple(r) for r in catalog.QUERIES["run_iterations"](spark, SF).orderBy("iteration", "cluster").collect()]
+    assert got == again and {r[0] for r in got} == {1, 2, 3}
+    genes = duck.sql(bindings.oracle("SELECT count(*) FROM genes")).fetchone()[0]
+    for i in (1, 2):
+        assert 0 < sum(r[2] for r in got if r[0] == i) <= 2 * genes
+    assert sum(r[2] for r in got if r[0] == 3) >= sum(r[2] for r in got if r[0] == 2)  # adjusting only adds
+    assert all(0 <= r[4] <= 5 for r in got)
+
+
+def test_the_others_have_sql():
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) <= {"bscm_pvalues", "kmeans_seed", "run_iterations"}
 
 
 def test_entry(spark, duck):

@@ -75,3 +75,20 @@ def test_masks_and_scalars(spark):
         scalars.log_clipped(F.lit(5000.0)).alias("a"), scalars.number_or_zero(F.lit(float("nan"))).alias("b"), scalars.outer(F.array(F.lit(1), F.lit(2)), F.array(F.lit(3)), lambda p, q: p * q).alias("c")
     ).first()
     assert x["a"] == pytest.approx(6.907755) and x["b"] == 0 and x["c"] == [[3], [6]]
+
+
+def test_commands_of_the_tools(spark):
+    assert motifs.meme_command("a.fa", "a.bg", 2)[:7] == ["meme", "a.fa", "-bfile", "a.bg", "-nmotifs", "2", "-maxw"]
+    assert motifs.meme_command("a.fa", "a.bg", 1, seed="ACGT")[-2:] == ["-cons", "ACGT"]
+    old, new = motifs.mast_command("4.3.0", "m", "s", "b", "o"), motifs.mast_command("4.11.4", "m", "s", "b", "o")
+    assert old[:4] == ["mast", "m", "-d", "s"] and "-oc" not in old and new[:3] == ["mast", "m", "s"] and new[-2:] == ["-oc", "o"]
+    assert "-q-thresh" in motifs.tomtom_command("4.8.1", "m") and motifs.tomtom_command("4.3.0", "m")[-4:] == ["-target", "m", "-query", "m"]
+    assert {"-thresh", "-motif-pseudo"} <= set(motifs.tomtom_command("4.11.4", "m"))
+    runs = motifs.weeder_commands("a.fa", "HS", analysis="extra", frequencies="ff")
+    assert len(runs) == 5 and runs[-1] == ["adviser", "a.fa"] and runs[3][runs[3].index("-W") + 1] == "12" and runs[0][-2:] == ["-F", "ff"]
+    d = spark.createDataFrame([(1, 1, 0.5, "acg"), (1, 2, 0.05, "ttg"), (2, 1, 0.2, "aaa")], "cluster int, motif_num int, evalue double, consensus string")
+    assert [tuple(r) for r in motifs.seed_consensus(d).collect()] == [(1, "TTG")]
+    w = spark.createDataFrame([(1, 1, [[0.25] * 4] * 6), (1, 2, [[0.25] * 4] * 8)], "cluster int, motif_num int, pssm array<array<double>>")
+    assert [(r["cluster"], r["motif_num"]) for r in motifs.words_of(w).collect()] == [(1, 1)]
+    hits = spark.createDataFrame([(1, "f1", 0.5), (1, "f1", 0.1), (1, "f9", 0.2)], "cluster int, id string, pvalue double")
+    assert [tuple(r) for r in motifs.least_pvalues(hits, spark.createDataFrame([("f1", "g1")], "id string, name string")).collect()] == [(1, "g1", 0.1)]

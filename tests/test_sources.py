@@ -7,10 +7,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessera import __main__ as command
 from tessera.operators import enrichment, scoring
 from tessera.plans.config import Config, Schedule, default_clusters, fuzzy_coefficient, scaling, vector
 from tessera.plans.run import Run, functions_of
-from tessera.sources import motifs, text, writers
+from tessera.sources import motifs, store, text, writers
 from tessera.streaming import monitor
 
 
@@ -287,3 +288,48 @@ def test_writers(spark, tmp_path):
     m = spark.createDataFrame([(f"r{i}", f"c{j}", 1.0) for i in range(3) for j in range(6)], "row string, col string, value double")
     p = writers.matrix_parts(m, 4, 2, 3)
     assert all(2 <= x["n"] <= 3 for x in p.groupBy("part").agg(F.count_distinct("col").alias("n")).collect())
+
+
+def test_command_line(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    x = np.repeat([[2, 2, -2, -2], [-2, -2, 2, 2]], 6, axis=0) + rng.normal(0, 0.3, (12, 4))
+    body = "\n".join([f"g{i}\t" + "\t".join(f"{v:.5f}" for v in r) for i, r in enumerate(x)])
+    ratios = put(tmp_path, "ratios.tsv", "\ta\tb\tc\td\n" + body + "\n")
+    edges = put(tmp_path, "string.tsv", "".join(f"g{i}\tg{i + 1}\t{i}.5\n" for i in range(11)))
+    sets = put(tmp_path, "sets.json", json.dumps({"one": ["g0", "g1", "g2"], "two": ["g9", "g8"]}))
+    ini = put(tmp_path, "own.ini", "[General]\nstats_frequency = 1\n[Rows]\nschedule = 1,1\nscaling_const = 2\n")
+    out = str(tmp_path / "out")
+    run = command.main([ratios, "--out", out, "--config", ini, "--num-iterations", "2", "--num-clusters", "2", "--string", edges, "--sets", f"t={sets}", "--no-normalise"], spark)
+    assert run.functions == ("Rows", "Networks", "SetEnrichment") and run.config.scalings["Rows"] == "2" and run.config.clusters == 2
+    s = store.Store(spark, out)
+    assert s.last_iteration() == 3 and {r["gene_num"] if "gene_num" in r else r["order_num"] for r in s.table("row_members", 3).collect()} <= set(range(12))
+    assert Config.read(f"{out}/final.ini").num_iterations == 2
+    s.compact(str(tmp_path / "small"))
+    small = store.Store(spark, str(tmp_path / "small"))
+    assert small.table("cluster_stats").select("iteration").distinct().count() == 1 and small.table("row_names").count() == 12
+    with pytest.raises(SystemExit):
+        command.arguments([])
+
+
+def test_late_events_are_left_out(spark, tmp_path):
+    import datetime
+
+    at = lambda h, m: datetime.datetime(2024, 1, 1, h, m)
+    path, ddl = str(tmp_path / "events"), "ts timestamp, logtype string, scaling double"
+    q = None
+    for k, rows in enumerate(([(at(1, 5), "Rows", 1.0), (at(1, 50), "Rows", 3.0)], [(at(4, 0), "Rows", 9.0)], [(at(1, 20), "Rows", 100.0), (at(9, 0), "Rows", 9.0)], [(at(12, 0), "Rows", 9.0)])):
+        spark.createDataFrame(rows, ddl).coalesce(1).write.mode("append").parquet(path)
+        if q is None:
+            q = monitor.late_log(spark.readStream.schema(ddl).parquet(path)).writeStream.format("memory").queryName("late").outputMode("append").start()
+        q.processAllAvailable()
+    q.stop()
+    got = {r["window"]["start"].hour: (r["n"], r["scaling"]) for r in spark.table("late").collect()}
+    assert got[1] == (2, 2.0) and got[4] == (1, 9.0)  # what came at the end for the first hour was too late
+
+
+def test_fetched_once(tmp_path):
+    source = tmp_path / "names.txt"
+    source.write_text("first")
+    path = text.fetched(source.as_uri(), str(tmp_path / "copy.txt"))
+    source.write_text("second")
+    assert open(text.fetched(source.as_uri(), path)).read() == "first"
