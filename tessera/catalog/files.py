@@ -14,7 +14,7 @@ from ..operators import results as R
 from ..operators import sequences as Q
 from ..plans import config
 from ..plans.run import functions_of
-from ..sources import store, text, writers
+from ..sources import pages, store, text, writers
 from . import results, scores
 from .base import query
 from .matrix import long, sparse
@@ -63,11 +63,11 @@ def _(v):
     return row.unionByName(X.column_values(long(v), 19952).select(F.lit("col").alias("axis"), F.col("row").alias("name"), "value"))
 
 
-@query("row_filter", "SELECT gene AS row, cond AS col, round(value - avg(value) OVER (PARTITION BY gene), 6) + 0.0 AS value FROM expr")
+@query("row_filter", "SELECT gene AS row, cond AS col, round(value - min(value) OVER (PARTITION BY gene), 6) + 0.0 AS value FROM expr")
 def _(v):
     from ..operators import matrix as X
 
-    return X.row_filter(long(v), lambda x: x - x.mean()).withColumn("value", F.round("value", 6) + 0.0)
+    return X.row_filter(long(v), lambda x: x - x.min()).withColumn("value", F.round("value", 6) + 0.0)
 
 
 @query("delimited_file", "SELECT CAST(n_nationkey AS VARCHAR) AS key, n_name AS name, CAST(n_regionkey AS VARCHAR) AS region FROM {nation} WHERE n_nationkey > 0")
@@ -400,3 +400,55 @@ def _(v):
 @query("portal_expressions", "SELECT gene, cond, value FROM expr WHERE gene IN (SELECT gene FROM row_memb WHERE cluster = 2) OR gene IN (SELECT s_suppkey FROM {supplier} WHERE s_acctbal > 9000)")
 def _(v):
     return R.in_either(v.expr, "gene", v.row_memb.filter("cluster = 2"), v.supplier.filter("s_acctbal > 9000").select(F.col("s_suppkey").alias("gene")))
+
+
+SVG = "concat('<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"', CAST({0} AS VARCHAR), '\" height=\"100\">', {1}, '</svg>')"
+
+
+@query(
+    "expression_plots",
+    f"SELECT cluster, {SVG.format('max(w)', "string_agg(concat('<polyline fill=\"none\" stroke=\"gray\" points=\"', t, '\"/>'), '' ORDER BY gene)")} AS svg FROM (SELECT cluster, gene, count(*) * 10 AS w, string_agg(concat(CAST(i * 10 AS VARCHAR), ',', CAST(y AS VARCHAR)), ' ' ORDER BY i) AS t FROM pt GROUP BY 1, 2) q GROUP BY 1",
+    rm="SELECT DISTINCT gene, cluster FROM row_memb", cm="SELECT DISTINCT cond, cluster FROM col_memb",
+    ex="SELECT rm.cluster, e.gene, e.cond, cm.cond IS NULL AS out, value FROM expr e JOIN rm ON rm.gene = e.gene LEFT JOIN cm ON cm.cluster = rm.cluster AND cm.cond = e.cond",
+    pt="SELECT cluster, gene, row_number() OVER (PARTITION BY cluster, gene ORDER BY out, cond) - 1 AS i, round(100 * (max(value) OVER (PARTITION BY cluster) - value) / (max(value) OVER (PARTITION BY cluster) - min(value) OVER (PARTITION BY cluster)))::BIGINT AS y FROM ex",
+)
+def _(v):
+    rm, cm = v.row_memb.select("gene", "cluster").distinct(), v.col_memb.select("cond", "cluster").distinct()
+    return pages.expression_svg(R.cluster_expressions(v.expr, rm, cm))
+
+
+@query(
+    "position_plots",
+    f"SELECT iteration, cluster, seqtype, {SVG.format('max(position + length)', "string_agg(concat('<rect class=\"m', motif_num, '\" x=\"', position, '\" y=\"', y, '\" width=\"', length, '\" height=\"4\"/>'), '' ORDER BY gene, position, motif_num, y, length)")} AS svg FROM (SELECT *, (dense_rank() OVER (PARTITION BY iteration, cluster, seqtype ORDER BY gene) - 1) * 10 + CASE WHEN reverse THEN 5 ELSE 0 END AS y FROM an) q GROUP BY 1, 2, 3",
+    an="SELECT DISTINCT iteration, cluster, seqtype, name AS gene, motif_num, position, reverse, coalesce(length, 0) AS length FROM motif_annotations a JOIN motif_infos i ON i.rowid = a.motif_info_id JOIN row_names ON order_num = gene_num LEFT JOIN (SELECT motif_info_id, count(*) AS length FROM motif_pssm_rows GROUP BY 1) p ON p.motif_info_id = i.rowid",
+)
+def _(v):
+    lengths = v.motif_pssm_rows.groupBy("motif_info_id").agg(F.count("*").alias("length"))
+    return pages.positions_svg(R.annotations(v.motif_annotations, v.motif_infos, v.row_names, lengths).drop("pvalue").distinct())
+
+
+LOGO = " + ".join(f"CASE WHEN {x} > 0 THEN {x} * log2({x}) ELSE 0 END" for x in "acgt")
+STACK = ", ".join(f"{{'h': round(100 * greatest(b, 0) / 2 * {x.lower()})::BIGINT, 'b': '{x}', 'c': '{c}'}}" for x, c in pages.COLOURS.items())
+
+
+@query(
+    "logo_plots",
+    f"SELECT motif_info_id, {SVG.format('count(DISTINCT i) * 10', "string_agg(CASE WHEN h > 0 THEN concat('<text x=\"', i * 10, '\" y=\"', 100 - up, '\" font-size=\"', h, '\" fill=\"', c, '\">', l, '</text>') ELSE '' END, '' ORDER BY i, k)")} AS svg FROM st GROUP BY 1",
+    p="SELECT motif_info_id, row_number() OVER (PARTITION BY motif_info_id ORDER BY pos) - 1 AS i, a::DOUBLE AS a, c::DOUBLE AS c, g::DOUBLE AS g, t::DOUBLE AS t FROM motif_pssm_rows",
+    bt=f"SELECT *, 2.0::DOUBLE + {LOGO} AS b FROM p",
+    so=f"SELECT motif_info_id, i, list_sort([{STACK}]) AS s FROM bt",
+    st="SELECT motif_info_id, i, k, s[k].h AS h, s[k].b AS l, s[k].c AS c, coalesce(list_sum([x.h FOR x IN s[1 : k - 1]]), 0)::BIGINT AS up FROM so, (SELECT unnest([1, 2, 3, 4]) AS k) z",
+)
+def _(v):
+    return pages.logo_svg(v.motif_pssm_rows)
+
+
+@query("index_page", "SELECT iteration, concat('<!DOCTYPE html><html><body><table><tr><th>cluster</th><th>rows</th><th>columns</th><th>residual</th></tr>', string_agg(concat('<tr><td><a href=\"cluster-', cluster, '.html\">', cluster, '</a></td><td>', num_rows, '</td><td>', num_cols, '</td><td>', printf('%.4f', round(CAST(residual AS DECIMAL(18, 6)), 4)::DOUBLE), '</td></tr>'), '' ORDER BY residual, cluster), '</table></body></html>') AS html FROM cluster_stats GROUP BY 1")
+def _(v):
+    return pages.index_page(v.cluster_stats)
+
+
+@query("cluster_pages", "SELECT iteration, cluster, concat('<!DOCTYPE html><html><body><h1>Cluster ', cluster, '</h1><p>residual 0.2500, e-value 1.000e+00</p><h2>Rows</h2><ul>', string_agg(DISTINCT concat('<li>', name, '</li>'), '' ORDER BY concat('<li>', name, '</li>')), '</ul><h2>Columns</h2><ul><li>a&lt;b</li><li>c</li></ul></body></html>') AS html FROM row_members JOIN row_names USING (order_num) GROUP BY 1, 2")
+def _(v):
+    rows = R.named_members(v.row_members, v.row_names).groupBy("iteration", "cluster").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("rows"))
+    return pages.cluster_page(rows.withColumn("cols", F.lit("a<b,c")).withColumn("residual", F.lit(0.25)).withColumn("evalue", F.lit(1.0)))
