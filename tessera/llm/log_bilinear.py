@@ -1,4 +1,4 @@
-"""Language-model scores: a log-bilinear model over the frequent words, trained by noise-contrastive estimation."""
+"""Language-model scores: a log-bilinear model over frequent words and classes of the others, trained by noise-contrastive estimation."""
 
 from __future__ import annotations
 
@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from . import arrow, scratch
 from .ppm_language import crc_remainder
 
-#: Symbols of the model (the end, rare words as one, frequent words): so many at least, more for words seen so often, but
-#: so many at most, because the normalisers are a square of them (64 MB).
-SYMBOLS, OFTEN, MOST = 1024, 100, 4096
+#: Symbols of the model: the end, classes of rarer words, and frequent words; of those so many at least, more if seen so often. MOST
+#: symbols in all, because the normalisers are a square of them (64 MB).
+CLASSES, FREQUENT_WORDS, OFTEN, MOST = 1024, 1024, 100, 4096
 #: Dimensions, noise words of a step, positions of a step.
 DIMENSIONS, NOISE, STEP = 24, 128, 1024
 #: Positions of a shard, about, over which one task descends.
@@ -28,7 +28,7 @@ SHARD = 1 << 20
 ROUNDS, RATE = 2, 0.1
 #: Words whose counts every task knows; the others' counts are joined. Words a task counts before it passes them on.
 FREQUENT, HELD = 150_000, 400_000
-END, RARE = 0, 1
+END = 0  # classes are from 1 on, frequent words behind them
 NO_ID = 2
 CHUNK = 1 << 16
 PART, FAN = 4096, 64  # parameters in a row of an average, and shards that one task averages
@@ -188,22 +188,61 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from summed()
 
 
+def endings(words: pa.Array) -> np.ndarray:
+    """The class of each word, by its last three bytes."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) and words.buffers()[2] is not None else np.empty(0, np.uint8)
+    data = np.append(data, np.uint8(0))
+    out = np.zeros(len(words), np.uint32)
+    for k in (1, 2, 3):
+        at = offsets[1:] - k
+        out = out * np.uint32(257) + np.where(at >= offsets[:-1], data[np.maximum(at, 0)], 0).astype(np.uint32)
+    return ((out * np.uint32(0x9E3779B1)) >> np.uint32(32 - CLASSES.bit_length() + 1)).astype(np.int64)
+
+
 class Lexicon:
-    """Frequent words in falling order of their counts, the first ``inner`` of which are symbols of their own, from 2 on."""
+    """Frequent words in falling order of their counts, the first ``inner`` of which are symbols of their own."""
 
     def __init__(self, words: pa.Array, counts: np.ndarray):
         own = pc.not_equal(words, pa.scalar(b"", words.type))
         self.words, self.counts = words.filter(own), counts[own.to_numpy(zero_copy_only=False)]
         self.end = int(counts.sum() - self.counts.sum())  # counts of the end, the empty word
         often = int((self.counts >= OFTEN).sum())
-        self.inner = min(len(self.words), max(SYMBOLS - 2, min(MOST - 2, often)))
+        self.inner = min(len(self.words), max(FREQUENT_WORDS, min(MOST - CLASSES - 1, often)))
+        self.size = 1 + CLASSES + self.inner
+        self.totals, self.kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+
+    def classed(self, classes: np.ndarray, totals: np.ndarray, kinds: np.ndarray) -> Lexicon:
+        """With the counts and the numbers of all words by class; those that are symbols of their own are none of them."""
+        inner = endings(self.words.slice(0, self.inner))
+        self.totals[classes], self.kinds[classes] = totals, kinds
+        np.subtract.at(self.totals, inner, self.counts[: self.inner])
+        np.subtract.at(self.kinds, inner, 1)
+        return self
+
+    def share(self) -> np.ndarray:
+        """Of each symbol its share of the training tokens, with one more each."""
+        n = np.concatenate([[self.end + 1.0], self.totals + 1.0, self.counts[: self.inner] + 1.0])
+        return n / n.sum()
 
     def places(self, distinct: pa.Array) -> np.ndarray:
         """Of each word its place, -1 if it isn't frequent."""
         return pc.index_in(distinct, value_set=self.words).fill_null(-1).to_numpy()
 
-    def symbols(self, places: np.ndarray) -> np.ndarray:
-        return np.where((places >= 0) & (places < self.inner), places + 2, RARE)
+    def symbols(self, distinct: pa.Array, places: np.ndarray) -> np.ndarray:
+        return np.where((places >= 0) & (places < self.inner), 1 + CLASSES + places, 1 + endings(distinct))
+
+
+def _by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the counts of words, and how many there are, by class."""
+    totals, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
+    for b in arrow.full(batches):
+        words = b.column(0).cast(pa.large_binary())
+        real = pc.not_equal(words, pa.scalar(b"", words.type))
+        c = endings(words.filter(real))
+        np.add.at(totals, c, b.column(1).filter(real).to_numpy())
+        np.add.at(kinds, c, 1)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(totals), pa.array(kinds)], ["class", "n", "kinds"])
 
 
 def _sequence(number: np.ndarray, index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -221,7 +260,7 @@ def _symbols(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value
         for _, keys, learn, distinct, index, counts in _rows(batches):
-            _, _, w, first = _sequence(lexicon.symbols(lexicon.places(distinct)), index, counts)
+            _, _, w, first = _sequence(lexicon.symbols(distinct, lexicon.places(distinct)), index, counts)
             w = w.astype("<u2")
             own = np.flatnonzero(learn)
             symbols = [w[first[i] : first[i + 1]].tobytes() for i in own.tolist()]
@@ -292,9 +331,9 @@ def _averaged(got: DataFrame, shards: int) -> np.ndarray | None:
 
 SCORED = pa.schema([
     ("chunk", pa.int64()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()),
-    ("n_rare", pa.int64()), ("rare_logs", pa.float64()), ("model", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())),
+    ("rare_logs", pa.float64()), ("model", pa.float64()), ("words", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())),
 ])
-SCORED_DDL = "chunk long, row long, doc_id long, n_tokens long, n_known long, logs double, n_rare long, rare_logs double, model double, words array<binary>, times array<int>"
+SCORED_DDL = "chunk long, row long, doc_id long, n_tokens long, n_known long, logs double, rare_logs double, model double, words array<binary>, times array<int>"
 
 
 def _score(shared: Broadcast):
@@ -303,16 +342,18 @@ def _score(shared: Broadcast):
         chunk, row = uuid.uuid4().int >> 65, 0
         for ids, _, _, distinct, index, counts in _rows(batches):
             places = lexicon.places(distinct)
-            number = lexicon.symbols(places)
+            number = lexicon.symbols(distinct, places)
             v, u, w, first = _sequence(number, index, counts)
             own = np.add.reduceat(model.log_probability(v, u, w), first[:-1]) / np.log(10)
+            of_class = np.concatenate([[0.0], np.log10(lexicon.totals + lexicon.kinds + 1.0), np.zeros(lexicon.inner)])  # what a word's count plus one is a share of
+            own -= np.add.reduceat(of_class[w], first[:-1])
             # counts of the frequent words; the others go along for a join
             known = places >= 0
             logs = np.zeros(len(places))
             logs[known] = np.log10(lexicon.counts[places[known]] + 1.0)
             doc = np.repeat(np.arange(len(counts)), counts)
             sum_of = lambda x: np.bincount(doc, x, len(counts))
-            rare = number == RARE
+            rare = number <= CLASSES
             far = ~known[index]
             key, times = np.unique(doc[far] * len(distinct) + index[far], return_counts=True)
             at = np.searchsorted(key, np.arange(len(counts) + 1) * len(distinct))
@@ -320,7 +361,7 @@ def _score(shared: Broadcast):
             words = pa.ListArray.from_arrays(offsets, distinct.take(pa.array(key % max(1, len(distinct)))).cast(pa.binary()))
             yield arrow.batch(
                 SCORED, chunk=np.full(len(counts), chunk), row=np.arange(row, row + len(counts)), doc_id=ids, n_tokens=counts + 1,
-                n_known=sum_of(known[index]).astype(np.int64) + (lexicon.end > 0), logs=sum_of(logs[index]) + np.log10(lexicon.end + 1.0), n_rare=sum_of(rare[index]).astype(np.int64),
+                n_known=sum_of(known[index]).astype(np.int64) + (lexicon.end > 0), logs=sum_of(logs[index]) + np.log10(lexicon.end + 1.0),
                 rare_logs=sum_of(np.where(rare, logs, 0.0)[index]), model=own, words=words, times=pa.ListArray.from_arrays(offsets, pa.array(times.astype(np.int32))),
             )
             row += len(counts)
@@ -333,9 +374,10 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Tokens are words between ASCII white space, A-Z lower-cased, and one end a text. Counts cover all
     training documents (those whose crc32 of the id modulo ``folds`` isn't ``held_out``). The model predicts
-    one of SYMBOLS to MOST symbols (the end, the most frequent words, any rarer word) from the two before;
-    a rarer word's probability given that it is one is by its count plus one, with one more for all unseen
-    words, so the probabilities of all tokens sum to one. Training is spread: texts are dealt by their hash to rounds
+    one of up to MOST symbols (the end, the most frequent words, a class of rarer words) from the two before, in which rarer
+    words count as their classes too. Classes are by the last three bytes of a word; a rarer word's
+    probability within its class is by its count plus one, with one more for all unseen words, so the probabilities of all
+    tokens sum to one. Training is spread: texts are dealt by their hash to rounds
     and to shards of about SHARD positions, a task descends over a shard, and shards' parameters are averaged in the
     cluster, round by round. Every position of every training text trains once, and the model doesn't depend on
     how rows were dealt to tasks. The normaliser of each two preceding symbols is computed once.
@@ -359,16 +401,16 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     top = counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT).toArrow().combine_chunks()
     found = pa.chunked_array(top["word"]).combine_chunks() if top.num_rows else pa.array([], pa.binary())
     lexicon = Lexicon(found.cast(pa.large_binary()), top["n"].to_numpy())
-    of_symbols = np.concatenate([[lexicon.end + 1.0, 1.0], lexicon.counts[: lexicon.inner] + 1.0])
-    inner = int(of_symbols.sum()) - len(of_symbols)  # counts of the symbols but the rare one
-    of_symbols[RARE] += total - inner
-    model = Model.start(of_symbols / of_symbols.sum())
+    by_class = counts.mapInArrow(_by_class, "class long, n long, kinds long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toArrow()
+    lexicon = lexicon.classed(by_class["class"].to_numpy(), by_class["n"].to_numpy(), by_class["kinds"].to_numpy())
+    share = lexicon.share()
+    model = Model.start(share)
 
     sc = spark.sparkContext
     texts = scratch.keep(words.mapInArrow(_symbols(sc.broadcast(lexicon)), "key long, symbols binary"), "positions")
     shards = max(1, round(total / ROUNDS / SHARD))
     for turn in range(ROUNDS):
-        shared = sc.broadcast((model, of_symbols / of_symbols.sum()))
+        shared = sc.broadcast((model, share))
         mine = texts.filter(F.pmod("key", F.lit(ROUNDS)) == turn).withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
         dealt = mine.repartitionById(shards, "shard").sortWithinPartitions("shard", "key", "symbols").select("shard", "symbols")
         flat = _averaged(dealt.mapInArrow(_train(shared, turn), PARAMETERS_DDL), shards)
@@ -384,9 +426,8 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     far = far.join(counts, "word").groupBy("chunk", "row").agg(F.sum("times").alias("far_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("far_logs"))
     out = own.drop("words", "times").join(far, ["chunk", "row"], "left")
     known, logs = F.coalesce("far_known", F.lit(0)), F.coalesce("far_logs", F.lit(0.0))
-    rarer = float((total - inner) + (kinds - lexicon.inner - (lexicon.end > 0)) + 1)
     return out.select(
         "doc_id", F.coalesce(crc_remainder(F.col("doc_id"), folds) == held_out, F.lit(False)).alias("held_out"), "n_tokens", (F.col("n_known") + known).alias("n_known"),
         F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("logs") + logs - F.col("n_tokens") * float(np.log10(total + kinds + 1.0))).alias("base_score"),
-        (F.col("model") + F.col("rare_logs") + logs - F.col("n_rare") * float(np.log10(rarer))).alias("score"),
+        (F.col("model") + F.col("rare_logs") + logs).alias("score"),
     )

@@ -191,7 +191,8 @@ def test_log_bilinear_trains_on_every_position(rows):
     tok = [re.findall(rb"[^\x20\x09-\x0D]+", t.lower()) for t in texts]
     counts = dict(collections.Counter(w for t in tok for w in t).most_common())
     lexicon = log_bilinear.Lexicon(pa.array(counts, pa.large_binary()), np.array(list(counts.values())))
-    symbol = {w: i + 2 for i, w in enumerate(counts)}
+    lexicon.inner = 20  # the others go by their classes
+    symbol = {w: 1 + log_bilinear.CLASSES + i if i < 20 else 1 + int(log_bilinear.endings(pa.array([w], pa.large_binary()))[0]) for i, w in enumerate(counts)}
     part = lambda i: [range(i, i + len(texts[i : i + 50]))] * 2 + [[True] * len(texts[i : i + 50])]
     batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in part(i)] + [pa.array(texts[i : i + 50], pa.binary())], ["doc_id", "key", "learn", "text"]) for i in range(0, len(texts), 50)]
     got = collections.Counter()
@@ -200,7 +201,7 @@ def test_log_bilinear_trains_on_every_position(rows):
             got.update(map(tuple, log_bilinear._triples(np.frombuffer(x, "<u2")).tolist()))
     want = collections.Counter()
     for t in tok:
-        s = [0, 0, *(symbol.get(w, 1) for w in t), 0]
+        s = [0, 0, *(symbol[w] for w in t), 0]
         want.update(zip(s, s[1:], s[2:], strict=False))
     assert got == want
 
@@ -215,7 +216,28 @@ def test_log_bilinear_vocabulary_grows():
     def inner(k, n):
         return log_bilinear.Lexicon(pa.array([b"%d" % i for i in range(k)], pa.large_binary()), np.full(k, n)).inner
 
-    assert [inner(k, n) for k, n in ((0, 1), (500, 1), (3000, 1), (3000, 100), (9000, 100))] == [0, 500, 1022, 3000, 4094]
+    assert [inner(k, n) for k, n in ((0, 1), (500, 1), (3000, 1), (3000, 100), (9000, 100))] == [0, 500, 1024, 3000, 3071]
+
+
+def test_log_bilinear_classes():
+    words = pa.array([b"", b"a", b"xa", b"walking", b"talking", b"king", "bé".encode()], pa.large_binary())
+    got = log_bilinear.endings(words).tolist()
+    assert got[3] == got[4] == got[5] and len(set(got)) >= 4 and 0 <= min(got) and max(got) < log_bilinear.CLASSES
+    assert log_bilinear.endings(words.slice(2, 3)).tolist() == got[2:5] and len(log_bilinear.endings(words[:0])) == 0
+
+
+def test_log_bilinear_words_of_a_class_and_what_is_unseen_sum_to_one(spark):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(1500)]
+    rows = [(i, " ".join(words[min(int(rng.expovariate(0.01)), 1499)] for _ in range(60))) for i in range(200)]
+    d = spark.createDataFrame([*rows, *[(10_000 + i, w) for i, w in enumerate([*words, "w1500"])]], "doc_id long, text string")
+    d = d.withColumn("doc_id", F.when(F.col("doc_id") >= 10_000, F.lit(None)).otherwise(F.col("doc_id")))  # scored, never learned from
+    d = d.unionByName(spark.createDataFrame([(None, "")], "doc_id long, text string"))
+    got = log_bilinear.score(d.filter("doc_id IS NULL").unionByName(d.filter("doc_id IS NOT NULL"))).filter("doc_id IS NULL").collect()
+    seen = {w for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2 for w in t.split()}
+    one = [r for r in got if r["n_tokens"] == 2]
+    assert len(one) == 1501 and sum(r["n_known"] == 2 for r in one) == len(seen)
+    assert all(r["score"] < 0 for r in got)
 
 
 def brute_top(rows, k, mod):
