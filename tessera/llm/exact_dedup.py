@@ -114,8 +114,8 @@ def exact_dedup(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Only suspects are joined with their groups; a group of any size is one row there.
 
-    Null text is empty, and empty texts are equal; a text of any length is hashed and compared whole. Of rows with the group's smallest id (null ids come
-    last) exactly one is kept. An empty table gives none. Only the two columns are read; the id is a long.
+    Null text is empty, and empty texts are equal; a text of any length is hashed and compared whole. Ties: of rows with the
+    group's smallest id (null ids come last) exactly one is kept, whichever came first to its task. An empty table gives none. Only the two columns are read; the id is a long.
 
     Columns: doc_id, keep_id, group_size, kept, text_sha256, text_hash (see arrow.text_hash).
     """

@@ -164,7 +164,8 @@ def predict(documents: DataFrame, model: Model, *, id_col: str = "doc_id", text_
     """The language under which each whole text is shortest; ties go to the first language by name.
 
     A text that is null, empty or without a letter is UNKNOWN with score 0; so is every text if nothing
-    was learned. Rows with the same id stay rows of their own. Only the two columns are read.
+    was learned. A text of any length is coded whole, a batch at a time. Rows with the same id stay rows of their own.
+    An empty table gives none. Only the two columns are read.
 
     Columns: doc_id, lang_pred, score (of the posterior under equal priors, see EVIDENCE_BYTES), bits_per_byte.
     """
