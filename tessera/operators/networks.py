@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .. import tables
 from .matrix import with_row
 from .scoring import members
 from .stats import trim_mean
@@ -85,19 +86,19 @@ def network_score_means(edges: DataFrame, row_memb: DataFrame, genes: DataFrame)
 def groups(pairs: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
     """(gene, operon): the smallest gene of each connected group, by minima over neighbours and pointer jumping.
 
-    Each round writes its state to the checkpoint folder if one is set, which cuts the lineage.
+    Each round writes its state as a table, which cuts the lineage and outlives an executor; the one before goes.
     """
     edges = pairs.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    edges = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().cache()
-    spark = pairs.sparkSession
-    cut = spark.sparkContext.getCheckpointDir() is not None
-    label = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l"))
+    edges = tables.keep(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "edges")
+    label = tables.keep(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")), "labels")
     while True:
         near = edges.join(label.select(F.col("u").alias("v"), F.col("l").alias("nl")), "v").groupBy("u").agg(F.min("nl").alias("nl"))
-        new = label.join(near, "u").select("u", F.least("l", "nl").alias("l"))
-        new = new.alias("x").join(label.select(F.col("u").alias("j"), F.col("l").alias("jl")), F.col("l") == F.col("j"), "left").select("u", F.least("l", F.coalesce("jl", "l")).alias("l"))
-        new = new.checkpoint() if cut else new.cache()
-        if not new.join(label.withColumnRenamed("l", "old"), "u").filter("l <> old").limit(1).count():
+        new = label.join(near, "u").select("u", F.least("l", "nl").alias("l"), F.col("l").alias("old"))
+        new = new.alias("x").join(label.select(F.col("u").alias("j"), F.col("l").alias("jl")), F.col("l") == F.col("j"), "left")
+        new = tables.keep(new.select("u", F.least("l", F.coalesce("jl", "l")).alias("l"), "old"), "labels")
+        tables.drop(label)
+        if not new.filter("l <> old").limit(1).count():
+            tables.drop(edges)
             return new.select(F.col("u").alias("gene"), F.col("l").alias("operon"))
         label = new
 

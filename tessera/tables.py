@@ -37,11 +37,11 @@ def place(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df and reads it again; the files go when the driver ends, or with drop()."""
+def keep(df: DataFrame, tag: str, *, packed: bool = False) -> DataFrame:
+    """Writes df and reads it again; the files go when the driver ends, or with drop(). What is packed already is not compressed."""
     spark = df.sparkSession
     path = place(spark, tag)
-    df.write.parquet(path)
+    df.write.parquet(path, compression="none" if packed else None)
     out = spark.read.schema(df.schema).parquet(path)
     out._tessera_path = path
     return out
