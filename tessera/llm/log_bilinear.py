@@ -18,8 +18,8 @@ from . import arrow, scratch
 from .ppm_language import crc_remainder
 
 #: Symbols of the model: the end, classes of rarer words, and frequent words; of those so many at least, more if seen so often. MOST
-#: symbols in all, because the normalisers are a square of them (64 MB).
-CLASSES, FREQUENT_WORDS, OFTEN, MOST = 1024, 1024, 100, 4096
+#: symbols in all, because the normalisers are a square of them (36 MB).
+CLASSES, FREQUENT_WORDS, OFTEN, MOST = 1536, 1024, 100, 3072
 #: Dimensions, noise words of a step, positions of a step.
 DIMENSIONS, NOISE, STEP = 24, 128, 1024
 #: Positions of a shard, about, over which one task descends.
@@ -163,14 +163,27 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndar
             yield pa.array(ids, mask=learn == NO_ID), keys, learn == 1, distinct, index, counts.astype(np.int64)
 
 
+def endings(words: pa.Array) -> np.ndarray:
+    """The class of each word, by its last three bytes."""
+    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) and words.buffers()[2] is not None else np.empty(0, np.uint8)
+    data = np.append(data, np.uint8(0))
+    out = np.zeros(len(words), np.uint32)
+    for k in (1, 2, 3):
+        at = offsets[1:] - k
+        out = out * np.uint32(257) + np.where(at >= offsets[:-1], data[np.maximum(at, 0)], 0).astype(np.uint32)
+    return ((out * np.uint32(0x9E3779B1)) >> np.uint32(8)).astype(np.int64) % CLASSES
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of training texts and their counts, the end as the empty word; summed here as far as memory is bounded."""
+    """Words of training texts, their classes and counts, the end as the empty word; summed here as far as memory is bounded."""
     words, counts_, size, ends = [], [], 0, 0
 
     def summed() -> Iterator[pa.RecordBatch]:
         t = pa.table({"word": pa.chunked_array(words, pa.large_binary()), "n": pa.chunked_array(counts_, pa.int64())}).group_by("word").aggregate([("n", "sum")])
-        for x in t.to_batches(max_chunksize=16384):
-            yield pa.RecordBatch.from_arrays([x.column("word").cast(pa.binary()), x.column("n_sum")], ["word", "n"])
+        for x in t.combine_chunks().to_batches(max_chunksize=16384):
+            word = x.column("word")
+            yield pa.RecordBatch.from_arrays([word.cast(pa.binary()), pa.array(endings(word), pa.int32()), x.column("n_sum")], ["word", "class", "n"])
         words.clear(), counts_.clear()
 
     for _, _, learn, distinct, index, counts in _rows(batches):
@@ -188,18 +201,6 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from summed()
 
 
-def endings(words: pa.Array) -> np.ndarray:
-    """The class of each word, by its last three bytes."""
-    offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
-    data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) and words.buffers()[2] is not None else np.empty(0, np.uint8)
-    data = np.append(data, np.uint8(0))
-    out = np.zeros(len(words), np.uint32)
-    for k in (1, 2, 3):
-        at = offsets[1:] - k
-        out = out * np.uint32(257) + np.where(at >= offsets[:-1], data[np.maximum(at, 0)], 0).astype(np.uint32)
-    return ((out * np.uint32(0x9E3779B1)) >> np.uint32(32 - CLASSES.bit_length() + 1)).astype(np.int64)
-
-
 class Lexicon:
     """Frequent words in falling order of their counts, the first ``inner`` of which are symbols of their own."""
 
@@ -233,18 +234,6 @@ class Lexicon:
         return np.where((places >= 0) & (places < self.inner), 1 + CLASSES + places, 1 + endings(distinct))
 
 
-def _by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of the counts of words, and how many there are, by class."""
-    totals, kinds = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for b in arrow.full(batches):
-        words = b.column(0).cast(pa.large_binary())
-        real = pc.not_equal(words, pa.scalar(b"", words.type))
-        c = endings(words.filter(real))
-        np.add.at(totals, c, b.column(1).filter(real).to_numpy())
-        np.add.at(kinds, c, 1)
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(totals), pa.array(kinds)], ["class", "n", "kinds"])
-
-
 def _sequence(number: np.ndarray, index: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, ...]:
     """Symbols of all texts, each closed by the end, with the two before each and where each text starts."""
     w = np.insert(number[index], np.cumsum(counts), END)
@@ -395,13 +384,13 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     inside = F.coalesce(crc_remainder(F.col(id_col), folds) != held_out, F.lit(False))
     text = arrow.raw(F.col(text_col))
     docs = arrow.narrowed(documents, doc_id=F.col(id_col).cast("long"), key=F.xxhash64(F.col(id_col).cast("long"), text), learn=inside, text=text)
-    words = scratch.keep(docs.mapInArrow(_split, WORDS_DDL), "words")
-    counts = scratch.keep(words.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    words = scratch.keep(docs.mapInArrow(_split, WORDS_DDL), "words", packed=True)
+    counts = scratch.keep(words.mapInArrow(_count, "word binary, class int, n long").groupBy("word", "class").agg(F.sum("n").alias("n")), "counts")
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = counts.orderBy(F.col("n").desc(), "word").limit(FREQUENT).toArrow().combine_chunks()
     found = pa.chunked_array(top["word"]).combine_chunks() if top.num_rows else pa.array([], pa.binary())
     lexicon = Lexicon(found.cast(pa.large_binary()), top["n"].to_numpy())
-    by_class = counts.mapInArrow(_by_class, "class long, n long, kinds long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).toArrow()
+    by_class = counts.filter(F.length("word") > 0).groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).toArrow()  # CLASSES rows
     lexicon = lexicon.classed(by_class["class"].to_numpy(), by_class["n"].to_numpy(), by_class["kinds"].to_numpy())
     share = lexicon.share()
     model = Model.start(share)
@@ -423,7 +412,7 @@ def score(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     own = scratch.keep(words.mapInArrow(_score(sc.broadcast((model, lexicon))), SCORED_DDL), "scores")
     scratch.drop(words)
     far = own.select("chunk", "row", F.explode(F.arrays_zip("words", "times")).alias("t")).select("chunk", "row", F.col("t.words").alias("word"), F.col("t.times").alias("times"))
-    far = far.join(counts, "word").groupBy("chunk", "row").agg(F.sum("times").alias("far_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("far_logs"))
+    far = far.join(counts.drop("class"), "word").groupBy("chunk", "row").agg(F.sum("times").alias("far_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("far_logs"))
     out = own.drop("words", "times").join(far, ["chunk", "row"], "left")
     known, logs = F.coalesce("far_known", F.lit(0)), F.coalesce("far_logs", F.lit(0.0))
     return out.select(
