@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import arrow, repair, scratch
 
 #: Ids of a shard, and cores of words that a worker remembers.
-SHARD_IDS, CACHE_CORES = 1 << 21, 900_000
+SHARD_IDS, CACHE_CORES = 1 << 21, 500_000
 #: Bytes of text encoded at once.
 ENCODE_BYTES = 8 << 20
 #: Cores given to the tokenizer as one text; what is plain: letters of Latin-1, which keep their kind in lower case, and a stop.
@@ -192,8 +192,9 @@ def write(documents: DataFrame, path: str, tokenizer: str, *, id_col: str = "doc
     """Writes the ids of every document, then ``end``, in ascending order of the documents' ids.
 
     Ids are dealt by ranges, so a part holds a range and parts ascend; a part has shards of about
-    SHARD_IDS ids, which hold whole documents. Null text is empty, null ids come first, rows with
-    the same id in the order of their texts. Only the two columns are read.
+    SHARD_IDS ids, which hold whole documents; a long one makes its shard longer. Null and empty texts are their
+    end alone, null ids come first, ties (rows with the same id) go by their texts; what is no UTF-8 counts as U+FFFD. An
+    empty table makes no shard. Only the two columns are read.
     """
     docs = arrow.narrowed(documents, doc_id=F.col(id_col).cast("long"), text=arrow.raw(F.col(text_col)))
     docs = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
