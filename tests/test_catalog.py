@@ -75,7 +75,7 @@ def test_run_query(spark, duck):
     got = [tuple(r) for r in catalog.QUERIES["run_iterations"](spark, SF).orderBy("iteration", "cluster").collect()]
     again = [tuple(r) for r in catalog.QUERIES["run_iterations"](spark, SF).orderBy("iteration", "cluster").collect()]
     assert got == again and {r[0] for r in got} == {1, 2, 3}
-    genes = duck.sql(bindings.oracle("SELECT count(*) FROM genes")).fetchone()[0]
+    genes = duck.sql(bindings.oracle("SELECT count(*) FROM genes")).fetchall()[0][0]
     for i in (1, 2):
         assert 0 < sum(r[2] for r in got if r[0] == i) <= 2 * genes
     assert sum(r[2] for r in got if r[0] == 3) >= sum(r[2] for r in got if r[0] == 2)  # adjusting only adds
