@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, log_bilinear, max_score, metric_join, mixing, page_text, pieces, ppm_language, sentence_spans, token_files
+from . import exact_dedup, keyed_upsert, log_bilinear, max_score, merkle, metric_join, mixing, packing, page_text, pieces, ppm_language, sentence_spans, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,18 @@ def op10_metric_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_duplicates(_documents(spark, sf_dir)).drop("text_hash", "group_key")
 
 
+def op11_set_algebra_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed_upsert.upsert_clients(spark.read.parquet(f"{sf_dir}/clients.parquet"), spark.read.parquet(f"{sf_dir}/client_changes.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(_documents(spark, sf_dir))
+
+
+def op13_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pareto_mixing": op1_pareto_mixing,
     "op2_repair_tokens": op2_repair_tokens,
@@ -65,6 +77,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sentence_spans": op8_sentence_spans,
     "op9_golomb_exact_dedup": op9_golomb_exact_dedup,
     "op10_metric_jaccard_join": op10_metric_jaccard_join,
+    "op11_set_algebra_upsert": op11_set_algebra_upsert,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_sum_of_squares_packing": op13_sum_of_squares_packing,
 }
 
 #: The same ranking and the same prefix, without the histogram.
