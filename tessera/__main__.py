@@ -25,6 +25,7 @@ def arguments(words: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--string", help="network file of three columns")
     p.add_argument("--operons", help="operon predictions")
     p.add_argument("--synonyms", help="names and their originals: alias;original lines")
+    p.add_argument("--sequences", help="FASTA file of the sequences before genes, by gene, in which motifs are searched")
     p.add_argument("--sets", action="append", default=[], help="type=path of gene sets")
     p.add_argument("--rowseed", help="membership file of the rows")
     p.add_argument("--colseed", help="membership file of the columns")
@@ -51,7 +52,8 @@ def networks(spark: SparkSession, a: argparse.Namespace, genes: DataFrame) -> Da
     known = genes.select(F.col("gene").alias("alias"), F.col("gene").alias("original"))
     if a.synonyms:
         lines = text.delimited(spark, a.synonyms, ";").select(F.get("fields", F.lit(0)).alias("alias"), F.get("fields", F.lit(1)).alias("original"), "line")
-        known = known.unionByName(lines.groupBy("alias").agg(F.max_by("original", "line").alias("original"))).dropDuplicates(["alias"])
+        named = lines.groupBy("alias").agg(F.max_by("original", "line").alias("original"))
+        known = known.unionByName(named.join(known.select("alias"), "alias", "left_anti"))  # a gene's own name goes first
     out = text.string_edges(spark, a.string, a.organism, known, genes) if a.string else None
     if a.operons:
         own = operon_edges(groups(text.operon_predictions(spark, a.operons)), max(2, genes.count() // 20)).withColumn("line", F.monotonically_increasing_id())
@@ -65,7 +67,7 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> R
     spark = spark or SparkSession.builder.appName("tessera").getOrCreate()
     m = text.ratios(spark, a.ratios, a.sep, normalise=a.normalise, resumed=a.resume > 0)
     m = m.select(F.col("row").alias("gene"), F.col("col").alias("cond"), "value")
-    functions, columns = default_functions(networks=not a.nonetworks and bool(a.string or a.operons), motifs=False), "Columns"
+    functions, columns = default_functions(networks=not a.nonetworks and bool(a.string or a.operons), motifs=bool(a.sequences) and not a.nomotifs), "Columns"
     if a.pipeline:
         with open(a.pipeline) as f:
             functions, columns = functions_of(json.load(f))
@@ -76,7 +78,8 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> R
         sets = d if sets is None else sets.unionByName(d)
     if sets is not None and "SetEnrichment" not in functions:
         functions = (*functions, "SetEnrichment")
-    run = Run(spark, m, a.out, settings(a), sets=sets, functions=functions, column_function=columns)
+    sequences = text.fasta_source(spark, a.sequences).select(F.col("id").alias("gene"), "id", "seq") if a.sequences else None
+    run = Run(spark, m, a.out, settings(a), sets=sets, sequences=sequences, functions=functions, column_function=columns)
     run.edges = networks(spark, a, run.genes)
     if a.resume:
         run.resume(a.resume)

@@ -139,6 +139,10 @@ class Config:
     seed: int = 1
     quantile: bool = False
     add_fuzz: str = "rows"
+    mask_sequences: bool = True
+    #: Motifs searched in a cluster, by iteration; the largest p-value of a place that is stored with its motif.
+    nmotifs: str = "c(rep(1, num_iterations/3), rep(2, num_iterations/3))"
+    annotate: float = 0.99
     #: The schedules and scalings that a configuration starts from.
     schedules: dict[str, str] = field(default_factory=lambda: {"Rows": "1,2", "Columns": "1,5", "Networks": "1,7", "Motifs": "2,10", "MEME": "1,100", "SetEnrichment": "1,7"})
     scalings: dict[str, str] = field(
@@ -160,6 +164,8 @@ class Config:
             for key, value in ini[section].items():
                 if key in ("schedule", "scaling", "scaling_const", "scaling_rvec"):
                     (own.schedules if key == "schedule" else own.scalings)[section] = value
+                elif key == "nmotifs_rvec":
+                    own.nmotifs = value
                 elif hasattr(own, key) and not isinstance(getattr(own, key), dict):
                     kind = type(getattr(own, key))
                     setattr(own, key, ini[section].getboolean(key) if kind is bool else kind(value))

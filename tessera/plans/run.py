@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import tables
+from ..operators import discovery as D
 from ..operators import enrichment
 from ..operators import membership as B
 from ..operators import motifs as M
@@ -18,6 +19,7 @@ from ..operators import scoring as S
 from ..operators import stats
 from ..operators.networks import network_score_means, network_scores
 from ..operators.results import motif_tables
+from ..operators.sequences import low_complexity_masked
 from .config import Config, Schedule, default_clusters, fuzzy_coefficient, scaling
 
 #: A scoring function: (run, iteration) -> (gene, cluster, score), or None if it has none.
@@ -80,6 +82,37 @@ def _columns(run: Run) -> DataFrame:
     return S.filled_column_scores(S.column_scores(run.matrix, run.rows), run.conds, clusters, run.cols)
 
 
+def search_motifs(run: Run, iteration: int) -> tuple[DataFrame, DataFrame]:
+    """The search that runs use where they have sequences: p-values (cluster, gene, pvalue) and motifs (see ``motif_tables``).
+
+    Only clusters whose sequences are others than in the last search are searched and scanned; the rest keep their motifs and places.
+    """
+    number = int(scaling(run.config.nmotifs, run.config.num_iterations)(iteration))
+    seqs = run.sequences.select("id", "seq").distinct()
+    own = run.kept(M.cluster_sequences(run.rows, run.sequences), f"searched-{iteration}")
+    last, old = run.search_state, None
+    fresh, base = own, D.base_frequencies(seqs)
+    if last is not None and last[0] == number:
+        before, motifs, places = (run.spark.read.parquet(f"{run.folder}/{x}-{last[1]}") for x in ("searched", "found", "places"))
+        changed = tables.keep(M.changed(own, before), "changed")
+        fresh = own.join(changed, "cluster", "left_semi")
+        stays = own.select("cluster").distinct().join(changed, "cluster", "left_anti")
+        old = [x.join(stays, "cluster", "left_semi") for x in (motifs, places)]
+    filtered = low_complexity_masked(fresh) if run.config.mask_sequences else fresh
+    found = tables.keep(D.discover(filtered, base, number), "found")
+    hits = D.scan(found, seqs, base)
+    if old is not None:
+        found, hits = found.unionByName(old[0]), hits.unionByName(old[1])
+    found, hits = run.kept(found, f"found-{iteration}"), run.kept(hits, f"places-{iteration}")
+    if last is not None and last[1] != iteration:
+        for x in ("searched", "found", "places"):
+            run.forget(f"{x}-{last[1]}")
+    run.search_state = number, iteration
+    genes = run.sequences.select("id", "gene").distinct()
+    pvalues = D.combined_pvalues(hits).join(genes, "id").groupBy("cluster", "gene").agg(F.min("pvalue").alias("pvalue"))
+    return pvalues, D.as_results(found, hits.filter(F.col("hit_pvalue") <= run.config.annotate), own, genes)
+
+
 COLUMN_SCORERS["Columns"] = _columns
 MEANS["Motifs"] = lambda run, scores: M.mean_score(scores, run.rows).first()[0]
 
@@ -103,8 +136,9 @@ def default_functions(*, networks: bool = True, motifs: bool = True) -> tuple[st
 class Run:
     """matrix (gene, cond, value) and what functions need besides; ``folder`` is shared by all executors and has what iterations made.
 
-    edges (network, src, dst, weight); sets (set_type, set_name, gene) with set_weights (set_type, weight); find_motifs gives for a run
-    and an iteration the p-values (cluster, gene, pvalue) of a motif search, and its motifs (see ``motif_tables``) or None.
+    edges (network, src, dst, weight); sets (set_type, set_name, gene) with set_weights (set_type, weight); sequences (gene, id, seq), in
+    which motifs are searched; or find_motifs, which gives for a run and an iteration the p-values (cluster, gene, pvalue) of
+    another motif search, and its motifs (see ``motif_tables``) or None.
     The result tables: row_names, column_names, row_members, column_members, cluster_stats, statstypes, iteration_stats,
     run_logs, run_infos, best_sets, motif_infos and what belongs to it.
     """
@@ -117,6 +151,7 @@ class Run:
     network_weights: DataFrame | None = None
     sets: DataFrame | None = None
     set_weights: DataFrame | None = None
+    sequences: DataFrame | None = None
     find_motifs: Callable[[Run, int], tuple[DataFrame, DataFrame | None]] | None = None
     seqtype: str = "upstream"
     functions: tuple[str, ...] = ("Rows", "Networks")
@@ -132,6 +167,10 @@ class Run:
         self.config.per_col = self.config.per_col or max(1, min(self.config.clusters, per_col))
         for table, d, name in (("row_names", self.genes, "gene"), ("column_names", self.conds, "cond")):
             self.kept(stats.counted(d, name).select(F.col("low").alias("order_num"), F.col(name).alias("name")), table)
+        if self.sequences is not None:
+            self.sequences = self.kept(self.sequences.select("gene", "id", F.upper("seq").alias("seq")), "sequences")
+            self.find_motifs = self.find_motifs or search_motifs
+        self.search_state: tuple[int, int] | None = None
         self.cached: dict[str, DataFrame] = {}
         self.cached_at: dict[str, int] = {}
         self.means: dict[str, float | None] = {}
@@ -181,7 +220,7 @@ class Run:
     def _search(self, iteration: int, force: bool) -> None:
         if self.find_motifs is None or "Motifs" not in self.functions or not (force or self._active("MEME", iteration)):
             return
-        pvalues, motifs = self.find_motifs(self, iteration)
+        pvalues, motifs = self.find_motifs(self, iteration)  # in the step's scope
         self.pvalues = self.kept(pvalues.select("cluster", "gene", "pvalue"), f"pvalues-{iteration}")
         self.motifs = None if motifs is None else self.kept(motifs, f"motifs-{iteration}")
         for x in ("pvalues", "motifs"):
@@ -190,7 +229,8 @@ class Run:
         self.last_search = iteration
 
     def scores(self, iteration: int, force: bool = False) -> DataFrame | None:
-        """Combined scores; a function out of schedule stands with its last scores, which are never changed."""
+        """Combined scores; a function out of schedule stands with its last scores, which are never changed. They read tables that
+        the scope around the call drops."""
         got = []
         self._search(iteration, force)
         for name in self.functions:
@@ -222,6 +262,11 @@ class Run:
         return S.combine(first, [(s, f) for _, s, f in others], self.rows, factor)
 
     def step(self, iteration: int, force: bool = False) -> None:
+        """Scores and new memberships; what it keeps on the way is gone when it ends."""
+        with tables.scope():
+            self._step(iteration, force)
+
+    def _step(self, iteration: int, force: bool) -> None:
         combined = self.scores(iteration, force)
         if force or self._active("Columns", iteration) or "Columns" not in self.cached:
             before = self.cached_at.get("Columns")
@@ -298,6 +343,10 @@ class Run:
 
     def finish(self) -> None:
         """Adds each cluster's nearest genes and scores once more, as iteration num_iterations + 1."""
+        with tables.scope():
+            self._finish()
+
+    def _finish(self) -> None:
         last = self.config.num_iterations + 1
         got = [(n, self.cached[n], scaling(self.config.scalings.get(n, "1"), self.config.num_iterations)(last - 1)) for n in self.functions if n in self.cached]
         combined = self._combined(got)

@@ -7,13 +7,17 @@ never recomputed, so what a task numbered at random or by its position stays as
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 _default: str | None = None
 _made: list[tuple[SparkSession, str]] = []
+_scope: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("scope", default=None)
 
 
 def root(spark: SparkSession) -> str:
@@ -34,6 +38,8 @@ def place(spark: SparkSession, tag: str) -> str:
     """A new path in the shared folder, deleted when the driver ends."""
     path = f"{root(spark)}/tessera-{tag}-{uuid.uuid4().hex}"
     _made.append((spark, path))
+    if (own := _scope.get()) is not None:
+        own.append(path)
     return path
 
 
@@ -54,13 +60,29 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def _forget(path: str) -> None:
+    for x in [x for x in _made if x[1] == path]:
+        _made.remove(x)
+        remove(*x)
+
+
 def drop(*frames: DataFrame) -> None:
     """Deletes tables of keep() that nothing reads any more."""
     for df in frames:
-        path = df._tessera_path
-        for x in [x for x in _made if x[1] == path]:
-            _made.remove(x)
-            remove(*x)
+        _forget(df._tessera_path)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """For steps whose results are written elsewhere, or are numbers: what keep() makes inside goes at the end."""
+    own: list[str] = []
+    token = _scope.set(own)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in own:
+            _forget(path)
 
 
 @atexit.register
