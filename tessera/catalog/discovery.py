@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import discovery as D
@@ -61,7 +62,7 @@ def _(v):
 MATRIX = "(x.{l} + 0.01 * b.{l}) / (x.a + x.c + x.g + x.t + 0.01) / b.{l}"
 SCAN = {
     "b": BASE,
-    "o": "SELECT rowid, cluster FROM motif_infos WHERE iteration = 2 AND seqtype = 'upstream' AND rowid IN (SELECT motif_info_id FROM motif_pssm_rows)",
+    "o": "SELECT rowid, cluster FROM (SELECT rowid, cluster, row_number() OVER (PARTITION BY cluster ORDER BY evalue, rowid) AS i FROM motif_infos WHERE iteration = 2 AND seqtype = 'upstream' AND rowid IN (SELECT motif_info_id FROM motif_pssm_rows)) q WHERE i <= 2",
     "mr": "SELECT motif_info_id AS rowid, row_number() OVER (PARTITION BY motif_info_id ORDER BY pos) AS k, a::DOUBLE AS a, c::DOUBLE AS c, g::DOUBLE AS g, t::DOUBLE AS t FROM motif_pssm_rows WHERE motif_info_id IN (SELECT rowid FROM o)",
     "ms": f"SELECT x.rowid, x.k, {', '.join(f'CAST(floor(log2({MATRIX.format(l=l)}) * 10 + 0.5) AS INTEGER) AS {l}' for l in 'acgt')} FROM mr x, b",
     "wd": "SELECT rowid, max(k) AS width FROM ms GROUP BY 1",
@@ -84,8 +85,10 @@ SCAN |= {
 
 
 def scanned(v):
-    """The best places of an iteration's motifs in all sequences."""
-    m = v.motif_infos.filter("iteration = 2 AND seqtype = 'upstream'").select("rowid", "cluster")
+    """The best places of the two best motifs of each cluster in all sequences."""
+    place = F.row_number().over(W.partitionBy("cluster").orderBy("evalue", "rowid"))
+    m = v.motif_infos.filter("iteration = 2 AND seqtype = 'upstream'").join(v.motif_pssm_rows, F.col("rowid") == F.col("motif_info_id"), "left_semi")
+    m = m.withColumn("_i", place).filter("_i <= 2").select("rowid", "cluster")
     row = F.struct("pos", F.array(*[F.col(x).cast("double") for x in "acgt"]).alias("r"))
     p = v.motif_pssm_rows.groupBy(F.col("motif_info_id").alias("rowid")).agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["r"]).alias("pssm"))
     return D.scan(m.join(p, "rowid").withColumnRenamed("rowid", "motif_num"), v.seqs, D.base_frequencies(v.seqs))

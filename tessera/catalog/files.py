@@ -13,7 +13,6 @@ from ..operators import names as N
 from ..operators import results as R
 from ..operators import sequences as Q
 from ..plans import config
-from ..plans.run import functions_of
 from ..sources import pages, store, text, writers
 from . import results, scores
 from .base import query
@@ -225,9 +224,10 @@ def _(v):
     return d.select("n_regionkey", *[F.col("items")[i].alias(x) for i, x in enumerate("abc")])
 
 
-@query("all_kmers", "SELECT row_number() OVER (ORDER BY kmer) - 1 AS place, kmer FROM (SELECT concat(a, b, c, d) AS kmer FROM l, (SELECT a AS b FROM l) y, (SELECT a AS c FROM l) z, (SELECT a AS d FROM l) w) q", l="SELECT unnest(['A', 'C', 'G', 'T']) AS a")
+@query("all_kmers", "SELECT row_number() OVER (ORDER BY a.kmer) - 1 AS place, a.kmer, coalesce(n, 0) AS times FROM (SELECT concat(a, b, c, d) AS kmer FROM l, (SELECT a AS b FROM l) y, (SELECT a AS c FROM l) z, (SELECT a AS d FROM l) w) a LEFT JOIN (SELECT substr(seq, i, 4) AS kmer, count(*) AS n FROM (SELECT seq, unnest(range(1, len(seq) - 2)) AS i FROM seqs) q GROUP BY 1) t ON t.kmer = a.kmer", l="SELECT unnest(['A', 'C', 'G', 'T']) AS a")
 def _(v):
-    return Q.all_kmers(v.spark, 4)
+    """All words of four letters and how often the sequences have them."""
+    return Q.all_kmers(v.spark, 4).join(Q.kmers(v.seqs, 4), "kmer", "left").select("place", "kmer", F.coalesce("times", F.lit(0)).alias("times"))
 
 
 @query("degenerate_letters", "SELECT id, translate(upper(translate(seq, 'ACG', 'rkn')), 'RYKMSWN', 'GTGAGAG') AS seq FROM seqs")
@@ -246,44 +246,43 @@ N_ITERATIONS = 200
 
 
 def iterations(v, **columns) -> DataFrame:
-    """What settings give for each iteration of a short run."""
+    """What settings give for each iteration that was logged, and how many log rows it has."""
     rows = [(i, *[f(i) for f in columns.values()]) for i in range(1, N_ITERATIONS + 1)]
     kinds = ", ".join(f"{n} {'boolean' if isinstance(rows[0][k + 1], bool) else 'double'}" for k, n in enumerate(columns))
-    return v.spark.createDataFrame(rows, f"iteration long, {kinds}")
+    logged = v.runs.groupBy("iteration").agg(F.count("*").alias("logged"))
+    return logged.join(F.broadcast(v.spark.createDataFrame(rows, f"iteration long, {kinds}")), "iteration")  # a row for each iteration of the settings
 
 
-STEPS = "SELECT unnest(generate_series(1, 200))::BIGINT AS i"
+STEPS = "SELECT iteration AS i, count(*) AS logged FROM runs GROUP BY 1"
 
 
-@query("schedules", "SELECT i AS iteration, i % 7 = 1 AS networks, i >= 2 AND (i - 2) % 10 = 0 AS motifs, i IN (3, 5) OR (i >= 20 AND i % 20 = 0) AS mixed FROM n", n=STEPS)
+@query("schedules", "SELECT i AS iteration, logged, i % 7 = 1 AS networks, i >= 2 AND (i - 2) % 10 = 0 AS motifs, i IN (3, 5) OR (i >= 20 AND i % 20 = 0) AS mixed FROM n", n=STEPS)
 def _(v):
     return iterations(v, networks=config.Schedule("1,7"), motifs=config.Schedule("2,10"), mixed=config.Schedule("3:5:20,20"))
 
 
-@query("scalings", "SELECT i AS iteration, round(CASE WHEN i < 150 THEN 1e-5 + (0.5 - 1e-5) * (i - 1) / 149 ELSE 0.5 END, 9) AS seq, round(CASE WHEN i <= 100 THEN 1e-5 ELSE 1e-5 + (1 - 1e-5) * least(i - 101, 149) / 149 END, 9) AS joined, 0.3::DOUBLE AS const FROM n", n=STEPS)
+@query("scalings", "SELECT i AS iteration, logged, round(CASE WHEN i < 150 THEN 1e-5 + (0.5 - 1e-5) * (i - 1) / 149 ELSE 0.5 END, 9) AS seq, round(CASE WHEN i <= 100 THEN 1e-5 ELSE 1e-5 + (1 - 1e-5) * least(i - 101, 149) / 149 END, 9) AS joined, 0.3::DOUBLE AS const FROM n", n=STEPS)
 def _(v):
     of = lambda t: (lambda f: lambda i: round(f(i), 9))(config.scaling(t, N_ITERATIONS))
     return iterations(v, seq=of("seq(1e-5, 0.5, length=num_iterations*3/4)"), joined=of("c(rep(1e-5, 100), seq(1e-5, 1, length=num_iterations*3/4))"), const=of("0.3"))
 
 
-@query("fuzzy_coefficients", "SELECT i AS iteration, round(0.75 * exp(-i / 50.0), 9) AS own, round(0.7 * exp(-i / (200 / 3.0)) + 0.05, 9) AS standard FROM n", n=STEPS)
+@query("fuzzy_coefficients", "SELECT i AS iteration, logged, round(0.75 * exp(-i / 50.0), 9) AS own, round(0.7 * exp(-i / (200 / 3.0)) + 0.05, 9) AS standard FROM n", n=STEPS)
 def _(v):
-    d = v.spark.range(1, N_ITERATIONS + 1).withColumnRenamed("id", "iteration")
     own = iterations(v, own=lambda i: round(config.fuzzy_coefficient(i, N_ITERATIONS), 9))
-    return d.join(own, "iteration").select("iteration", "own", F.round(scalars.standard_fuzzy(F.col("iteration"), N_ITERATIONS), 9).alias("standard"))
+    return own.select("iteration", "logged", "own", F.round(scalars.standard_fuzzy(F.col("iteration"), N_ITERATIONS), 9).alias("standard"))
 
 
-@query("default_clusters", "SELECT n AS genes, c AS conds, round_even(n * 2 / 20.0, 0)::BIGINT AS clusters, round_even(CASE WHEN c >= 60 THEN round_even(n * 2 / 20.0, 0) / 2 ELSE 2 * round_even(n * 2 / 20.0, 0) / 3 END, 0)::BIGINT AS per_col FROM (SELECT unnest([100, 234, 1005, 2400]) AS n) a, (SELECT unnest([5, 59, 60, 268]) AS c) b")
-def _(v):
-    rows = [(n, c, *config.default_clusters(n, c)) for n in (100, 234, 1005, 2400) for c in (5, 59, 60, 268)]
-    return v.spark.createDataFrame(rows, "genes int, conds int, clusters long, per_col long")
-
-
-@query("pipeline_functions", "SELECT * FROM (VALUES (0, 'Rows'), (1, 'Networks'), (2, 'Motifs'), (3, 'Columns')) t(place, name)")
+@query(
+    "default_clusters",
+    "SELECT iteration, n AS genes, c AS conds, round_even(n * 2 / 20.0, 0)::BIGINT AS clusters, round_even(CASE WHEN c >= 60 THEN round_even(n * 2 / 20.0, 0) / 2 ELSE 2 * round_even(n * 2 / 20.0, 0) / 3 END, 0)::BIGINT AS per_col FROM (SELECT iteration, count(DISTINCT order_num) AS n FROM row_members GROUP BY 1) r JOIN (SELECT iteration, count(DISTINCT order_num) AS c FROM column_members GROUP BY 1) q USING (iteration)",
+)
 def _(v):
-    fun = lambda x: {"id": x, "function": {}}
-    rows, cols = functions_of({"row-scoring": {"function": {"class": "Combiner"}, "args": {"functions": [fun("Rows"), fun("Networks"), fun("Motifs")]}}, "column-scoring": fun("Columns")})
-    return v.spark.createDataFrame([(i, x) for i, x in enumerate((*rows, cols))], "place int, name string")
+    """Clusters and slots for the sizes that iterations have."""
+    size = lambda d, name: d.groupBy("iteration").agg(F.count_distinct("order_num").alias(name))
+    slots = F.udf(config.default_clusters, "struct<clusters:long,per_col:long>")  # a row for each iteration
+    d = size(v.row_members, "genes").join(size(v.column_members, "conds"), "iteration")
+    return d.withColumn("s", slots("genes", "conds")).select("iteration", "genes", "conds", "s.clusters", "s.per_col")
 
 
 @query("result_store", "SELECT cluster, num_rows, num_cols, residual, iteration FROM cluster_stats WHERE iteration = (SELECT max(iteration) FROM cluster_stats WHERE iteration < 6)")
@@ -397,9 +396,18 @@ def _(v):
     return R.linked_species(species, nets, clusters, genes, names)
 
 
-@query("portal_expressions", "SELECT gene, cond, value FROM expr WHERE gene IN (SELECT gene FROM row_memb WHERE cluster = 2) OR gene IN (SELECT s_suppkey FROM {supplier} WHERE s_acctbal > 9000)")
+PORTAL = {"g": "SELECT DISTINCT gene FROM row_memb WHERE cluster = 2", "c": "SELECT DISTINCT cond FROM col_memb WHERE cluster = 2"}
+
+
+@query("portal_values", "SELECT gene, cond, value FROM expr WHERE gene IN (SELECT gene FROM g) OR cond IN (SELECT cond FROM c)", **PORTAL)
+def _(v):
+    return R.in_either(v.expr, v.row_memb.filter("cluster = 2"), v.col_memb.filter("cluster = 2"))
+
+
+@query("portal_expressions", "SELECT g.gene, concat(CAST(g.gene AS VARCHAR), chr(9), string_agg(CASE WHEN value IS NULL THEN 'NA' ELSE printf('%.6f', value) END, chr(9) ORDER BY c.cond)) AS line FROM g CROSS JOIN c LEFT JOIN expr_sparse e ON e.gene = g.gene AND e.cond = c.cond GROUP BY g.gene", g="SELECT DISTINCT gene FROM part_cells WHERE gene % 3 = 0", c="SELECT DISTINCT cond FROM part_cells WHERE cond >= 1994")
 def _(v):
-    return R.in_either(v.expr, "gene", v.row_memb.filter("cluster = 2"), v.supplier.filter("s_acctbal > 9000").select(F.col("s_suppkey").alias("gene")))
+    genes, conds = v.part_cells.filter("gene % 3 = 0"), v.part_cells.filter("cond >= 1994")
+    return R.expression_table(v.expr_sparse, genes, conds)
 
 
 SVG = "concat('<svg xmlns=\"http://www.w3.org/2000/svg\" width=\"', CAST({0} AS VARCHAR), '\" height=\"100\">', {1}, '</svg>')"
@@ -448,7 +456,14 @@ def _(v):
     return pages.index_page(v.cluster_stats)
 
 
-@query("cluster_pages", "SELECT iteration, cluster, concat('<!DOCTYPE html><html><body><h1>Cluster ', cluster, '</h1><p>residual 0.2500, e-value 1.000e+00</p><h2>Rows</h2><ul>', string_agg(DISTINCT concat('<li>', name, '</li>'), '' ORDER BY concat('<li>', name, '</li>')), '</ul><h2>Columns</h2><ul><li>a&lt;b</li><li>c</li></ul></body></html>') AS html FROM row_members JOIN row_names USING (order_num) GROUP BY 1, 2")
+@query(
+    "cluster_pages",
+    "SELECT r.iteration, r.cluster, concat('<!DOCTYPE html><html><body><h1>Cluster ', r.cluster, '</h1><p>residual ', printf('%.4f', round(CAST(coalesce(residual, 1.0) AS DECIMAL(18, 6)), 4)::DOUBLE), ', e-value ', printf('%.3e', coalesce(e, 1.0) * (1 + 1e-12)), '</p><h2>Rows</h2><ul>', r.l, '</ul><h2>Columns</h2><ul>', coalesce(c.l, ''), '</ul></body></html>') AS html FROM r LEFT JOIN c USING (iteration, cluster) LEFT JOIN s USING (iteration, cluster) LEFT JOIN m USING (iteration, cluster)",
+    r="SELECT iteration, cluster, string_agg(concat('<li>', name, '</li>'), '' ORDER BY name) AS l FROM row_members JOIN row_names USING (order_num) GROUP BY 1, 2",
+    c="SELECT iteration, cluster, string_agg(concat('<li>', name, '</li>'), '' ORDER BY name) AS l FROM column_members JOIN column_names USING (order_num) GROUP BY 1, 2",
+    s="SELECT iteration, cluster, max(residual) AS residual FROM cluster_stats GROUP BY 1, 2",
+    m="SELECT iteration, cluster, min(evalue) AS e FROM motif_infos GROUP BY 1, 2",
+)
 def _(v):
-    rows = R.named_members(v.row_members, v.row_names).groupBy("iteration", "cluster").agg(F.array_join(F.sort_array(F.collect_set("name")), ",").alias("rows"))
-    return pages.cluster_page(rows.withColumn("cols", F.lit("a<b,c")).withColumn("residual", F.lit(0.25)).withColumn("evalue", F.lit(1.0)))
+    d = R.cluster_rows(v.row_members, v.row_names, v.column_members, v.column_names, v.cluster_stats, v.motif_infos)
+    return pages.cluster_page(d)

@@ -171,6 +171,18 @@ def _(v):
     return S.residual(m, ["cluster"], "gene", "cond").select("cluster", F.round("residual", 6).alias("residual"))
 
 
+@query(
+    "cluster_residuals_scaled",
+    "SELECT m.cluster, round(CASE WHEN least(max(nr), max(nc)) <= 1 THEN 1.0 ELSE avg(abs(value + mu - r - c)) / least(coalesce(max(v), 0.5), 0.5) END, 6) AS residual FROM m JOIN rm ON m.cluster = rm.cluster AND m.gene = rm.gene JOIN cm ON m.cluster = cm.cluster AND m.cond = cm.cond JOIN mm ON m.cluster = mm.cluster JOIN rv ON rv.cluster = m.cluster GROUP BY 1",
+    **RESIDUAL,
+    rv="SELECT cluster, avg(v) AS v FROM (SELECT cluster, gene, var_samp(value) AS v FROM m GROUP BY 1, 2) q GROUP BY 1",
+)
+def _(v):
+    """Over the rows' variance, which counts up to 0.5."""
+    m = v.expr.join(members(v.row_memb, "gene"), "gene").join(members(v.col_memb, "cond"), ["cond", "cluster"])
+    return S.residual(m, ["cluster"], "gene", "cond", most_variance=0.5).select("cluster", F.round("residual", 6).alias("residual"))
+
+
 @query("residual", "SELECT round(avg(abs(value + mu - r - c)), 6) AS residual FROM expr JOIN (SELECT gene, avg(value) AS r FROM expr GROUP BY 1) a USING (gene) JOIN (SELECT cond, avg(value) AS c FROM expr GROUP BY 1) b USING (cond), (SELECT avg(r) AS mu FROM (SELECT avg(value) AS r FROM expr GROUP BY gene) q) z")
 def _(v):
     return S.residual(long(v).withColumn("all", F.lit(1)), ["all"]).select(F.round("residual", 6).alias("residual"))

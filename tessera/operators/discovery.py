@@ -367,10 +367,10 @@ def compare(motifs: DataFrame, base: DataFrame, *, threshold: float = 0.5, overl
     Columns are compared by Euclidean distance, their sum over an overlap has a p-value under the query's own null, in which all columns of
     all motifs, on both strands, are alike probable; the least of all places counts, corrected for how many there are. Of
     equal ones the longer overlap, forward, the smaller shift. The null needs only counts of distances: a row a query's column and level.
-    Queries and targets meet in blocks of BLOCK by BLOCK.
+    Queries and targets meet in blocks of 4 BLOCK by 4 BLOCK.
     """
     made = tables.keep(_columns(motifs.select("id", "pssm").filter(F.size("pssm") > 0), base), "columns")
-    blocks = max(1, -(-made.count() // BLOCK))
+    blocks = max(1, -(-made.count() // (4 * BLOCK)))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     kind = dict(made.dtypes)["id"]
@@ -397,25 +397,30 @@ def compare(motifs: DataFrame, base: DataFrame, *, threshold: float = 0.5, overl
     names = ["motif_info_id1", "motif_info_id2", "pvalue", "shift", "reverse", "overlap"]
 
     def match(q: pd.DataFrame, t: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        targets = both(t)
+        """A query against all targets of a width at once."""
+        out = [pd.DataFrame(columns=names)]
+        by_width: dict[int, list] = {}
+        for j, strands in both(t):
+            by_width.setdefault(len(strands[0]), []).append((j, strands))
+        stacked = {w: (np.array([j for j, _ in x], object), [np.stack([s[k] for _, s in x]) for k in (0, 1)]) for w, x in by_width.items()}
         for i, m, n in zip(q["id"], q["rows"], q["null"], strict=True):
             m, chances = matrix(m), nulls(matrix(n))
-            for j, strands in targets:
-                if i == j:
-                    continue
-                best = None
-                places = overlaps(len(m), len(strands[0]), overlap)
-                for reverse, target in enumerate(strands):
-                    d = distances(m, target)
-                    for a, b, k in places:
-                        total = int(d[np.arange(a, a + k), np.arange(b, b + k)].sum())
-                        x = (chances[a, k][total], -k, reverse, a - b)
-                        best = x if best is None or x < best else best
-                p = -math.expm1(2 * len(places) * math.log1p(-best[0])) if best[0] < 1 else 1.0
-                if p <= threshold:
-                    out.append((i, j, p, best[3], bool(best[2]), -best[1]))
-        return pd.DataFrame(out, columns=names)
+            for width, (ids, strands) in stacked.items():
+                places = overlaps(len(m), width, overlap)
+                best = np.full(len(ids), np.inf)
+                how = np.zeros((len(ids), 3), np.int64)  # shift, reverse, overlap
+                for reverse, targets in enumerate(strands):
+                    d = distances(m, targets.reshape(-1, 4)).reshape(len(m), len(ids), width)
+                    for a, b, k in sorted(places, key=lambda x: (-x[2], x[0] - x[1])):
+                        p = chances[a, k][d[np.arange(a, a + k), :, np.arange(b, b + k)].sum(0)]
+                        better = (p < best * (1 - 1e-12)) | ((p <= best * (1 + 1e-12)) & (k > how[:, 2]))
+                        best[better], how[better] = p[better], (a - b, reverse, k)
+                with np.errstate(divide="ignore"):
+                    p = -np.expm1(2 * len(places) * np.log1p(-np.minimum(best, 1)))
+                keep = (p <= threshold) & (ids != i)
+                out.append(pd.DataFrame({"motif_info_id1": i, "motif_info_id2": ids[keep], "pvalue": p[keep], "shift": how[keep, 0], "reverse": how[keep, 1] > 0, "overlap": how[keep, 2]}))
+        out = [x for x in out if len(x)]
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=names)
 
     ddl = f"motif_info_id1 {kind}, motif_info_id2 {kind}, pvalue double, shift int, reverse boolean, overlap int"
     return left.groupBy("q", "t").cogroup(right.groupBy("q", "t")).applyInPandas(match, ddl)

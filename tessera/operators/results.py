@@ -197,12 +197,18 @@ def linked_species(species: DataFrame, networks: DataFrame, biclusters: DataFram
     return d.select("species", "network", "bicluster_id", "gene")
 
 
-def in_either(d: DataFrame, key: str, *lists: DataFrame) -> DataFrame:
-    """Rows whose key is in one of the lists."""
-    wanted = lists[0].select(key)
-    for x in lists[1:]:
-        wanted = wanted.unionByName(x.select(key))
-    return d.join(wanted.distinct(), key, "left_semi")
+def in_either(d: DataFrame, genes: DataFrame, conds: DataFrame) -> DataFrame:
+    """Cells (gene, cond, value) whose gene is among the genes or whose condition is among the conditions."""
+    g, c = genes.select("gene").distinct().withColumn("_g", F.lit(True)), conds.select("cond").distinct().withColumn("_c", F.lit(True))
+    return d.join(g, "gene", "left").join(c, "cond", "left").filter("_g OR _c").select("gene", "cond", "value")
+
+
+def expression_table(d: DataFrame, genes: DataFrame, conds: DataFrame, *, digits: int = 6) -> DataFrame:
+    """(gene, line): a line of each gene, with its value in each condition in their order, NA where there is none."""
+    grid = genes.select("gene").distinct().crossJoin(F.broadcast(conds.select("cond").distinct()))  # the table asked for
+    text = F.coalesce(F.format_string(f"%.{digits}f", "value"), F.lit("NA"))
+    cells = grid.join(in_either(d, genes, conds), ["gene", "cond"], "left").groupBy("gene").agg(F.sort_array(F.collect_list(F.struct("cond", F.when(F.col("value").isNull(), "NA").otherwise(text).alias("t")))).alias("c"))
+    return cells.select("gene", F.concat_ws("\t", F.col("gene").cast("string"), F.array_join(F.transform("c", lambda x: x["t"]), "\t")).alias("line"))
 
 
 def cluster_stack(rows: DataFrame, cols: DataFrame, stats: DataFrame) -> DataFrame:

@@ -103,16 +103,16 @@ def quantile_normalise(scores: DataFrame, weights: DataFrame | None = None) -> D
     return cells.join(brought, ["function", "score"]).select("function", "gene", "cluster", F.col("mean").alias("score"))
 
 
-def _settled(d: DataFrame) -> DataFrame:
-    """A matrix, read from a table, without extremes and less its 99 % quantile."""
-    d = _clamped(tables.keep(d.select("gene", "cluster", F.col("score").cast("double").alias("score")), "scores"))
-    (top,) = quantiles(d, "score", [0.99])
-    return d.withColumn("score", F.col("score") - F.lit(top))
+def _settled(d: DataFrame) -> tuple[DataFrame, int]:
+    """A matrix, read from a table, without extremes and less its 99 % quantile; and its cells' number."""
+    d, n = _clamped(tables.keep(d.select("gene", "cluster", F.col("score").cast("double").alias("score")), "scores"))
+    (top,) = quantiles(d, "score", [0.99], n)
+    return d.withColumn("score", F.col("score") - F.lit(top)), n
 
 
-def _clamped(d: DataFrame, least: float = -20.0) -> DataFrame:
-    top, low = d.agg(*extremes(least, "score")).first()
-    return d.withColumn("score", without_extremes("score", least, F.lit(top).cast("double"), F.lit(low).cast("double")))
+def _clamped(d: DataFrame, least: float = -20.0) -> tuple[DataFrame, int]:
+    top, low, n = d.agg(*extremes(least, "score"), F.count("*")).first()
+    return d.withColumn("score", without_extremes("score", least, F.lit(top).cast("double"), F.lit(low).cast("double"))), n
 
 
 def combine(row: DataFrame, others: list[tuple[DataFrame, float]], row_memb: DataFrame, row_scaling: float = 1.0) -> DataFrame:
@@ -124,20 +124,20 @@ def combine(row: DataFrame, others: list[tuple[DataFrame, float]], row_memb: Dat
 
     Each matrix is written once; its few statistics are numbers on the driver, so that the rest is one pass.
     """
-    first = _settled(row)
+    first, n = _settled(row)
     own = first.join(members(row_memb, "gene"), ["gene", "cluster"], "left_semi")
-    (mid,) = quantiles(own, "score", [0.5])
+    (mid,) = quantiles(own, "score", [0.5], n)
     if mid is not None:
-        (mad,) = quantiles(own.withColumn("score", F.abs(F.col("score") - F.lit(mid))), "score", [0.5])
+        (mad,) = quantiles(own.withColumn("score", F.abs(F.col("score") - F.lit(mid))), "score", [0.5], n)
         scale = mad * MAD_SCALE or own.agg(F.stddev_samp("score")).first()[0]
         if scale:
             first = first.withColumn("score", (F.col("score") - F.lit(mid)) / F.lit(scale))
-    first = _clamped(first)
+    first, n = _clamped(first)
     total = first.select("gene", "cluster", (F.col("score") * row_scaling).alias("score"))
-    (at_rows,) = quantiles(first, "score", [0.01]) if others else (None,)
+    (at_rows,) = quantiles(first, "score", [0.01], n) if others else (None,)
     for d, scaling in others:
-        d = _settled(d)
-        (at,) = quantiles(d, "score", [0.01])
+        d, n = _settled(d)
+        (at,) = quantiles(d, "score", [0.01], n)
         tenth = [r[0] for r in d.select("score").orderBy("score").limit(10).collect()]
         unit = abs(at or 0.0) or abs(tenth[-1] if tenth else 0.0) or abs(tenth[0] if tenth else 0.0)
         scaled = F.col("score") / F.lit(unit) * F.lit(abs(at_rows or 0.0)) if unit else F.col("score")

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .. import tables
 
+#: Cells of which one task may hold the counts by value (some 50 MB).
+FEW = 1 << 20
 #: Makes the median absolute deviation an estimate of a normal distribution's sd.
 MAD_SCALE = 1.4826
 
@@ -42,11 +44,18 @@ def counted(df: DataFrame, value: str, by: list[str] | None = None) -> DataFrame
     return dealt.withColumn("_i", inside).join(before, [*by, "_p"]).select(*by, value, "n", (F.col("_i") + F.col("_b")).alias("low"))
 
 
-def quantiles(df: DataFrame, value: str, at: list[float]) -> list[float | None]:
+def quantiles(df: DataFrame, value: str, at: list[float], most: int | None = None) -> list[float | None]:
     """Quantiles of all cells as numbers, linear between the two nearest ranks; None without cells.
 
-    Of the counted values (see ``counted``) at most two for each quantile come to the driver.
+    most: a number of cells that there can't be more of, where it is known. Up to FEW cells are counted in one pass, in a map of at most so many values. Beyond that they are dealt by range (see
+    ``counted``), and at most two values for each quantile come to the driver.
     """
+    some = df.select(value).filter(F.col(value).isNotNull())
+    if most is None:
+        most = some.agg(F.count("*")).first()[0]
+    if most <= FEW:
+        got = some.agg(F.percentile(F.col(value).cast("double"), F.array(*[F.lit(float(p)) for p in at]))).first()[0]
+        return [None] * len(at) if got is None else list(got)
     with tables.scope():
         d = counted(df, value)
         total = d.agg(F.max(F.col("low") + F.col("n"))).first()[0]
@@ -89,13 +98,20 @@ def mean_row_variance(m: DataFrame, row: str = "row", value: str = "value") -> D
     return m.groupBy(row).agg(F.var_samp(value).alias("v")).agg(F.avg("v").alias("row_variance"))
 
 
-def residual(m: DataFrame, by: list[str], row: str = "row", col: str = "col", value: str = "value") -> DataFrame:
-    """Mean of |x + mu - row mean - column mean| in each submatrix, mu the mean of the row means; 1 for one row or column."""
+def residual(m: DataFrame, by: list[str], row: str = "row", col: str = "col", value: str = "value", most_variance: float | None = None) -> DataFrame:
+    """Mean of |x + mu - row mean - column mean| in each submatrix, mu the mean of the row means; 1 for one row or column.
+
+    With ``most_variance`` over the mean of the rows' sample variances, that being at most so much (and so much where it is missing).
+    """
     rows = m.groupBy(*by, row).agg(F.avg(value).alias("_r"))
     cols = m.groupBy(*by, col).agg(F.avg(value).alias("_c"))
     size = rows.groupBy(*by).agg(F.avg("_r").alias("_mu"), F.count("*").alias("n_rows")).join(cols.groupBy(*by).agg(F.count("*").alias("n_cols")), by)
     d = m.join(rows, [*by, row]).join(cols, [*by, col]).join(size, by)
     away = F.avg(F.abs(F.col(value) + F.col("_mu") - F.col("_r") - F.col("_c")))
+    if most_variance is not None:
+        own = m.groupBy(*by, row).agg(F.var_samp(value).alias("_v")).groupBy(*by).agg(F.avg("_v").alias("_v"))
+        d = d.join(own, by)
+        away = away / F.coalesce(F.least(F.nanvl(F.max("_v"), F.lit(most_variance)), F.lit(most_variance)), F.lit(most_variance))
     return d.groupBy(*by).agg(F.when(F.least(F.max("n_rows"), F.max("n_cols")) <= 1, 1.0).otherwise(away).alias("residual"))
 
 

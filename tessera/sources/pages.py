@@ -60,7 +60,7 @@ def positions_svg(annotations: DataFrame) -> DataFrame:
 
 def cluster_page(rows: DataFrame) -> DataFrame:
     """(iteration, cluster, html) from one row a cluster (see ``results.cluster_rows``)."""
-    items = lambda c: F.array_join(F.transform(F.split(c, ","), lambda x: F.concat(F.lit("<li>"), escaped(x), F.lit("</li>"))), "")
+    items = lambda c: F.array_join(F.transform(F.filter(F.split(c, ","), lambda x: x != ""), lambda x: F.concat(F.lit("<li>"), escaped(x), F.lit("</li>"))), "")
     head = F.format_string("<h1>Cluster %d</h1><p>residual %.4f, e-value %.3e</p>", F.col("cluster"), F.col("residual").cast("double"), F.col("evalue").cast("double"))
     body = F.concat(head, F.lit("<h2>Rows</h2><ul>"), items("rows"), F.lit("</ul><h2>Columns</h2><ul>"), items("cols"), F.lit("</ul>"))
     return rows.select("iteration", "cluster", F.concat(F.lit("<!DOCTYPE html><html><body>"), body, F.lit("</body></html>")).alias("html"))

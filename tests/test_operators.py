@@ -277,3 +277,24 @@ def test_results(spark):
     c = spark.createDataFrame([(10, "ACG"), (11, "TT")], "motif_info_id int, consensus string")
     got = {r["cluster"]: r["motifs"] for r in results.motif_strings(m, c).collect()}
     assert got[1] == "(u -> [ACG (0.50), TT (1.00e-04)])"
+
+
+def test_quantiles_agree_whichever_way_they_are_counted(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x = [*rng.normal(size=300).round(1).tolist(), None, 7.0, 7.0]
+    d = spark.createDataFrame([(v,) for v in x], "v double")
+    at = [0.0, 0.01, 0.1, 0.5, 0.95, 1.0]
+    want = np.quantile([v for v in x if v is not None], at).tolist()
+    assert stats.quantiles(d, "v", at) == pytest.approx(want) == stats.quantiles(d, "v", at, most=1000)
+    monkeypatch.setattr(stats, "FEW", 0)
+    assert stats.quantiles(d, "v", at) == pytest.approx(want)
+    assert stats.quantiles(d.filter("false"), "v", at) == [None] * 6 == stats.quantiles(d.filter("false"), "v", at, most=0)
+
+
+def test_a_residual_over_the_rows_variance(spark):
+    x = np.random.default_rng(6).normal(size=(4, 5))
+    d = spark.createDataFrame([(1, i, j, float(x[i, j])) for i in range(4) for j in range(5)], "k int, row int, col int, value double")
+    plain = np.abs(x + x.mean() - x.mean(1, keepdims=True) - x.mean(0)).mean()
+    v = x.var(1, ddof=1).mean()
+    for most in (0.1, 50.0):
+        assert stats.residual(d, ["k"], most_variance=most).first()["residual"] == pytest.approx(plain / min(v, most))
