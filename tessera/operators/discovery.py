@@ -23,7 +23,7 @@ LETTERS = "ACGT"
 #: Widths that are tried (each about the square root of two times the one before), letters of the words to start from, and words a cluster.
 WIDTHS, CORE, STARTS = (6, 8, 11, 15, 21), 6, 8
 #: Letters of the background added to a column's counts; steps from each start, steps from the best of them, gain at which these end.
-PRIOR, TRIES, STEPS, GAIN = 0.5, 4, 80, 1e-7
+PRIOR, TRIES, STEPS, GAIN = 0.5, 3, 40, 1e-5
 #: Integer scores in a bit, and how much of the background is mixed into a matrix before its logarithms.
 SCALE, PSEUDO = 10, 0.01
 #: Motifs of a block; letters of a chunk of sequences.
