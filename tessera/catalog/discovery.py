@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import discovery as D
+from ..operators import mismatches as X
 from ..operators import motifs as M
 from .base import query, r6
 
@@ -127,3 +128,34 @@ def _(v):
     row = F.struct("pos", F.array(*[F.col(x).cast("double") for x in "acgt"]).alias("r"))
     p = v.motif_pssm_rows.groupBy(F.col("motif_info_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["r"]).alias("pssm"))
     return D.compare(m.join(p, "id"), D.base_frequencies(v.seqs), threshold=0.1)
+
+
+@query(
+    "mismatch_words",
+    f"""SELECT hw.cluster, hw.w AS word, count(*) AS n, count(*) FILTER (WHERE hw.e = 0) AS exact, round(sum(-ln(1 - pow(1 - p, places))), 6) + 0.0 AS score
+        FROM hw JOIN pw ON pw.w = hw.w AND pw.e = hw.e JOIN (SELECT cluster, count(*) AS every FROM gs GROUP BY 1) c ON c.cluster = hw.cluster
+        WHERE hw.w <= {REVCOMP.format("hw.w")} GROUP BY hw.cluster, hw.w, every HAVING count(*) * 100 >= 80 * every""",
+    lt="SELECT unnest(['A', 'C', 'G', 'T']) AS l",
+    ks="SELECT unnest([1, 2, 3, 4, 5, 6]) AS k",
+    al="SELECT concat(a.l, b.l, c.l, d.l, e.l, f.l) AS w FROM lt a, lt b, lt c, lt d, lt e, lt f",
+    nb="SELECT w, w AS u, 0 AS e FROM al UNION ALL SELECT w, concat(substr(w, 1, k - 1), l, substr(w, k + 1)), 1 FROM al, ks, lt WHERE substr(w, k, 1) <> l",
+    gs="SELECT floor(id / 25)::BIGINT AS cluster, id, seq, 2 * (len(seq) - 5) AS places FROM seqs WHERE len(seq) >= 6",
+    ww=f"SELECT cluster, id, places, unnest([w, {REVCOMP.format('w')}]) AS w FROM (SELECT cluster, id, places, substr(seq, i, 6) AS w FROM (SELECT *, unnest(range(1, len(seq) - 4)) AS i FROM gs) x) y",
+    bg="SELECT al.w, (1 + count(ww.w))::DOUBLE / (4096 + (SELECT count(*) FROM ww)) AS f FROM al LEFT JOIN ww ON ww.w = al.w GROUP BY 1",
+    pw="SELECT nb.w, e.e, sum(f) AS p FROM nb JOIN bg ON bg.w = nb.u JOIN (SELECT unnest([0, 1]) AS e) e ON nb.e <= e.e GROUP BY 1, 2",
+    hw="SELECT x.cluster, x.id, places, nb.w, min(e) AS e FROM (SELECT DISTINCT cluster, id, places, w FROM ww) x JOIN nb ON nb.u = x.w GROUP BY ALL",
+)
+def _(v):
+    """Words of six letters that four fifths of each run of 25 sequences have with at most one of them changed."""
+    seqs = v.seqs.select(F.floor(F.col("id") / 25).alias("cluster"), "id", "seq")
+    d = X.mismatch_words(seqs, X.word_background(v.seqs), ((6, 1),), quorum=80)
+    return d.select("cluster", "word", F.col("n").cast("long").alias("n"), F.col("exact").cast("long").alias("exact"), r6("score").alias("score"))
+
+
+@query("mismatch_motifs")
+def _(v):
+    """Matrices of eight letters from the two best words with up to two mismatches of each run of 25 sequences."""
+    seqs = v.seqs.select(F.floor(F.col("id") / 25).alias("cluster"), "id", "seq")
+    d = X.word_motifs(seqs, D.base_frequencies(v.seqs), background=X.word_background(v.seqs))
+    d = d.select("cluster", "motif_num", "width", "evalue", F.size("sites").alias("sites"), F.posexplode("pssm").alias("pos", "r"))
+    return d.select("cluster", "motif_num", "width", "evalue", "sites", "pos", *[F.col("r")[i].alias(x) for i, x in enumerate("acgt")])

@@ -8,6 +8,7 @@ at most MOST sequences). Scans deal blocks of motifs times chunks of sequences.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -209,10 +210,15 @@ def discover(seqs: DataFrame, base: DataFrame, motifs: int = 2, widths: tuple[in
     A cluster has at most as many sequences as ``cluster_sequences`` lets through; one without a site in two has no motif.
     """
     row = list(base.first())
-    seqs, out = seqs.select("cluster", "id", F.upper("seq").alias("seq")), []
+    return in_turn(seqs.select("cluster", "id", F.upper("seq").alias("seq")), motifs, lambda s: _models(s, row, widths))
+
+
+def in_turn(seqs: DataFrame, motifs: int, models: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The best model of each cluster, then, with its sites masked, the next one; models: cluster, width, evalue, llr, pssm, sites."""
+    out = []
     for i in range(motifs):
         place = F.row_number().over(W.partitionBy("cluster").orderBy("evalue", "width"))
-        found = _models(seqs, row, widths).withColumn("_i", place).filter("_i = 1").drop("_i")
+        found = models(seqs).withColumn("_i", place).filter("_i = 1").drop("_i")
         found = tables.keep(found.withColumn("motif_num", F.lit(i + 1)), "motifs")
         out.append(found)
         if i + 1 < motifs:

@@ -14,6 +14,7 @@ from .. import tables
 from ..operators import discovery as D
 from ..operators import enrichment
 from ..operators import membership as B
+from ..operators import mismatches as X
 from ..operators import motifs as M
 from ..operators import scoring as S
 from ..operators import stats
@@ -82,7 +83,11 @@ def _columns(run: Run) -> DataFrame:
     return S.filled_column_scores(S.column_scores(run.matrix, run.rows), run.conds, clusters, run.cols)
 
 
-def search_motifs(run: Run, iteration: int) -> tuple[DataFrame, DataFrame]:
+#: A search: (cluster, id, seq) with low complexity masked, all sequences, background, number of motifs -> motifs as ``discovery.discover`` gives them.
+Search = Callable[[DataFrame, DataFrame, DataFrame, int], DataFrame]
+
+
+def search_motifs(run: Run, iteration: int, search: Search = lambda own, seqs, base, number: D.discover(own, base, number)) -> tuple[DataFrame, DataFrame]:
     """The search that runs use where they have sequences: p-values (cluster, gene, pvalue) and motifs (see ``motif_tables``).
 
     Only clusters whose sequences are others than in the last search are searched and scanned; the rest keep their motifs and places.
@@ -99,7 +104,7 @@ def search_motifs(run: Run, iteration: int) -> tuple[DataFrame, DataFrame]:
         stays = own.select("cluster").distinct().join(changed, "cluster", "left_anti")
         old = [x.join(stays, "cluster", "left_semi") for x in (motifs, places)]
     filtered = low_complexity_masked(fresh) if run.config.mask_sequences else fresh
-    found = tables.keep(D.discover(filtered, base, number), "found")
+    found = tables.keep(search(filtered, seqs, base, number), "found")
     hits = D.scan(found, seqs, base)
     if old is not None:
         found, hits = found.unionByName(old[0]), hits.unionByName(old[1])
@@ -113,6 +118,11 @@ def search_motifs(run: Run, iteration: int) -> tuple[DataFrame, DataFrame]:
     return pvalues, D.as_results(found, hits.filter(F.col("hit_pvalue") <= run.config.annotate), own, genes)
 
 
+def search_words(run: Run, iteration: int) -> tuple[DataFrame, DataFrame]:
+    """The same by words with mismatches."""
+    return search_motifs(run, iteration, lambda own, seqs, base, number: X.word_motifs(own, base, number, background=X.word_background(seqs)))
+
+
 COLUMN_SCORERS["Columns"] = _columns
 MEANS["Motifs"] = lambda run, scores: M.mean_score(scores, run.rows).first()[0]
 
@@ -181,8 +191,11 @@ class Run:
 
     @classmethod
     def of_pipeline(cls, pipeline: dict | str, *args: object, **more: object) -> Run:
-        """A run of the functions in a pipeline's JSON (text, or as read)."""
-        rows, cols = functions_of(json.loads(pipeline) if isinstance(pipeline, str) else pipeline)
+        """A run of the functions in a pipeline's JSON (text, or as read); motifs of a class that names Weeder are searched by words."""
+        pipeline = json.loads(pipeline) if isinstance(pipeline, str) else pipeline
+        rows, cols = functions_of(pipeline)
+        if any("Weeder" in f["class"] for f in pipeline["row-scoring"]["args"]["functions"] if "class" in f):
+            more.setdefault("find_motifs", search_words)
         return cls(*args, functions=rows, column_function=cols, **more)
 
     def kept(self, df: DataFrame, name: str) -> DataFrame:
