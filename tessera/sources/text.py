@@ -21,6 +21,11 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
     return whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
 
 
+def ordered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(part, line, text) of a folder's parts in order: by the parts' names, then by line."""
+    return lines(spark, path).select(F.regexp_extract("path", "[^/]*$", 0).alias("part"), "line", "text").filter("text <> ''").orderBy("part", "line")
+
+
 def delimited(spark: SparkSession, path: str, sep: str = "\t", *, header: bool = False, comment: str | None = None, quote: str | None = None) -> DataFrame:
     """(line, fields): empty lines are left out, with a comment character also comments and blank lines; every
     quote character goes; the header's line goes too and its names are in ``delimited_header``."""
@@ -44,15 +49,23 @@ def _literal(sep: str) -> str:
 
 
 def matrix(spark: SparkSession, path: str, sep: str = "\t", *, quote: str = '"', case_sensitive: bool = True, missing: str = "NA") -> DataFrame:
-    """(row, col, value) of a table whose first column names the rows, whatever its header calls it, or if it has no name there."""
+    """(row, col, value) of a table whose first column names the rows, whatever its header calls it, or if it has no name there.
+
+    A folder's files have a header each, or only the first of them by name has one (see ``writers.write_matrix``).
+    """
     if path.startswith(("http://", "https://")):
         raise ValueError("stage the file first")
-    head = [r["value"].split(sep) for r in spark.read.text(path).limit(2).collect()]
-    cols = [x.strip(quote) for x in head[0]] if head else []
-    cols = cols if len(head) < 2 or len(head[1]) > len(cols) else cols[1:]
+    files = sorted(spark.read.text(path).inputFiles())
+    top = lambda file: [r["value"] for r in spark.read.text(file).limit(2).collect()]
+    first = top(files[0]) if files else []
+    rest = files[1:] if len(files) > 1 and top(files[1])[:1] != first[:1] else []  # parts without a header
+    head, below = first[0].split(sep) if first else [], first[1:] or (top(rest[0])[:1] if rest else [])
+    cols = [x.strip(quote) for x in head]
+    cols = cols if not below or len(below[0].split(sep)) > len(cols) else cols[1:]
     name = "_row" if "_row" not in cols else "__row"
     schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in (name, *cols))
-    w = spark.read.csv(path, sep=sep, quote=quote, header=True, nullValue=missing, schema=schema, enforceSchema=True)
+    table = lambda at, header: spark.read.csv(at, sep=sep, quote=quote, header=header, nullValue=missing, schema=schema, enforceSchema=True)
+    w = table(files[0], True).unionByName(table(rest, False)) if rest else table(path, True)
     row = F.col(f"`{name}`") if case_sensitive else F.upper(f"`{name}`")
     w = w.select(row.alias("row"), *[F.expr(f"try_cast(`{c}` AS DOUBLE)").alias(c) for c in cols])
     return no_nan(w.unpivot("row", cols, "col", "value"))

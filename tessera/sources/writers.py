@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.membership import packed
@@ -19,14 +19,18 @@ def overwrite_row(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("overwrite").parquet(path)
 
 
+def write_ordered(d: DataFrame, path: str, *keys: str | Column, gzip: bool = False) -> None:
+    """The texts in ``value`` as lines of a folder's parts: each a range of the keys, in order by their names."""
+    d.orderBy(*keys).select("value").write.text(path, compression="gzip" if gzip else "none")
+
+
 def write_matrix(m: DataFrame, path: str, cols: list, *, row: str = "row", col: str = "col", value: str = "value", gzip: bool = False) -> None:
-    """Tab-separated, 17 decimals, the header without a label for the rows' names, as text lines."""
+    """Tab-separated, 17 decimals, rows by name; the header, without a label for the rows' names, is the first line of the first part."""
     cells = m.groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct(F.col(col).cast("string"), value))).alias("c"))
     fields = [F.coalesce(F.format_string("%.17f", F.col("c")[str(c)]), F.lit("NA")) for c in cols]
     body = cells.select(F.col(row).cast("string").alias("_k"), F.concat_ws("\t", F.col(row).cast("string"), *fields).alias("value"))
     head = m.sparkSession.range(1).select(F.lit("").alias("_k"), F.lit("\t".join(map(str, cols))).alias("value"))
-    lines = body.unionByName(head).orderBy(F.col("_k") != "", "_k").select("value")
-    lines.coalesce(1).write.text(path, compression="gzip" if gzip else "none")  # one file, as its readers expect
+    write_ordered(body.withColumn("_h", F.lit(1)).unionByName(head.withColumn("_h", F.lit(0))), path, "_h", "_k", gzip=gzip)
 
 
 def write_fasta(seqs: DataFrame, path: str) -> None:
@@ -34,7 +38,8 @@ def write_fasta(seqs: DataFrame, path: str) -> None:
 
 
 def write_memberships(memb: DataFrame, path: str, name: str) -> None:
-    packed(memb, name).orderBy(name).select(F.concat_ws("\t", F.col(name).cast("string"), "clusters")).coalesce(1).write.text(path)
+    """A line a name, in order, as parts."""
+    write_ordered(packed(memb, name).select(name, F.concat_ws("\t", F.col(name).cast("string"), "clusters").alias("value")), path, name)
 
 
 def background_lines(freqs: DataFrame, order: int) -> DataFrame:

@@ -41,6 +41,39 @@ def test_matrix_round_trip(spark, tmp_path):
         text.matrix(spark, "http://host/m.tsv")
 
 
+@pytest.mark.parametrize("gzipped", [False, True])
+def test_matrix_in_parts(spark, tmp_path, gzipped):
+    """Parts in order of the rows, one header; what is read is what was written, also where a part has the header alone or a folder has headers throughout."""
+    cells = [(f"r{i:03}", c, None if (i + j) % 7 == 0 else i / 8 - j) for i in range(200) for j, c in enumerate("xyz")]
+    m, out = spark.createDataFrame(cells, "row string, col string, value double"), str(tmp_path / "out")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        writers.write_matrix(m, out, list("xyz"), gzip=gzipped)
+        memb = spark.createDataFrame([(f"g{i:03}", s, i % 5 + s) for i in range(300) for s in (0, 1)], "gene string, slot long, cluster long")
+        writers.write_memberships(memb, str(tmp_path / "memb"), "gene")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    parts = sorted(x for x in (tmp_path / "out").iterdir() if x.name.startswith("part-"))
+    assert len(parts) > 2 and len([x for x in (tmp_path / "memb").iterdir() if x.name.startswith("part-")]) > 2
+    texts = [(gzip.decompress(x.read_bytes()) if gzipped else x.read_bytes()).decode().splitlines() for x in parts]
+    flat = [y for t in texts for y in t]
+    assert flat[0] == "x\ty\tz" and [y.split("\t")[0] for y in flat[1:]] == [f"r{i:03}" for i in range(200)]
+    assert [r["text"] for r in text.ordered_lines(spark, out).collect()] == flat
+    assert sorted(map(str, map(tuple, text.matrix(spark, out).collect()))) == sorted(map(str, cells))
+    read = [r["text"].split("\t") for r in text.ordered_lines(spark, str(tmp_path / "memb")).collect()]
+    assert read == [[f"g{i:03}", f"{i % 5}:{i % 5 + 1}"] for i in range(300)]
+    assert sorted(map(tuple, text.memberships(spark, str(tmp_path / "memb"), "\t").collect())) == sorted(map(tuple, memb.collect()))
+    if not gzipped:
+        alone = tmp_path / "alone"  # the header has a part of its own
+        alone.mkdir()
+        (alone / "part-0").write_text("x\ty\n"), (alone / "part-1").write_text("a\t1\t2\n"), (alone / "part-2").write_text("b\t3\tNA\n")
+        each = tmp_path / "each"
+        each.mkdir()
+        (each / "a.tsv").write_text("x\ty\na\t1\t2\n"), (each / "b.tsv").write_text("x\ty\nb\t3\tNA\n")
+        for folder in (alone, each):
+            assert sorted(map(str, map(tuple, text.matrix(spark, str(folder)).collect()))) == ["('a', 'x', 1.0)", "('a', 'y', 2.0)", "('b', 'x', 3.0)", "('b', 'y', None)"]
+
+
 def test_fasta(spark, tmp_path):
     p = put(tmp_path, "a.fa", ">s1 note\nACG\nTX\n>empty\n>s2\nGG\n")
     assert {r["id"]: r["seq"] for r in text.fasta(spark, p).collect()} == {"s1": "ACGTX", "s2": "GG"}
