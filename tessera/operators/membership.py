@@ -83,24 +83,24 @@ def update_one(slots: list[int], best: list[int], scores: dict[int, float], chan
 
 
 def update(memb: DataFrame, scores: DataFrame, name: str, n: int, *, rows: bool, probability: float = 1.0, changes: int = 1, seed: int = 3) -> DataFrame:
-    """Moves names to clusters of higher score; each name is one group of its slots, its scores and no more.
+    """Moves names to clusters of higher score; a name is one group of its slots and its n best clusters, with their scores and no others.
 
     A name changes with ``probability``, drawn by (seed, name).
     """
-    best = top_clusters(scores, name, n).groupBy(name).agg(F.sort_array(F.collect_list(F.struct("place", "cluster"))).alias("best"))
-    held = memb.groupBy(name).agg(F.sort_array(F.collect_list(F.struct("slot", "cluster"))).alias("slots"))
-    own = scores.groupBy(name).agg(F.collect_list(F.struct("cluster", "score")).alias("scores"))
+    best = top_clusters(scores, name, n).groupBy(name).agg(F.sort_array(F.collect_list(F.struct("place", "cluster", "score"))).alias("best"))
+    slots_ = memb.select(name, "slot", "cluster").join(scores.select(name, "cluster", "score"), [name, "cluster"], "left")
+    held = slots_.groupBy(name).agg(F.sort_array(F.collect_list(F.struct("slot", "cluster", "score"))).alias("slots"))
     draw = (F.pmod(F.xxhash64(F.lit(seed), F.col(name)), F.lit(1 << 30)) / float(1 << 30)) < probability
-    d = held.join(best, name).join(own, name).withColumn("moves", draw)
+    d = held.join(best, name).withColumn("moves", draw)
 
     def step(batches):
         for p in batches:
             out = []
-            for key, slots, best_, scores_, moves in zip(p[name], p["slots"], p["best"], p["scores"], p["moves"], strict=True):
+            for key, slots, best_, moves in zip(p[name], p["slots"], p["best"], p["moves"], strict=True):
                 now = [int(s["cluster"]) for s in slots]
                 if moves:
                     ids = [int(b["cluster"]) for b in best_]
-                    now = update_one(now, sorted(ids) if rows else ids, {int(s["cluster"]): float("nan") if s["score"] is None else s["score"] for s in scores_}, changes, rows=rows)
+                    now = update_one(now, sorted(ids) if rows else ids, {int(s["cluster"]): float("nan") if s["score"] is None else s["score"] for s in (*slots, *best_)}, changes, rows=rows)
                 out += [(key, i, c) for i, c in enumerate(now)]
             yield pd.DataFrame(out, columns=[name, "slot", "cluster"])
 
