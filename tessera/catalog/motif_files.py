@@ -143,20 +143,24 @@ def _(v):
     st=SITE_SQL,
 )
 def _(v):
-    """Best occurrences of the words in Weeder's texts: two parts, of the highest-ranking and of others; sequences by number."""
-    s = sites(v).withColumn("name", F.concat(F.lit("g"), "gene_num"))
-    names = s.groupBy("motif_info_id").agg(F.sort_array(F.collect_set("name")).alias("names"))
-    s = s.join(names, "motif_info_id")
+    """Best occurrences of the words in Weeder's texts of twenty words or so: the highest-ranking ones, then the others; sequences by number."""
+    named, file = F.concat(F.lit("g"), "gene_num"), F.floor(F.col("motif_info_id") / 20).alias("file")
+    s = sites(v).join(v.motif_infos.select(F.col("rowid").alias("motif_info_id")), "motif_info_id").select("rowid", "motif_info_id", file, named.alias("name"), "reverse", "site", "position", "pvalue")
+    names = s.groupBy("file").agg(F.sort_array(F.collect_set("name")).alias("names"))  # a file's motifs' sites
     line = F.format_string("  %d  %s  %s  %d  (%.2f)\n", F.array_position("names", F.col("name")), F.when(F.col("reverse"), "-").otherwise("+"), "site", "position", 100 - F.col("pvalue") * 100)
-    s = s.groupBy("motif_info_id", "names").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rowid", line.alias("t")))), lambda x: x["t"]), "").alias("block"))
-    d = v.motif_infos.select(F.col("rowid").alias("motif_info_id"), F.translate(F.substring(F.md5(F.concat(F.lit("w"), F.col("rowid").cast("string"))), 1, 8), "0123456789abcdef", "ACGTACGTACGTACGT").alias("word")).join(s, "motif_info_id")
-    listed = F.array_join(F.transform("names", lambda x, i: F.format_string("Sequence %d : >%s\n", i + 1, x)), "")
-    other = F.when(F.col("motif_info_id") % 2 == 1, "*** Interesting motifs (not highest-ranking) seem to be :\n\n").otherwise("*** Interesting motifs (highest-ranking) seem to be :\n\n")
+    lines = F.sort_array(F.collect_list(F.struct("rowid", line.alias("t"))))
+    d = s.join(names, "file").groupBy("file", "motif_info_id").agg(F.array_join(F.transform(lines, lambda x: x["t"]), "").alias("block"))
+    word = F.translate(F.substring(F.md5(F.concat(F.lit("w"), F.col("motif_info_id").cast("string"))), 1, 8), "0123456789abcdef", "ACGTACGTACGTACGT")
     matrix = "\n".join(f"{i}\t\t3\t1\t0\t0\t\t2\t1\t0\t1" for i in range(1, 9))
     text = F.concat(
-        listed, F.lit("\n"), other, "word", F.lit("\n\n0 redundant motifs found:\n\nBest occurrences: \nSeq  St  oligo  pos  match\n"), "block",
-        F.lit(f"\n\tFrequency Matrix               \n\tAll Occs\t\t\tBest Occs\n\tA\tC\tG\tT\t\tA\tC\tG\tT\n{matrix}\n\n==========================================\n"),
+        word, F.lit("\n\n0 redundant motifs found:\n\nBest occurrences: \nSeq  St  oligo  pos  match\n"), "block",
+        F.lit(f"\n\tFrequency Matrix               \n\tAll Occs\t\t\tBest Occs\n\tA\tC\tG\tT\t\tA\tC\tG\tT\n{matrix}\n\n==========================================\n\n"),
     )
-    path = files(d.select(F.col("motif_info_id").alias("file"), F.lit(0).alias("order"), text.alias("text")), "weeder")
+    order = lambda section, at: F.struct(F.lit(section).alias("section"), at.cast("long").alias("at"))
+    listed = F.array_join(F.transform("names", lambda x, i: F.format_string("Sequence %d : >%s\n", i + 1, x)), "")
+    heads = names.select("file", order(0, F.lit(0)).alias("order"), F.concat(listed, F.lit("\n*** Interesting motifs (highest-ranking) seem to be :\n\n")).alias("text"))
+    others = names.select("file", order(2, F.lit(0)).alias("order"), F.lit("*** Interesting motifs (not highest-ranking) seem to be :\n\n").alias("text"))
+    rank = F.struct(F.when(F.col("motif_info_id") % 2 == 0, 1).otherwise(3).alias("section"), F.col("motif_info_id").cast("long").alias("at"))
+    path = files(d.select("file", rank.alias("order"), text.alias("text")).unionByName(heads).unionByName(others), "weeder")
     d = loaded(v, "weeder", path, "name string", "highest boolean", "sites array<struct<name: string, reverse: boolean, seq: string, start: int, match: double>>")
     return d.select("name", F.explode("sites").alias("s"), "highest").select("name", F.col("s.name").alias("gene"), "s.reverse", "s.seq", "s.start", "s.match", "highest")
