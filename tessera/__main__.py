@@ -32,6 +32,7 @@ def arguments(words: list[str] | None = None) -> argparse.Namespace:
     p.add_argument("--sep", default="\t")
     p.add_argument("--no-normalise", dest="normalise", action="store_false")
     p.add_argument("--resume", type=int, default=0, help="the iteration whose memberships are there")
+    p.add_argument("--continue", dest="going", action="store_true", help="go on behind the last save point in the folder, if there is one")
     p.add_argument("--num-clusters", dest="clusters", type=int)
     p.add_argument("--num-iterations", dest="num_iterations", type=int)
     p.add_argument("--random-seed", dest="seed", type=int)
@@ -81,13 +82,14 @@ def main(words: list[str] | None = None, spark: SparkSession | None = None) -> R
     sequences = text.fasta_source(spark, a.sequences).select(F.col("id").alias("gene"), "id", "seq") if a.sequences else None
     run = Run(spark, m, a.out, settings(a), sets=sets, sequences=sequences, functions=functions, column_function=columns)
     run.edges = networks(spark, a, run.genes)
-    if a.resume:
-        run.resume(a.resume)
+    done = run.resume(a.resume) if a.resume else run.resume() if a.going else 0
+    if done:
+        pass
     elif a.rowseed and a.colseed:
         run.start(text.memberships(spark, a.rowseed, a.sep, "gene"), text.memberships(spark, a.colseed, a.sep, "cond"))
     else:
         run.seed()
-    run.run(a.resume + 1 if a.resume else 1)
+    run.run(done + 1)
     run.finish()
     run.config.write(f"{a.out}/final.ini")
     return run

@@ -26,26 +26,31 @@ def members(memb: DataFrame, name: str) -> DataFrame:
     return memb.filter("cluster > 0").select(name, "cluster").distinct()
 
 
-def row_scores(m: DataFrame, row_memb: DataFrame, col_memb: DataFrame) -> DataFrame:
+def cluster_means(m: DataFrame, row_memb: DataFrame) -> DataFrame:
+    """(cluster, cond, mu): the mean over a cluster's genes of every condition."""
+    return m.join(members(row_memb, "gene"), "gene").groupBy("cluster", "cond").agg(F.avg("value").alias("mu"))
+
+
+def row_scores(m: DataFrame, row_memb: DataFrame, col_memb: DataFrame, means: DataFrame | None = None) -> DataFrame:
     """ln of the mean squared distance of every gene from a cluster's means, over the cluster's conditions.
 
-    A cluster without genes or with no more than one condition has no scores.
+    A cluster without genes or with no more than one condition has no scores. ``means`` are those of ``cluster_means``, if there.
     """
-    rows, cols = members(row_memb, "gene"), members(col_memb, "cond")
+    cols = members(col_memb, "cond")
     wide = cols.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1").select("cluster")
     cols = cols.join(wide, "cluster", "left_semi")
-    mu = m.join(rows, "gene").groupBy("cluster", "cond").agg(F.avg("value").alias("mu")).join(cols, ["cluster", "cond"])
+    mu = (cluster_means(m, row_memb) if means is None else means).join(cols, ["cluster", "cond"])
     away = F.avg(F.pow(F.col("value") - F.col("mu"), 2))
     clipped = F.least(F.greatest(away, F.lit(1e-20)), F.lit(1000.0))
     return m.join(mu, "cond").groupBy("gene", "cluster").agg(F.ln(clipped + 1e-99).alias("score"))
 
 
-def column_scores(m: DataFrame, row_memb: DataFrame) -> DataFrame:
+def column_scores(m: DataFrame, row_memb: DataFrame, means: DataFrame | None = None) -> DataFrame:
     """Mean squared distance from the cluster's mean, over |mean| + 0.01, of each condition in clusters of several genes."""
     rows = members(row_memb, "gene")
     many = rows.groupBy("cluster").agg(F.count("*").alias("n")).filter("n > 1").select("cluster")
     x = m.join(rows.join(many, "cluster", "left_semi"), "gene")
-    mu = x.groupBy("cluster", "cond").agg(F.avg("value").alias("mu"))
+    mu = x.groupBy("cluster", "cond").agg(F.avg("value").alias("mu")) if means is None else means
     away = F.avg(F.pow(F.col("value") - F.col("mu"), 2)) / (F.abs(F.max("mu")) + 0.01)
     return x.join(mu, ["cluster", "cond"]).groupBy("cluster", "cond").agg(away.alias("score"))
 

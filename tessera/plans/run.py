@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -16,6 +17,7 @@ from ..operators import enrichment
 from ..operators import membership as B
 from ..operators import mismatches as X
 from ..operators import motifs as M
+from ..operators import rescoring as R
 from ..operators import scoring as S
 from ..operators import stats
 from ..operators.networks import network_score_means, network_scores
@@ -30,6 +32,8 @@ SCORERS: dict[str, Scorer] = {}
 COLUMN_SCORERS: dict[str, Callable[["Run"], DataFrame]] = {}
 #: How a function's scores are summed up for the statistics, where it isn't by the mean of all cells.
 MEANS: dict[str, Callable[["Run", DataFrame], float | None]] = {}
+#: The folder of save points in a run's.
+POINTS = "savepoints"
 
 
 def scorer(name: str) -> Callable[[Scorer], Scorer]:
@@ -42,9 +46,16 @@ def scorer(name: str) -> Callable[[Scorer], Scorer]:
     return register
 
 
+def _means(run: Run) -> DataFrame:
+    """Clusters' means, which row and column scores share."""
+    return run.rescored("centres", lambda k: S.cluster_means(run.matrix, R.of(run.rows, k)))
+
+
 @scorer("Rows")
 def _rows(run: Run, iteration: int) -> DataFrame:
-    return S.row_scores(run.matrix, run.rows, run.cols)
+    means = _means(run)
+    own = lambda k: S.row_scores(run.matrix, R.of(run.rows, k), R.of(run.cols, k), R.of(means, k))
+    return run.rescored("Rows", own, cols=True)
 
 
 @scorer("Networks")
@@ -56,7 +67,7 @@ def _networks(run: Run, iteration: int) -> DataFrame | None:
     if weights is None:
         names = run.edges.select("network").distinct()
         weights = names.crossJoin(F.broadcast(names.agg((1 / F.count("*")).alias("weight"))))  # one row
-    return network_scores(run.edges, run.rows, run.genes, weights)
+    return run.rescored("Networks", lambda k: network_scores(run.edges, R.of(run.rows, k), run.genes, weights))
 
 
 @scorer("Motifs")
@@ -71,16 +82,16 @@ def _sets(run: Run, iteration: int) -> DataFrame | None:
     if run.sets is None or run.functions[0] not in run.cached:
         return None
     (reference,) = stats.quantiles(run.cached[run.functions[0]], "score", [0.1])
-    best = run.kept(enrichment.best_sets(run.rows, run.sets), f"sets-{iteration}")
+    best = tables.keep(enrichment.best_sets(run.rows, run.sets), "sets")
     run.store("best_sets", best, iteration)
-    run.forget(f"sets-{run.last_sets}")
-    run.last_sets = iteration
     return enrichment.scores(run.rows, run.sets, run.config.clusters, reference or 0.0, run.set_weights, best=best)
 
 
 def _columns(run: Run) -> DataFrame:
     clusters = run.spark.range(1, run.config.clusters + 1).select(F.col("id").alias("cluster"))
-    return S.filled_column_scores(S.column_scores(run.matrix, run.rows), run.conds, clusters, run.cols)
+    means = _means(run)
+    found = run.rescored("cells", lambda k: S.column_scores(run.matrix, R.of(run.rows, k), R.of(means, k)))
+    return S.filled_column_scores(found, run.conds, clusters, run.cols)
 
 
 #: A search: (cluster, id, seq) with low complexity masked, all sequences, background, number of motifs -> motifs as ``discovery.discover`` gives them.
@@ -109,9 +120,6 @@ def search_motifs(run: Run, iteration: int, search: Search = lambda own, seqs, b
     if old is not None:
         found, hits = found.unionByName(old[0]), hits.unionByName(old[1])
     found, hits = run.kept(found, f"found-{iteration}"), run.kept(hits, f"places-{iteration}")
-    if last is not None and last[1] != iteration:
-        for x in ("searched", "found", "places"):
-            run.forget(f"{x}-{last[1]}")
     run.search_state = number, iteration
     genes = run.sequences.select("id", "gene").distinct()
     pvalues = D.combined_pvalues(hits).join(genes, "id").groupBy("cluster", "gene").agg(F.min("pvalue").alias("pvalue"))
@@ -182,11 +190,12 @@ class Run:
             self.find_motifs = self.find_motifs or search_motifs
         self.search_state: tuple[int, int] | None = None
         self.cached: dict[str, DataFrame] = {}
-        self.cached_at: dict[str, int] = {}
         self.means: dict[str, float | None] = {}
         self.pvalues: DataFrame | None = None
         self.motifs: DataFrame | None = None
-        self.last_sets, self.last_search, self.logged, self.saved = 0, 0, 0, {0}
+        self.scored: dict[str, tuple[DataFrame, DataFrame, DataFrame]] = {}  # what a cluster's members give, and the rows and columns then
+        self.read: list[tuple[str, int, int]] = []  # what was scored again, when, and for how many clusters
+        self.now, self.logged, self.saved, self.finished = 0, 0, {0}, False
         self.started = datetime.now()
 
     @classmethod
@@ -201,10 +210,31 @@ class Run:
     def kept(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.folder}/{name}"
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
-
-    def forget(self, name: str) -> None:
-        tables.remove(self.spark, f"{self.folder}/{name}")
+        return self.opened(name)
+
+    def opened(self, name: str) -> DataFrame:
+        out = self.spark.read.parquet(f"{self.folder}/{name}")
+        out._tessera_name = name
+        return out
+
+    def rescored(self, name: str, score: Callable[[DataFrame | None], DataFrame], *, cols: bool = False) -> DataFrame:
+        """What ``score`` gives for clusters, as a table of this iteration. It is asked for all (None) at first, and then for those whose
+        rows, or with ``cols`` whose columns, are others than the last time; the rest keep what they have."""
+        last, called = self.scored.get(name), f"{name}-{self.now}"
+        if last is not None and last[0]._tessera_name == called:
+            if last[1] is self.rows and last[2] is self.cols:
+                return last[0]
+            last = None  # an iteration once more
+        if last is None:
+            out = self.kept(score(None), called)
+        else:
+            logs = [R.changes(self.rows, last[1], "gene"), *([R.changes(self.cols, last[2], "cond")] if cols else [])]
+            clusters = tables.keep(R.changed(*logs), "changed")
+            n = clusters.count()
+            self.read.append((name, self.now, n))
+            out = self.kept(R.rescored(last[0], clusters, score), called) if n else last[0]
+        self.scored[name] = out, self.rows, self.cols
+        return out
 
     def store(self, table: str, df: DataFrame, iteration: int) -> None:
         """Rows of an iteration in a folder of its own: written again, they replace what was there."""
@@ -220,12 +250,57 @@ class Run:
 
     def start(self, rows: DataFrame, cols: DataFrame) -> None:
         """From given memberships (gene or cond, slot, cluster)."""
+        tables.remove(self.spark, f"{self.folder}/{POINTS}")
         self.rows = self.kept(B.padded(rows, self.genes, "gene", self.config.per_row), "rows-start")
         self.cols = self.kept(B.padded(cols, self.conds, "cond", self.config.per_col), "cols-start")
 
-    def resume(self, iteration: int) -> None:
-        self.rows, self.cols = (self.spark.read.parquet(f"{self.folder}/{x}-{iteration}") for x in ("rows", "cols"))
-        self.saved.add(iteration)
+    def resume(self, iteration: int | None = None) -> int:
+        """Goes on behind an iteration whose memberships were saved, with every function scored anew; or, without one, behind the
+        last save point, with all it names. Gives the iteration; 0 where there is no save point."""
+        if iteration is not None:
+            tables.remove(self.spark, f"{self.folder}/{POINTS}")
+            self.rows, self.cols = (self.opened(f"{x}-{iteration}") for x in ("rows", "cols"))
+            self.saved.add(iteration)
+            return iteration
+        points = [int(x.partition("=")[2]) for x in tables.names(self.spark, f"{self.folder}/{POINTS}")]
+        whole = [i for i in points if "_SUCCESS" in tables.names(self.spark, f"{self.folder}/{POINTS}/iteration={i}")]
+        if not whole:
+            return 0
+        s = json.loads(self.spark.read.text(f"{self.folder}/{POINTS}/iteration={max(whole)}", wholetext=True).first()[0])
+        opened: dict[str, DataFrame] = {}
+        table = lambda x: None if x is None else opened.setdefault(x, self.opened(x))
+        self.rows, self.cols, self.pvalues, self.motifs = (table(s[x]) for x in ("rows", "cols", "pvalues", "motifs"))
+        self.cached = {k: table(x) for k, x in s["cached"].items()}
+        self.scored = {k: tuple(map(table, x)) for k, x in s["scored"].items()}
+        self.means, self.saved, self.finished = s["means"], set(s["saved"]), s["finished"]
+        self.config.clusters, self.config.per_col = s["clusters"], s["per_col"]
+        self.search_state = None if s["search"] is None else tuple(s["search"])
+        self.log, self.logged = [tuple(x) for x in s["log"]], 0
+        self.started, self.now = datetime.fromisoformat(s["started"]), max(whole)
+        self._sweep(max(whole))
+        return max(whole)
+
+    def commit(self, iteration: int) -> None:
+        """The iteration's save point: the names of all tables that the next one needs, written when those are. Only then goes what
+        earlier ones needed, so a run that is killed anywhere finds the last save point whole."""
+        name = lambda d: None if d is None else d._tessera_name
+        s = {x: name(getattr(self, x)) for x in ("rows", "cols", "pvalues", "motifs")}
+        s |= {"cached": {k: name(d) for k, d in self.cached.items()}, "scored": {k: [name(d) for d in x] for k, x in self.scored.items()}}
+        s |= {"means": self.means, "saved": sorted(self.saved), "finished": self.finished, "search": self.search_state}
+        s |= {"clusters": self.config.clusters, "per_col": self.config.per_col, "log": self.log[self.logged :], "started": self.started.isoformat()}
+        self.spark.createDataFrame([(json.dumps(s),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.folder}/{POINTS}/iteration={iteration}")
+        self._sweep(iteration)
+
+    def _sweep(self, point: int) -> None:
+        """Removes tables of iterations that nothing names any more, and other save points."""
+        frames = [self.rows, self.cols, self.pvalues, self.motifs, *self.cached.values(), *(d for x in self.scored.values() for d in x)]
+        live = {d._tessera_name for d in frames if d is not None} | {f"{x}-{i}" for x in ("rows", "cols") for i in self.saved}
+        if self.search_state is not None:
+            live |= {f"{x}-{self.search_state[1]}" for x in ("searched", "found", "places")}
+        gone = [x for x in tables.names(self.spark, self.folder) if re.search(r"-\d+$", x) and x not in live]
+        old = [f"{POINTS}/{x}" for x in tables.names(self.spark, f"{self.folder}/{POINTS}") if x != f"iteration={point}"]
+        for x in (*old, *gone):
+            tables.remove(self.spark, f"{self.folder}/{x}")
 
     def _active(self, name: str, iteration: int) -> bool:
         return Schedule(self.config.schedules.get(name, "1,1"))(iteration)
@@ -236,23 +311,16 @@ class Run:
         pvalues, motifs = self.find_motifs(self, iteration)  # in the step's scope
         self.pvalues = self.kept(pvalues.select("cluster", "gene", "pvalue"), f"pvalues-{iteration}")
         self.motifs = None if motifs is None else self.kept(motifs, f"motifs-{iteration}")
-        for x in ("pvalues", "motifs"):
-            if self.last_search != iteration:
-                self.forget(f"{x}-{self.last_search}")
-        self.last_search = iteration
 
     def scores(self, iteration: int, force: bool = False) -> DataFrame | None:
         """Combined scores; a function out of schedule stands with its last scores, which are never changed. They read tables that
         the scope around the call drops."""
-        got = []
+        got, self.now = [], iteration
         self._search(iteration, force)
         for name in self.functions:
             active = force or self._active(name, iteration)
             if active and (s := SCORERS[name](self, iteration)) is not None:
-                before = self.cached_at.get(name)
-                self.cached[name], self.cached_at[name] = self.kept(s, f"{name}-{iteration}"), iteration
-                if before is not None and before != iteration:
-                    self.forget(f"{name}-{before}")
+                self.cached[name] = s if hasattr(s, "_tessera_name") else self.kept(s, f"{name}-{iteration}")
                 mean = MEANS.get(name, lambda run, d: (d.agg(F.sum("score")).first()[0] or 0.0) / max(1, run.n_genes * run.config.clusters))
                 self.means[name] = mean(self, self.cached[name])
             factor = scaling(self.config.scalings.get(name, "1"), self.config.num_iterations)(iteration)
@@ -282,10 +350,7 @@ class Run:
     def _step(self, iteration: int, force: bool) -> None:
         combined = self.scores(iteration, force)
         if force or self._active("Columns", iteration) or "Columns" not in self.cached:
-            before = self.cached_at.get("Columns")
-            self.cached["Columns"], self.cached_at["Columns"] = self.kept(COLUMN_SCORERS[self.column_function](self), f"Columns-{iteration}"), iteration
-            if before is not None and before != iteration:
-                self.forget(f"Columns-{before}")
+            self.cached["Columns"] = self.kept(COLUMN_SCORERS[self.column_function](self), f"Columns-{iteration}")
             self.means["Columns"] = self.cached["Columns"].agg(F.avg("score")).first()[0]
         cols, seed = self.cached["Columns"], self.config.seed * 1_000_003 + iteration
         coefficient = fuzzy_coefficient(iteration, self.config.num_iterations)
@@ -303,20 +368,19 @@ class Run:
         sized = S.size_factor(S.density(cols, self.cols, "cond", rows=False, other=self.rows), B.counts(self.cols, "cond"), n, self.config.per_col, self.config.clusters, n / 10)
         new = B.update(self.cols, sized, "cond", self.config.per_col, rows=False, probability=self.config.prob_col_change, changes=self.config.max_changes_col, seed=seed)
         self.rows, self.cols = self.kept(rows, f"rows-{iteration}"), self.kept(new, f"cols-{iteration}")
-        if iteration - 1 not in self.saved:  # the last iteration's is enough to resume
-            self.forget(f"rows-{iteration - 1}"), self.forget(f"cols-{iteration - 1}")
-
-    def stats(self, iteration: int) -> DataFrame:
-        """Of each cluster: its size and residual."""
-        r, c = S.members(self.rows, "gene"), S.members(self.cols, "cond")
-        m = self.matrix.join(r, "gene").join(c, ["cond", "cluster"])
-        d = B.counts(self.rows, "gene").withColumnRenamed("n", "num_rows").join(B.counts(self.cols, "cond").withColumnRenamed("n", "num_cols"), "cluster", "left")
+
+    def stats(self, iteration: int, clusters: DataFrame | None = None) -> DataFrame:
+        """Of each cluster, or of some: its size and residual."""
+        rows, cols = R.of(self.rows, clusters), R.of(self.cols, clusters)
+        m = self.matrix.join(S.members(rows, "gene"), "gene").join(S.members(cols, "cond"), ["cond", "cluster"])
+        d = B.counts(rows, "gene").withColumnRenamed("n", "num_rows").join(B.counts(cols, "cond").withColumnRenamed("n", "num_cols"), "cluster", "left")
         d = d.join(stats.residual(m, ["cluster"], "gene", "cond"), "cluster", "left")
         return d.select(F.lit(iteration).alias("iteration"), "cluster", "num_rows", F.coalesce("num_cols", F.lit(0)).alias("num_cols"), F.coalesce("residual", F.lit(1.0)).alias("residual"))
 
     def save_stats(self, iteration: int) -> None:
         """cluster_stats, and iteration_stats by category and name: fuzzy coefficient, median residual, mean scores of functions, networks and motifs."""
-        clusters = self.kept(self.stats(iteration).drop("iteration"), "stats-now")
+        self.now = iteration
+        clusters = self.rescored("sizes", lambda k: self.stats(iteration, k).drop("iteration"), cols=True)
         self.store("cluster_stats", clusters, iteration)
         main = {"fuzzy_coeff": fuzzy_coefficient(iteration, self.config.num_iterations), "median_residual": stats.quantiles(clusters, "residual", [0.5])[0] or 1.0}
         rows = [("main", k, v) for k, v in main.items()] + [("scoring", k, v) for k, v in self.means.items()]
@@ -348,16 +412,19 @@ class Run:
 
     def run(self, first: int = 1) -> None:
         for i in range(first, self.config.num_iterations + 1):
-            self.step(i, force=first > 1 and i == first)  # what was cached is gone
+            self.step(i, force=first > 1 and i == first and not self.cached)  # what was cached is gone
             if i == 1 or i % self.config.result_frequency == 0 or i == self.config.num_iterations:
                 self.save(i)
             if i == 1 or i % self.config.stats_frequency == 0 or i == self.config.num_iterations:
-                self.save_stats(i)
+                with tables.scope():
+                    self.save_stats(i)
+            self.commit(i)
 
     def finish(self) -> None:
         """Adds each cluster's nearest genes and scores once more, as iteration num_iterations + 1."""
-        with tables.scope():
-            self._finish()
+        if not self.finished:
+            with tables.scope():
+                self._finish()
 
     def _finish(self) -> None:
         last = self.config.num_iterations + 1
@@ -369,3 +436,5 @@ class Run:
             self.save(last)
             self.save_stats(last)
         self._info(last, finished=True)
+        self.finished = True
+        self.commit(last)

@@ -60,6 +60,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder of the shared file system holds; nothing, if it isn't there."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in files.listStatus(at)) if files.exists(at) else []
+
+
 def _forget(path: str) -> None:
     for x in [x for x in _made if x[1] == path]:
         _made.remove(x)
