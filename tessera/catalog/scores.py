@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import tables
 from ..bindings import CLUSTERS
 from ..operators import enrichment as E
 from ..operators import membership as B
 from ..operators import motifs as M
+from ..operators import rescoring as K
 from ..operators import scoring as S
 from .base import query, r6
 
@@ -371,3 +373,38 @@ def _(v):
 @query("cluster_sequences", "SELECT cluster, id, seq FROM u WHERE cluster IN (SELECT cluster FROM u GROUP BY 1 HAVING count(*) BETWEEN 3 AND 70)", u="SELECT cluster, seq, min(id) AS id FROM (SELECT m.cluster, s.id, s.seq FROM (SELECT DISTINCT gene, cluster FROM row_memb) m JOIN seqs s ON s.id = m.gene) q GROUP BY 1, 2")
 def _(v):
     return M.cluster_sequences(v.row_memb, v.seqs.select(F.col("id").alias("gene"), "id", "seq")).select("cluster", "id", "seq")
+
+
+#: The rows' memberships after a third of a cluster's genes have gone to another one.
+MOVED = {"moved": "SELECT gene, slot, CASE WHEN slot = 0 AND cluster = 1 AND gene % 3 = 0 THEN CAST(3 AS BIGINT) ELSE cluster END AS cluster FROM row_memb"}
+
+
+def moved(v):
+    goes = (F.col("slot") == 0) & (F.col("cluster") == 1) & (F.col("gene") % 3 == 0)
+    return v.row_memb.withColumn("cluster", F.when(goes, F.lit(3).cast("long")).otherwise(F.col("cluster")))
+
+
+@query(
+    "membership_changes",
+    """SELECT gene, cluster, 1 AS change FROM (SELECT gene, cluster FROM moved EXCEPT SELECT gene, cluster FROM row_memb) a WHERE cluster > 0
+        UNION ALL SELECT gene, cluster, -1 FROM (SELECT gene, cluster FROM row_memb EXCEPT SELECT gene, cluster FROM moved) b WHERE cluster > 0""",
+    **MOVED,
+)
+def _(v):
+    return K.changes(moved(v), v.row_memb, "gene")
+
+
+def again(v, before, score):
+    """Scores after the change from those before it, as a run has them in tables; ``score`` is asked for changed clusters."""
+    clusters = tables.keep(K.changed(K.changes(moved(v), v.row_memb, "gene")), "changed")
+    return K.rescored(tables.keep(before, "scores"), clusters, lambda k: score(K.of(moved(v), k), k)).withColumn("score", r6("score"))
+
+
+@query("row_scores_rescored", "SELECT * FROM rs", **{**MOVED, **ROWS, "rm": "SELECT DISTINCT gene, cluster FROM moved"})
+def _(v):
+    return again(v, S.row_scores(v.expr, v.row_memb, v.col_memb), lambda memb, k: S.row_scores(v.expr, memb, K.of(v.col_memb, k)))
+
+
+@query("column_scores_rescored", "SELECT * FROM cs", **{**MOVED, **COLS, "rm": COLS["rm"].replace("row_memb", "moved")})
+def _(v):
+    return again(v, S.column_scores(v.expr, v.row_memb), lambda memb, k: S.column_scores(v.expr, memb))

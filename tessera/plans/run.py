@@ -195,6 +195,7 @@ class Run:
         self.motifs: DataFrame | None = None
         self.scored: dict[str, tuple[DataFrame, DataFrame, DataFrame]] = {}  # what a cluster's members give, and the rows and columns then
         self.read: list[tuple[str, int, int]] = []  # what was scored again, when, and for how many clusters
+        self.compared: dict[tuple, tuple[DataFrame, int]] = {}  # in this iteration
         self.now, self.logged, self.saved, self.finished = 0, 0, {0}, False
         self.started = datetime.now()
 
@@ -228,9 +229,7 @@ class Run:
         if last is None:
             out = self.kept(score(None), called)
         else:
-            logs = [R.changes(self.rows, last[1], "gene"), *([R.changes(self.cols, last[2], "cond")] if cols else [])]
-            clusters = tables.keep(R.changed(*logs), "changed")
-            n = clusters.count()
+            clusters, n = self._changed(last[1], last[2] if cols else None)
             self.read.append((name, self.now, n))
             out = self.kept(R.rescored(last[0], clusters, score), called) if n else last[0]
         self.scored[name] = out, self.rows, self.cols
@@ -248,6 +247,16 @@ class Run:
         cols = S.seed_columns(self.matrix, rows, self.config.per_col).withColumn("slot", F.col("slot").cast("long"))
         self.start(rows, cols)
 
+    def _changed(self, rows: DataFrame, cols: DataFrame | None) -> tuple[DataFrame, int]:
+        """Clusters whose rows or columns are others than these, and their number; functions scored in the same iterations share them."""
+        x = lambda d: None if d is None else d._tessera_name
+        key = x(self.rows), x(rows), *((x(self.cols), x(cols)) if cols is not None else ())
+        if key not in self.compared:
+            logs = [R.changes(self.rows, rows, "gene"), *([R.changes(self.cols, cols, "cond")] if cols is not None else [])]
+            clusters = self.kept(R.changed(*logs), f"changed{len(self.compared)}-{self.now}")
+            self.compared[key] = clusters, clusters.count()
+        return self.compared[key]
+
     def start(self, rows: DataFrame, cols: DataFrame) -> None:
         """From given memberships (gene or cond, slot, cluster)."""
         tables.remove(self.spark, f"{self.folder}/{POINTS}")
@@ -315,7 +324,7 @@ class Run:
     def scores(self, iteration: int, force: bool = False) -> DataFrame | None:
         """Combined scores; a function out of schedule stands with its last scores, which are never changed. They read tables that
         the scope around the call drops."""
-        got, self.now = [], iteration
+        got, self.now, self.compared = [], iteration, {}
         self._search(iteration, force)
         for name in self.functions:
             active = force or self._active(name, iteration)

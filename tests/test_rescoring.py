@@ -1,6 +1,7 @@
 """Change logs, scores of changed clusters only, and runs that are killed and go on."""
 
 import random
+import shutil
 
 import numpy as np
 import pytest
@@ -76,84 +77,89 @@ class Killed(Exception):
     pass
 
 
-def whole(spark, folder, kill=None, after=False):
-    """A run of two iterations and what follows; killed before or after its write of that number, it goes on from the last save point in a run made anew."""
+def made(spark, folder):
+    """A run of two iterations, whose networks are scored in the first one only."""
     m = matrix(spark, np.random.default_rng(2))
-    edges = spark.createDataFrame([(n, i, i + 1, 1.0) for n in ("a", "b") for i in range(17)], "network string, src long, dst long, weight double")
-    sets = spark.createDataFrame([("t", f"s{i % 2}", i) for i in range(12)], "set_type string, set_name string, gene long")
-    every = {x: "1,1" for x in ("Rows", "Columns", "SetEnrichment")}
+    edges = spark.createDataFrame([("a", i, i + 1, 1.0) for i in range(17)], "network string, src long, dst long, weight double")
+    c = Config(num_iterations=2, clusters=3, per_col=2, result_frequency=2, stats_frequency=1, postadjust=False, schedules={"Rows": "1,1", "Columns": "1,1", "Networks": "1"})
+    return Run(spark, m, folder, c, edges=edges, functions=("Rows", "Networks"))
 
-    def made():
-        c = Config(num_iterations=2, clusters=3, per_col=2, result_frequency=2, stats_frequency=1, schedules={**every, "Networks": "1"})
-        return Run(spark, m, folder, c, edges=edges, sets=sets, functions=("Rows", "Networks", "SetEnrichment"))
 
-    def begin(run):
-        run.start(m.select("gene").distinct().select("gene", F.lit(0).cast("long").alias("slot"), (F.col("gene") % 3 + 1).alias("cluster")), m.select("cond").distinct().select("cond", F.lit(0).cast("long").alias("slot"), (F.col("cond") % 3 + 1).alias("cluster")))
-
-    run = made()
-    begin(run)
+def goes_on(spark, folder, kill=None, after=False):
+    """From the last save point to the end, unless killed before or after the write of a table; what was written."""
+    run = made(spark, folder)
+    done = run.resume()
+    assert done == 1
     written, own = [], {x: getattr(DataFrameWriter, x) for x in ("parquet", "text")}
 
-    def counting(kind):
+    def killing(kind):
         def write(self, path, *args, **more):
-            mine = str(path).startswith(folder)
-            if mine:
-                written.append(path)
-                if len(written) == kill and not after:
+            if str(path).startswith(folder):
+                written.append(path[len(folder) + 1 :])
+                if written[-1] == kill and not after:
                     raise Killed
             own[kind](self, path, *args, **more)
-            if mine and len(written) == kill:
+            if path == f"{folder}/{kill}":
                 raise Killed
 
         return write
 
     with pytest.MonkeyPatch.context() as patch:
         for x in own:
-            patch.setattr(DataFrameWriter, x, counting(x))
+            patch.setattr(DataFrameWriter, x, killing(x))
         try:
-            run.run()
+            run.run(done + 1)
             run.finish()
         except Killed:
-            pass
-    if kill is not None:
-        run = made()
-        done = run.resume()
-        if not done:
-            begin(run)
-        run.run(done + 1)
-        run.finish()
+            assert kill == written[-1]
+            return written
+    assert kill is None
     return written
 
 
 def contents(spark, folder):
     out = {}
-    for t in ("row_members", "column_members", "cluster_stats", "iteration_stats", "run_logs", "best_sets", "rows-3", "Rows-3", "Columns-2"):
+    for t in ("row_members", "column_members", "cluster_stats", "iteration_stats", "run_logs", "rows-2", "cols-2", "Rows-2", "Columns-2"):
         out[t] = sorted(str([round(x, 9) if isinstance(x, float) else x for x in r]) for r in spark.read.parquet(f"{folder}/{t}").collect())
     return out
 
 
 @pytest.fixture(scope="module")
-def uninterrupted(spark, tmp_path_factory):
-    folder = str(tmp_path_factory.mktemp("whole") / "run")
-    return whole(spark, folder), contents(spark, folder), tables.names(spark, folder)
+def runs(spark, tmp_path_factory):
+    """Folders of a run after its first iteration, and of one that was never interrupted."""
+    at, end = (str(tmp_path_factory.mktemp(x) / "run") for x in ("first", "whole"))
+    run = made(spark, end)
+    m = run.matrix
+    run.start(m.select("gene").distinct().select("gene", F.lit(0).cast("long").alias("slot"), (F.col("gene") % 3 + 1).alias("cluster")), m.select("cond").distinct().select("cond", F.lit(0).cast("long").alias("slot"), (F.col("cond") % 3 + 1).alias("cluster")))
+    commit = Run.commit
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(Run, "commit", lambda run, i: (commit(run, i), shutil.copytree(end, at) if i == 1 else None))
+        run.run()
+    run.finish()
+    return at, contents(spark, end), tables.names(spark, end)
 
 
-@pytest.mark.parametrize("at, after", [("rows-1", False), ("savepoints/iteration=1", True), ("Rows-2", True), ("cols-2", True), ("cluster_stats/iteration=2", True), ("savepoints/iteration=3", False)])
-def test_a_killed_run_goes_on(spark, uninterrupted, tmp_path, at, after):
-    written, want, left = uninterrupted
-    k = next(i for i, p in enumerate(written, 1) if p.endswith(f"/{at}"))
+@pytest.mark.parametrize("kill, after", [("Rows-2", True), ("cluster_stats/iteration=2", True), ("savepoints/iteration=2", False), ("savepoints/iteration=2", True)])
+def test_a_killed_run_goes_on(spark, runs, tmp_path, kill, after):
+    at, want, left = runs
     folder = str(tmp_path / "run")
-    assert len(whole(spark, folder, k, after)) == k
+    shutil.copytree(at, folder)
+    goes_on(spark, folder, kill, after)
+    points = [i for i in (1, 2) if "_SUCCESS" in tables.names(spark, f"{folder}/savepoints/iteration={i}")]
+    assert max(points) == (2 if kill.startswith("save") and after else 1)
+    again = made(spark, folder)
+    done = again.resume()
+    assert done == max(points)
+    again.run(done + 1)
+    again.finish()
     assert contents(spark, folder) == want and tables.names(spark, folder) == left
     assert tables.names(spark, f"{folder}/savepoints") == ["iteration=3"]
 
 
-def test_a_start_forgets_save_points(spark, uninterrupted, tmp_path):
-    m = matrix(spark, np.random.default_rng(2))
-    run = Run(spark, m, str(tmp_path / "run"), Config(num_iterations=1, clusters=2, per_col=1, postadjust=False), functions=("Rows",))
-    assert run.resume() == 0
-    run.start(m.select("gene").distinct().select("gene", F.lit(0).cast("long").alias("slot"), (F.col("gene") % 2 + 1).alias("cluster")), m.select("cond").distinct().select("cond", F.lit(0).cast("long").alias("slot"), (F.col("cond") % 2 + 1).alias("cluster")))
-    run.run()
-    assert run.resume() == 1 and run.scored["Rows"][1]._tessera_name == "rows-start"
+def test_a_start_forgets_save_points(spark, runs, tmp_path):
+    folder = str(tmp_path / "run")
+    shutil.copytree(runs[0], folder)
+    run = made(spark, folder)
+    assert run.resume() == 1 and run.scored["Rows"][1]._tessera_name == "rows-start" and set(run.cached) == {"Rows", "Networks", "Columns"}
     run.start(run.rows, run.cols)
     assert run.resume() == 0
