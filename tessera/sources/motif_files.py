@@ -1,7 +1,7 @@
 """The result files of motif search tools as a data source: ``spark.read.format("motif_files").option("kind", ...).load(folder)``.
 
-Kinds: meme, mast_xml, mast_text, weeder, pssm. A file is a partition, so files are read side by side and one has to fit into a task's
-memory. A schema given to the reader picks columns; what it leaves out is not sent to Spark.
+Kinds: meme, mast_xml, mast_text, weeder, pssm. A file is a partition, and where there are many files a run of them; they are read side by side,
+and a file has to fit into a task's memory. A schema given to the reader picks columns; what it leaves out is not sent to Spark.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from . import motifs
@@ -24,13 +26,31 @@ KINDS: dict[str, tuple[Callable[[str], list[dict]], str]] = {
 }
 
 
-class File(InputPartition):
-    """One file by its URI."""
+#: Files up to which each is a partition, bytes of a partition beyond so many files (more, if that many partitions hold all), rows of a batch.
+PARTITIONS, BYTES, ROWS = 256, 32 << 20, 4096
+
+
+class Files(InputPartition):
+    """Some files by their URIs."""
+
+
+def dealt(sizes: list[int]) -> list[tuple[int, int]]:
+    """Files of these sizes as runs, by first and end."""
+    if len(sizes) <= PARTITIONS:
+        return [(i, i + 1) for i in range(len(sizes))]
+    most = max(1, min(BYTES, -(-sum(sizes) // PARTITIONS)))
+    out, first, held = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > first and held + n > most:
+            out.append((first, i))
+            first, held = i, 0
+        held += n
+    return [*out, (first, len(sizes))]
 
 
 class MotifFileReader(DataSourceReader):
     def __init__(self, kind: str, path: str, schema: StructType):
-        self.kind, self.path, self.names = kind, path, schema.fieldNames()
+        self.kind, self.path, self.schema = kind, path, schema
 
     def partitions(self) -> list[InputPartition]:
         """Files below the path whose names, and whose folders' names, are not hidden."""
@@ -42,17 +62,22 @@ class MotifFileReader(DataSourceReader):
             raise FileNotFoundError(self.path)
         found = [info] if info.is_file else system.get_file_info(fs.FileSelector(at, recursive=True))
         shown = lambda x: not any(part.startswith((".", "_")) for part in x.path[len(at) :].split("/"))
-        return [File(x.path) for x in sorted(found, key=lambda x: x.path) if x.is_file and (info.is_file or shown(x))]
+        found = [x for x in sorted(found, key=lambda x: x.path) if x.is_file and (info.is_file or shown(x))]
+        return [Files([x.path for x in found[i:j]]) for i, j in dealt([x.size or 0 for x in found])]
 
-    def read(self, partition: InputPartition | None) -> Iterator[tuple]:
+    def read(self, partition: InputPartition | None) -> Iterator[pa.RecordBatch]:
         if partition is None:  # of a folder without files
             return
         system, _ = _system(self.path)
-        with system.open_input_stream(partition.value, compression="detect") as f:
-            text = f.read().decode("utf-8", "replace")
-        for row in KINDS[self.kind][0](text):
-            row["path"] = partition.value
-            yield tuple(row[x] for x in self.names)
+        schema = to_arrow_schema(self.schema)
+        for path in partition.value:
+            with system.open_input_stream(path, compression="detect") as f:
+                text = f.read().decode("utf-8", "replace")
+            rows = KINDS[self.kind][0](text)
+            for i in range(0, len(rows), ROWS):
+                part = rows[i : i + ROWS]
+                columns = [pa.array([path] * len(part) if x.name == "path" else [r[x.name] for r in part], x.type) for x in schema]
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
 
 def _system(path: str):

@@ -49,3 +49,30 @@ def test_what_is_not_there(source, tmp_path):
         source.option("kind", "pssm").load(str(tmp_path / "none")).collect()
     (tmp_path / "empty").mkdir()
     assert source.option("kind", "meme").load(str(tmp_path / "empty")).collect() == []
+
+
+def test_many_files_share_partitions(source, tmp_path):
+    """Tasks follow bytes, not files, once there are many; every file is read once."""
+    for i in range(600):
+        (tmp_path / f"{i:03}.txt").write_text(ONE.replace("m1", f"a{i}").replace("m2", f"b{i}"))
+    d = source.option("kind", "pssm").load(str(tmp_path))
+    assert 100 < d.rdd.getNumPartitions() <= 300
+    assert sorted(r["name"] for r in d.select("name").collect()) == sorted(f"{x}{i}" for x in "ab" for i in range(600))
+    every = [i for a, b in motif_files.dealt([5] * 300 + [10**9] * 3 + [0] * 300) for i in range(a, b)]
+    assert every == list(range(603))
+
+
+def test_few_files_of_many_rows(spark):
+    """A file holds some megabytes, and both layouts are there from a thousand rows on."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from tessera.catalog import motif_files as M
+
+    rows = spark.range(0, 20000).select(F.col("id").alias("rowid"))
+    views = type("V", (), {"motif_annotations": rows})()
+    d = M.sites(views).select("file", F.col("rowid").alias("order"), F.col("site").alias("text"))
+    folder = M.files(d, "few", "head\n")
+    names = [x for _, _, y in os.walk(folder.removeprefix("file:")) for x in y if x.endswith(".txt")]
+    assert len(names) == 2
