@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Width of a step and height of a plot, and colours of the bases (A, C, G, T).
@@ -50,12 +51,13 @@ def logo_svg(rows: DataFrame) -> DataFrame:
 
 def positions_svg(annotations: DataFrame) -> DataFrame:
     """(cluster, seqtype, svg): a bar for each place of a motif, a line for each gene, reverse ones below it."""
-    genes = annotations.groupBy("iteration", "cluster", "seqtype").agg(F.sort_array(F.collect_set("gene")).alias("genes"))  # of a cluster
-    d = annotations.join(genes, ["iteration", "cluster", "seqtype"])
-    y = (F.array_position("genes", F.col("gene")) - 1) * STEP + F.when(F.col("reverse"), STEP // 2).otherwise(0)
-    bar = F.format_string('<rect class="m%d" x="%d" y="%d" width="%d" height="4"/>', F.col("motif_num"), F.col("position"), y, F.col("length"))
-    out = d.groupBy("iteration", "cluster", "seqtype").agg(F.sort_array(F.collect_list(F.struct("gene", "position", "motif_num", bar.alias("t")))).alias("l"), F.max(F.col("position") + F.col("length")).alias("w"))
-    return out.select("iteration", "cluster", "seqtype", _svg(F.col("w"), F.array_join(F.transform("l", lambda x: x["t"]), "")).alias("svg"))
+    own = ["iteration", "cluster", "seqtype"]
+    line = (F.dense_rank().over(W.partitionBy(*own).orderBy("gene")) - 1) * STEP + F.when(F.col("reverse"), STEP // 2).otherwise(0)
+    d = annotations.withColumn("_line", line)
+    place = F.struct((F.floor(F.col("_line") / STEP)).alias("gene"), "position", "motif_num", F.col("_line").alias("y"), "length")  # numbers only; texts are made in order
+    out = d.groupBy(*own).agg(F.sort_array(F.collect_list(place)).alias("l"), F.max(F.col("position") + F.col("length")).alias("w"))
+    bar = lambda x: F.format_string('<rect class="m%d" x="%d" y="%d" width="%d" height="4"/>', x["motif_num"], x["position"], x["y"], x["length"])
+    return out.select(*own, _svg(F.col("w"), F.array_join(F.transform("l", bar), "")).alias("svg"))
 
 
 def cluster_page(rows: DataFrame) -> DataFrame:
