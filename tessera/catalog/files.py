@@ -20,11 +20,11 @@ from .matrix import long, sparse
 
 
 def lines_at(d: DataFrame, name: str, *, suffix: str = "") -> str:
-    """A folder with the rows' ``value`` as text lines, in order of ``place`` if there is one."""
+    """A folder with the rows' ``value`` as text lines: one file in order of ``place`` if there is such a column, else parts as they come."""
     path = tables.place(d.sparkSession, name)
     if "place" in d.columns:
-        d = d.orderBy("place")
-    d.select("value").coalesce(1).write.text(path + suffix)
+        d = d.orderBy("place").coalesce(1)
+    d.select("value").write.text(path + suffix)
     return path + suffix
 
 

@@ -88,3 +88,24 @@ def test_the_others_have_sql():
 
 def test_entry(spark, duck):
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_lines_without_an_order_are_written_side_by_side(spark):
+    """Only lines that have places go into one file, and so through one task."""
+    from tessera.catalog import files
+
+    folder = files.lines_at(spark.range(0, 100, 1, 5).selectExpr("cast(id AS string) AS value"), "parts")
+    assert len([x for x in os.listdir(folder.removeprefix("file:")) if x.endswith(".txt")]) == 5
+    assert sorted(int(r[0]) for r in spark.read.text(folder).collect()) == list(range(100))
+
+
+def test_lines_of_a_plot_search_no_list(spark):
+    from tessera.sources import pages
+
+    rows = [(1, 2, "upstream", f"g{i % 700}", 1, i, i % 3 == 0, 5) for i in range(1400)]
+    d = pages.positions_svg(spark.createDataFrame(rows, "iteration long, cluster long, seqtype string, gene string, motif_num long, position long, reverse boolean, length long"))
+    assert "array_position" not in d._jdf.queryExecution().analyzed().toString()
+    names = sorted({f"g{i % 700}" for i in range(1400)})
+    svg = d.collect()[0]["svg"]
+    assert svg.count("<rect") == 1400
+    assert f'<rect class="m1" x="699" y="{names.index("g699") * 10 + 5}" width="5"' in svg
