@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -46,17 +44,7 @@ NEW = "round((sum(CASE WHEN substr(w, k, 1) = '{u}' THEN z ELSE 0 END) + 0.5 * m
 )
 def _(v):
     """One step of expectation maximisation from each cluster's best word."""
-    base = np.array(list(D.base_frequencies(v.seqs).first()))
-    kind = dict(v.seqs.dtypes)["cluster"]
-
-    def first_step(p: pd.DataFrame) -> pd.DataFrame:
-        codes, owner, _, _ = D.windows(p["seq"].tolist(), D.CORE)
-        hot = np.eye(4)[codes].reshape(len(codes), -1)
-        theta, share, _, _ = D.step(hot, np.flatnonzero(np.diff(owner, prepend=-1)), D.started(p["word"].iloc[0], D.CORE, base), 0.5, base)
-        return pd.DataFrame(theta, columns=list("acgt")).assign(cluster=p["cluster"].iloc[0], pos=range(1, D.CORE + 1), share=share)[["cluster", "pos", *"acgt", "share"]]
-
-    d = v.seqs.select("cluster", "id", "seq").join(D.best_words(v.seqs, most=1).select("cluster", F.col("words")[0].alias("word")), "cluster")
-    d = d.groupBy("cluster").applyInPandas(first_step, f"cluster {kind}, pos long, a double, c double, g double, t double, share double")
+    d = D.first_steps(v.seqs, D.base_frequencies(v.seqs))
     return d.select("cluster", "pos", *[r6(x).alias(x) for x in ("a", "c", "g", "t", "share")])
 
 

@@ -303,3 +303,21 @@ def test_scopes_drop_what_is_made_inside(spark):
         assert len(tables._made) == len(before) + 1
     assert tables._made == before and outer.count() == 3
     tables.drop(outer)
+
+
+def test_a_first_step_adds_up_over_parts(spark, monkeypatch):
+    """A cluster is never one group: however its sequences are dealt, the sums are those of all of them."""
+    monkeypatch.setattr(D, "PART", 3)
+    rng = random.Random(9)
+    rows = [(c, i, random_seq(rng, rng.randint(4, 30))) for c in (1, 2) for i in range(40)]
+    seqs = spark.createDataFrame(rows, "cluster long, id long, seq string").repartition(5)
+    base = spark.createDataFrame([tuple(BASE.tolist())], "a double, c double, g double, t double")
+    word = {r["cluster"]: r["words"][0] for r in D.best_words(seqs, most=1).collect()}
+    got = {(r["cluster"], r["pos"]): r for r in D.first_steps(seqs, base).collect()}
+    for c in (1, 2):
+        _, hot, first = prepared([s for k, _, s in rows if k == c], D.CORE)
+        theta, share, _, _ = D.step(hot, first, D.started(word[c], D.CORE, BASE), 0.5, BASE)
+        for k in range(D.CORE):
+            assert [got[c, k + 1][x] for x in "acgt"] == pytest.approx(theta[k].tolist())
+            assert got[c, k + 1]["share"] == pytest.approx(share)
+    assert "MapInPandas" in D.first_steps(seqs, base)._jdf.queryExecution().toString()
