@@ -321,3 +321,37 @@ def test_a_first_step_adds_up_over_parts(spark, monkeypatch):
             assert [got[c, k + 1][x] for x in "acgt"] == pytest.approx(theta[k].tolist())
             assert got[c, k + 1]["share"] == pytest.approx(share)
     assert "MapInPandas" in D.first_steps(seqs, base)._jdf.queryExecution().toString()
+
+
+def test_words_of_a_group_are_those_of_the_table(spark):
+    rng = random.Random(11)
+    rows = [(c, i % 9, random_seq(rng, rng.randint(0, 30)) + "NA") for c in (1, 2, 3) for i in range(12)]  # an id twice counts once
+    want = {r["cluster"]: r["words"] for r in D.best_words(spark.createDataFrame(rows, "cluster long, id long, seq string")).collect()}
+    for c in (1, 2, 3):
+        assert D.shared_words([s for k, _, s in rows if k == c], [i for k, i, _ in rows if k == c]) == want[c]
+    assert D.shared_words(["ACG", ""], [1, 2]) == []
+
+
+@pytest.mark.parametrize("width", [6, 11])
+def test_starts_together_lead_where_each_alone_does(width):
+    rng = random.Random(width)
+    codes, hot, first = prepared([random_seq(rng, rng.randint(20, 60)) for _ in range(15)], width)
+    ends = []
+    for w in (words := [random_seq(rng, 6) for _ in range(5)]):
+        theta, share, course = D.started(w, width, BASE), 0.5, []
+        for _ in range(D.TRIES):
+            new, next_share, _, value = D.step(hot, first, theta, share, BASE)
+            course.append(value)
+            if len(course) > 1 and value - course[-2] < D.GAIN * abs(value):
+                break
+            theta, share = new, next_share
+        ends.append((course[-1], theta, share))
+    _, theta, share = max(ends, key=lambda x: x[0])
+    got = D.ahead(hot, first, np.stack([D.started(w, width, BASE) for w in words]), BASE)
+    assert np.allclose(got[0], theta) and got[1] == pytest.approx(share)
+
+
+def test_a_cluster_is_searched_in_one_group(planted):
+    seqs, _ = planted
+    plan = D._models(seqs, BASE.tolist(), D.WIDTHS)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Window" not in plan
