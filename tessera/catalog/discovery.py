@@ -111,11 +111,11 @@ def _(v):
 
 @query("motif_likeness")
 def _(v):
-    """Matrices of all motifs of an iteration that are like one another."""
+    """Matrices of all motifs of an iteration that are like one another, equal ones as a class, and the classes' motifs."""
     m = v.motif_infos.filter("iteration = 2 AND seqtype = 'upstream'").select(F.col("rowid").alias("id"))
     row = F.struct("pos", F.array(*[F.col(x).cast("double") for x in "acgt"]).alias("r"))
     p = v.motif_pssm_rows.groupBy(F.col("motif_info_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(row)), lambda x: x["r"]).alias("pssm"))
-    return D.compare(m.join(p, "id"), D.base_frequencies(v.seqs), threshold=0.1)
+    return D.compare_classes(m.join(p, "id"), D.base_frequencies(v.seqs), threshold=0.1)
 
 
 @query(

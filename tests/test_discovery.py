@@ -355,3 +355,27 @@ def test_a_cluster_is_searched_in_one_group(planted):
     seqs, _ = planted
     plan = D._models(seqs, BASE.tolist(), D.WIDTHS)._jdf.queryExecution().toString()
     assert "Generate" not in plan and "Window" not in plan
+
+
+def test_classes_lose_no_link(spark, monkeypatch):
+    """Pairs of classes, spelled out over their members, are the pairs of all motifs."""
+    monkeypatch.setattr(D, "BLOCK", 1)
+    gen = np.random.default_rng(5)
+    kinds = [gen.dirichlet([0.4] * 4, int(gen.integers(3, 6))).tolist() for _ in range(4)]
+    of = {i: i % 4 if i < 10 else 0 for i in range(14)}
+    base = spark.createDataFrame([tuple(BASE.tolist())], "a double, c double, g double, t double")
+    d = spark.createDataFrame([(i, kinds[k]) for i, k in of.items()], "id long, pssm array<array<double>>")
+    want = {(r["motif_info_id1"], r["motif_info_id2"]): r for r in D.compare(d, base, threshold=0.9).collect()}
+    rows = D.compare_classes(d, base, threshold=0.9).collect()
+    own = {r["motif_info_id1"]: r["motif_info_id2"] for r in rows if r["kind"] == "member"}
+    pairs = {(r["motif_info_id1"], r["motif_info_id2"]): r for r in rows if r["kind"] == "pair"}
+    assert own == {i: min(j for j in of if of[j] == k) for i, k in of.items()}
+    assert {(i, j) for i in of for j in of if i != j and (own[i], own[j]) in pairs} == want.keys()
+    for (i, j), r in want.items():
+        p = pairs[own[i], own[j]]
+        assert (p["shift"], p["reverse"], p["overlap"]) == (r["shift"], r["reverse"], r["overlap"]) and p["pvalue"] == pytest.approx(r["pvalue"])
+
+
+def test_groups_of_few_bytes_stay_apart(spark):
+    d = tables.spread(spark.range(100).selectExpr("id", "id % 50 AS cluster"), "cluster").groupBy("cluster").count()
+    assert d.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) > 1
