@@ -109,3 +109,13 @@ def test_lines_of_a_plot_search_no_list(spark):
     svg = d.collect()[0]["svg"]
     assert svg.count("<rect") == 1400
     assert f'<rect class="m1" x="699" y="{names.index("g699") * 10 + 5}" width="5"' in svg
+
+
+def test_members_of_a_graph_are_counted_once_over_iterations(spark):
+    """Iterations go before names are joined, in the only aggregate over the memberships."""
+    from tessera.catalog.base import Views
+    from tessera.operators import results as R
+
+    v = Views(spark, SF)
+    plan = R.graph_nodes(v.row_members, v.row_names, v.motif_infos)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Aggregate" in x and "linenumber" in x]
