@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 import uuid
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from . import arrow, scratch
 
-#: Tokens of a run that counts as long, and tokens of a host up to which one task indexes it.
+#: Tokens of a run that counts as long, and tokens of a host, about, that one suffix array holds; a larger host has several, which are merged.
 RUN, HOST_TOKENS = 8, 1_000_000
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -42,8 +43,10 @@ ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\
 NAME = re.compile(r"[a-z0-9]+")
 HEADING = re.compile(r"h[1-6]\Z")
 
-#: NAMED is a drop by name outside a marked article.
-DROP, PROTECT, NAMED = 1, 2, 4
+#: NAMED is a drop by name outside a marked article. From REGION on the number of the article that a block is in, 0 for none or a main element's own text.
+DROP, PROTECT, NAMED, REGION = 1, 2, 4, 8
+#: What becomes of a block in the stream: out, in, in without shared runs; from 1 on the article that decides.
+OUT, IN, UNMARKED = 0, -1, -2
 
 
 def _kind(tag: str, attributes: str, inside_main: bool) -> int:
@@ -71,11 +74,11 @@ def _kind(tag: str, attributes: str, inside_main: bool) -> int:
 
 
 def blocks(page: str) -> list[tuple[str, int]]:
-    """Text blocks of a page in order, white space reduced, each with the kinds of region it is in."""
+    """Text blocks of a page in order, white space reduced, each with the kinds of region it is in and the number of its outermost article."""
     out: list[tuple[str, int]] = []
     stack: list[tuple[str, int]] = []  # element, kinds of it and what it is in
     held: list[str] = []
-    kind_now = 0
+    kind_now = articles = 0
 
     def close() -> None:
         if held:
@@ -122,7 +125,11 @@ def blocks(page: str) -> list[tuple[str, int]]:
                     if stack[i][0] in BLOCK:
                         break
             above = stack[-1][1] if stack else 0
-            kind = above | _kind(tag, attributes, bool(above & PROTECT))
+            own = _kind(tag, attributes, bool(above & PROTECT))
+            kind = above | own
+            if own & PROTECT and tag in BLOCK and tag != "main" and above < REGION and not re.search(r"role\s*=\s*[\"']?main\b", attributes, re.I):
+                articles += 1
+                kind |= articles * REGION
             if kind != above:
                 close()
             stack.append((tag, kind))
@@ -138,9 +145,9 @@ def host_of(url: str | None) -> str:
 
 PARSED = pa.schema([
     ("chunk", pa.int64()), ("row", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("text", pa.string()),
-    ("rest", pa.list_(pa.string())), ("kept", pa.list_(pa.bool_())), ("tokens", pa.int64()),
+    ("rest", pa.list_(pa.string())), ("kept", pa.list_(pa.int32())), ("tokens", pa.int64()),
 ])
-PARSED_DDL = "chunk long, row long, page_id long, url string, host string, text string, rest array<string>, kept array<boolean>, tokens long"
+PARSED_DDL = "chunk long, row long, page_id long, url string, host string, text string, rest array<string>, kept array<int>, tokens long"
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,9 +157,13 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for raw in b.column(2).to_pylist():
             found = blocks(raw.decode("utf-8", "replace"))
             left_out = DROP | NAMED if any(k & (DROP | NAMED | PROTECT) == PROTECT for _, k in found) else DROP  # the only article stays, whatever is around it
-            main = [t for t, k in found if k & PROTECT and not k & left_out]
-            rest = [(t, not main and not k & (DROP | NAMED)) for t, k in found if not k & PROTECT or k & left_out]
-            texts.append(" ".join(main) if main else None)
+            main = [(t, k // REGION) for t, k in found if k & PROTECT and not k & left_out]
+            if len({r for _, r in main if r}) > 1:  # the array tells which of them are the page's own
+                texts.append(None)
+                rest = [(t, (k // REGION or IN) if k & PROTECT and not k & left_out else OUT) for t, k in found]
+            else:
+                texts.append(" ".join(t for t, _ in main) if main else None)
+                rest = [(t, OUT if main or k & (DROP | NAMED) else UNMARKED) for t, k in found if not k & PROTECT or k & left_out]
             rests.append([t for t, _ in rest])
             kepts.append([k for _, k in rest])
         n = b.num_rows
@@ -170,73 +181,120 @@ def suffix_ranks(tokens: np.ndarray, depth: int) -> np.ndarray:
     while width < depth:
         step = min(width, depth - width)
         after = np.full(len(rank), -1, np.int64)
-        after[: len(rank) - step] = rank[step:]
+        after[: max(0, len(rank) - step)] = rank[step:]
         rank = np.unique((rank << 32) | (after + 1), return_inverse=True)[1].astype(np.int64)
         width += step
     return rank
 
 
-def covered(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
-    """Of each page's tokens: whether a run of ``run`` tokens that another of the pages has too covers it.
+class Index:
+    """The suffix array of some pages' streams, which are concatenated, each ended by a token of its own. Suffixes that share their first
+    ``run`` tokens stand together in it, as a group; where they come from distinct pages they are ``shared``."""
+
+    def __init__(self, streams: list[list[str]], run: int = RUN):
+        number: dict[str, int] = {}
+        self.streams, self.run = streams, run
+        self.sizes = np.array([len(s) for s in streams], np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(self.sizes + 1)])
+        self.page = np.repeat(np.arange(len(streams)), self.sizes + 1)
+        tokens = np.empty(len(self.page), np.int64)
+        for i, (s, at) in enumerate(zip(streams, self.bounds.tolist(), strict=False)):
+            tokens[at : at + len(s)] = [number.setdefault(t, len(number)) for t in s]
+            tokens[at + len(s)] = -1 - i
+        rank = suffix_ranks(tokens, run)
+        self.order = np.argsort(rank, kind="stable")  # the suffix array
+        self.head = np.flatnonzero(np.diff(rank[self.order], prepend=-1))
+        if len(self.head):
+            by_page = self.page[self.order]
+            self.shared = np.minimum.reduceat(by_page, self.head) != np.maximum.reduceat(by_page, self.head)
+        else:
+            self.shared = np.zeros(0, bool)
+
+    def groups(self) -> tuple[np.ndarray, list[bytes]]:
+        """The groups whose runs end within a page, and digests of their tokens."""
+        at = self.order[self.head]
+        page = self.page[at]
+        place = at - self.bounds[page]
+        own = np.flatnonzero(place + self.run <= self.sizes[page])
+        found = zip(page[own].tolist(), place[own].tolist(), strict=True)
+        return own, [hashlib.blake2b(" ".join(self.streams[p][i : i + self.run]).encode("utf-8", "replace"), digest_size=16).digest() for p, i in found]
+
+    def covered(self) -> list[np.ndarray]:
+        """Of each page's tokens: whether a shared run covers it."""
+        at = self.order[np.repeat(self.shared, np.diff(np.append(self.head, len(self.order))))]
+        marks = np.zeros(len(self.order) + self.run + 1, np.int64)
+        np.add.at(marks, at, 1)
+        np.add.at(marks, at + self.run, -1)
+        on = np.cumsum(marks)[: len(self.order)] > 0
+        return [on[a : b - 1] for a, b in zip(self.bounds[:-1], self.bounds[1:], strict=True)]
 
-    The streams are concatenated, each ended by a token of its own. Along the suffix array, suffixes
-    that share their first ``run`` tokens stand together; where they come from distinct pages they mark.
-    """
-    number: dict[str, int] = {}
-    sizes = np.array([len(s) for s in streams], np.int64)
-    tokens = np.empty(int(sizes.sum()) + len(streams), np.int64)
-    page = np.repeat(np.arange(len(streams)), sizes + 1)
-    at = 0
-    for i, s in enumerate(streams):
-        tokens[at : at + len(s)] = [number.setdefault(t, len(number)) for t in s]
-        at += len(s)
-        tokens[at] = -1 - i
-        at += 1
-    rank = suffix_ranks(tokens, run)
-    order = np.argsort(rank, kind="stable")  # the suffix array
-    sorted_rank, sorted_page = rank[order], page[order]
-    head = np.flatnonzero(np.diff(sorted_rank, prepend=-1))
-    low, high = np.minimum.reduceat(sorted_page, head), np.maximum.reduceat(sorted_page, head)
-    shared = np.repeat(low != high, np.diff(np.append(head, len(order))))
-    marks = np.zeros(len(tokens) + run + 1, np.int64)
-    at = order[shared]
-    np.add.at(marks, at, 1)
-    np.add.at(marks, at + run, -1)
-    on = np.cumsum(marks)[: len(tokens)] > 0
-    bounds = np.concatenate([[0], np.cumsum(sizes + 1)])
-    return [on[a : b - 1] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-
-
-def unique_text(rest: list[str], kept: list[bool], on: np.ndarray) -> str:
-    out, at = [], 0
-    for block, keep in zip(rest, kept, strict=True):
-        words = block.split()
-        if keep:
-            out += [w for w, c in zip(words, on[at : at + len(words)], strict=True) if not c]
-        at += len(words)
+
+def covered(streams: list[list[str]], run: int = RUN) -> list[np.ndarray]:
+    """Of each page's tokens: whether a run of ``run`` tokens that another of the pages has too covers it."""
+    return Index(streams, run).covered()
+
+
+def unique_text(rest: list[str], kept: list[int], on: np.ndarray) -> str:
+    """Unmarked blocks without shared runs. An article goes where shared runs cover all of it and not all of another article."""
+    words = [block.split() for block in rest]
+    ends = np.cumsum([len(w) for w in words]).tolist()
+    spans = [on[e - len(w) : e] for e, w in zip(ends, words, strict=True)]
+    own = {k for k, s in zip(kept, spans, strict=True) if k > 0 and not s.all()}
+    out: list[str] = []
+    for w, k, s in zip(words, kept, spans, strict=True):
+        if k == UNMARKED:
+            out += [x for x, c in zip(w, s, strict=True) if not c]
+        elif k == IN or (k > 0 and (not own or k in own)):
+            out += w
     return " ".join(out)
 
 
-def _index(pages: pa.Table) -> pa.Table:
-    rest, kept = pages["rest"].to_pylist(), pages["kept"].to_pylist()
-    on = covered([[w for t in r for w in t.split()] for r in rest])
+FOUND_DDL = "chunk long, row long, found string"
+GROUPS_DDL = "host string, part long, group int, key binary, shared boolean"
+
+
+def _opened(pages: pa.Table) -> tuple[pa.Table, Index]:
+    """Pages in one order, whatever order they came in, and their array."""
+    pages = pages.sort_by([("chunk", "ascending"), ("row", "ascending")])
+    return pages, Index([[w for t in r for w in t.split()] for r in pages["rest"].to_pylist()])
+
+
+def _texts(pages: pa.Table, index: Index) -> pa.Table:
+    rest, kept, on = pages["rest"].to_pylist(), pages["kept"].to_pylist(), index.covered()
     wanted = [i for i, k in enumerate(kept) if any(k)]
     found = pa.array([unique_text(rest[i], kept[i], on[i]) for i in wanted], pa.string())
     return pages.select(["chunk", "row"]).take(pa.array(wanted, pa.int64())).append_column("found", found)
 
 
+def _groups(pages: pa.Table) -> pa.Table:
+    n, (_, index) = pages.num_rows, _opened(pages)
+    own, keys = index.groups()
+    host, part = (pa.repeat(pages[c][0], len(own)) if n else pages[c].combine_chunks() for c in ("host", "part"))
+    return pa.table({"host": host, "part": part, "group": pa.array(own.astype(np.int32)), "key": pa.array(keys, pa.binary()), "shared": pa.array(index.shared[own])})
+
+
+def _merged(pages: pa.Table, shared: pa.Table) -> pa.Table:
+    """With the groups that are shared with other arrays of the host."""
+    pages, index = _opened(pages)
+    for x in shared["groups"].to_pylist():
+        index.shared[x] = True
+    return _texts(pages, index)
+
+
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", host_tokens: int = HOST_TOKENS) -> DataFrame:
     """The main text of every page, blocks in page order joined by one space.
 
-    Where markup names the article (an article or main element, or a name for its body), its blocks are
-    the text, without what is marked in it as menu, comments, advert and so on; an article is kept
-    whole even if its passages occur on other pages. Names do not drop an article element, nor what is around
+    Where markup names one article (an article element, a main element, or a name for its body), its blocks are
+    the text, without what is marked in it as menu, comments, advert and so on; it is kept
+    whole even if its passages occur on other pages, which have them as text too. Names do not drop an article element, nor what is around
     the only article; words of layout count as whole names only. Everything else of a page goes to the token stream
     of its host. There runs of RUN tokens that occur on distinct pages are boilerplate, and a page without a
-    marked article keeps its unmarked blocks without them.
+    marked article keeps its unmarked blocks without them. A page on which markup names several articles, none
+    within another, goes to the stream with them: those that shared runs cover from end to end are teasers or quotes of other pages
+    and go, if another of the page's articles is its own; if none is (a copy of a page), all stay.
 
-    A host of more than ``host_tokens`` tokens isn't indexed in one task: its suffixes are dealt by
-    their first RUN tokens, which finds the same runs.
+    A host of more than ``host_tokens`` tokens has several suffix arrays of about so many, over parts of its pages. They are merged by
+    their groups: a run that the arrays of two parts have is on distinct pages. So the runs are the same at every size.
 
     Null and empty html have no text, html of any length is read whole, a null url or one without a host has the host "".
     Repeated rows are pages of their own, so pages that are copies of each other are boilerplate where no article is marked. There
@@ -247,28 +305,20 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """
     src = arrow.narrowed(pages, page_id=F.col(id_col).cast("long"), url=F.col(url_col).cast("string"), html=arrow.raw(F.col(html_col)))
     parsed = scratch.keep(src.mapInArrow(_parse, PARSED_DDL), "pages")
-    hosts = parsed.groupBy("host").agg(F.sum("tokens").alias("n"))
-    sized = parsed.select("chunk", "row", "host", "rest", "kept").join(hosts, "host")
-    small = sized.filter(F.col("n") <= host_tokens).groupBy("host").applyInArrow(_index, "chunk long, row long, found string")
-    found = small.unionByName(_large(sized.filter(F.col("n") > host_tokens)))
+    parts = F.ceil(F.col("n") / max(1, host_tokens)).cast("long")
+    hosts = parsed.groupBy("host").agg(F.sum("tokens").alias("n")).filter("n > 0").select("host", parts.alias("parts"))
+    dealt = parsed.select("chunk", "row", "host", "rest", "kept").join(hosts, "host").withColumn("part", F.pmod(F.xxhash64("chunk", "row"), "parts"))
+    single = dealt.filter("parts = 1").groupBy("host").applyInArrow(lambda t: _texts(*_opened(t)), FOUND_DDL)
+    found = single.unionByName(_several(dealt.filter("parts > 1").drop("parts")))
     marked = parsed.filter("text IS NOT NULL").select("page_id", "url", "text")
     other = parsed.filter("text IS NULL").select("chunk", "row", "page_id", "url").join(found, ["chunk", "row"], "left").select("page_id", "url", F.coalesce("found", F.lit("")).alias("text"))
     return marked.unionByName(other).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
-def _large(pages: DataFrame) -> DataFrame:
-    """The same for hosts of any size: each suffix's first RUN tokens are a key, counted in the cluster."""
-    words = F.flatten(F.transform("rest", lambda t: F.split(t, " ")))
-    marked = F.flatten(F.transform(F.arrays_zip("rest", "kept"), lambda x: F.array_repeat(x["kept"], F.size(F.split(x["rest"], " ")))))
-    d = pages.select("host", "chunk", "row", words.alias("words"), marked.alias("marked"))
-    grams = d.filter(F.size("words") >= RUN).select(
-        "host", "chunk", "row", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("words") - RUN), lambda i: F.sha2(F.concat_ws(" ", F.slice("words", i + 1, RUN)), 256))).alias("pos", "gram")
-    )
-    place = F.struct("chunk", "row")
-    shared = grams.groupBy("host", "gram").agg(F.min(place).alias("a"), F.max(place).alias("b")).filter("a <> b").select("host", "gram")
-    hits = grams.join(shared, ["host", "gram"]).groupBy("chunk", "row").agg(F.collect_list("pos").alias("at"))  # at most a page's tokens
-    d = d.filter(F.exists("marked", lambda x: x)).join(hits, ["chunk", "row"], "left")
-    on = F.array_distinct(F.flatten(F.transform(F.coalesce("at", F.array().cast("array<int>")), lambda p: F.sequence(p, p + RUN - 1))))
-    at = F.transform(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.when(F.get("marked", i), i))
-    left = F.array_except(F.array_compact(at), on)
-    return d.select("chunk", "row", F.array_join(F.transform(left, lambda i: F.get("words", i)), " ").alias("found"))
+def _several(pages: DataFrame) -> DataFrame:
+    """The same for hosts of several arrays: their groups meet by what they begin with, and those that two arrays have, or one has on distinct pages, are shared."""
+    groups = pages.groupBy("host", "part").applyInArrow(_groups, GROUPS_DDL)
+    met = groups.groupBy("host", "key").agg(F.max("shared").alias("shared"), F.collect_list(F.struct("part", "group", "shared")).alias("x"))  # at most one of each part
+    news = met.filter(F.col("shared") | (F.size("x") > 1)).select("host", F.explode("x").alias("x")).filter("not x.shared")
+    news = news.groupBy("host", F.col("x.part").alias("part")).agg(F.collect_list("x.group").alias("groups"))  # at most a part's
+    return pages.groupBy("host", "part").cogroup(news.groupBy("host", "part")).applyInArrow(_merged, FOUND_DDL)

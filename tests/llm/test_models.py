@@ -302,6 +302,37 @@ def test_suffix_array_of_a_host(spark):
     assert text[99] == menu and all(text[i].split()[-1] == f"w{i}x29" and menu not in text[i] for i in range(30))
 
 
+def test_suffix_array_tells_teasers_from_a_page_s_own_articles(spark):
+    """Without the array all articles of a page would stay; a page's only article and copies of pages stay whole."""
+    rng = random.Random(16)
+    tease, quote = prose(rng, 12), prose(rng, 20)
+    own = [" ".join(f"o{i}x{j}" for j in range(20)) for i in range(6)]
+    article = lambda *x: "".join(f"<article><p>{t}</p></article>" for t in x)
+    rows = [(i, "http://h/", f"<main><h2>Latest</h2>{article(own[i], tease)}</main>") for i in range(3)]
+    rows += [(3, "http://h/", article(f"{own[3]} {quote}")), (4, "http://h/", article(f"{own[4]} {quote}", own[5])), (5, "http://other/", article(own[0], tease))]
+    rows += [(i, "http://h/", article(quote, quote[::-1])) for i in (6, 7)]
+    want = {i: f"Latest {own[i]}" for i in range(3)} | {3: f"{own[3]} {quote}", 4: f"{own[4]} {quote} {own[5]}", 5: f"{own[0]} {tease}", 6: f"{quote} {quote[::-1]}", 7: f"{quote} {quote[::-1]}"}
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for most in (page_text.HOST_TOKENS, 60):
+        assert {r["page_id"]: r["text"] for r in page_text.extract(d, host_tokens=most).collect()} == want
+
+
+def test_short_streams():
+    for n in range(12):
+        assert [x.tolist() for x in page_text.covered([["a"] * n])] == [[False] * n]
+
+
+def test_arrays_of_parts_find_what_one_array_finds(spark):
+    rng = random.Random(17)
+    rows = [(i, "http://h/", f"<p>{' '.join(rng.choice('abc') for _ in range(rng.randint(0, 120)))}</p>") for i in range(40)]
+    d = spark.createDataFrame(rows, "page_id long, url string, html string")
+    on = page_text.covered([h[3:-4].split() for _, _, h in rows])
+    want = {i: " ".join(w for w, c in zip(h[3:-4].split(), o, strict=True) if not c) for (i, _, h), o in zip(rows, on, strict=True)}
+    assert len(set(want.values())) > 20
+    for most in (10**6, 500, 0):
+        assert {r["page_id"]: r["text"] for r in page_text.extract(d, host_tokens=most).collect()} == want
+
+
 def test_covered_is_every_shared_run():
     rng = random.Random(8)
     streams = [[rng.choice("abc") for _ in range(rng.randint(0, 40))] for _ in range(6)]
