@@ -1,13 +1,16 @@
 """Every query with SQL agrees with it on the smallest tables."""
 
 import os
+import shutil
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from tessera import bindings, catalog
+from tessera.operators.networks import network_score_means
 
 SF = "/root/testdata/sf0.001"
 
@@ -82,6 +85,27 @@ def test_run_query(spark, duck):
     assert all(0 <= r[4] <= 5 for r in got)
 
 
+def test_a_run_reads_what_edges_and_sets_are_made_from_once(spark, tmp_path):
+    """Iterations go on when the source is gone: they read the run's own tables."""
+    from tessera.plans.run import Config, Run
+
+    m = spark.createDataFrame([(g, c, float((g * 7 + c * 3) % 11)) for g in range(12) for c in range(5)], "gene long, cond long, value double")
+    edges = spark.createDataFrame([("a", i, i + 1, 1.0 + i % 3) for i in range(11)], "network string, src long, dst long, weight double")
+    sets = spark.createDataFrame([("t", f"s{i % 3}", i) for i in range(12)], "set_type string, set_name string, gene long")
+    given = []
+    for name, d in (("edges", edges), ("sets", sets)):
+        d.write.parquet(str(tmp_path / "source" / name))
+        given.append(spark.read.parquet(str(tmp_path / "source" / name)))
+    c = Config(num_iterations=1, clusters=3, per_col=2, schedules={x: "1,1" for x in ("Rows", "Columns", "Networks", "SetEnrichment")})
+    run = Run(spark, m, str(tmp_path / "run"), c, edges=given[0], sets=given[1], functions=("Rows", "Networks", "SetEnrichment"))
+    shutil.rmtree(tmp_path / "source")
+    run.start(run.genes.select("gene", F.lit(0).cast("long").alias("slot"), (F.col("gene") % 3 + 1).alias("cluster")), run.conds.select("cond", F.lit(0).cast("long").alias("slot"), (F.col("cond") % 3 + 1).alias("cluster")))
+    run.run()
+    got = {r["network"]: r["mean"] for r in network_score_means(edges, run.rows, run.genes).collect()}
+    stats = spark.read.parquet(f"{run.folder}/iteration_stats/iteration=1").filter("category = 'network'").collect()
+    assert {r["name"]: r["score"] for r in stats} == pytest.approx(got)
+
+
 def test_the_others_have_sql():
     assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) <= {"bscm_pvalues", "kmeans_seed", "run_iterations", "discovered_motifs", "motif_likeness", "mismatch_motifs"}  # the last three: brute force in test_discovery and test_mismatches
 
