@@ -73,39 +73,45 @@ class Model:
         cumulative = np.cumsum(share)
         log_noise = np.log(NOISE * share).astype(np.float32)
         sums = [np.full(x.shape, 1e-6, np.float32) for x in self.parts()]
-        k = len(share)
+        k, one = len(share), np.ones((STEP, 1), np.float32)
 
         def gather(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             """Places that occur, and the sums of their rows."""
-            order = np.argsort(at, kind="stable")
-            sorted_ = at[order]
+            order = np.argsort(at.astype(np.uint16), kind="stable")  # two bytes hold a symbol, and are sorted by radix
+            sorted_ = at.take(order)
             first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-            return sorted_[first], np.add.reduceat(rows[order], first, axis=0)
+            return sorted_.take(first), np.add.reduceat(rows.take(order, axis=0), first, axis=0)
 
         for i in range(0, len(triples), STEP):
             v, u, w = triples[i : i + STEP].T.astype(np.int64)
             noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), k - 1)
-            cv, cu = self.context[v], self.context[u]
+            cv, cu = self.context.take(v, axis=0), self.context.take(u, axis=0)
             q = cu @ self.near + cv @ self.far
-            tw, tn = self.target[w], self.target[noise]
+            q1 = np.concatenate([q, one[: len(w)]], axis=1)
+            tw, tn = self.target.take(w, axis=0), self.target.take(noise, axis=0)
             real = np.einsum("ij,ij->i", q, tw) + self.bias[w] - log_noise[w]
-            fake = q @ tn.T + self.bias[noise] - log_noise[noise]
             a = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # raises the score of what is there
-            np.clip(fake, -30, 30, out=fake)
-            np.negative(fake, out=fake)
-            np.exp(fake, out=fake)
+            # a step's largest array, of positions by noise words, is passed through as few times as can be
+            fake = q1 @ np.concatenate([-tn, (log_noise[noise] - self.bias[noise])[:, None]], axis=1).T
+            with np.errstate(over="ignore"):  # 1 over infinity is 0
+                np.exp(fake, out=fake)
             fake += 1
             b = np.divide(-1, fake, out=fake)
-            dq = a[:, None] * tw + b @ tn
-            dt = gather(np.concatenate([w, noise]), np.concatenate([np.column_stack([a[:, None] * q, a]), np.column_stack([b.T @ q, b.sum(axis=0)])]))
+            dq, dn = a[:, None] * tw + b @ tn, b.T @ q1
+            size = np.float32(len(w))
+            dt = gather(np.concatenate([w, noise]), np.concatenate([np.column_stack([a[:, None] * q, a]), dn]))
             dc = gather(np.concatenate([u, v]), np.concatenate([dq @ self.near.T, dq @ self.far.T]))
-            everything = slice(None)
-            steps = ((self.context, dc[0], dc[1]), (self.target, dt[0], dt[1][:, :-1]), (self.near, everything, cu.T @ dq), (self.far, everything, cv.T @ dq), (self.bias, dt[0], dt[1][:, -1]))
-            for (x, at, g), s in zip(steps, sums, strict=True):  # rows that don't occur have no gradient and stay
-                g = g / np.float32(len(w))
-                now = s[at] + g * g
+            rows = ((self.context, sums[0], *dc), (self.target, sums[1], dt[0], dt[1][:, :-1]), (self.bias, sums[4], dt[0], dt[1][:, -1]))
+            for x, s, at, g in rows:  # those that don't occur have no gradient and stay
+                g = g / size
+                now = s.take(at, axis=0)
+                now += g * g
                 s[at] = now
-                x[at] += np.float32(RATE) * g / np.sqrt(now)
+                x[at] = x.take(at, axis=0) + np.float32(RATE) * g / np.sqrt(now, out=now)
+            for x, s, g in ((self.near, sums[2], cu.T @ dq), (self.far, sums[3], cv.T @ dq)):
+                g = g / size
+                s += g * g
+                x += np.float32(RATE) * g / np.sqrt(s)
 
     def normalise(self) -> Model:
         """Log of the sum over all symbols for every two words before, by matrix products."""

@@ -226,6 +226,39 @@ def test_log_bilinear_classes():
     assert log_bilinear.endings(words.slice(2, 3)).tolist() == got[2:5] and len(log_bilinear.endings(words[:0])) == 0
 
 
+def test_log_bilinear_steps_are_adagrad_on_the_contrastive_loss():
+    """Against sums over all pairs in double precision, also for scores far beyond what e to them holds."""
+    k, n = 40, 1500
+    share = np.arange(1.0, k + 1) / np.arange(1.0, k + 1).sum()
+    triples = np.random.default_rng(4).integers(0, k, (n, 3)).astype("<u2")
+    for scale in (1, 300):
+        model = log_bilinear.Model.start(share)
+        model.target *= np.float32(scale)
+        c, t, near, far, bias = (x.astype(float) for x in model.parts())
+        sums = [np.full(x.shape, 1e-6) for x in (c, t, near, far, bias)]
+        model.train(triples, share, [1, 2])
+        rng = np.random.default_rng([1, 2])
+        rows, log_noise = triples[rng.permutation(n)].astype(int), np.log(log_bilinear.NOISE * share)
+        for i in range(0, n, log_bilinear.STEP):
+            v, u, w = rows[i : i + log_bilinear.STEP].T
+            noise = np.minimum(np.searchsorted(np.cumsum(share), rng.random(log_bilinear.NOISE) * np.cumsum(share)[-1]), k - 1)
+            q = c[u] @ near + c[v] @ far
+            a = 1 / (1 + np.exp(np.clip((q * t[w]).sum(1) + bias[w] - log_noise[w], -500, 500)))
+            b = -1 / (1 + np.exp(np.clip(-(q @ t[noise].T + bias[noise] - log_noise[noise]), -500, 500)))
+            dq = a[:, None] * t[w] + b @ t[noise]
+            g = [np.zeros_like(x) for x in (c, t, near, far, bias)]
+            np.add.at(g[0], u, dq @ near.T), np.add.at(g[0], v, dq @ far.T)
+            np.add.at(g[1], w, a[:, None] * q), np.add.at(g[1], noise, b.T @ q)
+            g[2], g[3] = c[u].T @ dq, c[v].T @ dq
+            np.add.at(g[4], w, a), np.add.at(g[4], noise, b.sum(0))
+            for x, s, d in zip((c, t, near, far, bias), sums, g, strict=True):
+                d /= len(w)
+                s += d * d
+                x += log_bilinear.RATE * d / np.sqrt(s)
+        for x, y in zip(model.parts(), (c, t, near, far, bias), strict=True):
+            assert np.isfinite(x).all() and np.abs(x - y).max() < 0.01
+
+
 def test_log_bilinear_words_of_a_class_and_what_is_unseen_sum_to_one(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(1500)]
