@@ -20,7 +20,7 @@ from .ppm_language import crc_remainder
 #: Symbols of the model: the end, classes of rarer words, and frequent words; of those so many at least, more if seen so often. MOST
 #: symbols in all, because the normalisers are a square of them (36 MB).
 CLASSES, FREQUENT_WORDS, OFTEN, MOST = 1536, 1024, 100, 3072
-#: Dimensions, noise words of a step, positions of a step.
+#: Dimensions (an even number), noise words of a step, positions of a step.
 DIMENSIONS, NOISE, STEP = 24, 128, 1024
 #: Positions of a shard, about, over which one task descends.
 SHARD = 1 << 20
@@ -30,7 +30,7 @@ ROUNDS, RATE = 2, 0.1
 FREQUENT, HELD = 150_000, 400_000
 END = 0  # classes are from 1 on, frequent words behind them
 NO_ID = 2
-CHUNK = 1 << 16
+CHUNK = 1 << 12  # positions scored at a time, whose rows fit into a core's cache
 PART, FAN = 4096, 64  # parameters in a row of an average, and shards that one task averages
 PARAMETERS_DDL = "part int, shard int, n long, x binary"
 
@@ -69,49 +69,66 @@ class Model:
     def train(self, triples: np.ndarray, share: np.ndarray, seed: int | list[int]) -> None:
         """One pass over rows of (v, u, w), telling each w from NOISE words drawn by ``share``."""
         rng = np.random.default_rng(seed)
-        triples = triples[rng.permutation(len(triples))]
+        items = lambda x: x.view(np.dtype((np.void, x.itemsize * x.shape[1])))[:, 0]  # noqa: E731 - rows that are moved as one item each
+        triples = items(np.ascontiguousarray(triples)).take(rng.permutation(len(triples))).view(triples.dtype).reshape(-1, 3)
         cumulative = np.cumsum(share)
         log_noise = np.log(NOISE * share).astype(np.float32)
-        sums = [np.full(x.shape, 1e-6, np.float32) for x in self.parts()]
-        k, one = len(share), np.ones((STEP, 1), np.float32)
-
-        def gather(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Places that occur, and the sums of their rows."""
-            order = np.argsort(at.astype(np.uint16), kind="stable")  # two bytes hold a symbol, and are sorted by radix
-            sorted_ = at.take(order)
-            first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-            return sorted_.take(first), np.add.reduceat(rows.take(order, axis=0), first, axis=0)
-
-        for i in range(0, len(triples), STEP):
-            v, u, w = triples[i : i + STEP].T.astype(np.int64)
-            noise = np.minimum(np.searchsorted(cumulative, rng.random(NOISE) * cumulative[-1]), k - 1)
-            cv, cu = self.context.take(v, axis=0), self.context.take(u, axis=0)
-            q = cu @ self.near + cv @ self.far
-            q1 = np.concatenate([q, one[: len(w)]], axis=1)
-            tw, tn = self.target.take(w, axis=0), self.target.take(noise, axis=0)
-            real = np.einsum("ij,ij->i", q, tw) + self.bias[w] - log_noise[w]
+        k, d = self.target.shape
+        drawn = rng.random((-(-len(triples) // STEP), NOISE)) * cumulative[-1]
+        drawn = np.minimum(np.searchsorted(cumulative, drawn), k - 1)
+        # the bias is a column behind the target, near stands above far; a column of zeros makes the columns even
+        context, both = np.ascontiguousarray(self.context), np.concatenate([self.near, self.far])
+        target = np.zeros((k, d + 2), np.float32)
+        target[:, :d], target[:, d] = self.target, self.bias
+        context_sums, target_sums, both_sums = (np.full(x.shape, 1e-6, np.float32) for x in (context, target, both))
+        own, rows = np.ones((STEP, d + 1), np.float32), np.zeros((STEP + NOISE, d + 2), np.float32)
+
+        def ascend(x: np.ndarray, sums: np.ndarray, at: np.ndarray, each: np.ndarray) -> None:
+            """Adds up the rows of each place, and takes a step there; places that don't occur have no gradient and stay."""
+            order = np.argsort(at.astype(np.uint16, copy=False), kind="stable")  # two bytes hold a symbol, and are sorted by radix
+            at = at.take(order)
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            at = at.take(first).astype(np.intp)
+            g = np.add.reduceat(each.view(np.complex64).take(order, axis=0), first, axis=0).view(np.float32)  # two columns are added at a time
+            g /= size
+            now = sums.take(at, axis=0)
+            now += g * g
+            items(sums)[at] = items(now)
+            g *= np.float32(RATE)
+            g /= np.sqrt(now, out=now)
+            g += x.take(at, axis=0)
+            items(x)[at] = items(g)
+
+        for i, noise in zip(range(0, len(triples), STEP), drawn, strict=True):
+            before, w = triples[i : i + STEP, 1::-1].ravel(), triples[i : i + STEP, 2]
+            n, size = len(w), np.float32(len(w))
+            c = context.take(before, axis=0).reshape(n, 2 * d)  # of u and of v
+            q = own[:n]  # and a one, for the bias
+            np.matmul(c, both, out=q[:, :d])
+            tw, tn = target.take(w, axis=0), target.take(noise, axis=0)
+            real = np.einsum("ij,ij->i", q, tw[:, :-1]) - log_noise.take(w)
             a = 1 / (1 + np.exp(np.clip(real, -30, 30)))  # raises the score of what is there
             # a step's largest array, of positions by noise words, is passed through as few times as can be
-            fake = q1 @ np.concatenate([-tn, (log_noise[noise] - self.bias[noise])[:, None]], axis=1).T
+            less = -tn[:, :-1]
+            less[:, d] += log_noise.take(noise)
+            b = q @ less.T
             with np.errstate(over="ignore"):  # 1 over infinity is 0
-                np.exp(fake, out=fake)
-            fake += 1
-            b = np.divide(-1, fake, out=fake)
-            dq, dn = a[:, None] * tw + b @ tn, b.T @ q1
-            size = np.float32(len(w))
-            dt = gather(np.concatenate([w, noise]), np.concatenate([np.column_stack([a[:, None] * q, a]), dn]))
-            dc = gather(np.concatenate([u, v]), np.concatenate([dq @ self.near.T, dq @ self.far.T]))
-            rows = ((self.context, sums[0], *dc), (self.target, sums[1], dt[0], dt[1][:, :-1]), (self.bias, sums[4], dt[0], dt[1][:, -1]))
-            for x, s, at, g in rows:  # those that don't occur have no gradient and stay
-                g = g / size
-                now = s.take(at, axis=0)
-                now += g * g
-                s[at] = now
-                x[at] = x.take(at, axis=0) + np.float32(RATE) * g / np.sqrt(now, out=now)
-            for x, s, g in ((self.near, sums[2], cu.T @ dq), (self.far, sums[3], cv.T @ dq)):
-                g = g / size
-                s += g * g
-                x += np.float32(RATE) * g / np.sqrt(s)
+                np.exp(b, out=b)
+            b += 1
+            np.divide(-1, b, out=b)
+            dq = b @ tn[:, :d]
+            dq += a[:, None] * tw[:, :d]
+            np.multiply(a[:, None], q, out=rows[:n, :-1])
+            np.matmul(b.T, q[:, :d], out=rows[n : n + NOISE, :d])
+            np.matmul(q[:, d], b, out=rows[n : n + NOISE, d])
+            ascend(target, target_sums, np.concatenate([w, noise.astype(w.dtype)]), rows[: n + NOISE])
+            ascend(context, context_sums, before, (dq @ both.T).reshape(2 * n, d))
+            g = c.T @ dq
+            g /= size
+            both_sums += g * g
+            both += np.float32(RATE) * g / np.sqrt(both_sums)
+        self.context, self.target, self.bias = context, target[:, :d].copy(), target[:, d].copy()
+        self.near, self.far = both[:d].copy(), both[d:].copy()
 
     def normalise(self) -> Model:
         """Log of the sum over all symbols for every two words before, by matrix products."""
@@ -131,10 +148,12 @@ class Model:
 
     def log_probability(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Natural logs, normalised."""
-        out = np.empty(len(w))
+        out, norm, k = np.empty(len(w)), self.norm.ravel(), len(self.bias)
         for i in range(0, len(w), CHUNK):
             a, b, c = v[i : i + CHUNK], u[i : i + CHUNK], w[i : i + CHUNK]
-            out[i : i + CHUNK] = np.einsum("ij,ij->i", self.by_near[b] + self.by_far[a], self.target[c]) + self.bias[c] - self.norm[a, b]
+            q = self.by_near.take(b, axis=0)
+            q += self.by_far.take(a, axis=0)
+            out[i : i + CHUNK] = np.einsum("ij,ij->i", q, self.target.take(c, axis=0)) + self.bias.take(c) - norm.take(a * k + b)
         return out
 
 
@@ -155,7 +174,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learn = b.column(2).to_numpy(zero_copy_only=False).astype(np.uint8)
         learn[b.column(0).is_null().to_numpy(zero_copy_only=False)] = NO_ID
         packed = (b.column(0).fill_null(0).to_numpy(), b.column(1).to_numpy(), learn, counts.astype("<u4"), index.astype(_narrow(len(distinct))), lengths)
-        yield arrow.batch(WORDS, **{n: [x.tobytes()] for n, x in zip(WORDS.names, packed, strict=False)}, words=[b"".join(distinct.to_pylist())])
+        yield arrow.batch(WORDS, **{n: [x.tobytes()] for n, x in zip(WORDS.names, packed, strict=False)}, words=[joined(distinct)])
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
@@ -169,6 +188,14 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, np.ndar
             yield pa.array(ids, mask=learn == NO_ID), keys, learn == 1, distinct, index, counts.astype(np.int64)
 
 
+def joined(words: pa.Array) -> bytes:
+    """All words in a row, as they lie in the array."""
+    if not len(words):
+        return b""
+    ends = np.frombuffer(words.buffers()[1], np.int64)[[words.offset, words.offset + len(words)]].tolist()
+    return words.buffers()[2][slice(*ends)].to_pybytes() if ends[0] < ends[1] else b""
+
+
 def endings(words: pa.Array) -> np.ndarray:
     """The class of each word, by its last three bytes."""
     offsets = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1] if len(words) else np.zeros(1, np.int64)
@@ -186,23 +213,24 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     words, counts_, size, ends = [], [], 0, 0
 
     def summed() -> Iterator[pa.RecordBatch]:
-        t = pa.table({"word": pa.chunked_array(words, pa.large_binary()), "n": pa.chunked_array(counts_, pa.int64())}).group_by("word").aggregate([("n", "sum")])
-        for x in t.combine_chunks().to_batches(max_chunksize=16384):
-            word = x.column("word")
-            yield pa.RecordBatch.from_arrays([word.cast(pa.binary()), pa.array(endings(word), pa.int32()), x.column("n_sum")], ["word", "class", "n"])
+        found = pa.concat_arrays(words).dictionary_encode()
+        n = np.bincount(found.indices.to_numpy(), np.concatenate(counts_), len(found.dictionary)).astype(np.int64)  # exact below 2 ** 53
+        for i in range(0, len(n), 16384):
+            word = found.dictionary.slice(i, 16384)
+            yield pa.RecordBatch.from_arrays([word.cast(pa.binary()), pa.array(endings(word), pa.int32()), pa.array(n[i : i + 16384])], ["word", "class", "n"])
         words.clear(), counts_.clear()
 
     for _, _, learn, distinct, index, counts in _rows(batches):
         n = np.bincount(index[np.repeat(learn, counts)], minlength=len(distinct))
         own = np.flatnonzero(n)
-        words.append(distinct.take(pa.array(own))), counts_.append(pa.array(n[own], pa.int64()))
+        words.append(distinct.take(pa.array(own))), counts_.append(n[own])
         ends += int(learn.sum())
         size += len(own)
         if size > HELD:
             yield from summed()
             size = 0
     if ends:
-        words.append(pa.array([b""], pa.large_binary())), counts_.append(pa.array([ends], pa.int64()))
+        words.append(pa.array([b""], pa.large_binary())), counts_.append(np.array([ends]))
     if words:
         yield from summed()
 
@@ -233,10 +261,16 @@ class Lexicon:
         return n / n.sum()
 
     def places(self, distinct: pa.Array) -> np.ndarray:
-        """Of each word its place, -1 if it isn't frequent."""
-        return pc.index_in(distinct, value_set=self.words).fill_null(-1).to_numpy()
+        """Of each of the distinct words its place, -1 if it isn't frequent. Frequent words are looked up in those of a batch, which mostly are fewer."""
+        at = pc.index_in(self.words, value_set=distinct).fill_null(-1).to_numpy()
+        out, found = np.full(len(distinct), -1), np.flatnonzero(at >= 0)
+        out[at[found]] = found
+        return out
 
-    def symbols(self, distinct: pa.Array, places: np.ndarray) -> np.ndarray:
+    def symbols(self, distinct: pa.Array, places: np.ndarray | None = None) -> np.ndarray:
+        """Of each word its symbol; without the places only words that are symbols of their own are looked up."""
+        if places is None:
+            places = pc.index_in(distinct, value_set=self.words.slice(0, self.inner)).fill_null(-1).to_numpy()
         return np.where((places >= 0) & (places < self.inner), 1 + CLASSES + places, 1 + endings(distinct))
 
 
@@ -255,7 +289,7 @@ def _symbols(shared: Broadcast):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = shared.value
         for _, keys, learn, distinct, index, counts in _rows(batches):
-            _, _, w, first = _sequence(lexicon.symbols(distinct, lexicon.places(distinct)), index, counts)
+            _, _, w, first = _sequence(lexicon.symbols(distinct), index, counts)
             w = w.astype("<u2")
             own = np.flatnonzero(learn)
             symbols = [w[first[i] : first[i + 1]].tobytes() for i in own.tolist()]

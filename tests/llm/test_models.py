@@ -1,9 +1,11 @@
 """Token files, pieces, languages, language models, pages, search and the pipeline."""
 
 import collections
+import itertools
 import math
 import random
 import re
+import time
 import types
 import zlib
 
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tessera.llm import log_bilinear, max_score, page_text, pieces, ppm_language, repair, scratch, token_files
+from tessera.llm import arrow, log_bilinear, max_score, page_text, pieces, ppm_language, repair, scratch, token_files
 
 from .conftest import prose
 
@@ -259,6 +261,61 @@ def test_log_bilinear_steps_are_adagrad_on_the_contrastive_loss():
             assert np.isfinite(x).all() and np.abs(x - y).max() < 0.01
 
 
+def test_log_bilinear_packing_costs_little_more_than_splitting():
+    """In CPU time, over words that are all distinct: they never become Python objects, which took nine times as long as splitting."""
+    rng = random.Random(8)
+    texts = pa.array([" ".join(f"{rng.randrange(1 << 30):x}" for _ in range(300)).encode() for _ in range(300)], pa.binary())
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(range(300)), pa.array([True] * 300), texts], ["doc_id", "key", "learn", "text"])
+
+    def least(f):
+        took = []
+        for _ in range(5):
+            began = time.process_time()
+            f()
+            took.append(time.process_time() - began)
+        return min(took)
+
+    assert least(lambda: list(log_bilinear._split(iter([batch])))) < 3 * least(lambda: arrow.split_words(texts))
+
+
+def test_log_bilinear_packed_words_counts_and_places():
+    words = pa.array([b"ab", b"", b"cde", "\u00e9".encode(), b"x" * 70_000], pa.large_binary())
+    for i, n in itertools.product(range(6), range(6)):
+        assert log_bilinear.joined(words.slice(i, n)) == b"".join(words.slice(i, n).to_pylist())
+    rng = random.Random(9)
+    texts = [[b"w%d" % rng.randrange(rng.choice([50, 90_000])) for _ in range(900)] for _ in range(120)]  # more distinct words than a batch of counts has
+    parts = [texts[i : i + 40] for i in range(0, 120, 40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(range(40)), pa.array([i % 2 > 0 for i in range(40)]), pa.array([b" ".join(t) for t in p], pa.binary())], ["doc_id", "key", "learn", "text"]) for p in parts]
+    packed = list(log_bilinear._split(iter(batches)))
+    got, want = collections.Counter(), collections.Counter(w for p in parts for t in p[1::2] for w in t)
+    want[b""] = 60
+    for b in log_bilinear._count(iter(packed)):
+        assert b.column(1).to_pylist() == log_bilinear.endings(b.column(0).cast(pa.large_binary())).tolist()
+        got.update(dict(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)))
+    assert got == want and len(want) > 16_384
+    del want[b""]
+    top = want.most_common()
+    lexicon = log_bilinear.Lexicon(pa.array([w for w, _ in top], pa.large_binary()), np.array([n for _, n in top]))
+    for _, _, _, distinct, _, _ in log_bilinear._rows(iter(packed)):
+        place = {w: i for i, (w, _) in enumerate(top)}
+        places = lexicon.places(distinct)
+        assert places.tolist() == [place.get(w, -1) for w in distinct.to_pylist()]
+        assert lexicon.symbols(distinct).tolist() == lexicon.symbols(distinct, places).tolist()
+    assert lexicon.places(words[:0]).tolist() == [] and lexicon.symbols(words[:2]).tolist() == lexicon.symbols(words[:2], np.full(2, -1)).tolist()
+
+
+def test_log_bilinear_trains_on_a_single_position():
+    share = np.full(3000, 1 / 3000)
+    model, new = log_bilinear.Model.start(share), log_bilinear.Model.start(share)
+    new.train(np.array([[5, 7, 9]], "<u2"), share, [3])
+    moved = [set(np.flatnonzero((x != y).reshape(len(x), -1).any(axis=1)).tolist()) for x, y in zip(model.parts(), new.parts(), strict=True)]
+    noise = set(np.searchsorted(np.cumsum(share), (r := np.random.default_rng([3]), r.permutation(1), r.random(log_bilinear.NOISE))[2] * np.cumsum(share)[-1]).tolist())
+    assert moved[0] == {5, 7} and moved[1] == moved[4] == noise | {9} and all(np.isfinite(x).all() for x in new.parts())
+    before = new.flat()
+    new.train(np.empty((0, 3), "<u2"), share, [3])
+    assert (new.flat() == before).all()
+
+
 def test_log_bilinear_words_of_a_class_and_what_is_unseen_sum_to_one(spark):
     rng = random.Random(3)
     words = [f"w{i}" for i in range(1500)]
