@@ -4,8 +4,11 @@ import collections
 import hashlib
 import random
 import re
+import types
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +154,66 @@ def test_sketches_of_linked_sets_meet():
         assert len(np.intersect1d(x, y)) >= max(least, other) or len(np.intersect1d(x, y)) >= least
 
 
+def test_a_chunk_goes_to_its_owners_in_one_batch():
+    """A batch an owner would be as many batches as chunks times owners, which grows as the square of the input."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, 400).astype(np.uint64) * np.uint64(2)) for _ in range(30)]
+    sets += [np.unique(np.append(x[:390], x[390] + np.uint64(1 << 40))) for x in sets[:10]]
+    keys = [metric_join.key_of(x) for x in sets]
+    b = pa.RecordBatch.from_pydict({"key": pa.array(keys, pa.binary()), "hashes": pa.array([x.tobytes() for x in sets], pa.binary())})
+    got = list(metric_join._send(50, metric_join._whole)(iter([b])))
+    assert [x.num_rows for x in got] == [50, 1]
+    sent = [list(metric_join._own(7)(pa.Table.from_batches([pa.Table.from_batches(got).filter(pc.field("owner") == o).combine_chunks().to_batches()[0]])).to_batches()) for o in range(50)]
+    assert all(len(x) <= 1 for x in sent)
+    shared = collections.Counter()
+    for r in (r for x in sent for y in x for r in y.to_pylist()):
+        tags = metric_join._joined(r["low"], r["high"])
+        assert (tags % np.uint64(7) == r["range"]).all()
+        shared.update(dict(zip(tags.tolist(), np.frombuffer(r["counts"], "<u4").tolist(), strict=True)))
+    every = collections.Counter(np.concatenate(sets).tolist())
+    assert shared == {metric_join.tag_of(k): n for k, x in zip(keys, sets, strict=True) if (n := sum(every[h] > 1 for h in x.tolist()))}
+
+
+def test_only_texts_that_may_link_are_taken_apart(monkeypatch):
+    texts, seen = [f"one two three four five {i}" for i in range(40)], []
+    digests = np.random.default_rng(6).integers(0, 1 << 62, (40, 2))
+    bits = np.zeros(1 << 10, np.uint8)
+    at = digests[7:9].view("<u4") & np.uint32(8 * len(bits) - 1)
+    np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    b = pa.RecordBatch.from_pydict({"text": pa.array([t.encode() for t in texts], pa.binary()), "a": pa.array(digests[:, 0]), "b": pa.array(digests[:, 1])})
+    take_apart = metric_join.shingle_sets
+    monkeypatch.setattr(metric_join, "shingle_sets", lambda x: seen.extend(x.to_pylist()) or take_apart(x))
+    got = list(metric_join._survivors(types.SimpleNamespace(value=bits))(iter([b])))
+    assert seen == [b"one two three four five 7", b"one two three four five 8"]
+    assert [x["n"].to_pylist() for x in got] == [[2, 2]]
+
+
+@pytest.mark.parametrize("size", [1, 7, 8, 9, 16, 63, 64, 65, 300])
+def test_word_hashes(size):
+    """No two words share one, a word's doesn't depend on those beside it, and NULs at its end count."""
+    rng = random.Random(size)
+    words = sorted({bytes(rng.randrange(256) for _ in range(n)) for n in (size, size, size + 1, 3) for _ in range(200)} | {b"\0" * n for n in range(1, 80)})
+    got = metric_join.word_hashes(pa.array(words, pa.large_binary()))
+    assert len(set(got.tolist())) == len(words)
+    assert [metric_join.word_hashes(pa.array([w], pa.large_binary()))[0] for w in words[:50]] == got[:50].tolist()
+    assert metric_join.word_hashes(pa.array(words, pa.large_binary())[5:9]).tolist() == got[5:9].tolist()
+
+
+def test_copies_in_several_parts_share_nothing(spark):
+    """A sketch is asked for once a set, so texts without a like pass no filter however often they are repeated."""
+    rng = random.Random(8)
+    d = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(30))) for i in range(20)], "doc_id long, text string")
+    d = d.crossJoin(spark.range(6)).selectExpr("doc_id + 100 * id AS doc_id", "text").repartition(8)
+    kept = []
+    keep = metric_join._kept
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(metric_join, "_kept", lambda *a: kept.append(keep(*a)) or kept[-1])
+        m.setattr(metric_join.scratch, "drop", lambda *a: None)
+        got = metric_join.near_duplicates(d).collect()
+        assert [x.count() for x in kept] == [0, 0]
+    assert len(got) == 120 and all(r["component_id"] == r["doc_id"] % 100 for r in got)
+
+
 def drawn_sets(rng, n, bases, lose, words=50):
     """Sets near some bases, nearer and farther, and at the bases' edges."""
     every = [np.unique(rng.integers(0, 1 << 62, words).astype(np.uint64)) for _ in range(bases)]
